@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import catalogue, retrieval
+
+MODULES = (retrieval, catalogue)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
