@@ -171,7 +171,11 @@ def bucketed(values: Column, typed: Sequence[str]) -> Column:
 
 def categories(values: Column, aliases: dict[str, Sequence[str]]) -> Column:
     """Sorted categories one of whose aliases is contained in a value."""
-    hit = [F.when(F.exists(values, lambda v, own=own: _any(T.contains(T.canonical(v), F.lit(T.python_canonical(a))) for a in own)), F.lit(name)) for name, own in sorted(aliases.items())]
+
+    def named(own: Sequence[str]):
+        return lambda v: _any(T.contains(T.canonical(v), F.lit(T.python_canonical(a))) for a in own)
+
+    hit = [F.when(F.exists(values, named(own)), F.lit(name)) for name, own in sorted(aliases.items())]
     return F.filter(F.array(*hit), lambda x: x.isNotNull())
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, retrieval
+from . import catalogue, documents, evaluation, evidence, retrieval
 
-MODULES = (retrieval, catalogue)
+MODULES = (retrieval, catalogue, documents, evidence, evaluation)
 
 
 def queries() -> dict:

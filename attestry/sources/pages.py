@@ -81,7 +81,11 @@ def concepts(spark: SparkSession, path: str) -> DataFrame:
     if raw.where("c is null or size(c) > 3000").limit(1).count():
         raise EngineError("DICTIONARY_ERROR", "a dictionary is a list of at most 3000 concepts")
     each = raw.select("source_file", F.explode("c").alias("c"))
-    kinds = [F.transform(F.coalesce(f"c.{k}", F.array().cast("array<string>")), lambda t, k=k: F.struct(t.alias("term"), F.lit(k).alias("kind"))) for k in ("input_terms", "english_terms", "related_terms")]
+
+    def told(kind: str):
+        return lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind"))
+
+    kinds = [F.transform(F.coalesce(f"c.{k}", F.array().cast("array<string>")), told(k)) for k in ("input_terms", "english_terms", "related_terms")]
     return each.select(F.col("c.concept_id").alias("concept_id"), F.explode(F.concat(*kinds)).alias("x"), "source_file").select("concept_id", "x.term", "x.kind", "source_file")
 
 
