@@ -38,7 +38,8 @@ def verified(dealt: DataFrame, payload: list[str], pairs: Callable[[dict, np.nda
     """One row for each row with a link in its cell: node, label, links.
 
     pairs(rows, i, j) tells which pairs are linked; dense(rows, i0, i1, j0, j1) returns the linked pairs between two ranges;
-    new(rows, i, j) tells which linked pairs no earlier table holds. rows maps column names to arrays; a link counts as many
+    new(rows, i, j) tells which linked pairs no earlier table holds. rows maps column names to arrays, binary ones to
+    byte matrices filled with zeros and name_size to their lengths; a link counts as many
     times as the weight of its other end, where rows have a weight.
     """
     columns = ["key", "cell_a", "cell_b", "block", "node", *payload]
@@ -68,8 +69,12 @@ def verified(dealt: DataFrame, payload: list[str], pairs: Callable[[dict, np.nda
             yield from whole(pa.concat_tables(held))
 
     def whole(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = {c: t.column(c).combine_chunks() if pa.types.is_binary(t.column(c).type) else t.column(c).to_numpy() for c in t.column_names}
-        rows = {c: (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1) if isinstance(x, pa.Array) else x) for c, x in rows.items()}
+        rows = {}
+        for c in t.column_names:
+            if pa.types.is_binary(t.column(c).type):
+                rows[c], rows[f"{c}_size"] = matrix(t.column(c).to_pylist())
+            else:
+                rows[c] = t.column(c).to_numpy()
         n = t.num_rows
         edge = np.zeros(n, bool)
         edge[0] = True
@@ -116,6 +121,14 @@ def verified(dealt: DataFrame, payload: list[str], pairs: Callable[[dict, np.nda
     return cut.mapInArrow(run, OUT)
 
 
+def matrix(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes as rows of one width, shorter ones filled with zeros, and their lengths."""
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    wide = int(size.max()) if len(size) else 0
+    flat = b"".join(values) if (size == wide).all() else b"".join(x.ljust(wide, b"\0") for x in values)
+    return np.frombuffer(flat, np.uint8).reshape(len(values), wide), size
+
+
 def join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Join the trees of i and j in place; a label is never larger than its row."""
     while True:

@@ -101,7 +101,10 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
     def new(rows: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if "k" not in rows:
-            rows["k"] = tables.keys(vector_rows(rows))
+            m, d = vector_rows(rows), rows["v_size"] // 8
+            rows["k"] = np.zeros((len(m), tables.tables), np.uint64)
+            for n in np.unique(d):
+                rows["k"][d == n] = tables.keys(m[d == n, :n])
         out = np.ones(len(i), bool)
         for s in range(0, len(i), 1 << 14):
             a, b = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
