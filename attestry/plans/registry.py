@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, documents, evaluation, evidence, retrieval
+from . import catalogue, documents, evaluation, evidence, retrieval, service
 
-MODULES = (retrieval, catalogue, documents, evidence, evaluation)
+MODULES = (retrieval, catalogue, documents, evidence, evaluation, service)
 
 
 def queries() -> dict:
