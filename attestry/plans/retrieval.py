@@ -121,13 +121,14 @@ def name_relation(spark, sf_dir):
     return pairs.select("p_name", "other", X.name_relation(F.col("p_name"), F.col("other")).alias("relation"))
 
 
-SOURCE_TYPE = F.element_at(F.array(*map(F.lit, ("claims", "ehr", "registry", "survey"))), (F.regexp_extract("source", r"(\d+)", 1).cast("int") % 4) + 1)
+def _source_type():
+    return F.element_at(F.array(*map(F.lit, ("claims", "ehr", "registry", "survey"))), (F.regexp_extract("source", r"(\d+)", 1).cast("int") % 4) + 1)
 
 
 def _attributes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     size = F.when(F.col("n_chars") >= 5000, F.array(F.lit("long"), F.lit("any"))).when(F.col("n_chars") >= 1000, F.array(F.lit("any"))).otherwise(F.array().cast("array<string>"))
-    return docs.select("doc_id", F.array("lang").alias("countries"), R.bucketed(F.array(SOURCE_TYPE), ("claims", "ehr", "registry")).alias("types"), size.alias("sizes"))
+    return docs.select("doc_id", F.array("lang").alias("countries"), R.bucketed(F.array(_source_type()), ("claims", "ehr", "registry")).alias("types"), size.alias("sizes"))
 
 
 def facet_filter(spark, sf_dir):
@@ -169,7 +170,7 @@ def block_intersection(spark, sf_dir):
 
 def screened_order(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rows = _blocks(spark, sf_dir).join(docs.select(F.col("doc_id").alias("id"), "lang", SOURCE_TYPE.alias("t")), "id").join(labels.select(F.col("doc_id").alias("id"), "quality", "toxic"), "id", "left")
+    rows = _blocks(spark, sf_dir).join(docs.select(F.col("doc_id").alias("id"), "lang", _source_type().alias("t")), "id").join(labels.select(F.col("doc_id").alias("id"), "quality", "toxic"), "id", "left")
     fit = R.type_fit(F.col("t") != "survey", F.col("lang") == "fr")
     key = R.order_key(F.col("toxic") == 0, F.when(F.col("quality") == 1, True), F.when(F.col("lang") == "es", "none"), F.col("quality") == 1, F.col("specific_blocks"), F.col("role_blocks"), fit, F.col("fused"), F.col("id"))
     # one list for the reader: a global order is what the operator returns

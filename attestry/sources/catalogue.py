@@ -27,7 +27,7 @@ ALIASES: dict[str, tuple[str, ...]] = {
     "data_source_types": ("data sources types", "data source types"),
     "conditions": ("conditions", "condition"),
     "exposures": ("exposures", "exposure"),
-    "network": ("network study", "darwin eu study"),
+    "network": ("network study", "network"),
     "protocol": ("protocol", "protocol document", "latest protocol"),
 }
 LISTS = ("countries", "data_source_types", "conditions", "exposures")
