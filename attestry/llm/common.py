@@ -99,6 +99,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
+def bounded(df: DataFrame, most: int, salt: str, *keys: str) -> DataFrame:
+    """At most `most` rows, chosen by a hash of the keys. Rows are first thinned to about that number where they are read, so
+    that the tasks together, not each of them, send so many to the driver."""
+    n = df.count()
+    rank = F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(1 << 24))
+    thin = df.where(rank < int(min(1.0, (1.2 * most + 50) / max(n, 1)) * (1 << 24)))
+    return thin.orderBy(rank, *keys).limit(most)
+
+
 class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse: prefix sums give the hash of any interval in one step."""
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, column, ship, steps
+from .common import binaries, bounded, column, ship, steps
 
 WIDTH, EMBED, FILTERS, WIDTHS = 256, 8, 24, (2, 3, 4)
 #: The fit takes at most so many labelled documents, chosen by a hash of doc_id, and at most so many windows of each.
@@ -133,7 +133,7 @@ def fitted(docs: DataFrame, most: int = TRAIN_DOCS) -> ByteNet:
     n = F.length(raw)
     at = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)), lambda k: (F.pmod(F.xxhash64("doc_id", k), F.greatest(F.floor(n / WIDTH), F.lit(1))) * WIDTH + 1).cast("int"))
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(True)))
-    rows = own.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id", "lang").select("lang", F.array_distinct(F.transform(at, lambda p: F.substring(raw, p, F.lit(WIDTH)))).alias("w")).limit(most).collect()
+    rows = bounded(own.select("doc_id", "lang", F.array_distinct(F.transform(at, lambda p: F.substring(raw, p, F.lit(WIDTH)))).alias("w")), most, "sample", "doc_id", "lang").collect()
     langs = sorted({r.lang for r in rows})
     pairs = [(bytes(w), langs.index(r.lang)) for r in rows for w in r.w if w]
     net = ByteNet(langs)
@@ -177,7 +177,7 @@ def predictions(docs: DataFrame) -> DataFrame:
     return languages(own.select("doc_id", "text"), net).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
+def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs whose language is one of the learned ones with a score of at least `least`; und goes."""
     names = docs.columns
     found = languages(docs)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, ship, strings
+from .common import bounded, column, ship, strings
 
 # fixed values: the base patterns
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -243,7 +243,7 @@ def fitted(docs: DataFrame, most: int = TRAIN_DOCS) -> Finder:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["x"])
 
     with_signs = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id")
-    ids = with_signs.orderBy(F.xxhash64("doc_id", F.lit("pii")), "doc_id").limit(most)
+    ids = bounded(with_signs, most, "pii", "doc_id")
     chosen = docs.join(F.broadcast(ids.distinct()), "doc_id").select("text")
     rows = sorted(tuple(r.x) for r in chosen.mapInArrow(run, "x array<double>").collect())
     if not rows:
@@ -267,6 +267,16 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[last:]])
 
 
+def cleaned(text: str, finder: Finder) -> str:
+    """The text redacted until no base span is left: what stood beside a span may have hidden another."""
+    spans = base_spans(text)
+    spans += finder.added(text, spans)
+    while spans:
+        text = redacted(text, spans)
+        spans = base_spans(text)
+    return text
+
+
 def _own(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(column(docs, doc_id, "long").alias("doc_id"), column(docs, text, "string").alias("text"))
 
@@ -311,12 +321,11 @@ def without_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "do
             texts, sizes = batch.column(at).to_pylist(), columns[size].to_pylist() if size is not None else None
             for k, x in enumerate(texts):
                 if x:
-                    spans = base_spans(x)
-                    spans += finder.added(x, spans)
-                    if spans:
-                        texts[k] = redacted(x, spans)
+                    clean = cleaned(x, finder)
+                    if clean != x:
+                        texts[k] = clean
                         if sizes:
-                            sizes[k] = len(texts[k])
+                            sizes[k] = len(clean)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             if sizes is not None:
                 columns[size] = pa.array(sizes, batch.schema.field(size).type)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, ship, steps, stored, strings
+from .common import bounded, column, ship, steps, stored, strings
 
 #: The fit takes at most so many toxic and other labelled documents, chosen by a hash of doc_id.
 TRAIN_TOXIC, TRAIN_OTHER = 2500, 5000
@@ -225,8 +225,7 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, other:
     """text and toxic of a bounded choice of labelled documents, none of them held out; ids go to the tasks, texts stay."""
     own = labels.select(column(labels, "doc_id", "long").alias("doc_id"), column(labels, "toxic", "int").alias("toxic")).where("doc_id is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0")
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id", F.lit("toxicity")), F.col("doc_id")]
-    ids = stored(own.where("toxic = 1").orderBy(*order).limit(toxic).union(own.where("toxic = 0").orderBy(*order).limit(other)))
+    ids = stored(bounded(own.where("toxic = 1"), toxic, "toxicity", "doc_id").union(bounded(own.where("toxic = 0"), other, "toxicity", "doc_id")))
     return docs.join(F.broadcast(ids), "doc_id").select("text", "toxic")
 
 

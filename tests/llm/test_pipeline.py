@@ -39,7 +39,7 @@ def test_pipeline(spark, tmp_path):
     kept = {}
     for i, t, *_ in rows:
         (lang,), (score,) = net.texts([(t or "").encode()])
-        if lang != "und" and score >= 0.4:
+        if lang != "und" and score >= 0.3:
             kept[i] = t
     fps = {i: brute_fingerprint(t) for i, t in kept.items()}
     parent = {i: i for i in kept}
