@@ -9,8 +9,8 @@ import numpy as np
 
 _OPEN: dict[str, WordIds] = {}
 
-#: Words whose ids a process keeps; beyond it starts anew.
-KEEP = 600_000
+#: Words, and pieces of words, whose ids a process keeps; beyond it starts anew. Both take up to about 100 MB together.
+KEEP, KEEP_PIECES = 400_000, 200_000
 
 
 def default_path() -> str:
@@ -57,7 +57,7 @@ class WordIds(dict):
     def _piece(self, piece: str) -> bytes:
         seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.visible)
         ids = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
-        if len(self.pieces) >= KEEP:
+        if len(self.pieces) >= KEEP_PIECES:
             self.pieces.clear()
         self.pieces[piece] = ids
         return ids

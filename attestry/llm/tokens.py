@@ -16,6 +16,8 @@ from .tokenizer import default_path, word_ids
 #: The end-of-document id of the default tokenizer; no text has it, as special tokens in a text are ordinary text.
 SEPARATOR = 49407
 BLOCK = 1 << 18
+#: Texts that are held as objects at a time.
+ROWS = 256
 
 
 def write_flat(docs: DataFrame, path: str, text: str = "text", tokenizer: str | None = None, separator: int = SEPARATOR) -> None:
@@ -29,8 +31,9 @@ def write_flat(docs: DataFrame, path: str, text: str = "text", tokenizer: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(where)
         for batch in batches:
-            flat = [np.frombuffer(ids.text(x), "<u4").astype("<u2").tobytes() for x in binaries(batch, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.binary())], names=["value"])
+            for i in range(0, batch.num_rows, ROWS):
+                flat = [np.frombuffer(ids.text(x), "<u4").astype("<u2").tobytes() for x in binaries(batch.slice(i, ROWS), 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(flat, pa.binary())], names=["value"])
 
     own = docs.select(column(docs, text, "string").alias("text")).mapInArrow(run, "value binary")
     line = separator.to_bytes(2, "little").decode("latin-1")
