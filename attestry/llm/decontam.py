@@ -155,8 +155,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: float = 0.5, **options) -> DataFrame:
     """docs without contaminated documents, and without the hit words of the others.
 
-    A document goes if it holds windows of two items or more, or if at least `most` of its words are hit; in the others the
-    spans of one item are cut out and the rest stays. Documents without a hit stay as they are.
+    A document goes if it holds windows of two items or more, or if at least `most` of its words are hit (above 1: whatever
+    its words are); in the others the spans of one item are cut out and the rest stays. Documents without a hit stay as they are.
     """
     found = hits(docs, benchmark, text=text, **options)
     keep = (F.size("_items") < 2) & ((F.col("_hit") == 0) | (F.col("_hit") < most * F.col("_words")))
