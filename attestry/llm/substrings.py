@@ -67,6 +67,15 @@ class Symbols:
         size = np.diff(np.append(first, n))
         words = self.end[first + size - 1] - self.start[first]
         whole = (size > 1) & (words <= self.longest)
+        # a member of a longer run depends on what shows, on either side, that the run is longer or where it ends
+        at = np.flatnonzero(np.repeat((size > 1) & ~whole, size))
+        if len(at):
+            run = (np.cumsum(edge) - 1)[at]
+            head, tail = first[run], first[run] + size[run] - 1
+            more = self.longest // (self.end[head] - self.start[head])
+            lo = np.where(at - more >= head, self.lo[np.maximum(at - more, 0)], before[head])
+            hi = np.where(at + more <= tail, self.hi[np.minimum(at + more, n - 1)], behind[tail])
+            before[at], behind[at] = lo, hi
         keep = np.repeat(~whole, size) | edge
         group = np.flatnonzero(keep)
         name = self.name[group]
