@@ -16,6 +16,8 @@ from .common import bounded, column, ship, steps, stored, strings
 #: The fit takes at most so many toxic and other labelled documents, chosen by a hash of doc_id.
 TRAIN_TOXIC, TRAIN_OTHER = 2500, 5000
 TERMS, STEM, LEAST_DOCS, LEAST_ODDS = 400, 4, 3, 3.0
+#: Words of so many letters match with one edit; a prefix never does.
+FUZZY_FROM = 5
 #: Words on both sides of a hit that its context score sees.
 CONTEXT = 20
 LONGEST = 24
@@ -31,7 +33,7 @@ class Lexicon:
     first needs them; a word runs until its set is empty, which for most words is after three or four letters.
     """
 
-    def __init__(self, terms: dict[str, float], fuzzy_from: int = 5) -> None:
+    def __init__(self, terms: dict[str, float], fuzzy_from: int = FUZZY_FROM) -> None:
         self.terms, self.weights = list(terms), np.array([*terms.values(), 0.0])
         self.nodes: list[dict[str, int]] = [{}]
         self.ends: dict[int, int] = {}
@@ -166,7 +168,11 @@ ALNUM = np.array([chr(c).isalnum() for c in range(0x3000)])
 
 
 def learned_terms(toxic: list[set[str]], other: list[set[str]], most: int = TERMS) -> dict[str, float]:
-    """Words and beginnings of words (with *) that far more toxic documents have than others, with their log odds."""
+    """Words and beginnings of words (with *) that far more toxic documents have than others, with their log odds.
+
+    A word behind its own beginning adds no exact match, but its misspellings: at most `most` such words stand beside the
+    `most` terms.
+    """
     toxic = [set(x) for x in {frozenset(x) for x in toxic}]
 
     def parts(words: set[str]) -> set[str]:
@@ -181,17 +187,20 @@ def learned_terms(toxic: list[set[str]], other: list[set[str]], most: int = TERM
     odds = {p: np.log((n + 0.5) / (P - n + 0.5)) - np.log((neg[p] + 0.5) / (N - neg[p] + 0.5)) for p, n in pos.items()}
     good = sorted((p for p in odds if odds[p] >= LEAST_ODDS and neg[p] <= 0.1 * pos[p]), key=lambda p: (-odds[p], len(p), p))
     kept: dict[str, float] = {}
+    beside: dict[str, float] = {}
     stems: set[str] = set()
     for p in good:
         word = p.rstrip("*")
         if any(word[:k] in stems for k in range(STEM, len(word) + 1)):
-            continue
-        kept[p] = float(odds[p])
-        if p.endswith("*"):
-            stems.add(word)
-        if len(kept) >= most:
+            if not p.endswith("*") and len(word) >= FUZZY_FROM and len(beside) < most:
+                beside[p] = float(odds[p])
+        elif len(kept) < most:
+            kept[p] = float(odds[p])
+            if p.endswith("*"):
+                stems.add(word)
+        if len(kept) >= most and len(beside) >= most:
             break
-    return kept
+    return kept | beside
 
 
 class Scorer:
