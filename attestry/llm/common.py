@@ -67,7 +67,7 @@ def discard(df: DataFrame) -> None:
 
 
 def column(df: DataFrame, name: str, kind: str) -> F.Column:
-    """A column, or typed nulls where a table has none of that name."""
+    """A column, or typed nulls where a table has none of that name. Ids are integers or texts of integers: another text raises."""
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
@@ -108,6 +108,28 @@ def bounded(df: DataFrame, most: int, salt: str, *keys: str) -> DataFrame:
     return thin.orderBy(rank, *keys).limit(most)
 
 
+#: Keys with more than one row in HOT are hot; there are fewer than HOT of them, whatever the table.
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, labels: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows left-joined with labels, which has one row for each value of key, by a merge join that no hot key unbalances.
+
+    The labels of hot keys, fewer than HOT rows, are broadcast; their rows then carry a salt by a hash of `spread`, so that they
+    are dealt over all tasks, where they need nothing more. No other label is sent or copied.
+    """
+    names = [c for c in labels.columns if c != key]
+    counts = stored(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("_n") > max(1, total // HOT)).select(key)
+    given = labels.join(F.broadcast(hot), key, "left_semi").select(F.col(key), *(F.col(c).alias(f"_h_{c}") for c in names), F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(given), key, "left")
+    salt = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(spread, F.lit("spread")), F.lit(1 << 20)) + 1).otherwise(0)
+    cold = labels.withColumn("_salt", F.lit(0).cast("long")).hint("merge")
+    out = marked.withColumn("_salt", salt.cast("long")).join(cold, [key, "_salt"], "left")
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), *(F.when(F.col("_hot"), F.col(f"_h_{c}")).otherwise(F.col(c)).alias(c) for c in names))
+
+
 class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse: prefix sums give the hash of any interval in one step."""
 

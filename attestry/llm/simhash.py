@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cells, verified
-from .common import binaries, column, mix, ship, steps, stored
+from .common import binaries, column, discard, looked_up, mix, ship, steps, stored
 from .components import components
 
 SHINGLE, SEED, BITS = 4, 42, 4
-#: Expected candidates of a fingerprint by chance, at most; more bands are used for more fingerprints.
-CHANCE = 128
+#: Cost of a row in a grid, in comparisons of two fingerprints.
+ROW = 150
 _ODD = np.uint64(0x5555555555555555)
 
 
@@ -64,16 +64,13 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & _ODD).astype(np.int64) + 2 * np.bitwise_count(high & ~x)
 
 
-def bands_for(n: int, bits: int = BITS, chance: float = CHANCE) -> int:
-    """The fewest bands at which n random fingerprints meet few others by chance.
+def bands_for(n: int, bits: int = BITS) -> int:
+    """The number of bands at which n random fingerprints cost least, in rows of grids and in comparisons by chance.
 
     With b bands at most `bits` of them differ, so b - bits agree in full: no link is lost at any number of bands. Two random
-    two-bit segments have equal counts in 3 of 8 cases.
+    two-bit segments have equal counts in 3 of 8 cases. It is 15 grids for a million fingerprints, 35 for 10**8, 70 for 10**9.
     """
-    for b in range(bits + 1, 17):
-        if n * comb(b, bits) * 0.375 ** (32 * (b - bits) / b) <= chance:
-            return b
-    return 16
+    return min(range(bits + 1, 17), key=lambda b: comb(b, bits) * (ROW + n * 0.375 ** (32 * (b - bits) / b)))
 
 
 def masks(bands: int, bits: int = BITS) -> np.ndarray:
@@ -120,8 +117,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Texts that are null, empty or blank have fingerprint zero, which links like any other. Equal fingerprints are one node, so
     a group of exact copies costs one row. Rows with one doc_id are one document with several fingerprints. A row without
-    doc_id gets the component of its fingerprint, or null if no row with a doc_id has it. Other columns are not read. An
-    empty table gives no rows.
+    doc_id gets the component of its fingerprint, or null if no row with a doc_id has it. Ids are integers. Very long texts
+    are hashed whole, one at a time. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -140,7 +137,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     more = own.join(several, "doc_id").join(nodes.select("fp", "node"), "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
     if more.limit(1).count():
         groups = stored(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
-    labels = fps.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    many = labels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
-    return salted.join(many, ["fp", "salt"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labels = stored(fps.join(groups.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
+    discard(nodes)
+    discard(groups)
+    return looked_up(own, labels, "fp", "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
