@@ -79,22 +79,28 @@ FROM docs d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN found ON d.doc_
 
 _HOST = FOLDED.format(r"coalesce(regexp_extract({0}, '^(?s:.*?)://([^/?#]*)', 1), '')")
 _PATH = r"coalesce(regexp_extract({0}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
-_CANON = r"regexp_replace(" + _HOST + r", '^(www|m)\.', '') || regexp_replace(regexp_replace(" + _PATH + r", '\.html?$', ''), '/+$', '')"
+_NODE = _HOST + " || " + _PATH + r" || coalesce(regexp_extract({0}, '^(?s:.*?)://[^?#]*(\?[^#]*)', 1), '')"
+_ROOT = r"regexp_extract(url, '^((?s:.*?)://[^/?#]*)', 1)"
+_BESIDE = "CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END"
+_TAIL = r"regexp_extract(l, '^([^?#]*)', 1) || regexp_extract(l, '^[^?#]*(\?[^#]*)', 1)"
+#: A link resolved against its page; segments of dots, which the SQL leaves as they are, are tested by hand.
+_MEANT = rf"""CASE WHEN regexp_matches(l, '(?i)^[a-z][a-z0-9+.-]*://') THEN l WHEN regexp_matches(l, '(?i)^[a-z][a-z0-9+.-]*:') OR l = '' OR l LIKE '#%' THEN NULL
+  WHEN l LIKE '//%' THEN regexp_extract(url, '^((?s:.*?)):', 1) || ':' || l WHEN l LIKE '/%' THEN {_ROOT} || {_TAIL} WHEN l LIKE '?%' THEN {_ROOT} || path || {_TAIL} ELSE {_ROOT} || {_BESIDE} || {_TAIL} END"""
 _FITS = "(({h} = '{own}' OR ends_with({h}, '.{own}')) AND starts_with({p}, '{start}'))"
 _ORDERED = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
 _RULE = "CASE " + " ".join(f"WHEN {_FITS.format(h='host', p='path', own=o, start=s)} THEN '{v}|{o}{s}'" for v, o, s in _ORDERED) + " END"
 
 OP7 = rf"""
 WITH RECURSIVE p AS (
-  SELECT page_id, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path,
-    CASE WHEN url LIKE '%://%' THEN {_CANON.format('url')} END AS node,
-    [regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical["'']?[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-     regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh["'']?[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)] AS dst
+  SELECT page_id, url, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, CASE WHEN url LIKE '%://%' THEN {_NODE.format('url')} END AS node,
+    list_concat(
+      list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical["'']?[^>]*>'), lambda t: regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+      list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh["'']?[^>]*>'), lambda t: regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1))) AS ls
   FROM pages
 ),
 r AS (SELECT *, {_RULE} AS hit FROM p),
-e AS (SELECT node AS a, dst FROM (SELECT node, unnest(dst) AS dst FROM p WHERE node IS NOT NULL) WHERE dst LIKE '%://%'),
-f AS (SELECT a, {_CANON.format('dst')} AS b, {_HOST.format('dst')} AS host, {_PATH.format('dst')} AS path FROM e),
+e AS (SELECT node AS a, {_MEANT} AS dst FROM (SELECT node, url, path, unnest(ls) AS l FROM p WHERE node IS NOT NULL)),
+f AS (SELECT a, {_NODE.format('dst')} AS b, {_HOST.format('dst')} AS host, {_PATH.format('dst')} AS path FROM e WHERE dst LIKE '%://%'),
 pairs AS (SELECT a, b FROM f UNION SELECT b, a FROM f),
 bad(node) AS (
   SELECT node FROM r WHERE hit LIKE 'block|%' AND node IS NOT NULL

@@ -350,22 +350,64 @@ def test_cut_text():
 # URL filters
 
 
+PAGES = [
+    (1, "https://a.Example.ORG/es/1?x#y", None), (2, "http://x.org/", None), (3, "http://x.org", None), (4, "https://example.org/en/12", None), (5, "http://b.com/fr/1", None), (6, "http://b.com/de/1", None),
+    (7, "http://p.net/1", '<link rel="canonical" href="http://b.com/de/9">'), (8, "https://p.net/1#z", None), (9, "http://q.net/a", '<meta http-equiv="refresh" content="0; url=http://p.net/1">'), (10, "http://free.net/z", ""),
+    (11, None, None), (12, "no scheme", None), (13, "http://b.com/fr/2", "<link rel=canonical href=http://b.com/de/9>"), (1, "https://a.Example.ORG/es/1?x#y", None), (None, "http://free.net/z", None),
+    (20, "http://s.net/d/one", '<link rel="canonical" href="/x"><link rel="canonical" href="../two?q=1">'), (21, "http://s.net/two?q=1", '<link rel=canonical href="//example.org/es/7">'), (22, "http://s.net/two?q=2", None), (23, "http://s.net/x", None), (24, "http://s.net/d/three", '<link rel=canonical href=one>'),
+    (25, "http://t.net/a", '<link rel=canonical href="#top"><link rel=canonical href="mailto:x@b.com">'), (26, "http://www.p.net/1.html", None), (27, "http://u.net/a?x=1", '<link rel=canonical href="?x=2">'), (28, "http://u.net/a?x=2", "x" * 200_000 + '<link rel=canonical href="http://example.org/en/1">'),
+]
+
+
 def test_urls(spark):
-    rows = [
-        (1, "https://a.Example.ORG/es/1?x#y", None), (2, "http://x.org/", None), (3, "http://x.org", None), (4, "https://example.org/en/12", None), (5, "http://b.com/fr/1", None), (6, "http://b.com/de/1", None),
-        (7, "http://p.net/1", '<link rel="canonical" href="http://b.com/de/9">'), (8, "https://www.p.net/1.html?u=1", None), (9, "http://q.net/a", '<meta http-equiv="refresh" content="0; url=http://p.net/1/">'), (10, "http://free.net/z", ""),
-        (11, None, None), (12, "no scheme", None), (13, "http://b.com/fr/2", '<link rel=canonical href=http://b.com/de/9>'), (1, "https://a.Example.ORG/es/1?x#y", None), (None, "http://free.net/z", None),
-    ]
-    pages = spark.createDataFrame([(i, u, h, "x", 3) for i, u, h in rows], "page_id long, url string, html string, rule string, node int")
+    pages = spark.createDataFrame([(i, u, h, "x", 3) for i, u, h in PAGES], "page_id long, url string, html string, rule string, node int")
     got = {(x.page_id, x.host, x.path): (x.rule, x.verdict) for x in urls.judged(pages).collect()}
     assert got[1, "a.example.org", "/es/1"] == ("example.org/es/", "block") and got[2, "x.org", "/"] == ("org/", "allow")
     assert got[3, "x.org", ""] == (None, "allow") and got[4, "example.org", "/en/12"] == ("example.org/en/1", "block")
     assert got[5, "b.com", "/fr/1"][1] == "allow" and got[6, "b.com", "/de/1"] == ("com/de/", "block")
-    assert [got[k][1] for k in ((7, "p.net", "/1"), (8, "www.p.net", "/1.html"), (9, "q.net", "/a"), (10, "free.net", "/z"))] == ["block", "block", "block", "allow"]
+    assert [got[k][1] for k in ((7, "p.net", "/1"), (8, "p.net", "/1"), (9, "q.net", "/a"), (10, "free.net", "/z"))] == ["block", "block", "block", "allow"]
     assert got[11, "", ""] == got[12, "", ""] == (None, "allow") and got[13, "b.com", "/fr/2"] == ("com/fr/", "allow")
-    assert urls.judged(pages).count() == len(rows) and urls.judged(pages.where("false")).count() == 0
+    by_id = {k[0]: v[1] for k, v in got.items()}
+    assert [by_id[k] for k in (20, 21, 23, 24, 25, 26, 27, 28)] == ["block", "block", "block", "block", "allow", "allow", "block", "block"]
+    assert {x.verdict for x in urls.judged(pages).where("page_id = 22").collect()} == {"allow"}
+    assert {x.verdict for x in urls.judged(pages, loose=True).where("page_id in (22, 26)").collect()} == {"block"}
+    assert urls.judged(pages).count() == len(PAGES) and urls.judged(pages.where("false")).count() == 0
     more = spark.createDataFrame([("http://free.net/z", "http://other.net/"), ("http://other.net/", "http://example.org/es/5")], "src string, dst string")
     assert {x.verdict for x in urls.judged(pages, redirects=more).where("host = 'free.net'").collect()} == {"block"}
+    assert {x.verdict for x in urls.judged(pages, ()).collect()} == {"allow"}
+
+
+def test_links_resolve_as_a_browser_does(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h.net", "http://h.net/", "https://h.net/a/b?c", "http://h.net/a/b/"]
+    links = ["x", "./x", "../x", "../../x/./y", "/x/../y", "//o.net/z", "?q=1", "http://k.net/p?r", "x/..", "x?y=../z"]
+    rows = [(b, x) for b in bases for x in links]
+    got = [r.u for r in spark.createDataFrame(rows, "b string, l string").coalesce(1).select(urls.resolved(F.col("l"), F.col("b")).alias("u")).collect()]
+    assert got == [urljoin(b, x) for b, x in rows]
+
+
+def test_url_filters_against_sql(spark, tmp_path):
+    """The registered query and its SQL over pages whose links decide."""
+    import duckdb
+
+    from attestry.llm import queries
+
+    pages = spark.createDataFrame([(i, u, h) for i, u, h in PAGES if i not in (20,)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    key = lambda r: tuple(str(v) for v in r)
+    want = sorted(con.execute(queries.OP7).fetchall(), key=key)
+    assert sorted(map(tuple, queries.op7_url_filters(spark, str(tmp_path)).collect()), key=key) == want
+    assert sum(r[3] is None and r[4] == "block" for r in want) >= 5
+
+
+def test_many_rules(spark):
+    """Rules in a table: suffixes of hosts, the longest, ties."""
+    pages = spark.createDataFrame([(1, "http://a.b.c.net/x/y", None), (2, "http://zb.c.net/x", None), (3, "http://q.net/", None)], "page_id long, url string, html string")
+    rules = spark.createDataFrame([(0, "block", "c.net", "/"), (1, "allow", "b.c.net", "/x"), (2, "block", "b.c.net", "/x"), (3, "block", "b.c.net", "/x/y/z"), *[(10 + k, "block", f"h{k}.net", "/") for k in range(3000)]], "k long, verdict string, host string, path string")
+    assert {x.page_id: (x.rule, x.verdict) for x in urls.judged(pages, rules).collect()} == {1: ("b.c.net/x", "allow"), 2: ("c.net/", "block"), 3: (None, "allow")}
 
 
 # substrings
