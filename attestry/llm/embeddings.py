@@ -1,7 +1,13 @@
-"""Near-duplicate embeddings: Euclidean p-stable hashing in several tables, then exact cosine checks."""
+"""Near-duplicate embeddings: Euclidean p-stable hashing in several tables, then exact cosine checks.
+
+Bucket rows carry ids and 128 sign bits only. Pairs that share a bucket and differ in few sign bits make candidate
+components; each vector then travels once, to its component, where the cosines of all pairs are computed and links are
+counted. So no pair is listed, none is counted twice, and a link that shares no bucket is found if its component holds both.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,21 +16,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cells, verified
-from .common import column, mix, ship, stored
+from .common import column, discard, looked_up, mix, ship, stored
 from .components import components
 
 COSINE = 0.9
-#: Of a pair at cosine 0.9 (distance 0.447) one hash agrees with probability 0.857, a table with 0.025, one of 96 tables with
-#: 0.91; closer pairs agree more often. Of a pair of random directions a table agrees with 1e-6.
-TABLES, HASHES, WIDTH = 96, 24, 2.5
+WIDTH, LEAST_HASHES = 2.5, 12
+#: The chance that a pair at the threshold shares no bucket, at most.
+MISSED = 0.02
+#: Cost of a row in a bucket, in comparisons of two signatures.
+ROW = 150
+#: Sign bits that may differ. At cosine 0.9 it is 18.4 of 128 on average, with a deviation of 4.0; of random pairs 64.
+SIGNS, DIFFER = 128, 40
+
+
+def agreement(distance: float, width: float = WIDTH) -> float:
+    """The chance that one quantised projection of two vectors at a distance is the same."""
+    x = width / distance
+    return 1 - math.erfc(x / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * x) * (1 - math.exp(-x * x / 2))
+
+
+def sizes_for(n: int, cosine: float = COSINE) -> tuple[int, int]:
+    """Tables and hashes at which n vectors cost least, in bucket rows and comparisons by chance, with MISSED at the threshold.
+
+    23 tables of 12 hashes up to about 10**5 vectors; then the tables grow as the 0.27th power of n: 47 for 10**6, 157 for 10**8.
+    """
+    near, far = agreement(math.sqrt(2 - 2 * cosine)), agreement(math.sqrt(2))
+    tables = lambda k: math.ceil(math.log(MISSED) / math.log1p(-(near**k)))
+    k = min(range(LEAST_HASHES, 60), key=lambda k: tables(k) * (ROW + n * far**k))
+    return tables(k), k
 
 
 class Tables:
     """Quantised random projections of unit vectors; the same for every process."""
 
-    def __init__(self, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, seed: int = 7) -> None:
+    def __init__(self, tables: int, hashes: int, width: float = WIDTH, seed: int = 7) -> None:
         self.tables, self.hashes, self.width, self.seed, self.kept = tables, hashes, width, seed, {}
 
+    def signs(self, unit: np.ndarray) -> np.ndarray:
+        """The signs of SIGNS projections as two 64-bit numbers."""
+        d = unit.shape[1]
+        if -d not in self.kept:
+            self.kept[-d] = np.random.default_rng([self.seed + 1, d]).standard_normal((d, SIGNS))
+        return np.packbits(unit @ self.kept[-d] > 0, axis=1).view(np.int64)
+
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """One 64-bit bucket for each vector and table."""
         d = unit.shape[1]
@@ -55,11 +89,11 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     One row per input row. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor
     do vectors of different length. Equal vectors are one node with a weight, so exact copies are never paired. Rows with one
     vec_id are one vector, the least of theirs that is usable. A row without vec_id links with nothing and has a null
-    component. Other columns are not read. An empty table gives no rows.
+    component. Ids are integers; vectors of any length are compared whole. A pair exactly at the cosine is linked. Other
+    columns are not read. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
-    tables = tables or Tables()
     rows = vectors.select(column(vectors, vec_id, "long").alias("vec_id"), column(vectors, embedding, "array<double>").alias("e"))
     ok = F.col("vec_id").isNotNull() & (F.size("e") > 0) & ~F.exists("e", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("e", lambda c: c != 0)
     whole = stored(rows.where(F.coalesce(ok, F.lit(False))).withColumn("e", F.transform("e", lambda c: c + F.lit(0.0))).groupBy("vec_id").agg(F.min("e").alias("e")))
@@ -67,23 +101,36 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     name = F.struct(F.xxhash64("e").alias("x"), F.xxhash64(F.lit("y"), "e").alias("y"))
     named = whole.select("vec_id", name.alias("name"))
     nodes = stored(named.groupBy("name").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight")))
-    firsts = nodes.select(F.col("node").alias("vec_id"), "weight").join(whole, "vec_id")
+    firsts = nodes.select(F.col("node").alias("vec_id"), "weight").join(whole.hint("merge"), "vec_id").select(F.col("vec_id").alias("node"), "weight", "e")
+    tables = tables or Tables(*sizes_for(nodes.count(), cosine))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, weight = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for at, m in units(batch.column(2)):
+            node = batch.column(0).to_numpy()
+            for at, m in units(batch.column(1)):
                 for s in range(0, len(at), 512):
-                    k, own = tables.keys(m[s : s + 512]).view(np.int64), at[s : s + 512]
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(k.T.ravel()), pa.array(np.tile(node[own], tables.tables)), pa.array(np.tile(weight[own], tables.tables)), pa.array(np.repeat(np.arange(tables.tables, dtype=np.int32), n))], names=["key", "node", "weight", "t"])
+                    k, own, sign = tables.keys(m[s : s + 512]).view(np.int64), at[s : s + 512], tables.signs(m[s : s + 512])
+                    t = tables.tables
+                    yield pa.RecordBatch.from_arrays([pa.array(k.T.ravel()), pa.array(np.tile(node[own], t)), pa.array(np.tile(sign[:, 0], t)), pa.array(np.tile(sign[:, 1], t))], names=["key", "node", "s0", "s1"])
+
+    hashed = stored(firsts.select("node", "e").mapInArrow(keyed, "key long, node long, s0 long, s1 long"))
 
-    # only vectors that share a bucket travel with their components
-    hashed = stored(firsts.select("vec_id", "weight", "e").mapInArrow(keyed, "key long, node long, weight long, t int"))
-    sizes = stored(hashed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = hashed.join(sizes.select("key"), "key", "left_semi")
-    unit = firsts.select(F.col("vec_id").alias("node"), "e")
-    dealt = cells(shared.join(unit, "node"))
+    def far(rows: dict, i, j) -> np.ndarray:
+        s0, s1 = rows["s0"].view(np.uint64), rows["s1"].view(np.uint64)
+        return np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j])
+
+    def alike(rows: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return far(rows, i, j) <= DIFFER
+
+    def all_alike(rows: dict, i0: int, i1: int, j0: int, j1: int) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.nonzero(far(rows, np.arange(i0, i1)[:, None], np.arange(j0, j1)[None]) <= DIFFER)
+        return i + i0, j + j0
+
+    met = verified(cells(hashed), ["s0", "s1"], alike, all_alike, lambda rows, i, j: np.zeros(len(i), bool))
+    groups = stored(components(met.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    discard(hashed)
+    roots = groups.select(F.col("component").alias("node"), "component").distinct()
+    wanted = groups.union(roots).select("node", F.col("component").alias("key"))
 
     def vector_rows(rows: dict) -> np.ndarray:
         if "m" not in rows:
@@ -99,24 +146,14 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         i, j = np.nonzero(m[i0:i1] @ m[j0:j1].T >= cosine)
         return i + i0, j + j0
 
-    def new(rows: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        if "k" not in rows:
-            m, d = vector_rows(rows), rows["v_size"] // 8
-            rows["k"] = np.zeros((len(m), tables.tables), np.uint64)
-            for n in np.unique(d):
-                rows["k"][d == n] = tables.keys(m[d == n, :n])
-        out = np.ones(len(i), bool)
-        for s in range(0, len(i), 1 << 14):
-            a, b = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-            same = rows["k"][a] == rows["k"][b]
-            out[s : s + (1 << 14)] = same.argmax(1) == rows["t"][a]
-        return out
-
-    return _told(rows, named, nodes, verified(packed(dealt), ["t", "weight", "v"], pairs, dense, new))
+    dealt = packed(cells(firsts.join(wanted.hint("merge"), "node").select("key", "node", "weight", "e")))
+    found = stored(verified(dealt, ["weight", "v"], pairs, dense, lambda rows, i, j: np.ones(len(i), bool)))
+    discard(groups)
+    return _told(rows, named, nodes, found)
 
 
 def packed(dealt: DataFrame) -> DataFrame:
-    """The components as bytes of unit vectors; all vectors of a bucket have one length, which its key depends on."""
+    """The components as bytes of unit vectors; all vectors of a candidate component have one length, on which keys depend."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,16 +161,17 @@ def packed(dealt: DataFrame) -> DataFrame:
                 own = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array([x.tobytes() for x in m], pa.binary())], names=[*names, "v"])
 
-    names = ["key", "cell_a", "cell_b", "block", "node", "t", "weight"]
-    return dealt.select(*names, "e").mapInArrow(run, "key long, cell_a int, cell_b int, block int, node long, t int, weight long, v binary")
+    names = ["key", "cell_a", "cell_b", "block", "node", "weight"]
+    return dealt.select(*names, "e").mapInArrow(run, "key long, cell_a int, cell_b int, block int, node long, weight long, v binary")
 
 
 def _told(rows: DataFrame, named: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Links and components of the nodes, given to every row."""
-    found = stored(found)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = stored(components(found.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-    full = stored(nodes.join(links, "node", "left").join(groups, "node", "left").select("name", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
-    given = named.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int")).join(full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["name", "salt"]).select("vec_id", "n_links", "component_id")
-    out = rows.select("vec_id").join(given, "vec_id", "left")
+    full = stored(nodes.join(links.hint("merge"), "node", "left").join(groups.hint("merge"), "node", "left").select("name", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")))
+    for x in (found, groups, nodes):
+        discard(x)
+    given = looked_up(named, full, "name", "vec_id").select("vec_id", "n_links", "component_id")
+    out = rows.select("vec_id").join(given.hint("merge"), "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

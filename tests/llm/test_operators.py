@@ -563,5 +563,30 @@ def test_recall_at_the_threshold():
     b -= (b * a).sum(1)[:, None] * a
     b /= np.linalg.norm(b, axis=1)[:, None]
     c = r.uniform(0.9, 0.92, 1500)[:, None]
-    t = embeddings.Tables()
+    t = embeddings.Tables(*embeddings.sizes_for(1500))
     assert (t.keys(a) == t.keys(c * a + np.sqrt(1 - c * c) * b)).any(1).mean() >= 0.9
+    x, y = t.signs(a).view(np.uint64), t.signs(c * a + np.sqrt(1 - c * c) * b).view(np.uint64)
+    assert (np.bitwise_count(x ^ y).sum(1) <= embeddings.DIFFER).all()
+
+
+def test_collision_chances():
+    assert abs(embeddings.agreement(np.sqrt(0.2)) - 0.857) < 0.001 and abs(embeddings.agreement(np.sqrt(2)) - 0.566) < 0.002
+    assert embeddings.sizes_for(10_000) == embeddings.sizes_for(50_000) and embeddings.sizes_for(10**9)[0] < 400
+
+
+def test_clusters_of_vectors_by_brute_force(spark):
+    """Links above and about the threshold: several clusters of different width, and chains."""
+    r = np.random.default_rng(11)
+    rows, k = [], 0
+    for width in (0.02, 0.05, 0.08, 0.11, 0.14):
+        for _ in range(6):
+            center = r.normal(size=32)
+            center /= np.linalg.norm(center)
+            for _ in range(r.integers(2, 40)):
+                rows.append((k, (center + width * r.normal(size=32)).tolist()))
+                k += 1
+    want = brute_links(rows)
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    links = sum(n for n, _ in want.values())
+    assert links > 500 and sum(n for n, _ in got.values()) >= 0.97 * links and all(got[i][0] <= want[i][0] for i in want)
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
