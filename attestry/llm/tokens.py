@@ -15,57 +15,80 @@ from .tokenizer import default_path, word_ids
 
 #: The end-of-document id of the default tokenizer; no text has it, as special tokens in a text are ordinary text.
 SEPARATOR = 49407
-BLOCK = 1 << 18
+#: Tokens of a block, and bytes of a file that write_flat begins a new file after.
+BLOCK, FILE_BYTES = 1 << 18, 16 << 20
 #: Texts that are held as objects at a time.
 ROWS = 256
 
 
-def write_flat(docs: DataFrame, path: str, text: str = "text", tokenizer: str | None = None, separator: int = SEPARATOR) -> None:
-    """Flat files of little-endian unsigned 16-bit ids: the ids of each text, then the separator, one file per partition.
+def token_width(tokenizer: str | None = None, separator: int = SEPARATOR) -> int:
+    """Bytes of an id: two where every id of the tokenizer and the separator fit, else four."""
+    from tokenizers import Tokenizer
 
-    The text writer puts the bytes of each row and of its line separator into a file, whatever they are.
+    most = max(Tokenizer.from_file(tokenizer or default_path()).get_vocab_size(with_added_tokens=True) - 1, separator)
+    return 2 if most < 1 << 16 else 4
+
+
+def write_flat(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, separator: int = SEPARATOR, file_bytes: int = FILE_BYTES) -> None:
+    """Flat files of little-endian unsigned ids of token_width() bytes, the ids of each text and then the separator, under
+    path/kind=flat/chunk=n/, and beside each the doc_ids of its documents, under path/kind=ids/chunk=n/ by the same name.
+
+    One task writes both in one commit, so a task that runs again, in whatever order its rows then come, writes ids that go with
+    its tokens. The text writer puts the bytes of each row and of its line separator into a file, whatever they are. A file
+    ends with the batch of rows that takes it over file_bytes.
     """
     ship(docs.sparkSession)
-    where = tokenizer or default_path()
+    where, width = tokenizer or default_path(), token_width(tokenizer, separator)
+    end = separator.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(where)
+        chunk = size = ordinal = n = 0
         for batch in batches:
+            keys = batch.column(0).to_pylist()
             for i in range(0, batch.num_rows, ROWS):
-                flat = [np.frombuffer(ids.text(x), "<u4").astype("<u2").tobytes() for x in binaries(batch.slice(i, ROWS), 0)]
-                yield pa.RecordBatch.from_arrays([pa.array(flat, pa.binary())], names=["value"])
+                flat = [np.frombuffer(ids.text(x), "<u4").astype(f"<u{width}").tobytes() for x in binaries(batch.slice(i, ROWS), 1)]
+                if size >= file_bytes:
+                    chunk, size, ordinal = chunk + 1, 0, 0
+                told = f"{ordinal}:" + ",".join("" if k is None else str(k) for k in keys[i : i + ROWS])
+                value = [end.join(flat), told.encode()]
+                yield pa.RecordBatch.from_arrays([pa.array(value, pa.binary()), pa.array(["flat", "ids"]), pa.array([chunk] * 2, pa.int32()), pa.array([n] * 2, pa.int64())], names=["value", "kind", "chunk", "n"])
+                n, ordinal, size = n + 1, ordinal + len(flat), size + len(value[0])
 
-    own = docs.select(column(docs, text, "string").alias("text")).mapInArrow(run, "value binary")
-    line = separator.to_bytes(2, "little").decode("latin-1")
-    own.select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", line).text(path)
+    own = docs.select(column(docs, doc_id, "long").alias("doc_id"), column(docs, text, "string").alias("text")).mapInArrow(run, "value binary, kind string, chunk int, n long")
+    ordered = own.select(F.col("value").cast("string").alias("value"), "kind", "chunk", "n").sortWithinPartitions("kind", "chunk", "n").select("value", "kind", "chunk")
+    ordered.write.partitionBy("kind", "chunk").option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("maxRecordsPerFile", 0).text(path)
 
 
-def token_counts(spark: SparkSession, path: str, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
+def token_counts(spark: SparkSession, path: str, separator: int = SEPARATOR, block: int = BLOCK, width: int = 2) -> DataFrame:
     """Documents of flat token files: file, ordinal, start (tokens before it), n_tokens (without the separator).
 
     Each file is cut into blocks, and each block is scanned on its own for separators: its tokens before the first, between
     two, and after the last. A prefix scan over a file's blocks carries the open document on, over blocks without a
     separator too. A last document that no separator ends counts if it has a token; a document without tokens counts
-    as 0. Empty files and folders without files give no rows. An odd last byte is not a token.
+    as 0. Empty files and folders without files give no rows. Bytes at the end that make no whole token are not one. A file
+    is read by one task, so it may have up to 2 GB; write_flat keeps its own far below.
     """
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content").where(F.length("content") > 1)
-    cut = F.transform(F.sequence(F.lit(0), F.length("content") - 1, F.lit(2 * block)), lambda at: F.struct((at / (2 * block)).cast("int").alias("block"), F.substring("content", at + 1, F.lit(2 * block)).alias("bytes")))
+    cut = F.transform(F.sequence(F.lit(0), F.length("content") - 1, F.lit(width * block)), lambda at: F.struct((at / (width * block)).cast("int").alias("block"), F.substring("content", at + 1, F.lit(width * block)).alias("bytes")))
     blocks = files.select("path", F.explode(cut).alias("b")).select("path", "b.block", "b.bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, head, tail, inner = [], [], [], []
+            size, head, tail, begin, inner = [], [], [], [], []
             for x in batch.column(2).to_pylist():
-                a = np.frombuffer(x, "<u2", len(x) // 2)
+                a = np.frombuffer(x, f"<u{width}", len(x) // width)
                 at = np.flatnonzero(a == separator)
                 size.append(len(a))
                 head.append(int(at[0]) if len(at) else None)
                 tail.append(len(a) - 1 - int(at[-1]) if len(at) else len(a))
+                begin.append(at[:-1] + 1)
                 inner.append(np.diff(at) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(head, pa.int64()), pa.array(tail, pa.int64()), pa.array(inner, pa.list_(pa.int64()))], names=["path", "block", "size", "head", "tail", "inner"])
+            wide = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(head, pa.int64()), pa.array(tail, pa.int64()), pa.array(begin, wide), pa.array(inner, wide)], names=["path", "block", "size", "head", "tail", "begin", "inner"])
 
-    seen = blocks.mapInArrow(run, "path string, block int, size long, head long, tail long, inner array<long>")
+    seen = blocks.mapInArrow(run, "path string, block int, size long, head long, tail long, begin array<long>, inner array<long>")
     order = Window.partitionBy("path").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
@@ -80,28 +103,35 @@ def token_counts(spark: SparkSession, path: str, separator: int = SEPARATOR, blo
     carried = scan.withColumn("passed", F.coalesce(F.sum(F.when(F.col("head").isNull(), F.col("size"))).over(same), zero))
     last_tail = F.last(F.when(F.col("head").isNotNull(), F.col("tail")), ignorenulls=True).over(before)
     carried = carried.withColumn("carry", F.coalesce(last_tail, zero) + F.col("passed"))
-    lengths = F.concat(
-        F.when(F.col("head").isNotNull(), F.concat(F.array(F.col("head") + F.col("carry")), F.col("inner"))).otherwise(F.array().cast("array<long>")),
-        F.when(F.col("final") & F.col("head").isNull() & (F.col("carry") + F.col("size") > 0), F.array(F.col("carry") + F.col("size")))
-        .when(F.col("final") & F.col("head").isNotNull() & (F.col("tail") > 0), F.array("tail"))
-        .otherwise(F.array().cast("array<long>")),
-    )
-    first = F.col("offset") - F.col("carry")
-    rows = carried.select(F.col("path").alias("file"), "ended", first.alias("first"), F.posexplode(lengths).alias("k", "n_tokens"), lengths.alias("all"))
-    start = F.col("first") + F.aggregate(F.slice("all", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x + 1)
-    return rows.select("file", (F.col("ended") + F.col("k")).alias("ordinal"), start.alias("start"), "n_tokens")
-
-
-def document_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, file, ordinal, start: every document's tokens, counted in flat files that are written first.
-
-    Null and empty texts have no tokens. Partition n of the table is file n, and its rows are the file's documents in order,
-    which gives a document its doc_id; repeated rows and rows without doc_id count for themselves.
+    pair = lambda start, n: F.struct(start.alias("start"), n.alias("n_tokens"))
+    none = F.array().cast("array<struct<start:bigint,n_tokens:bigint>>")
+    headed = F.col("head").isNotNull()
+    first = F.array(pair(F.col("offset") - F.col("carry"), F.col("head") + F.col("carry")))
+    middle = F.zip_with("begin", "inner", lambda b, n: pair(F.col("offset") + b, n))
+    rest = F.when(F.col("final") & ~headed & (F.col("carry") + F.col("size") > 0), F.array(pair(F.col("offset") - F.col("carry"), F.col("carry") + F.col("size"))))
+    rest = rest.when(F.col("final") & headed & (F.col("tail") > 0), F.array(pair(F.col("offset") + F.col("size") - F.col("tail"), F.col("tail")))).otherwise(none)
+    rows = carried.select(F.col("path").alias("file"), "ended", F.posexplode(F.concat(F.when(headed, F.concat(first, middle)).otherwise(none), rest)).alias("k", "d"))
+    return rows.select("file", (F.col("ended") + F.col("k")).alias("ordinal"), "d.start", "d.n_tokens")
+
+
+def document_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, separator: int = SEPARATOR, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """doc_id, n_tokens, file, chunk, ordinal, start: every document's tokens, counted in flat files that are written first.
+
+    Null and empty texts have no tokens; very long texts are tokenised whole. The files' own lists of doc_ids tell whose tokens
+    are whose; repeated rows and rows without doc_id count for themselves. Ids are integers. Other columns are not read. An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
-    write_flat(docs, path, text, tokenizer)
-    counts = token_counts(spark, f"{path}/part-*").withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
-    at = F.monotonically_increasing_id()
-    own = docs.select(column(docs, doc_id, "long").alias("doc_id"), at.alias("at")).select("doc_id", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"))
-    return own.join(counts, ["part", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.col("part").alias("file"), "ordinal", "start")
+    write_flat(docs, path, text, doc_id, tokenizer, separator, file_bytes)
+    width = token_width(tokenizer, separator)
+    place = lambda name: (F.regexp_extract(name, r"part-(\d+)", 1).cast("int").alias("file"), F.regexp_extract(name, r"chunk=(\d+)", 1).cast("int").alias("chunk"))
+    if not docs.limit(1).count():
+        return spark.createDataFrame([], "doc_id long, n_tokens long, file int, chunk int, ordinal long, start long")
+    counts = token_counts(spark, f"{path}/kind=flat/chunk=*/part-*", separator, width=width).select(*place(F.col("file")), "ordinal", "start", "n_tokens")
+    lines = spark.read.option("lineSep", separator.to_bytes(width, "little").decode("latin-1")).option("encoding", "ISO-8859-1").text(f"{path}/kind=ids/chunk=*/part-*")
+    told = lines.select("value", *place(F.col("_metadata.file_path")))
+    head = F.split("value", ":")
+    own = told.select("file", "chunk", head[0].cast("long").alias("first"), F.posexplode(F.split(head[1], ",", -1)).alias("k", "id"))
+    own = own.select("file", "chunk", (F.col("first") + F.col("k")).alias("ordinal"), F.nullif("id", F.lit("")).cast("long").alias("doc_id"))
+    return own.join(counts, ["file", "chunk", "ordinal"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "file", "chunk", "ordinal", "start")

@@ -97,6 +97,29 @@ def test_tokens(spark, hard, empty):
     assert tokens.document_tokens(empty).count() == 0
 
 
+@pytest.mark.parametrize("dealt", ["shuffled", "sorted", "one file", "small files"])
+def test_tokens_of_any_partitioning(spark, hard, dealt):
+    """The ids beside a file go with its tokens, however the rows came there."""
+    ids = whole_ids()
+    df = {"shuffled": hard.repartition(7, "lang", "text"), "sorted": hard.orderBy(F.desc("text")), "one file": hard.coalesce(1), "small files": hard.union(hard).repartition(2)}[dealt]
+    rows = tokens.document_tokens(df, file_bytes=2000 if dealt == "small files" else 1 << 20).collect()
+    want = sorted((i if i is not None else -1, len(ids(t))) for i, t, _ in hard_rows())
+    assert sorted((x.doc_id if x.doc_id is not None else -1, x.n_tokens) for x in rows) == (sorted(want * 2) if dealt == "small files" else want)
+
+
+def test_one_token_documents(spark):
+    docs = spark.createDataFrame([(k, "a" if k % 3 else "") for k in range(30_000)], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.n_tokens for x in tokens.document_tokens(docs).collect()}
+    assert got == {k: int(k % 3 > 0) for k in range(30_000)}
+
+
+def test_wide_ids(spark, hard, monkeypatch):
+    """A vocabulary beyond 16 bits is written with 32."""
+    ids = whole_ids()
+    got = sorted((x.doc_id if x.doc_id is not None else -1, x.n_tokens) for x in tokens.document_tokens(hard, separator=70_000).collect())
+    assert tokens.token_width(None, 70_000) == 4 and got == sorted((i if i is not None else -1, len(ids(t))) for i, t, _ in hard_rows())
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
 def test_blocks_are_stitched(spark, tmp_path, block):
     r = random.Random(block)
