@@ -7,8 +7,10 @@ remembers the interval of words on which its existence depends. A window of 50 w
 (then the least hash, then the leftmost) whose interval lies inside it, which is the same in every equal window. Consecutive
 windows with one such anchor form a stretch: one row for about 15 windows.
 
-Stretches whose anchor occurs in one document only hold no repeat. Equal stretches of several documents are settled at once.
-Where stretches with one anchor differ, their windows are compared one by one, for one stretch of each kind.
+Spark steps then work on the anchors. Stretches whose anchor occurs in one document only hold no repeat. Equal stretches of
+several documents are settled at once. Where stretches with one anchor differ, their windows are compared one by one, for one
+stretch of each kind. What is equal is decided by a digest of the words themselves, by another function than that of the
+names, so two names that collide remove nothing.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, binaries, column, discard, mix, ship, steps, stored, word_hashes
+from .common import WORDS, among, binaries, column, discard, mix, ship, steps, stored, word_hashes
 
 WINDOW = 50
 ROUNDS, LONGEST = 3, 8
@@ -103,7 +106,7 @@ class Symbols:
 
 
 def stretches(h: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """doc, start, windows, anchor and content (both hashes) of every stretch of windows with one anchor.
+    """doc, start (in all words), windows and anchor (a hash) of every stretch of windows with one anchor.
 
     h are the word hashes of documents that begin at first (with the end as last entry). A window without an anchor is a
     stretch of its own, under its own hash.
@@ -113,7 +116,7 @@ def stretches(h: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[n
     doc = np.repeat(np.arange(len(size)), n_win)
     empty = np.zeros(0, np.int64)
     if not len(doc):
-        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+        return empty, empty, empty, empty.view(np.uint64)
     s = np.arange(len(doc)) - np.repeat(np.cumsum(n_win) - n_win, n_win) + first[:-1][doc]
     sym = Symbols(h, first)
     rank = mix(sym.name) >> np.uint64(4) | (np.uint64(15) - np.minimum(sym.end - sym.start, 15).astype(np.uint64)) << np.uint64(60)
@@ -141,18 +144,32 @@ def stretches(h: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[n
     start, own = s[at], anchor[at]
     prefix = WORDS.prefix(h)
     lo, hi = np.where(own < 0, start, sym.lo[own]), np.where(own < 0, start + window, sym.hi[own])
-    key = WORDS.spans(prefix, lo, hi)
-    content = mix(WORDS.spans(prefix, start, start + count + window - 1) + count.astype(np.uint64))
-    return doc[at], start - first[:-1][doc[at]], count, key, content
+    return doc[at], start, count, WORDS.spans(prefix, lo, hi)
+
+
+class Words:
+    """The words of some texts, one blank between two: their hashes, where each text's begin, and digests of their runs."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        own = [b" ".join(x.split()) for x in texts]
+        self.h, self.first = word_hashes(own)
+        self.flat = b" ".join(x for x in own if x)
+        gap = np.flatnonzero(np.frombuffer(self.flat, np.uint8) == 32) if self.flat else np.zeros(0, np.int64)
+        self.begin, self.end = np.append(0, gap + 1), np.append(gap, len(self.flat))
+
+    def digests(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """64-bit digests of runs of words, as signed numbers."""
+        digest, flat = xxhash.xxh3_64_intdigest, memoryview(self.flat)
+        return np.array([digest(flat[a:b]) for a, b in zip(self.begin[start].tolist(), self.end[start + count - 1].tolist(), strict=True)], np.uint64).view(np.int64)
 
 
 def _mark(text: bytes) -> int:
     """Tells apart texts under one doc_id."""
-    return zlib.crc32(text) >> 7
+    return xxhash.xxh3_64_intdigest(text, 5) >> 1
 
 
-def _pos(mark: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (mark.astype(np.int64) << 38) | (start.astype(np.int64) << 6) | count.astype(np.int64)
+def _pos(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << 6) | count.astype(np.int64)
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -160,63 +177,63 @@ def _scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, ids = binaries(batch, 1), batch.column(0).to_numpy()
             for i, j in steps(texts):
-                part = texts[i:j]
-                doc, start, count, key, content = stretches(*word_hashes(part))
+                part = Words(texts[i:j])
+                doc, start, count, key = stretches(part.h, part.first)
                 if len(doc):
-                    mark = np.array([_mark(x) for x in part], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[i:j][doc]), pa.array(_pos(mark[doc], start, count))], names=["k", "e", "doc", "pos"])
+                    mark = np.array([_mark(x) for x in texts[i:j]], np.int64)
+                    e = part.digests(start, count + WINDOW - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(e), pa.array(ids[i:j][doc]), pa.array(mark[doc]), pa.array(_pos(start - part.first[:-1][doc], count))], names=["k", "e", "doc", "m", "pos"])
 
-    return docs.mapInArrow(run, "k long, e long, doc long, pos long")
+    return docs.mapInArrow(run, "k long, e long, doc long, m long, pos long")
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """k, w, doc, pos of every window of the listed stretches (k, pos) of each text."""
+    """k, w (a digest), doc, m, pos of every window of the listed stretches (k, m, pos) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [zlib.decompress(x) for x in batch.column(1).to_pylist()]
             ids, lists = batch.column(0).to_numpy(), batch.column(2).to_pylist()
             for i, j in steps(texts):
-                h, first = word_hashes(texts[i:j])
-                prefix = WORDS.prefix(h)
+                part = Words(texts[i:j])
                 out = []
                 for r in range(i, j):
                     mark = _mark(texts[r])
-                    own = [(x["k"], x["pos"]) for x in lists[r] if x["pos"] >> 38 == mark]
+                    own = [(x["k"], x["pos"]) for x in lists[r] if x["m"] == mark]
                     if own:
                         k, pos = np.array(own, np.int64).T
                         n = pos & 63
-                        off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        s = np.repeat((pos >> 6) & 0xFFFFFFFF, n) + off
-                        w = WORDS.spans(prefix, s + first[r - i], s + first[r - i] + WINDOW)
-                        out.append((np.repeat(k, n), w.view(np.int64), np.full(len(s), ids[r]), (np.int64(mark) << 38) | s << 6 | 1))
+                        s = np.repeat(pos >> 6, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        out.append((np.repeat(k, n), part.digests(s + part.first[r - i], np.full(len(s), WINDOW)), np.full(len(s), ids[r]), np.full(len(s), mark), s << 6 | 1))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["k", "w", "doc", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["k", "w", "doc", "m", "pos"])
 
-    return rows.mapInArrow(run, "k long, w long, doc long, pos long")
+    return rows.mapInArrow(run, "k long, w long, doc long, m long, pos long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc and pos of stretches whose windows all start in a document with a smaller id; docs has doc_id and text."""
+    """doc, m and pos of stretches whose windows all start in a document with a smaller id; docs has doc_id and text."""
     rows = stored(_scan(docs.where("doc_id is not null")))
     keys = rows.groupBy("k").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("k")
-    shared = stored(rows.join(stored(keys), "k", "left_semi"))
+    shared = stored(rows.join(keys.hint("merge"), "k", "left_semi"))
     discard(rows)
-    kinds = stored(shared.groupBy("k", "e").agg(F.min(F.struct("doc", "pos")).alias("f")).select("k", "e", F.col("f.doc").alias("d"), F.col("f.pos").alias("p")))
-    both = shared.join(kinds, ["k", "e"])
-    whole = both.where("doc > d").select("doc", "pos")
-    several = stored(kinds.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
-    open_ = kinds.join(several, "k", "left_semi")
-    listed = open_.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("k", F.col("p").alias("pos"))).alias("own"))
-    each = stored(_windows(_squeezed(docs).join(listed, "doc_id").select("doc_id", "z", "own")))
+    kinds = stored(shared.groupBy("k", "e").agg(F.min(F.struct("doc", "m", "pos")).alias("f")).select("k", "e", F.col("f.doc").alias("d"), F.col("f.m").alias("dm"), F.col("f.pos").alias("p")))
+    whole = shared.join(kinds, ["k", "e"]).where("doc > d").select("doc", "m", "pos")
+    several = kinds.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    open_ = stored(kinds.join(several.hint("merge"), "k", "left_semi"))
+    listed = stored(open_.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("k", F.col("dm").alias("m"), F.col("p").alias("pos"))).alias("own")))
+    inside, _ = among(docs, listed.select("doc_id"), "doc_id")
+    each = stored(_windows(_squeezed(inside).join(listed.hint("merge"), "doc_id").select("doc_id", "z", "own")))
+    discard(listed)
     least = stored(each.groupBy("k", "w").agg(F.min("doc").alias("d"), F.max("doc").alias("y")).where("d < y").select("k", "w", "d"))
-    single = stored(each.join(least, ["k", "w"]).where("doc > d").select("k", "doc", "pos"))
+    single = stored(each.join(least.hint("merge"), ["k", "w"]).where("doc > d").select("k", "doc", "m", "pos"))
     discard(each)
+    discard(least)
     # a stretch that occurs again in its first document has the same windows there
-    again = shared.join(open_, ["k", "e"]).where("doc = d and pos <> p").select("k", "doc", F.col("pos").alias("q"), "p")
-    moved = again.join(single, ["k", "doc"]).where("(pos >> 38) = (p >> 38) and ((pos >> 6) & 4294967295L) between ((p >> 6) & 4294967295L) and ((p >> 6) & 4294967295L) + (p & 63) - 1")
-    shifted = moved.select("doc", ((F.col("q").bitwiseAND(F.lit(-1 << 38))) + F.expr("((((q >> 6) & 4294967295L) + ((pos >> 6) & 4294967295L) - ((p >> 6) & 4294967295L)) << 6) | 1L")).alias("pos"))
-    return whole.union(single.select("doc", "pos")).union(shifted)
+    again = shared.join(open_, ["k", "e"]).where("doc = d and (pos <> p or m <> dm)").select("k", "doc", F.col("m").alias("qm"), F.col("pos").alias("q"), "dm", "p")
+    moved = again.join(single.hint("merge"), ["k", "doc"]).where("m = dm and shiftright(pos, 6) between shiftright(p, 6) and shiftright(p, 6) + (p & 63) - 1")
+    shifted = moved.select("doc", F.col("qm").alias("m"), F.expr("shiftleft(shiftright(q, 6) + shiftright(pos, 6) - shiftright(p, 6), 6) | 1L").alias("pos"))
+    return whole.union(single.select("doc", "m", "pos")).union(shifted)
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
@@ -230,14 +247,13 @@ def _squeezed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
 
 
-def keep_mask(text: bytes, n: int, positions: list[int]) -> np.ndarray:
-    """Which of the n words of a text stay, given the stretches to remove."""
+def keep_mask(text: bytes, n: int, stretches_: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the n words of a text stay, given the stretches (m, pos) to remove."""
     step = np.zeros(n + 1, np.int64)
-    pos = np.array(positions, np.int64)
-    pos = pos[pos >> 38 == _mark(text)]
-    start = (pos >> 6) & 0xFFFFFFFF
-    np.add.at(step, start, 1)
-    np.add.at(step, start + (pos & 63) + WINDOW - 1, -1)
+    mark = _mark(text)
+    pos = np.array([p for m, p in stretches_ if m == mark], np.int64)
+    np.add.at(step, pos >> 6, 1)
+    np.add.at(step, (pos >> 6) + (pos & 63) + WINDOW - 1, -1)
     return np.cumsum(step[:-1]) == 0
 
 
@@ -245,29 +261,36 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """doc_id, text (kept words joined by one space), n_words, n_removed.
 
     A word goes if it is covered by a window of 50 words of its document whose words also start in a document with a smaller
-    doc_id; windows are judged on the input. Null and empty texts have no words. Texts of fewer than 50 words stay. Rows that
-    share a doc_id are not earlier than each other, so repeated rows stay as they are. A row without doc_id stays whole and
-    no other row is compared with it. Other columns are not read. An empty table gives no rows.
+    doc_id; windows are judged on the input. Null and empty texts have no words. Texts of fewer than 50 words stay; very long
+    ones are searched whole. Rows that share a doc_id are not earlier than each other, so repeated rows stay as they are, and
+    several texts under one doc_id are told apart by 63 bits of a digest. A row without doc_id stays whole and no other row is
+    compared with it. Ids are integers. Other columns are not read. An empty table gives no rows. Only texts that may lose a
+    word are moved.
     """
     ship(docs.sparkSession)
     own = docs.select(column(docs, doc_id, "long").alias("doc_id"), column(docs, text, "string").alias("text"))
-    gone = stored(repeats(own).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("pos").alias("gone")))
+    gone = stored(repeats(own).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("m", "pos")).alias("gone")))
+    inside, outside = among(own, gone.select("doc_id"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
             out, n_words, n_removed = [], [], []
-            for z, positions in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x = zlib.decompress(z)
+            for x, own_ in zip(binaries(batch, 1), lists, strict=True):
+                x = zlib.decompress(x) if batch.num_columns > 2 else x
                 words = x.split()
                 kept = words
-                if positions and len(words) >= WINDOW:
-                    kept = [w for w, k in zip(words, keep_mask(x, len(words), positions).tolist(), strict=True) if k]
+                if own_ and len(words) >= WINDOW:
+                    mask = keep_mask(x, len(words), [(g["m"], g["pos"]) for g in own_])
+                    kept = [w for w, k in zip(words, mask.tolist(), strict=True) if k]
                 out.append(b" ".join(kept).decode("utf-8", "replace"))
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
-    return _squeezed(own).join(gone, "doc_id", "left").select("doc_id", "z", "gone").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
+    shape = "doc_id long, text string, n_words long, n_removed long"
+    cut = _squeezed(inside).join(gone.hint("merge"), "doc_id", "left").select("doc_id", "z", "gone").mapInArrow(run, shape)
+    return cut.union(outside.select("doc_id", "text").mapInArrow(run, shape))
 
 
 def digests(docs: DataFrame, **names: str) -> DataFrame:

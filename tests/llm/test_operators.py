@@ -480,6 +480,27 @@ def test_substrings(spark, seed):
     assert got == brute_kept([(i, t) for i, t, _ in rows]) and sum(x[2] for x in got) > 500
 
 
+def test_names_that_collide_remove_nothing(spark, monkeypatch):
+    """Digests of the words decide, whatever the names of symbols and anchors are."""
+    real = substrings.stretches
+    monkeypatch.setattr(substrings, "stretches", lambda h, first: (*(x := real(h, first))[:3], x[3] * 0 + 7))
+    rows = [(k, t, "en") for k, t in enumerate([" ".join(f"w{(7 * k + j) % 90}" for j in range(120)) for k in range(8)])]
+    r = random.Random(3)
+    part = " ".join(f"p{r.randrange(30)}" for _ in range(70))
+    rows += [(50, part + " x", "en"), (51, "y " + part, "de")]
+    own = frame(spark, rows).select("doc_id", "text").coalesce(1)
+    got = sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substrings.digests(own).collect())
+    assert got == brute_kept([(i, t) for i, t, _ in rows])
+
+
+def test_two_texts_under_one_id(spark):
+    part = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, part), (2, "a " + part), (2, part + " b " + part), (3, "c"), (2, "a " + part)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substrings.digests(df).collect())
+    assert got == brute_kept(rows)
+
+
 def test_no_substrings(empty):
     assert substrings.digests(empty).count() == 0
 
