@@ -17,8 +17,9 @@ from .common import binaries, column, discard, looked_up, mix, ship, steps, stor
 from .components import components
 
 SHINGLE, SEED, BITS = 4, 42, 4
-#: Cost of a row in a grid, in comparisons of two fingerprints.
-ROW = 150
+#: Cost of a row in a grid, in comparisons of two fingerprints; bands at least, so that tables of up to some million
+#: fingerprints have the same number of rows for each.
+ROW, LEAST_BANDS = 150, 6
 _ODD = np.uint64(0x5555555555555555)
 
 
@@ -70,7 +71,7 @@ def bands_for(n: int, bits: int = BITS) -> int:
     With b bands at most `bits` of them differ, so b - bits agree in full: no link is lost at any number of bands. Two random
     two-bit segments have equal counts in 3 of 8 cases. It is 15 grids for a million fingerprints, 35 for 10**8, 70 for 10**9.
     """
-    return min(range(bits + 1, 17), key=lambda b: comb(b, bits) * (ROW + n * 0.375 ** (32 * (b - bits) / b)))
+    return min(range(max(bits + 1, LEAST_BANDS), 17), key=lambda b: comb(b, bits) * (ROW + n * 0.375 ** (32 * (b - bits) / b)))
 
 
 def masks(bands: int, bits: int = BITS) -> np.ndarray:
