@@ -1,6 +1,6 @@
 """Near-duplicate embeddings: Euclidean p-stable hashing in several tables, then exact cosine checks.
 
-Bucket rows carry ids and 128 sign bits only. Pairs that share a bucket and differ in few sign bits make candidate
+Bucket rows carry ids and 256 sign bits only. Pairs that share a bucket and differ in few sign bits make candidate
 components; each vector then travels once, to its component, where the cosines of all pairs are computed and links are
 counted. So no pair is listed, none is counted twice, and a link that shares no bucket is found if its component holds both.
 """
@@ -25,8 +25,10 @@ WIDTH, LEAST_HASHES = 2.5, 12
 MISSED = 0.02
 #: Cost of a row in a bucket, in comparisons of two signatures.
 ROW = 150
-#: Sign bits that may differ. At cosine 0.9 it is 18.4 of 128 on average, with a deviation of 4.0; of random pairs 64.
-SIGNS, DIFFER = 128, 40
+#: Sign bits that may differ. At cosine 0.9 it is 36.8 of 256 on average, with a deviation of 5.6; of random pairs 128, with 8,
+#: so no component grows by chance.
+SIGNS, DIFFER = 256, 64
+WORDS = tuple(f"s{k}" for k in range(SIGNS // 64))
 
 
 def agreement(distance: float, width: float = WIDTH) -> float:
@@ -53,7 +55,7 @@ class Tables:
         self.tables, self.hashes, self.width, self.seed, self.kept = tables, hashes, width, seed, {}
 
     def signs(self, unit: np.ndarray) -> np.ndarray:
-        """The signs of SIGNS projections as two 64-bit numbers."""
+        """The signs of SIGNS projections as 64-bit numbers."""
         d = unit.shape[1]
         if -d not in self.kept:
             self.kept[-d] = np.random.default_rng([self.seed + 1, d]).standard_normal((d, SIGNS))
@@ -111,13 +113,16 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 for s in range(0, len(at), 512):
                     k, own, sign = tables.keys(m[s : s + 512]).view(np.int64), at[s : s + 512], tables.signs(m[s : s + 512])
                     t = tables.tables
-                    yield pa.RecordBatch.from_arrays([pa.array(k.T.ravel()), pa.array(np.tile(node[own], t)), pa.array(np.tile(sign[:, 0], t)), pa.array(np.tile(sign[:, 1], t))], names=["key", "node", "s0", "s1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k.T.ravel()), pa.array(np.tile(node[own], t)), *(pa.array(np.tile(x, t)) for x in sign.T)], names=["key", "node", *WORDS])
 
-    hashed = stored(firsts.select("node", "e").mapInArrow(keyed, "key long, node long, s0 long, s1 long"))
+    hashed = stored(firsts.select("node", "e").mapInArrow(keyed, ", ".join(f"{c} long" for c in ("key", "node", *WORDS))))
 
     def far(rows: dict, i, j) -> np.ndarray:
-        s0, s1 = rows["s0"].view(np.uint64), rows["s1"].view(np.uint64)
-        return np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j])
+        out = 0
+        for c in WORDS:
+            s = rows[c].view(np.uint64)
+            out = np.bitwise_count(s[i] ^ s[j]).astype(np.int16) + out
+        return out
 
     def alike(rows: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return far(rows, i, j) <= DIFFER
@@ -126,7 +131,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         i, j = np.nonzero(far(rows, np.arange(i0, i1)[:, None], np.arange(j0, j1)[None]) <= DIFFER)
         return i + i0, j + j0
 
-    met = verified(cells(hashed), ["s0", "s1"], alike, all_alike, lambda rows, i, j: np.zeros(len(i), bool))
+    met = verified(cells(hashed), list(WORDS), alike, all_alike, lambda rows, i, j: np.zeros(len(i), bool))
     groups = stored(components(met.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     discard(hashed)
     roots = groups.select(F.col("component").alias("node"), "component").distinct()
