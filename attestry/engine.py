@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .errors import EngineError
 from .functions import text as T
-from .operators import evidence, expansion, retrieval, sections
+from .operators import evidence, expansion, medicines, retrieval, sections
 from .sources import catalogue, pages, sinks
 
 #: Index fields and the columns of the studies table that fill them.
@@ -88,4 +88,4 @@ class Engine:
     def register_functions(self) -> None:
         """SQL functions over whole Unicode: canonical(text) and ingredient_set(text)."""
         self.spark.udf.register("canonical", T.full_canonical)
-        self.spark.udf.register("ingredient_set", expansion.ingredient_set)
+        self.spark.udf.register("ingredient_set", medicines.ingredient_set)

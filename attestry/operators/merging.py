@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from ..functions import text as T
 
 MOST_QUOTES, MOST_VALUE = 8, 4000
@@ -53,35 +54,81 @@ def notes_within(missing: Column, notes: Column, limit: int) -> Column:
 
 
 def conflict_pairs(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """Pairs of assessments of one value, role and definition that disagree: other linkage, or disjoint types with no linkage.
+    """Pairs (left before right in their order) of explicit, used or planned assessments of one value, role and definition that
+    disagree: on linkage, or with types that do not meet and no linkage. Assessments of an unclear role are left out.
 
-    Rows are first grouped by what they agree on and by what they say, so equal rows are compared once.
+    rows has by, order, value, role, definition, linkage, types, usage and basis. What is said is first grouped by what it is
+    said about, so groups that agree never meet; only pairs that disagree are made, and each of them is a result.
     """
+    own = rows.where("basis = 'explicit' and usage in ('used', 'planned') and role <> 'unclear'")
     agree = [by, "value", "role", "definition"]
-    kinds = rows.groupBy(*agree, "linkage", "types").agg(F.min(order).alias("ord"), F.count(F.lit(1)).alias("n"))
+    kinds = own.groupBy(*agree, F.array_sort("types").alias("types"), "linkage").agg(F.array_sort(F.collect_list(order)).alias("ords"))
     a, b = kinds.alias("a"), kinds.alias("b")
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in agree]
-    unlike = (~F.col("a.linkage").eqNullSafe(F.col("b.linkage"))) | (~F.arrays_overlap("a.types", "b.types") & ~F.coalesce("a.linkage", F.lit(False)) & ~F.coalesce("b.linkage", F.lit(False)))
-    return a.join(b, [*on, F.col("a.ord") < F.col("b.ord")]).where(unlike).select(*(F.col(f"a.{c}").alias(c) for c in agree), F.col("a.ord").alias("left"), F.col("b.ord").alias("right"))
+    said = lambda s: F.struct(F.array_join(f"{s}.types", ","), F.col(f"{s}.linkage"))
+    unlike = (F.col("a.linkage") != F.col("b.linkage")) | (~F.arrays_overlap("a.types", "b.types") & ~F.col("a.linkage") & ~F.col("b.linkage"))
+    met = a.join(b, [*on, said("a") < said("b")]).where(unlike).select(*(F.col(f"a.{c}").alias(c) for c in agree), F.explode("a.ords").alias("x"), F.col("b.ords").alias("ys"))
+    return met.select(*agree, "x", F.explode("ys").alias("y")).select(*agree, F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
 
 
 # fixed values: order of the suitability states in a list
-PRIORITY = {"matched": 0, "partial": 1, "possible": 2, "unknown": 3, "conflicting": 3, "other_type": 4, "not_requested": 5}
+PRIORITY = {"matched": 0, "partial": 1, "possible": 2, "other_type": 3, "unknown": 4, "conflicting": 4, "not_requested": 0}
+REASONS = {
+    "not_requested": "no source type was asked for", "matched": "an explicit source of the type supports the role without linkage", "partial": "the type contributes, but linked data are needed too",
+    "possible": "the type is inferred, not stated", "other_type": "explicit sources for the role are of other types", "unknown": "reading, type, usage or role is not confirmed", "conflicting": "explicit assessments disagree",
+}
 
 
-def suitability(requested: Column, complete: Column, conflicting: Column, matched: Column, explicit: Column, linkage: Column, other: Column) -> Column:
-    """State of a study's sources for a question, the first that holds: whether asked, read, in conflict, of the type, and how sure."""
+def suitability(requested: Column, complete: Column, conflicting: Column, matched: Column, partial: Column, possible: Column, other: Column) -> Column:
+    """State of a study's sources for a question, the first that holds."""
     return (
-        F.when(~requested, "not_requested").when(~complete, "unknown").when(conflicting, "conflicting").when(matched & explicit & ~linkage, "matched")
-        .when(matched & explicit, "partial").when(matched, "possible").when(other, "other_type").otherwise("unknown")
+        F.when(~requested, "not_requested").when(~complete, "unknown").when(conflicting, "conflicting").when(matched, "matched")
+        .when(partial, "partial").when(possible, "possible").when(other, "other_type").otherwise("unknown")
     )
 
 
-def selected(rows: DataFrame, only: bool, order: str) -> DataFrame:
-    """Rows by the priority of their status, ties in their order; `only` keeps the matched ones."""
-    rank = F.element_at(F.create_map(*[x for s, n in PRIORITY.items() for x in (F.lit(s), F.lit(n))]), F.col("status"))
-    kept = rows.where("status = 'matched'") if only else rows
-    return kept.withColumn("priority", rank).orderBy("priority", order)
+def assessed(rows: DataFrame, assessments: DataFrame, types: Sequence[str] | None, role: str = "any", key: str = "study_id") -> DataFrame:
+    """rows (key, status, catalogue_types) with suitability, reason and disjoint, from assessments (key, ord, value, role,
+    definition, linkage, types, usage, basis, answered).
+
+    Only assessments that answer the question (answered) and are of its role decide; all explicit ones tell which types a
+    protocol has, for disjoint: whether the catalogue names types and the protocol others. types None: none were asked for.
+    """
+    wanted = F.array(*map(F.lit, types or ())).cast("array<string>")
+    relevant = F.col("answered") & (F.lit(role == "any") | (F.col("role") == role))
+    usable = relevant & F.col("usage").isin("used", "planned") & (F.col("role") != "unclear")
+    explicit = usable & (F.col("basis") == "explicit")
+    of_type = F.arrays_overlap("types", wanted)
+    clash = conflict_pairs(assessments.where(relevant), key, "ord").select(key, F.lit(True).alias("_c")).distinct()
+    told = assessments.groupBy(key).agg(
+        F.bool_or(explicit & of_type & ~F.col("linkage")).alias("_m"), F.bool_or(explicit & of_type).alias("_p"), F.bool_or(usable & of_type).alias("_q"), F.bool_or(explicit).alias("_e"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(F.col("basis") == "explicit", F.col("types"))))).alias("_t"),
+    )
+    no = lambda c: F.coalesce(c, F.lit(False))
+    out = rows.join(told, key, "left").join(clash, key, "left")
+    state = suitability(F.lit(types is not None), no(F.col("status") == "complete"), no("_c"), no("_m"), no("_p"), no("_q"), no("_e"))
+    disjoint = no((F.size("catalogue_types") > 0) & (F.size("_t") > 0) & ~F.arrays_overlap("catalogue_types", "_t"))
+    reason = F.element_at(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv]), F.col("suitability"))
+    return out.withColumns({"suitability": state, "disjoint": disjoint}).withColumn("reason", reason).drop("_m", "_p", "_q", "_e", "_t", "_c")
+
+
+def selected(rows: DataFrame, only: bool, order: str, limit: int = 5, ids: Sequence[str] | None = None, key: str = "study_id") -> tuple[DataFrame, str]:
+    """Rows by the priority of their suitability, ties in their order, with eligible and shown, and the state of the selection.
+
+    only keeps the matched ones eligible. Chosen ids are shown, or else all eligible ones if there are at most limit, or else
+    none; ids must be distinct, eligible, at most limit, and all rows complete.
+    """
+    rank = F.element_at(F.create_map(*[x for s, n in PRIORITY.items() for x in (F.lit(s), F.lit(n))]), F.col("suitability"))
+    ranked = rows.withColumns({"priority": rank, "eligible": (F.col("suitability") == "matched") if only else F.lit(True)})
+    told = ranked.agg(F.count_if("eligible").alias("n"), F.count_if(F.col("status") != "complete").alias("open"), F.count_if(F.col("eligible") & F.col(key).isin(*(ids or ()))).alias("chosen")).first()
+    if ids is not None:
+        if not ids or len(set(ids)) != len(ids) or len(ids) > limit or told.chosen != len(ids):
+            raise EngineError("INVALID_INPUT", "select distinct eligible studies within the limit")
+        if told.open:
+            raise EngineError("INCOMPLETE_SCREENING", "finish screening before a selection")
+    shown = F.col("eligible") & (F.col(key).isin(*ids) if ids else F.lit(told.n <= limit))
+    state = "screening_incomplete" if told.open else "needs_selection" if told.n > limit and not ids else "no_confirmed_matches" if not told.n else "ready"
+    return ranked.withColumn("shown", shown).orderBy("priority", order), state
 
 
 def transposed(rows: DataFrame, studies: Sequence[str], attributes: Sequence[str]) -> DataFrame:

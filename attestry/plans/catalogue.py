@@ -133,7 +133,7 @@ WITH d AS (
     CASE WHEN l_tax > 0.01 THEN strftime(l_shipdate, '%Y-%m-%d') END AS dd, strftime(l_shipdate, '%Y-%m-%d') AS pd, 'u/' || l_partkey || '/' || l_suppkey || '/' || l_linenumber AS url FROM lineitem),
 b AS (SELECT *, min(k) OVER (PARTITION BY study) AS bk FROM d),
 f AS (SELECT *, bool_and(v IS NOT NULL) OVER (PARTITION BY study) AS av, bool_and(dd IS NOT NULL) OVER (PARTITION BY study) AS ad FROM b WHERE k = bk),
-r AS (SELECT *, row_number() OVER (PARTITION BY study ORDER BY CASE WHEN av THEN v END DESC NULLS LAST, CASE WHEN av THEN l_linenumber END DESC NULLS LAST, CASE WHEN ad THEN dd ELSE pd END DESC, url) AS rn FROM f)
+r AS (SELECT *, row_number() OVER (PARTITION BY study ORDER BY CASE WHEN av THEN v END DESC, CASE WHEN av THEN l_linenumber END DESC, CASE WHEN av OR ad THEN coalesce(dd, '') END DESC, pd DESC, url DESC) AS rn FROM f)
 SELECT study, url, CASE WHEN av THEN 'version' WHEN ad THEN 'document_date' ELSE 'published_date' END AS reason FROM r WHERE rn = 1""",
     "observation_merge": """
 WITH e AS (SELECT user_id, event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS version FROM events),

@@ -39,3 +39,13 @@ parts AS (
 ),
 idx AS (SELECT id, field, unnest(t) AS term, unnest(generate_series(0, len(t) - 1)) AS pos FROM parts WHERE len(t) > 0)
 """
+
+
+def part_code() -> Column:
+    """A code of seven signs for a part: letter, two digits, two letters, two digits."""
+    n = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") - 1
+    letter = lambda k: F.char(F.lit(65) + k)
+    return F.concat(F.substring("p_type", 1, 1), F.lpad(F.col("p_size").cast("string"), 2, "0"), letter((n / 5).cast("int")), letter(n % 5), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"))
+
+
+CODE = "substr(p_type, 1, 1) || lpad(CAST(p_size AS VARCHAR), 2, '0') || chr(65 + (CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) - 1) // 5) || chr(65 + (CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) - 1) % 5) || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0')"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, documents, evaluation, evidence, retrieval, service
+from . import catalogue, documents, evaluation, evidence, retrieval, service, terms
 
-MODULES = (retrieval, catalogue, documents, evidence, evaluation, service)
+MODULES = (retrieval, catalogue, documents, evidence, evaluation, service, terms)
 
 
 def queries() -> dict:

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import expansion as X
 from ..operators import retrieval as R
-from .common import INDEX, TITLE, canon, quote, table, title
+from .common import INDEX, canon, quote, table, title
 
 GROUPS = (R.Group("that with the", ("that", "with", "the")), R.Group("der und die", ("der", "und", "die")), R.Group("que les", ("que", "les")), R.Group("tion", ("tion",)))
 TERMS = ("with", "from", "von", "que")
@@ -72,55 +71,6 @@ def analogous_only(spark, sf_dir):
     return R.attribution(near.join(concept, "id", "left_anti")).select("id", F.array_join("labels", "; ").alias("labels"))
 
 
-VOCABULARY = (("articles", "the"), ("articles", "der"), ("articles", "les"), ("prepositions", "with by"), ("prepositions", "of the"), ("prepositions", "für"), ("links", "und"), ("links", "and"))
-
-
-def vocab_expand(spark, sf_dir):
-    groups = spark.createDataFrame(VOCABULARY, "grp string, member string")
-    docs = table(spark, sf_dir, "documents").select("doc_id", title(F.coalesce("text", F.lit(""))).alias("text"))
-    return X.fired_groups(docs, groups, "doc_id").select("doc_id", "grp", F.array_join(F.coalesce("added", F.array().cast("array<string>")), "; ").alias("added"))
-
-
-def _part_code():
-    n = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") - 1
-    letter = lambda k: F.char(F.lit(65) + k)
-    return F.concat(F.substring("p_type", 1, 1), F.lpad(F.col("p_size").cast("string"), 2, "0"), letter((n / 5).cast("int")), letter(n % 5), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"))
-
-
-CODE = "substr(p_type, 1, 1) || lpad(CAST(p_size AS VARCHAR), 2, '0') || chr(65 + (CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) - 1) // 5) || chr(65 + (CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) - 1) % 5) || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0')"
-
-
-def code_variants(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    code = F.concat(F.substring("p_type", 1, 1), F.lpad(F.col("p_size").cast("string"), 2, "0"), (F.col("p_partkey") % 10).cast("string"))
-    out = part.select("p_partkey", F.explode(F.array(F.lit("ICD-10"), F.lit("ICD-9"), F.lit("ATC"))).alias("system"), code.alias("code"))
-    return out.select("p_partkey", "system", F.array_join(T.code_variants(F.col("system"), F.col("code")), " ").alias("variants"))
-
-
-def phrase_groups(spark, sf_dir):
-    """Labels, words and distances of the phrases of each benchmark question; planning is on the driver, one row per question."""
-    rows = [(r.item_id, o, g.label, len(g.words), g.distance) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect() for o, g in enumerate(X.phrase_groups(r.text or "", ("related term",)))]
-    return spark.createDataFrame(rows, "item_id long, ord int, label string, words int, distance int")
-
-
-def class_members(spark, sf_dir):
-    codes = table(spark, sf_dir, "part").select(_part_code().alias("code"), F.col("p_name").alias("label"))
-    classes = codes.select(F.substring("code", 1, 5).alias("cls")).distinct()
-    return X.members(codes, classes).groupBy("cls").agg(F.countDistinct("code").alias("codes"), F.min("label").alias("first_label"), F.countDistinct("label").alias("labels"))
-
-
-def ingredient_sets(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", X.ingredient_key(F.replace("p_name", F.lit(" "), F.lit(" / "))).alias("ingredients"))
-    same = part.groupBy("ingredients").agg(F.count(F.lit(1)).alias("products"))
-    return part.join(same, "ingredients").select("p_partkey", "ingredients", "products")
-
-
-def name_relation(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name", F.lower("p_type").alias("t")).distinct()
-    pairs = names.select("p_name", F.explode(F.array(F.col("p_name"), F.concat_ws(" ", "p_name", "t"), F.concat_ws(" ", F.element_at(F.split("p_name", " "), 2), F.element_at(F.split("p_name", " "), 1)), F.element_at(F.split("p_name", " "), 1), F.lit("other 5"))).alias("other")).distinct()
-    return pairs.select("p_name", "other", X.name_relation(F.col("p_name"), F.col("other")).alias("relation"))
-
-
 def _source_type():
     return F.element_at(F.array(*map(F.lit, ("claims", "ehr", "registry", "survey"))), (F.regexp_extract("source", r"(\d+)", 1).cast("int") % 4) + 1)
 
@@ -143,8 +93,10 @@ def facet_counts(spark, sf_dir):
 
 
 def selection_summary(spark, sf_dir):
-    counts = R.unknown_counts(_attributes(spark, sf_dir), ("countries", "types", "sizes"))
-    return counts.withColumn("status", R.selection_status(F.col("total"), 50))
+    """Unknown types are counted before they become others: here those that are no types of exports and not stated."""
+    docs = table(spark, sf_dir, "documents")
+    raw = docs.select(F.filter(F.array("lang"), lambda x: x != "fr").alias("countries"), F.filter(F.array(_source_type()), lambda x: x != "ehr").alias("types"), F.when(F.col("n_chars") >= 1000, F.array(F.lit("any"))).otherwise(F.array().cast("array<string>")).alias("sizes"))
+    return R.unknown_counts(raw, ("countries", "types", "sizes")).withColumn("status", R.selection_status(F.col("total"), 5))
 
 
 def _lists(spark, sf_dir):
@@ -177,7 +129,7 @@ def screened_order(spark, sf_dir):
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*key))).select("id", "rank", "fused")
 
 
-QUERIES = {f.__name__: f for f in (canonical_text, near_match, role_scoped_match, bm25_rank, matched_terms, search_filtered, analogous_only, vocab_expand, code_variants, phrase_groups, class_members, ingredient_sets, name_relation, facet_filter, facet_counts, selection_summary, rrf_fusion, block_intersection, screened_order)}
+QUERIES = {f.__name__: f for f in (canonical_text, near_match, role_scoped_match, bm25_rank, matched_terms, search_filtered, analogous_only, facet_filter, facet_counts, selection_summary, rrf_fusion, block_intersection, screened_order)}
 
 _BM25 = f"""
 stats AS (SELECT id, count(*) AS dl FROM idx GROUP BY id),
@@ -196,12 +148,6 @@ _BLOCKS = """blocks AS (
 )"""
 _SOURCE = "['claims', 'ehr', 'registry', 'survey'][CAST(regexp_extract(source, '(\\d+)', 1) AS INT) % 4 + 1]"
 _ATTR = f"attr AS (SELECT doc_id, [lang] AS countries, [CASE WHEN {_SOURCE} = 'survey' THEN 'others' ELSE {_SOURCE} END] AS types, CASE WHEN n_chars >= 5000 THEN ['long', 'any'] WHEN n_chars >= 1000 THEN ['any'] ELSE [] END AS sizes FROM documents)"
-_VOC = f"""
-WITH v(grp, member) AS (VALUES {', '.join(f"('{g}', '{m}')" for g, m in VOCABULARY)}),
-t AS (SELECT doc_id, {canon(TITLE)} AS c FROM documents),
-f AS (SELECT DISTINCT doc_id, grp FROM t JOIN (SELECT grp, {canon('member')} AS m FROM v) v ON CASE WHEN m = regexp_replace(m, '[^\\x00-\\x7F]', '', 'g') THEN contains(' ' || c || ' ', ' ' || m || ' ') ELSE contains(c, m) END)
-SELECT doc_id, grp, added FROM f JOIN (SELECT grp, string_agg(DISTINCT member, '; ' ORDER BY member) AS added FROM v WHERE member = regexp_replace(member, '[^\\x00-\\x7F]', '', 'g') GROUP BY grp) USING (grp)
-"""
 SQL = {
     "canonical_text": f"SELECT doc_id, sha256({canon('text')}) AS canonical_sha256, sha256({quote('text')}) AS quote_sha256, CAST(length(trim(regexp_replace(replace(text, chr(173), ''), '\\s+', ' ', 'g'))) AS BIGINT) AS quote_chars FROM documents",
     "near_match": f"WITH {INDEX}, {_near(GROUPS)} SELECT id, field, label FROM m",
@@ -210,24 +156,11 @@ SQL = {
     "matched_terms": f"WITH {INDEX}, {_near(GROUPS)} SELECT id, string_agg(label, '; ' ORDER BY grp) AS labels FROM (SELECT DISTINCT id, grp, label FROM m) GROUP BY id",
     "search_filtered": f"WITH {INDEX}, {_BM25} SELECT id, score FROM scored JOIN documents ON doc_id = id WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND id IN (SELECT doc_id FROM labels) AND lang IN ('en', 'de') ORDER BY score DESC, CAST(id AS VARCHAR) LIMIT 20",
     "analogous_only": f"WITH {INDEX}, {_near([R.Group('from', ('from',)), R.Group('by the', ('by', 'the'))])} SELECT id, string_agg(label, '; ' ORDER BY grp) AS labels FROM (SELECT DISTINCT id, grp, label FROM m) WHERE id NOT IN (SELECT id FROM idx WHERE term = 'with') GROUP BY id",
-    "vocab_expand": _VOC,
-    "code_variants": """
-WITH c AS (SELECT p_partkey, substr(p_type, 1, 1) || lpad(CAST(p_size AS VARCHAR), 2, '0') || CAST(p_partkey % 10 AS VARCHAR) AS code FROM part),
-s AS (SELECT p_partkey, code, unnest(['ICD-10', 'ICD-9', 'ATC']) AS system FROM c),
-d AS (SELECT *, CASE WHEN system = 'ICD-9' AND code LIKE 'E%' THEN 4 ELSE 3 END AS dot_at FROM s),
-x AS (SELECT *, CASE WHEN length(code) > dot_at THEN substr(code, 1, dot_at) || '.' || substr(code, dot_at + 1) ELSE code END AS dotted FROM d)
-SELECT p_partkey, system, CASE WHEN system = 'ATC' OR dotted = code THEN code ELSE code || ' ' || dotted END AS variants FROM x""",
-    "class_members": f"WITH c AS (SELECT {CODE} AS code, p_name AS label FROM part) SELECT substr(code, 1, 5) AS cls, count(DISTINCT code) AS codes, min(label) AS first_label, count(DISTINCT label) AS labels FROM c GROUP BY 1",
-    "ingredient_sets": "WITH p AS (SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), '|') AS ingredients FROM part) SELECT p_partkey, ingredients, count(*) OVER (PARTITION BY ingredients) AS products FROM p",
-    "name_relation": """
-WITH n AS (SELECT DISTINCT p_name, lower(p_type) AS t FROM part),
-p AS (SELECT DISTINCT p_name, unnest([p_name, p_name || ' ' || t, split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1), split_part(p_name, ' ', 1), 'other 5']) AS other FROM n),
-w AS (SELECT *, list_distinct(string_split(p_name, ' ')) AS a, list_distinct(string_split(other, ' ')) AS b FROM p),
-d AS (SELECT *, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS ab, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS ba FROM w)
-SELECT p_name, other, CASE WHEN ab = 0 AND ba = 0 THEN 'equivalent' WHEN ab = 0 THEN 'broader' WHEN ba = 0 THEN 'narrower' ELSE 'different' END AS relation FROM d""",
     "facet_filter": f"WITH {_ATTR} SELECT doc_id, array_to_string(types, ',') AS types FROM attr WHERE list_has_any(countries, ['en', 'fr']) AND list_has_any(types, ['claims', 'others']) AND list_has_any(sizes, ['long'])",
     "facet_counts": f"WITH {_ATTR} SELECT facet, value, count(*) AS n FROM (SELECT 'countries' AS facet, unnest(countries) AS value FROM attr UNION ALL SELECT 'types', unnest(types) FROM attr UNION ALL SELECT 'sizes', unnest(sizes) FROM attr) GROUP BY facet, value",
-    "selection_summary": f"WITH {_ATTR} SELECT count(*) AS total, CAST(count(*) FILTER (len(countries) = 0) AS BIGINT) AS unknown_countries, CAST(count(*) FILTER (len(types) = 0) AS BIGINT) AS unknown_types, CAST(count(*) FILTER (len(sizes) = 0) AS BIGINT) AS unknown_sizes, CASE WHEN count(*) = 0 THEN 'no_matches' WHEN count(*) > 50 THEN 'needs_narrowing' ELSE 'ready' END AS status FROM attr",
+    "selection_summary": f"""
+SELECT count(*) AS total, CAST(count(*) FILTER (lang = 'fr' OR lang IS NULL) AS BIGINT) AS unknown_countries, CAST(count(*) FILTER ({_SOURCE} = 'ehr') AS BIGINT) AS unknown_types, CAST(count(*) FILTER (n_chars < 1000 OR n_chars IS NULL) AS BIGINT) AS unknown_sizes,
+  CASE WHEN count(*) = 0 THEN 'no_matches' WHEN count(*) > 5 THEN 'needs_narrowing' ELSE 'ready' END AS status FROM documents""",
     "rrf_fusion": f"WITH {INDEX}, {_LISTS} SELECT id, round(sum(1.0::DOUBLE / (20 + rn)), 4) AS fused FROM ranked GROUP BY id",
     "block_intersection": f"WITH {INDEX}, {_LISTS}, {_BLOCKS} SELECT * FROM blocks",
     "screened_order": f"""

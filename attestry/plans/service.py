@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import mining as G
 from ..operators import service as V
 from .common import table
-from .retrieval import CODE, _part_code
+from .common import CODE, part_code
 
 NOW = datetime.datetime(2024, 1, 20, tzinfo=datetime.UTC)
 
@@ -21,12 +21,12 @@ def term_budget(spark, sf_dir):
 
 
 def class_conflicts(spark, sf_dir):
-    codes = table(spark, sf_dir, "part").select(F.substring(_part_code(), 1, 5).alias("code"), F.element_at(F.split("p_name", " "), 1).alias("label"))
+    codes = table(spark, sf_dir, "part").select(F.substring(part_code(), 1, 5).alias("code"), F.element_at(F.split("p_name", " "), 1).alias("label"))
     return V.class_conflicts(codes).select("code", F.array_join("labels", ",").alias("labels"), "omitted")
 
 
 def class_analogues(spark, sf_dir):
-    codes = table(spark, sf_dir, "part").select(F.substring(_part_code(), 1, 5).alias("code")).distinct()
+    codes = table(spark, sf_dir, "part").select(F.substring(part_code(), 1, 5).alias("code")).distinct()
     return V.class_analogues(codes, codes)
 
 

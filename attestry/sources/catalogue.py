@@ -155,19 +155,31 @@ def unmatched_summary(counters: DataFrame, term: str, k: int = 20) -> DataFrame:
     return counters.orderBy(F.desc("n"), F.asc("last_seen"), F.asc(term)).limit(k)
 
 
-def latest_versions(docs: DataFrame, key: str) -> DataFrame:
-    """The document of each study to read: best kind, then version if all have one, else document date if all have one, else any date; ties by url.
+def latest_versions(docs: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """The document of each study to read: best kind, then by version if all of that kind have one, else by document date if
+    all have one, else by any date. Later dates decide between equal versions, publication between equal document dates, and
+    at last the largest url. A wanted version keeps only its documents.
 
-    docs has the key, kind (updated before initial), version, document_date, published_date and url.
+    docs has the key, kind (updated before initial), version, document_date, published_date and url. Documents are aggregated
+    by key in one pass: a struct of the sort key holds its row.
     """
-    best = Window.partitionBy(key)
-    rows = docs.withColumn("rank_kind", F.when(F.col("kind") == "updated", 0).otherwise(1)).withColumn("_best", F.min("rank_kind").over(best)).where("rank_kind = _best")
-    number = F.slice(F.concat(F.transform(F.split(F.regexp_replace("version", r"^[vV]", ""), r"\."), lambda x: x.try_cast("int")), F.array_repeat(F.lit(0), 8)), 1, 8)
-    rows = rows.withColumns({"all_versions": F.min(F.col("version").isNotNull()).over(best), "all_dates": F.min(F.col("document_date").isNotNull()).over(best)})
-    date = F.when(F.col("all_dates"), F.col("document_date")).otherwise(F.coalesce("published_date", "document_date", F.lit("")))
-    order = [F.when(F.col("all_versions"), number).desc_nulls_last(), date.desc_nulls_last(), F.col("url").asc()]
-    reason = F.when(F.col("all_versions"), "version").when(F.col("all_dates"), "document_date").otherwise("published_date")
-    return rows.withColumn("reason", reason).withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("rn = 1").drop("rn", "_best", "rank_kind", "all_versions", "all_dates")
+    if version is not None:
+        bare = lambda c: F.ltrim(F.lower(F.coalesce(c, F.lit(""))), F.lit("v"))
+        docs = docs.where(bare(F.col("version")) == version.lower().lstrip("v"))
+    names = [c for c in docs.columns if c != key]
+    row = F.struct(*names)
+    none = F.lit("")
+    number = F.slice(F.concat(F.transform(F.split("version", r"\."), lambda x: x.try_cast("int")), F.array_repeat(F.lit(0), 8)), 1, 8)
+    dates = F.coalesce("document_date", none), F.coalesce("published_date", none)
+    updated = F.max(F.col("kind") == "updated")
+    own = docs.join(docs.groupBy(key).agg(updated.alias("_u")), key).where(F.col("_u") == (F.col("kind") == "updated"))
+    best = own.groupBy(key).agg(
+        F.every(F.col("version").isNotNull()).alias("_v"), F.every(F.col("document_date").isNotNull()).alias("_d"),
+        F.max_by(row, F.struct(number, *dates, "url")).alias("by_version"), F.max_by(row, F.struct(*dates, F.col("url"))).alias("by_date"), F.max_by(row, F.struct(F.coalesce("published_date", "document_date", none), F.col("url"))).alias("by_any"),
+    )
+    choice = F.when(F.col("_v"), F.col("by_version")).when(F.col("_d"), F.col("by_date")).otherwise(F.col("by_any"))
+    reason = F.when(F.col("_v"), "version").when(F.col("_d"), "document_date").otherwise("published_date")
+    return best.select(key, choice.alias("x"), reason.alias("reason")).select(key, "x.*", "reason")
 
 
 def merged_observations(bundle: DataFrame, local: DataFrame, key: str, fields: Sequence[str], version: str = "version") -> DataFrame:

@@ -18,20 +18,36 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace_table(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Write beside the table, then put the new folder in its place; a failed write leaves the old one."""
+    """Write beside the table, then put the new folder in its place; a failed write leaves the old one.
+
+    A crash between the two renames leaves the old table beside its place; recover() puts it back.
+    """
     spark = df.sparkSession
+    recover(spark, path)
     staging = f"{path}.{uuid.uuid4().hex}"
     (df.coalesce(files) if files else df).write.parquet(staging)
     new, fs = _fs(spark, staging)
     old, _ = _fs(spark, path)
-    past, _ = _fs(spark, f"{staging}.old")
+    past, _ = _fs(spark, f"{path}.before")
     if fs.exists(old) and not fs.rename(old, past):
         raise EngineError("WRITE_FAILED", path)
     if not fs.rename(new, old):
+        recover(spark, path)
         raise EngineError("WRITE_FAILED", path)
     fs.delete(past, True)
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Put back a table that a crash left beside its place, or remove it where the new one had come."""
+    own, fs = _fs(spark, path)
+    past, _ = _fs(spark, f"{path}.before")
+    if fs.exists(past):
+        if fs.exists(own):
+            fs.delete(past, True)
+        elif not fs.rename(past, own):
+            raise EngineError("WRITE_FAILED", path)
+
+
 def compact(spark: SparkSession, path: str, files: int = 1) -> tuple[int, int]:
     """Rewrite a table in fewer files; bytes before and after."""
     p, fs = _fs(spark, path)
@@ -58,10 +74,10 @@ def cleared(batches: DataFrame, key: str, fingerprint: str) -> DataFrame:
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """name, rows, content hash of each table; the hash does not depend on the order of rows."""
+    """name, rows, content hash of each table; the hash, a sum, does not depend on the order of rows and counts equal ones."""
     out = None
     for name, df in sorted(tables.items()):
-        one = df.agg(F.count(F.lit(1)).alias("rows"), F.hex(F.bit_xor(F.xxhash64(*sorted(df.columns)))).alias("hash")).select(F.lit(name).alias("name"), "rows", "hash")
+        one = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).cast("string").alias("hash")).select(F.lit(name).alias("name"), "rows", "hash")
         out = one if out is None else out.union(one)
     return out
 
