@@ -130,34 +130,35 @@ def looked_up(rows: DataFrame, labels: DataFrame, key: str, spread: str) -> Data
     return out.select(*(F.col(f"`{c}`") for c in rows.columns), *(F.when(F.col("_hot"), F.col(f"_h_{c}")).otherwise(F.col(c)).alias(c) for c in names))
 
 
-#: Bits of the sieve of among(); it has 8 MB, whatever the tables.
+#: Bits of a Sieve; it has 8 MB, whatever the tables.
 SIEVE_BITS = 26
 
 
-def among(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key is surely not in wanted come second; the others, few more than those that are, come first.
+class Sieve:
+    """A set of keys as one bit for the hash of each: what is not in it is surely not wanted.
 
-    A sieve of fixed size with one bit for the hash of each wanted key goes to the tasks, so that the second part need not be
-    moved for a join. With very many wanted keys the sieve fills and the first part grows; nothing is lost.
+    It goes to the tasks, where it tells which rows need not be moved for a join with the wanted keys; few more are kept than
+    there are. It has a fixed size. With very many wanted keys it fills and fewer rows are spared; nothing is lost.
     """
-    slot = lambda: F.pmod(F.xxhash64(key), F.lit(1 << SIEVE_BITS)) + 1
-    bits = wanted.select(slot().alias("v")).groupBy(F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
-    table = np.zeros((1 << SIEVE_BITS) >> 3, np.uint8)
-    for r in bits.collect():
-        table[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    sent = rows.sparkSession.sparkContext.broadcast(table)
-    names = rows.columns
-
-    def part(inside: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column(len(names)).to_numpy() - 1
-                is_in = (sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(is_in == inside)) for c in batch.columns[: len(names)]], names=names)
-
-        return rows.withColumn("_slot", slot()).mapInArrow(run, rows.schema)
-
-    return part(True), part(False)
+
+    def __init__(self, wanted: DataFrame, key: str) -> None:
+        v = self.slot(key) + 1
+        bits = wanted.select(v.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+        table = np.zeros((1 << SIEVE_BITS) >> 3, np.uint8)
+        for r in bits.collect():
+            table[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+        self.sent = wanted.sparkSession.sparkContext.broadcast(table)
+
+    @staticmethod
+    def slot(key: str) -> F.Column:
+        """A column of the rows, which kept() takes."""
+        return F.pmod(F.xxhash64(key), F.lit(1 << SIEVE_BITS))
+
+
+def kept(sent, slots: pa.Array) -> np.ndarray:
+    """Which slots are in the broadcast table of a sieve."""
+    at = slots.to_numpy()
+    return (sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 class Powers:

@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, among, binaries, column, discard, mix, ship, steps, stored, word_hashes
+from .common import WORDS, Sieve, binaries, column, discard, kept, mix, ship, steps, stored, word_hashes
 
 WINDOW = 50
 ROUNDS, LONGEST = 3, 8
+#: Texts that are held as objects at a time.
+ROWS = 256
 _RUN, _PAIR = 0xA0761D6478BD642F, np.uint64(0xE7037ED1A0B428DB)
 _TOP = np.uint64(63)
 
@@ -175,38 +177,43 @@ def _pos(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def _scan(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = binaries(batch, 1), batch.column(0).to_numpy()
-            for i, j in steps(texts):
-                part = Words(texts[i:j])
-                doc, start, count, key = stretches(part.h, part.first)
-                if len(doc):
-                    mark = np.array([_mark(x) for x in texts[i:j]], np.int64)
-                    e = part.digests(start, count + WINDOW - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(e), pa.array(ids[i:j][doc]), pa.array(mark[doc]), pa.array(_pos(start - part.first[:-1][doc], count))], names=["k", "e", "doc", "m", "pos"])
+            for r in range(0, batch.num_rows, ROWS):
+                texts, ids = binaries(batch.slice(r, ROWS), 1), batch.column(0).slice(r, ROWS).to_numpy()
+                for i, j in steps(texts, 1 << 20):
+                    part = Words(texts[i:j])
+                    doc, start, count, key = stretches(part.h, part.first)
+                    if len(doc):
+                        mark = np.array([_mark(x) for x in texts[i:j]], np.int64)
+                        e = part.digests(start, count + WINDOW - 1)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(e), pa.array(ids[i:j][doc]), pa.array(mark[doc]), pa.array(_pos(start - part.first[:-1][doc], count))], names=["k", "e", "doc", "m", "pos"])
 
     return docs.mapInArrow(run, "k long, e long, doc long, m long, pos long")
 
 
+def _listed(texts: list[bytes], ids: np.ndarray, lists: list) -> Iterator[pa.RecordBatch]:
+    part, out = Words(texts), []
+    for r, text in enumerate(texts):
+        mark = _mark(text)
+        own = [(x["k"], x["pos"]) for x in lists[r] if x["m"] == mark]
+        if own:
+            k, pos = np.array(own, np.int64).T
+            n = pos & 63
+            s = np.repeat(pos >> 6, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append((np.repeat(k, n), part.digests(s + part.first[r], np.full(len(s), WINDOW)), np.full(len(s), ids[r]), np.full(len(s), mark), s << 6 | 1))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["k", "w", "doc", "m", "pos"])
+
+
 def _windows(rows: DataFrame) -> DataFrame:
     """k, w (a digest), doc, m, pos of every window of the listed stretches (k, m, pos) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [zlib.decompress(x) for x in batch.column(1).to_pylist()]
-            ids, lists = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for i, j in steps(texts):
-                part = Words(texts[i:j])
-                out = []
-                for r in range(i, j):
-                    mark = _mark(texts[r])
-                    own = [(x["k"], x["pos"]) for x in lists[r] if x["m"] == mark]
-                    if own:
-                        k, pos = np.array(own, np.int64).T
-                        n = pos & 63
-                        s = np.repeat(pos >> 6, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        out.append((np.repeat(k, n), part.digests(s + part.first[r - i], np.full(len(s), WINDOW)), np.full(len(s), ids[r]), np.full(len(s), mark), s << 6 | 1))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["k", "w", "doc", "m", "pos"])
+            for a in range(0, batch.num_rows, ROWS):
+                cut = batch.slice(a, ROWS)
+                texts, ids, lists = [zlib.decompress(x) for x in cut.column(1).to_pylist()], cut.column(0).to_numpy(), cut.column(2).to_pylist()
+                for i, j in steps(texts, 1 << 20):
+                    yield from _listed(texts[i:j], ids[i:j], lists[i:j])
 
     return rows.mapInArrow(run, "k long, w long, doc long, m long, pos long")
 
@@ -214,37 +221,42 @@ def _windows(rows: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, m and pos of stretches whose windows all start in a document with a smaller id; docs has doc_id and text."""
     rows = stored(_scan(docs.where("doc_id is not null")))
-    keys = rows.groupBy("k").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("k")
-    shared = stored(rows.join(keys.hint("merge"), "k", "left_semi"))
+    # a written side of a join leaves it free to divide a hot key
+    keys = stored(rows.groupBy("k").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("k"))
+    shared = stored(rows.join(keys, "k", "left_semi"))
     discard(rows)
+    discard(keys)
     kinds = stored(shared.groupBy("k", "e").agg(F.min(F.struct("doc", "m", "pos")).alias("f")).select("k", "e", F.col("f.doc").alias("d"), F.col("f.m").alias("dm"), F.col("f.pos").alias("p")))
     whole = shared.join(kinds, ["k", "e"]).where("doc > d").select("doc", "m", "pos")
-    several = kinds.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    open_ = stored(kinds.join(several.hint("merge"), "k", "left_semi"))
+    several = stored(kinds.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
+    open_ = stored(kinds.join(several, "k", "left_semi"))
+    discard(several)
     listed = stored(open_.groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("k", F.col("dm").alias("m"), F.col("p").alias("pos"))).alias("own")))
-    inside, _ = among(docs, listed.select("doc_id"), "doc_id")
-    each = stored(_windows(_squeezed(inside).join(listed.hint("merge"), "doc_id").select("doc_id", "z", "own")))
+    each = stored(_windows(_squeezed(docs, Sieve(listed.select("doc_id"), "doc_id")).join(listed.hint("merge"), "doc_id").select("doc_id", "z", "own")))
     discard(listed)
     least = stored(each.groupBy("k", "w").agg(F.min("doc").alias("d"), F.max("doc").alias("y")).where("d < y").select("k", "w", "d"))
-    single = stored(each.join(least.hint("merge"), ["k", "w"]).where("doc > d").select("k", "doc", "m", "pos"))
+    single = stored(each.join(least, ["k", "w"]).where("doc > d").select("k", "doc", "m", "pos"))
     discard(each)
     discard(least)
     # a stretch that occurs again in its first document has the same windows there
     again = shared.join(open_, ["k", "e"]).where("doc = d and (pos <> p or m <> dm)").select("k", "doc", F.col("m").alias("qm"), F.col("pos").alias("q"), "dm", "p")
-    moved = again.join(single.hint("merge"), ["k", "doc"]).where("m = dm and shiftright(pos, 6) between shiftright(p, 6) and shiftright(p, 6) + (p & 63) - 1")
+    moved = again.join(single, ["k", "doc"]).where("m = dm and shiftright(pos, 6) between shiftright(p, 6) and shiftright(p, 6) + (p & 63) - 1")
     shifted = moved.select("doc", F.col("qm").alias("m"), F.expr("shiftleft(shiftright(q, 6) + shiftright(pos, 6) - shiftright(p, 6), 6) | 1L").alias("pos"))
     return whole.union(single.select("doc", "m", "pos")).union(shifted)
 
 
-def _squeezed(docs: DataFrame) -> DataFrame:
-    """Texts travel compressed."""
+def _squeezed(docs: DataFrame, sieve: Sieve) -> DataFrame:
+    """The texts whose ids the sieve holds, compressed to travel."""
+    sent = sieve.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = [zlib.compress(x, 1) for x in binaries(batch, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"])
+            own = batch.filter(pa.array(kept(sent, batch.column(2))))
+            for i in range(0, own.num_rows, ROWS):
+                part = own.slice(i, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zlib.compress(x, 1) for x in binaries(part, 1)], pa.binary())], names=["doc_id", "z"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+    return docs.select("doc_id", "text", sieve.slot("doc_id")).mapInArrow(run, "doc_id long, z binary")
 
 
 def keep_mask(text: bytes, n: int, stretches_: list[tuple[int, int]]) -> np.ndarray:
@@ -270,27 +282,38 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     ship(docs.sparkSession)
     own = docs.select(column(docs, doc_id, "long").alias("doc_id"), column(docs, text, "string").alias("text"))
     gone = stored(repeats(own).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("m", "pos")).alias("gone")))
-    inside, outside = among(own, gone.select("doc_id"), "doc_id")
+    sieve = Sieve(gone.select("doc_id"), "doc_id")
+    sent = sieve.sent
+
+    def less(ids: pa.Array, texts: list[bytes], lists: list) -> pa.RecordBatch:
+        out, n_words, n_removed = [], [], []
+        for x, own_ in zip(texts, lists, strict=True):
+            words = x.split()
+            left = words
+            if own_ and len(words) >= WINDOW:
+                mask = keep_mask(x, len(words), [(g["m"], g["pos"]) for g in own_])
+                left = [w for w, k in zip(words, mask.tolist(), strict=True) if k]
+            out.append(b" ".join(left).decode("utf-8", "replace"))
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(left))
+        return pa.RecordBatch.from_arrays([ids, pa.array(out, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                yield less(part.column(0), [zlib.decompress(z) for z in part.column(1).to_pylist()], part.column(2).to_pylist())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            out, n_words, n_removed = [], [], []
-            for x, own_ in zip(binaries(batch, 1), lists, strict=True):
-                x = zlib.decompress(x) if batch.num_columns > 2 else x
-                words = x.split()
-                kept = words
-                if own_ and len(words) >= WINDOW:
-                    mask = keep_mask(x, len(words), [(g["m"], g["pos"]) for g in own_])
-                    kept = [w for w, k in zip(words, mask.tolist(), strict=True) if k]
-                out.append(b" ".join(kept).decode("utf-8", "replace"))
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
+            whole = batch.filter(pa.array(~kept(sent, batch.column(2))))
+            for i in range(0, whole.num_rows, ROWS):
+                part = whole.slice(i, ROWS)
+                yield less(part.column(0), binaries(part, 1), [None] * part.num_rows)
 
     shape = "doc_id long, text string, n_words long, n_removed long"
-    cut = _squeezed(inside).join(gone.hint("merge"), "doc_id", "left").select("doc_id", "z", "gone").mapInArrow(run, shape)
-    return cut.union(outside.select("doc_id", "text").mapInArrow(run, shape))
+    moved = _squeezed(own, sieve).join(gone.hint("merge"), "doc_id", "left").select("doc_id", "z", "gone").mapInArrow(cut, shape)
+    return moved.union(own.select("doc_id", "text", sieve.slot("doc_id")).mapInArrow(rest, shape))
 
 
 def digests(docs: DataFrame, **names: str) -> DataFrame:
