@@ -10,7 +10,8 @@ import pytest
 import corpus_pipeline
 from attestry.llm import decontam, langid, pii, queries
 
-from .test_operators import brute_fingerprint, brute_hits, check_packing, whole_ids
+from .test_minhash import brute_components
+from .test_operators import brute_hits, check_packing, frame, hard_rows, whole_ids
 
 DIR = "/root/testdata/sf0.001"
 
@@ -41,20 +42,8 @@ def test_pipeline(spark, tmp_path):
         (lang,), (score,) = net.texts([(t or "").encode()])
         if lang != "und" and score >= 0.3:
             kept[i] = t
-    fps = {i: brute_fingerprint(t) for i, t in kept.items()}
-    parent = {i: i for i in kept}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in kept:
-        for b in kept:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 4:
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    kept = {i: t for i, t in kept.items() if find(i) == i}
+    near = dict(brute_components(list(kept.items())))
+    kept = {i: t for i, t in kept.items() if near[i] == i}
     for i, t in kept.items():
         kept[i] = re.sub(" ?" + re.escape(item), "", t)
     assert all(x[2] == 0 for x in brute_hits(list(kept.items()), [(1, item)]))
@@ -67,6 +56,18 @@ def test_pipeline(spark, tmp_path):
     check_packing(got, list(kept.values()))
 
 
+def test_pipeline_on_hard_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing column names; and no rows at all."""
+    rows = [(i, t, g or "en") for i, t, g in hard_rows()]
+    frame(spark, rows + rows[:5]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "same same same")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and {x.doc_id for x in got} <= {i for i, _, _ in rows}
+    spark.read.parquet(str(tmp_path / "documents.parquet")).where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
