@@ -19,7 +19,7 @@ def section_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     heads = F.array(*map(F.lit, ("1.1 Study design", "2.1 Outcomes", "3. REFERENCES")))
     pages = P.paged(docs).withColumn("text", F.concat(F.element_at(heads, F.pmod(F.col("page") - 1, F.lit(3)).cast("int") + 1), F.lit("\n"), F.col("text")))
-    return D.sections(pages).select("doc_id", "section_id", "page", "section", "role", "relevant", F.sha2("text", 256).alias("text_sha256"))
+    return D.sections(pages).select("doc_id", "section_id", "page", "section", "role", "relevant", "role_basis", F.array_join("warnings", ",").alias("warnings"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def _turns(spark, sf_dir):
@@ -27,14 +27,14 @@ def _turns(spark, sf_dir):
 
 
 def chapter_asof(spark, sf_dir):
-    head = F.when(F.col("role") == "user", T.canonical(F.substring("text", 1, 40)))
+    head = F.when(F.col("role") == "user", T.canonical(F.col("text")))
     return D.carried(_turns(spark, sf_dir), "conv_id", "turn", head, "chapter").select("conv_id", "turn", "chapter")
 
 
 def section_search(spark, sf_dir):
     turns = _turns(spark, sf_dir)
     w = Window.partitionBy("conv_id").orderBy("turn")
-    chunks = turns.select(F.col("conv_id").alias("doc_id"), F.format_string("s%04d", "turn").alias("section_id"), F.col("turn").alias("page"), F.substring("text", 1, 60).alias("section"), F.lag(F.substring("text", 1, 60)).over(w).alias("parent_section"), F.when(F.col("role") == "system", "background").otherwise("design").alias("role"), "text")
+    chunks = turns.select(F.col("conv_id").alias("doc_id"), F.format_string("s%04d", "turn").alias("section_id"), F.col("turn").alias("page"), F.col("text").alias("section"), F.lag("text").over(w).alias("parent_section"), F.when(F.col("role") == "system", "background").otherwise("design").alias("role"), "text")
     terms = spark.createDataFrame([(t,) for t in SEARCHED], "term string")
     return D.top_sections(D.section_scores(chunks, terms), 5).select("doc_id", "section_id", "score", "rank")
 
@@ -62,7 +62,7 @@ def char_budget(spark, sf_dir):
 
 
 def outline_paging(spark, sf_dir):
-    rows = _turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), "turn", F.substring("text", 1, 30).alias("heading"))
+    rows = _turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("heading"))
     return D.paged_outline(rows, F.col("turn"), 2, 3).select("doc_id", "turn", "ordinal", "next_offset")
 
 
@@ -73,12 +73,66 @@ def language_test(spark, sf_dir):
 
 
 def reading_set(spark, sf_dir):
+    """Pages as chunks: long ones are relevant, every third is an appendix called by the page's letter, and every text cites one."""
     docs = table(spark, sf_dir, "documents")
-    chunks = P.paged(docs.select("doc_id", "text")).select("doc_id", "page", (F.length("text") >= 2000).alias("relevant"), F.concat(F.lit("Appendix "), F.col("page")).alias("section"), F.concat("text", F.lit(" see appendix 2")).alias("text"))
-    return D.reading_set(chunks).select("doc_id", "page", "relevant")
+    letter = F.char(F.lit(65) + F.pmod(F.col("page"), F.lit(7)))
+    chunks = P.paged(docs.select("doc_id", "text")).select(
+        "doc_id", F.col("page").cast("string").alias("section_id"), "page", (F.length("text") >= 2000).alias("relevant"), F.when(F.col("page") % 3 == 0, "appendix").otherwise("methods").alias("role"), F.concat(F.lit("Appendix "), letter).alias("section"), F.when(F.col("page") % 9 == 0, "Code list").otherwise("Chapter").alias("chapter"),
+        F.lit(None).cast("string").alias("chapter_path"), F.concat("text", F.lit(" see Annex "), F.lower(F.char(F.lit(65) + F.pmod(F.col("doc_id"), F.lit(7)).cast("int")))).alias("text"),
+    )
+    return D.reading_set(chunks).select("doc_id", "page", "role")
 
 
-QUERIES = {f.__name__: f for f in (section_chunks, chapter_asof, section_search, continuations, greedy_batches, char_budget, outline_paging, language_test, reading_set)}
+def _outline(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    title = F.when(F.col("turn") % 5 == 2, "List of tables").otherwise(F.concat("role", F.lit("  "), F.col("turn")))
+    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), (F.length("text") % 3 + 1).cast("int").alias("level"), title.alias("title"), (F.col("turn") * 2 + 1).cast("int").alias("page"))
+
+
+def outline_paths(spark, sf_dir):
+    return D.outline_paths(_outline(spark, sf_dir))
+
+
+def page_chapters(spark, sf_dir):
+    """The chapter of every page: two pages to a turn, and outlines that begin on the first of them."""
+    turns = _turns(spark, sf_dir)
+    pages = turns.select(F.col("conv_id").alias("doc_id"), F.explode(F.array((F.col("turn") * 2).cast("int"), (F.col("turn") * 2 + 1).cast("int"))).alias("page"))
+    return D.page_chapters(pages, D.outline_paths(_outline(spark, sf_dir)))
+
+
+def _contents(spark, sf_dir):
+    """Lines of a contents page that call each turn by its whole first line, and the turns three pages later; long turns five."""
+    turns = _turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), "turn", F.trim(F.regexp_replace(F.element_at(F.split("text", "\n"), 1), r"[.\s]+$", "")).alias("head"), (F.length("text") > 700).alias("long")).where("head <> ''")
+    entry = turns.select("doc_id", F.lit(1).alias("page"), F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), "head", F.lit(" ..... "), (F.col("turn") + 1).cast("string")).alias("text"))
+    body = turns.select("doc_id", (F.col("turn") + F.when(F.col("long"), 6).otherwise(4)).cast("int").alias("page"), F.concat((F.col("turn") + 1).cast("string"), F.lit(" "), "head").alias("text"))
+    return entry.union(body)
+
+
+def contents_offset(spark, sf_dir):
+    return D.contents_offset(_contents(spark, sf_dir))
+
+
+def contents_outline(spark, sf_dir):
+    return D.contents_outline(_contents(spark, sf_dir)).select("doc_id", "level", "title", "page")
+
+
+def neighbour_lift(spark, sf_dir):
+    """Turns as sections 1.k.j; those of the user are named by their text, and score by a number."""
+    turns = _turns(spark, sf_dir)
+    chunks = turns.select(F.col("conv_id").alias("doc_id"), F.format_string("s%04d", "turn").alias("section_id"), F.col("turn").alias("page"), F.concat(F.lit("part "), F.col("text")).alias("section"), F.array(F.lit(1), (F.col("turn") / 3).cast("int"), F.col("turn").cast("int")).alias("number"), F.when(F.col("role") == "system", "background").otherwise("methods").alias("role"), "text")
+    scored = chunks.select("doc_id", "section_id", "page", (F.length("text") % 7).cast("double").alias("score"))
+    return D.lifted(chunks, scored, spark.createDataFrame([(t,) for t in SEARCHED], "term string"))
+
+
+def heading_titles(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    chunks = turns.select(F.col("conv_id").alias("doc_id"), F.format_string("s%04d", "turn").alias("section_id"), F.concat(F.lit("Top / "), F.col("role")).alias("chapter_path"), F.lit("Top").alias("chapter_top"), F.concat(F.lit("part "), (F.col("turn") % 2).cast("string")).alias("section"))
+    titles = D.heading_texts(chunks)
+    given = titles.select("doc_id", "title", F.concat(F.lit(" "), F.upper("title")).alias("translation")).union(titles.where("ord = 1").select("doc_id", F.lit("no such title"), F.lit("x")))
+    return titles.join(D.clean_translations(titles, given), ["doc_id", "title"]).select("doc_id", "ord", "title", "translation")
+
+
+QUERIES = {f.__name__: f for f in (section_chunks, chapter_asof, section_search, continuations, greedy_batches, char_budget, outline_paging, language_test, reading_set, outline_paths, page_chapters, contents_offset, contents_outline, neighbour_lift, heading_titles)}
 
 _HAS = lambda text, t: f"contains(' ' || {text} || ' ', ' {t} ')"
 
@@ -88,14 +142,30 @@ def _mention(text: str, t: str) -> str:
     return f"CAST({_HAS(text, t)}" + (f" OR {_HAS(text, other)}" if other else "") + " AS INT)"
 
 
-_SCORE = " + ".join(f"{_mention('x', t)} + 4 * {_mention('s', t)} + 3 * {_mention('c', t)}" for t in SEARCHED)
+_SCORE = " + ".join(f"{_mention('x', t)} * (1 + 4 * {_mention('s', t)} + 3 * {_mention('c', t)})" for t in SEARCHED)
 _ENGLISH = ", ".join(f"'{w}'" for w in sorted(D.ENGLISH))
+_OUTLINE = """
+o AS (SELECT conv_id AS doc_id, CAST(turn AS INT) AS ord, CAST(length(text) % 3 + 1 AS INT) AS level, CASE WHEN turn % 5 = 2 THEN 'List of tables' ELSE role || ' ' || turn END AS title, CAST(turn * 2 + 1 AS INT) AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+walk AS (
+  SELECT doc_id, ord, level, title, page, k, title <> 'List of tables' AS kept, CASE WHEN title = 'List of tables' THEN level END AS nav, CASE WHEN title <> 'List of tables' THEN [{'l': level, 't': title}] ELSE [] END AS up FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.ord, o.level, o.title, o.page, o.k, NOT coalesce(o.level > w.nav, false) AND o.title <> 'List of tables', CASE WHEN o.level > w.nav THEN w.nav WHEN o.title = 'List of tables' THEN o.level END,
+    CASE WHEN NOT coalesce(o.level > w.nav, false) AND o.title <> 'List of tables' THEN list_append(list_filter(w.up, lambda a: a.l < o.level), {'l': o.level, 't': o.title}) ELSE w.up END
+  FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.k = w.k + 1),
+paths AS (SELECT doc_id, ord, page, title, list_transform(up, lambda a: a.t) AS anc FROM walk WHERE kept)"""
+_CONTENTS = rf"""
+h AS (SELECT conv_id AS doc_id, turn, trim(regexp_replace(split_part(text, chr(10), 1), '[.\s]+$', '')) AS head, length(text) > 700 AS big FROM conversations),
+g AS (SELECT * FROM h WHERE head <> ''),
+e AS (SELECT doc_id, turn + 1 AS number, head, {canon("(turn + 1) || '. ' || head")} AS name FROM g WHERE doc_id IN (SELECT doc_id FROM g GROUP BY 1 HAVING count(*) >= 3)),
+b AS (SELECT DISTINCT doc_id, turn + CASE WHEN big THEN 6 ELSE 4 END AS page, {canon("(turn + 1) || ' ' || head")} AS name FROM g),
+f AS (SELECT DISTINCT e.doc_id, e.name, e.number, b.page - e.number AS off FROM e JOIN b USING (doc_id, name)),
+n AS (SELECT doc_id, off, count(*) AS n FROM f GROUP BY ALL),
+best AS (SELECT doc_id, max({{'n': n, 'd': -abs(off), 'o': -off}}) AS x FROM n GROUP BY 1 HAVING max(n) >= 3 AND max(n) >= 0.4 * (SELECT count(*) FROM e WHERE e.doc_id = n.doc_id))"""
 SQL = {
     "chapter_asof": f"""
-WITH h AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN {canon('substr(text, 1, 40)')} END AS head FROM conversations)
+WITH h AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN {canon('text')} END AS head FROM conversations)
 SELECT conv_id, turn, last_value(head IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM h""",
     "section_search": f"""
-WITH t AS (SELECT conv_id, turn, role, {canon('text')} AS x, {canon('substr(text, 1, 60)')} AS s, coalesce(lag({canon('substr(text, 1, 60)')}) OVER (PARTITION BY conv_id ORDER BY turn), '') AS c FROM conversations),
+WITH t AS (SELECT conv_id, turn, role, {canon('text')} AS x, {canon('text')} AS s, coalesce(lag({canon('text')}) OVER (PARTITION BY conv_id ORDER BY turn), '') AS c FROM conversations),
 v AS (SELECT conv_id AS doc_id, turn, 's' || lpad(CAST(turn AS VARCHAR), 4, '0') AS section_id, round(({_SCORE}) * CASE WHEN role = 'system' THEN 0.15::DOUBLE ELSE 1.0::DOUBLE END, 4) AS score FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, turn, section_id) AS rank FROM v WHERE score > 0)
 SELECT doc_id, section_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""",
@@ -127,7 +197,22 @@ WITH t AS (SELECT doc_id, list_filter({toks("coalesce(text, '')")}, lambda w: re
 s AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ({_ENGLISH})))::DOUBLE / nullif(len(w), 0) AS share FROM t)
 SELECT doc_id, round(share, 6) AS share, coalesce(share >= 0.08, false) AS english FROM s""",
     "reading_set": """
-WITH p AS (SELECT doc_id, unnest(generate_series(1, greatest(1, CAST(ceil(length(text) / 3000.0) AS INT)))) AS page, text FROM documents WHERE text IS NOT NULL),
-c AS (SELECT doc_id, CAST(page AS INT) AS page, length(substr(text, (page - 1) * 3000 + 1, 3000)) >= 2000 AS relevant FROM p)
-SELECT doc_id, page, relevant FROM c WHERE relevant OR (page = 2 AND doc_id IN (SELECT doc_id FROM c WHERE relevant))""",
+WITH p AS (SELECT doc_id, CAST(unnest(generate_series(1, greatest(1, CAST(ceil(length(text) / 3000.0) AS INT)))) AS INT) AS page, text FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, page, length(substr(text, (page - 1) * 3000 + 1, 3000)) >= 2000 AS relevant, CASE WHEN page % 3 = 0 THEN 'appendix' ELSE 'methods' END AS role FROM p)
+SELECT doc_id, page, role FROM c WHERE relevant AND (role = 'methods' OR page % 9 = 0 OR page % 7 = doc_id % 7)""",
+    "outline_paths": f"WITH RECURSIVE {_OUTLINE} SELECT doc_id, ord, page, title, list_extract(anc, 1) AS top, array_to_string(anc, ' / ') AS path FROM paths",
+    "page_chapters": f"""WITH RECURSIVE {_OUTLINE}, pages_ AS (SELECT conv_id AS doc_id, CAST(unnest([turn * 2, turn * 2 + 1]) AS INT) AS page FROM conversations)
+SELECT g.doc_id, g.page, p.title AS chapter, p.anc[1] AS chapter_top, array_to_string(p.anc, ' / ') AS chapter_path FROM pages_ g ASOF LEFT JOIN paths p ON p.doc_id = g.doc_id AND p.page <= g.page""",
+    "contents_offset": f"WITH {_CONTENTS} SELECT doc_id, CAST(-x.o AS INT) AS offset FROM best",
+    "contents_outline": f"""WITH {_CONTENTS}
+SELECT e.doc_id, CAST(1 AS INT) AS level, e.number || '. ' || e.head AS title, CAST(min(b.page) AS INT) AS page FROM e JOIN best USING (doc_id) JOIN b ON b.doc_id = e.doc_id AND b.name = e.name AND abs(b.page - e.number - (-x.o)) <= 1 GROUP BY ALL""",
+    "neighbour_lift": f"""
+WITH c AS (SELECT conv_id AS doc_id, turn, CAST(turn / 3 - 0.499999 AS INT) AS up, 'part ' || text AS section, length(text) AS n, CAST(length(text) % 7 AS DOUBLE) AS score, role = 'system' AS quiet, {canon("'part ' || text")} AS s FROM conversations),
+r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, run) AS chars FROM (SELECT *, sum(CASE WHEN edge THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY turn) AS run FROM (SELECT *, section IS DISTINCT FROM lag(section) OVER (PARTITION BY doc_id ORDER BY turn) AS edge FROM c))),
+a AS (SELECT * FROM r WHERE NOT quiet AND chars <= 1000 AND ({' OR '.join('CAST(' + _mention('s', t) + ' AS BOOLEAN)' for t in SEARCHED)})),
+t AS (SELECT r.doc_id, r.turn, max(a.score) - 0.5 AS goal FROM r JOIN a ON a.doc_id = r.doc_id AND a.up = r.up AND a.section <> r.section AND a.turn <> r.turn WHERE NOT r.quiet GROUP BY ALL)
+SELECT r.doc_id, 's' || lpad(CAST(r.turn AS VARCHAR), 4, '0') AS section_id, r.turn AS page, greatest(r.score, coalesce(t.goal, r.score)) AS score, t.goal > r.score AS raised FROM r LEFT JOIN t ON t.doc_id = r.doc_id AND t.turn = r.turn""",
+    "heading_titles": """
+WITH c AS (SELECT conv_id, turn, unnest(['Top', role, 'Top', 'part ' || (turn % 2)]) AS title, unnest([0, 1, 2, 3]) AS i FROM conversations), f AS (SELECT conv_id, title, min({'t': turn, 'i': i}) AS f FROM c GROUP BY ALL)
+SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY f) AS INT) AS ord, title, upper(title) AS translation FROM f""",
 }

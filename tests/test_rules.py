@@ -151,22 +151,6 @@ def test_audit(spark):
     assert sorted(r.note for r in E.audit_notes(facts, pages, listed).collect()) == ["listed sources not extracted: Green List", "removed passages near outcomes on pages 1", "terms of exposure without a quote: 20 mg"]
 
 
-@pytest.mark.parametrize(("line", "want"), [("2.1 Outcome definitions", True), ("STUDY DESIGN", True), ("Appendix A Code lists", True), ("Is this a heading?", False), ("2.5 mg of the drug was given.", False), ("I would say that it is", False), ("Research methods", True), ("- an item of a list;", False)])
-def test_headings(line, want):
-    assert D.is_heading(line) is want
-
-
-def test_sections_of_a_document(spark):
-    pages = [(1, "1. INTRODUCTION\nwhy\n2.1 Study design\ncohort"), (2, "goes on\n2.1.1 Setting\nhospital\n1.2 Outcomes\nbleeding")]
-    rows = D.chunked(pages)
-    assert [(c["section"], c["page"]) for c in rows] == [("1. INTRODUCTION", 1), ("2.1 Study design", 1), ("2.1 Study design", 2), ("2.1.1 Setting", 2), ("1.2 Outcomes", 2)]
-    assert rows[3]["parent_section"] == "2.1 Study design" and rows[4]["warning"] == "number_regression"
-    assert [c["relevant"] for c in rows] == [False, True, True, True, True]
-    assert D.chunked([]) == [] and len(D.chunked([(1, "x" * 3000 + "\n" + "y" * 3000)])) == 2
-    df = D.sections(spark.createDataFrame([(7, p, t) for p, t in pages], "doc_id long, page int, text string"))
-    assert [r.section_id for r in df.orderBy("section_id").collect()] == [f"s{k:04d}" for k in range(1, 6)]
-
-
 def test_greedy_batches_and_budget(spark):
     df = spark.createDataFrame([([(40,), (40,), (200,), (10,)],)], "x array<struct<n:int>>")
     row = df.select(state.greedy_batches(F.col("x"), "n", 100).alias("b"), state.fitted(F.col("x"), "n", 60).alias("k")).first()
