@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +13,11 @@ from .functions import text as T
 from .operators import evidence, expansion, medicines, retrieval, sections
 from .sources import catalogue, pages, sinks
 
-#: Index fields and the columns of the studies table that fill them.
-FIELDS = {"title": "title", "metadata": "search_text", "condition": "conditions", "exposure": "exposures", "definitions": "description"}
+#: Index fields and the columns that fill them, of the studies table and of saved analyses (with a dot); lists are joined.
+FIELDS = {
+    "title": ("title",), "metadata": ("description", "study_type", "status", "countries", "data_source_types", "search_text", "analysis.population", "analysis.comparator"), "design": ("study_designs", "analysis.study_design", "analysis.statistical_analysis"),
+    "definitions": ("analysis.disease_definitions",), "data_sources": ("analysis.data_sources",), "condition": ("conditions",), "outcomes": ("outcomes", "analysis.outcomes"), "exposure": ("exposures", "analysis.exposure", "observed_exposures"), "objective": ("objective",),
+}
 
 
 @dataclass
@@ -36,34 +38,106 @@ class Engine:
         rows = new.rows.withColumn("study_id", F.trim("study_id"))
         if self._has("studies"):
             old = self._table("studies")
-            rows = catalogue.tagged(old, rows, new.kind, has_types=True)
+            rows = catalogue.tagged(old, rows, new.kind, new.has_types)
             sinks.replace_table(catalogue.upserted(old, rows, new.excluded), f"{self.root}/studies")
         else:
             tags = F.array(F.lit(new.kind)) if new.kind else F.col("data_source_types")
             sinks.replace_table(rows.withColumn("data_source_types", tags), f"{self.root}/studies")
-        self.__dict__.pop("index", None)
+        self.reindex()
         return {"imported": new.rows.count(), "excluded": new.excluded.count(), "kind": new.kind, "warnings": new.warnings}
 
-    @cached_property
-    def index(self) -> DataFrame:
-        studies = self._table("studies")
-        flat = studies.withColumns({c: F.concat_ws("\n", c) for c, t in studies.dtypes if t.startswith("array")})
-        return retrieval.postings(flat, {f: c for f, c in FIELDS.items() if c in flat.columns}, key="study_id")
+    def import_all(self, files: Sequence[str]) -> list[dict]:
+        """Import exports one after the other, untyped ones first, by name; tags accumulate in that order."""
+        return [self.import_catalogue(f) for f in sorted(files, key=lambda f: (catalogue.kind_of(f) is not None, f))]
+
+    def save_analyses(self, facts: DataFrame) -> None:
+        """Store facts (study_id, item_kind, value) of studies in place of those they had, and index their values."""
+        own = facts.select("study_id", "item_kind", "value")
+        sinks.replace_table(sinks.replace_rows(self._table("facts"), own) if self._has("facts") else own, f"{self.root}/facts")
+        self.reindex()
 
-    def search(self, query: str, role: str = "any", limit: int = 20, facets: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-        """Studies whose words stand together as the query's phrases do, by score; a blank query lists all."""
-        if role not in retrieval.ROLE_FIELDS:
-            raise EngineError("INVALID_ROLE", role)
+    def reindex(self) -> None:
+        """Build the stored index anew from studies, analyses and observations."""
+        studies = self._table("studies")
+        if self._has("facts"):
+            facts = self._table("facts").groupBy("study_id", "item_kind").agg(F.concat_ws(" ", F.array_sort(F.collect_list("value"))).alias("v"))
+            wide = facts.groupBy("study_id").agg(F.map_from_entries(F.collect_list(F.struct("item_kind", "v"))).alias("_facts"))
+            studies = studies.join(wide, "study_id", "left")
+        if self._has("observations"):
+            seen = self._table("observations").select("study_id", F.col("exposures").alias("_seen"))
+            listed = F.size("exposures") > 0
+            studies = studies.join(seen, "study_id", "left").withColumn("observed_exposures", F.flatten(F.transform(F.filter("_seen", lambda e: (e["source"] != "catalogue_text") | ~listed), lambda e: F.concat(F.array(e["term"]), e["codes"])))).drop("_seen")
+
+        def part(name: str):
+            if name.startswith("analysis."):
+                kind = {"disease_definitions": "disease_definition", "data_sources": "data_source", "outcomes": "outcome"}.get(name[9:], name[9:])
+                return F.element_at("_facts", kind) if "_facts" in studies.columns else None
+            return F.col(name) if name in studies.columns else None
+
+        columns = {f: F.concat_ws("\n", *[p for n in names if (p := part(n)) is not None]) for f, names in FIELDS.items()}
+        flat = studies.select("study_id", *(c.alias(f) for f, c in columns.items()))
+        retrieval.write_index(flat, {f: f for f in FIELDS}, f"{self.root}/index", key="study_id")
+
+    @property
+    def index(self) -> retrieval.Index:
+        return retrieval.read_index(self.spark, f"{self.root}/index")
+
+    def search(self, query: str, role: str = "any", limit: int = 20, facets: dict[str, tuple[str, ...]] | None = None, synonyms: Sequence[str] = (), codes: Sequence[str] = (), exclude: DataFrame | None = None) -> DataFrame:
+        """Studies whose words stand together as the query's phrases do, by score, with the terms each matched; a blank query lists all."""
+        if role not in retrieval.ROLE_FIELDS or len(query) > 2000:
+            raise EngineError("INVALID_INPUT", "role or query")
         studies = self._table("studies").withColumnRenamed("study_id", "id")
-        request = retrieval.Request(facets=facets or {}, limit=limit)
+        request = retrieval.Request(facets=facets or {}, limit=limit, exclude=exclude)
         if not query.strip():
-            return retrieval.search(studies.select("id", F.lit(0.0).alias("score")), studies, request)
-        groups = expansion.phrase_groups(query)
-        fields = retrieval.ROLE_FIELDS[role]
-        found = retrieval.match(self.index, retrieval.compiled(self.spark, groups, fields), fields).select("id").distinct()
-        scores = retrieval.bm25(self.index, [w for g in groups for w in g.words]).join(found, "id", "left_semi")
+            return retrieval.search(studies.select("id", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("labels")), studies, request)
+        groups = expansion.phrase_groups(query, synonyms, codes)
+        groups = [retrieval.Group(g.label, tuple(w for x in g.words for w in (T.python_canonical(x) or "").split()), g.near) for g in groups]
+        fields, index = retrieval.ROLE_FIELDS[role], self.index
+        words = [w for g in groups for w in g.words]
+        found = retrieval.attribution(retrieval.match(index.of(words), retrieval.compiled(self.spark, groups, fields), fields))
+        scores = retrieval.bm25(index, words).join(found, "id")
         return retrieval.search(scores, studies, request)
 
+    def analogous(self, query: str, terms: Sequence[str], role: str = "any", limit: int = 20) -> DataFrame:
+        """Studies that match terms like the query's concept, each as one phrase, and not the concept itself in any field."""
+        groups = [retrieval.Group(t, tuple((T.python_canonical(t) or "").split())) for t in dict.fromkeys(terms) if (T.python_canonical(t) or "")]
+        if not groups:
+            return self._table("studies").where("false").select(F.col("study_id").alias("id"))
+        concept = [retrieval.Group(g.label, tuple(w for x in g.words for w in (T.python_canonical(x) or "").split()), g.near) for g in expansion.phrase_groups(query)]
+        index, fields = self.index, retrieval.ROLE_FIELDS[role]
+        own = retrieval.match(index.of([w for g in concept for w in g.words]), retrieval.compiled(self.spark, concept)).select("id").distinct()
+        words = [w for g in groups for w in g.words]
+        found = retrieval.attribution(retrieval.match(index.of(words), retrieval.compiled(self.spark, groups, fields), fields))
+        studies = self._table("studies").withColumnRenamed("study_id", "id")
+        return retrieval.search(retrieval.bm25(index, words).join(found, "id"), studies, retrieval.Request(exclude=own, limit=limit))
+
+    def search_studies(self, query: str, limit: int = 5, most: int = 5, listed: int = 50, **options) -> dict:
+        """A preview of a search with what to do next: results, total, state, facets and unknown counts; where nothing is found, what
+        stands in for the concept (terms=) and why."""
+        if not 1 <= limit <= 20:
+            raise EngineError("INVALID_INPUT", "limit is 1 to 20")
+        terms = options.pop("terms", ())
+        every = self.search(query, limit=1000, **options)
+        counts = retrieval.unknown_counts(every, ("countries", "data_source_types")).withColumn("status", retrieval.selection_status(F.col("total"), most)).first()
+        out = {"query": query, **counts.asDict(), "results": every.limit(min(limit, most)), "facets": retrieval.facet_counts(every, ("countries", "data_source_types")), "conditions": retrieval.top_values(every, "conditions", listed), "candidates": every if counts.total <= listed else None}
+        if not counts.total:
+            unfiltered = self.search(query, limit=1000, role=options.get("role", "any")).count()
+            near = self.analogous(query, terms, options.get("role", "any"))
+            n = near.count()
+            state = "concept_filtered_out" if unfiltered else "no_analogous_terms" if not terms else "available" if n else "no_matches"
+            out["fallback"] = {"status": state, "before_filters": unfiltered, "total": n, "candidates": near}
+        return out
+
+    def compare(self, blocks: Sequence[retrieval.Block], request: retrieval.Request | None = None) -> DataFrame:
+        """Candidates of a screening question, the most promising first."""
+        studies = self._table("studies").withColumnRenamed("study_id", "id")
+        found = retrieval.screened(self.index, studies, blocks, request or retrieval.Request())
+        survey = T.folded(F.col("title")).contains("survey")
+        fit = retrieval.type_fit(F.size("data_source_types") > 0, survey)
+        none = F.lit(None)
+        key = retrieval.order_key(none.cast("boolean"), none.cast("boolean"), none.cast("string"), F.col("protocol_listed"), F.col("specific_blocks"), F.col("role_blocks"), fit, F.col("fused"), F.col("id"))
+        return found.orderBy(*key)
+
     def facets(self, names: Sequence[str] = ("countries", "data_source_types")) -> DataFrame:
         return retrieval.facet_counts(self._table("studies"), names)
 

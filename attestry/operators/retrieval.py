@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,15 +18,54 @@ ROLE_FIELDS = {"any": tuple(WEIGHTS), "outcome": ("title", "outcomes", "definiti
 K1, B, RRF = 1.2, 0.75, 20
 
 
+BUCKETS = 64
+
+
 def postings(docs: DataFrame, fields: dict[str, str], key: str = "id") -> DataFrame:
-    """id, field, pos, term for every token of the text columns; fields maps index fields to columns. One pass, no shuffle."""
-    parts = [F.struct(F.lit(f).alias("field"), T.tokens(F.coalesce(F.col(c), F.lit(""))).alias("t")) for f, c in fields.items()]
-    each = docs.select(F.col(key).alias("id"), F.explode(F.array(*parts)).alias("x"))
-    return each.select("id", F.col("x.field").alias("field"), F.posexplode("x.t").alias("pos", "term"))
+    """id, dl, field, pos, term for every token of the text columns; fields maps index fields to columns, dl is the number of
+    tokens of all fields. One pass, no shuffle."""
+    own = docs.select(F.col(key).alias("id"), *(T.tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"_{f}") for f, c in fields.items()))
+    total = F.size(f"_{next(iter(fields))}")
+    for f in list(fields)[1:]:
+        total = total + F.size(f"_{f}")
+    parts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("t")) for f in fields)))
+    return own.select("id", total.alias("dl"), parts.alias("x")).select("id", "dl", F.col("x.field").alias("field"), F.posexplode("x.t").alias("pos", "term"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings, and one row with the number of documents that have a token and their mean length."""
+
+    rows: DataFrame
+    total: DataFrame
+
+    def of(self, terms: Sequence[str]) -> DataFrame:
+        """The postings of some terms; of a stored index only the files and row groups that may hold them are read."""
+        wanted = list(dict.fromkeys(terms))
+        own = self.rows.where(F.col("term").isin(*wanted))
+        return own.where(F.col("bucket").isin(*sorted({bucket(t) for t in wanted}))).drop("bucket") if "bucket" in self.rows.columns else own
+
+
+def bucket(term: str) -> int:
+    return zlib.crc32(term.encode()) % BUCKETS
+
+
+def totals(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
+    size = sum((F.size(T.tokens(F.coalesce(F.col(c), F.lit("")))) for c in fields.values()), F.lit(0))
+    return docs.select(size.alias("dl")).where("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+
+
+def write_index(docs: DataFrame, fields: dict[str, str], path: str, key: str = "id") -> None:
+    """Store an index: postings in folders by a hash of the term, sorted by term, and the totals. Terms of any frequency are dealt
+    over several files of their folder."""
+    rows = postings(docs, fields, key).withColumn("bucket", F.pmod(F.crc32("term"), F.lit(BUCKETS)).cast("int"))
+    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id", "field", "pos")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    totals(docs, fields).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def doc_stats(index: DataFrame) -> DataFrame:
-    return index.groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"))
 
 
 @dataclass(frozen=True)
@@ -42,39 +82,65 @@ class Group:
 
 
 def compiled(spark: SparkSession, groups: Sequence[Group], fields: Sequence[str] | None = None) -> DataFrame:
-    """grp, label, term, k, distance, one row per distinct word; groups without a word match nothing."""
+    """grp, label, term, nth, k, distance, one row per distinct word; groups without a word match nothing."""
     if fields is not None and (bad := set(fields) - set(WEIGHTS)):
         raise EngineError("INVALID_ROLE", f"unknown fields: {sorted(bad)}")
-    rows = [(g, x.label, w, len(set(x.words)), x.distance) for g, x in enumerate(groups) for w in dict.fromkeys(x.words)]
-    return spark.createDataFrame(rows, "grp int, label string, term string, k int, distance int")
+    rows = [(g, x.label, w, n, len(set(x.words)), x.distance) for g, x in enumerate(groups) for n, w in enumerate(dict.fromkeys(x.words))]
+    return spark.createDataFrame(rows, "grp int, label string, term string, nth int, k int, distance int")
 
 
 def match(index: DataFrame, query: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """id, field, grp, label where all words of a group stand in one field, at most `distance` tokens between the outer two.
 
-    Postings are reduced to the query's terms before they move; the frame then runs over one document's hits.
+    Postings are reduced to the query's terms before they move. Running backwards over a field's hits, the last position seen of
+    each word is the next one of it, so one pass tells where the words stand together.
     """
     own = index if fields is None else index.where(F.col("field").isin(*fields))
-    hits = own.join(F.broadcast(query), "term")
-    w = Window.partitionBy("grp", "id", "field").orderBy("pos")
-    # the frame's reach depends on the row, so the tokens at hand are collected over the largest and cut to each
-    reach = query.agg(F.max("distance")).first()[0] or 0
-    near = hits.withColumn("ahead", F.collect_set(F.struct("pos", "term")).over(w.rangeBetween(0, reach + 1)))
-    seen = F.size(F.array_distinct(F.transform(F.filter("ahead", lambda x: x["pos"] <= F.col("pos") + F.col("distance") + 1), lambda x: x["term"])))
-    return near.where(seen == F.col("k")).select("id", "field", "grp", "label").distinct()
-
-
-def bm25(index: DataFrame, terms: Sequence[str], weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """id and score of documents with a term; statistics are of the whole index, weights of the fields."""
-    stats = doc_stats(index)
-    total = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    hits = own.join(query, "term")
+    most = query.agg(F.max("k")).first()[0] or 1
+    w = Window.partitionBy("grp", "id", "field").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = [F.when(F.col("k") > n, F.last(F.when(F.col("nth") == n, F.col("pos")), ignorenulls=True).over(w)).otherwise(F.col("pos")) for n in range(most)]
+    one = hits.where("k = 1").select("id", "field", "grp", "label").distinct()
+    if most == 1:
+        return one
+    reach = F.array_max(F.array(*ahead))
+    whole = F.forall(F.array(*ahead), lambda x: x.isNotNull())
+    near = hits.where("k > 1").withColumn("_ok", whole & (reach <= F.col("pos") + F.col("distance") + 1))
+    return one.union(near.where("_ok").select("id", "field", "grp", "label").distinct())
+
+
+def bm25_lists(index: DataFrame, lists: DataFrame, total: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """list, id and score of documents with a term of a list; lists (list, term), total as of an Index. Weights are the fields'."""
     weight = F.element_at(F.create_map(*[x for f, v in weights.items() for x in (F.lit(f), F.lit(v))]), F.col("field"))
-    tf = index.where(F.col("term").isin(*dict.fromkeys(terms))).groupBy("id", "term").agg(F.sum(F.coalesce(weight, F.lit(1.0))).alias("tf"))
+    tf = index.groupBy("id", "term").agg(F.sum(F.coalesce(weight, F.lit(1.0))).alias("tf"), F.first("dl").alias("dl"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    joined = tf.join(F.broadcast(df), "term").join(stats, "id").crossJoin(F.broadcast(total))
-    return joined.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+    scaled = df.join(total).select("term", idf.alias("idf"), "avgdl")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return tf.join(scaled, "term").join(lists.distinct(), "term").groupBy("list", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25(index: Index, terms: Sequence[str], weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """id and score of documents with a term; statistics are of the whole index."""
+    spark = index.rows.sparkSession
+    lists = spark.createDataFrame([(0, t) for t in dict.fromkeys(terms)], "list int, term string")
+    return bm25_lists(index.of(terms), lists, index.total, weights).select("id", "score")
+
+
+def ranks(rows: DataFrame, by: Sequence[str], score: str, key: str = "id", cuts: int = 64) -> DataFrame:
+    """rows with rank within by, best score first, ties by key as text; a list of any length is ranked by many tasks.
+
+    Quantiles of the scores cut each list; what precedes a piece is counted, and ranks within pieces are added. Pieces are
+    functions of the score, so the ranks are exact.
+    """
+    by = list(by)
+    quantiles = rows.groupBy(*by).agg(F.percentile_approx(score, [k / cuts for k in range(1, cuts)], 2000).alias("_q"))
+    own = rows.join(quantiles, by).withColumn("_b", F.size(F.filter("_q", lambda x: x > F.col(score)))).drop("_q")
+    sizes = own.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = own.join(sizes.select(*by, "_b", before.alias("_before")), [*by, "_b"])
+    within = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(F.desc(score), F.col(key).cast("string")))
+    return placed.withColumn("rank", (F.col("_before") + within).cast("int")).drop("_b", "_before")
 
 
 def attribution(matches: DataFrame) -> DataFrame:
@@ -88,32 +154,132 @@ class Request:
 
     exclude: DataFrame | None = None
     statuses: tuple[str, ...] = ()
+    network_only: bool = False
     analysed: DataFrame | None = None
     facets: dict[str, tuple[str, ...]] = field(default_factory=dict)
     limit: int = 20
 
 
-def search(scores: DataFrame, studies: DataFrame, request: Request, key: str = "id") -> DataFrame:
-    """Scores with their studies, filtered, best first; ties by id as text."""
-    if not 1 <= request.limit <= 1000:
-        raise EngineError("INVALID_ARGUMENT", "limit is 1 to 1000")
+def filtered(scores: DataFrame, studies: DataFrame, request: Request, key: str = "id") -> DataFrame:
+    """Scores with their studies, less what the request excludes: ids, other scopes (in_scope), networks, statuses, studies without
+    an analysis, and facets. A study without designs has that of its analysis (analysis_design)."""
     out = scores.join(studies, key)
     if request.exclude is not None:
         out = out.join(request.exclude.select(key), key, "left_anti")
+    if "in_scope" in out.columns:
+        out = out.where("in_scope")
+    if request.network_only:
+        out = out.where(F.coalesce("network", F.lit(False)))
     if request.statuses:
-        out = out.where(F.lower("status").isin(*(s.lower() for s in request.statuses)))
+        out = out.where(T.folded(F.col("status")).isin(*(s.casefold() for s in request.statuses)))
     if request.analysed is not None:
         out = out.join(request.analysed.select(key), key, "left_semi")
+    if {"study_designs", "analysis_design"} <= set(out.columns):
+        out = out.withColumn("study_designs", F.when((F.size("study_designs") == 0) & F.col("analysis_design").isNotNull(), F.array("analysis_design")).otherwise(F.col("study_designs")))
     for name, values in request.facets.items():
         if values:
             out = out.where(F.arrays_overlap(name, F.array(*map(F.lit, values))))
-    return out.orderBy(F.desc("score"), F.col(key).cast("string")).limit(request.limit)
+    return out
+
+
+def search(scores: DataFrame, studies: DataFrame, request: Request, key: str = "id") -> DataFrame:
+    """filtered(), best first; ties by id as text."""
+    if not 1 <= request.limit <= 1000:
+        raise EngineError("INVALID_ARGUMENT", "limit is 1 to 1000")
+    return filtered(scores, studies, request, key).orderBy(F.desc("score"), F.col(key).cast("string")).limit(request.limit)
 
 
-def fused(lists: DataFrame, by: Sequence[Column], keys: Sequence[str] = ("list",), k: int = RRF) -> DataFrame:
+def enriched(found: DataFrame, analyses: DataFrame, observations: DataFrame, attributed: DataFrame, basis: str = "concept", key: str = "id") -> DataFrame:
+    """What a result tells beside its study: whether it is analysed and with which sources, what was observed of its document, and
+    which terms it matched and where they are from.
+
+    analyses (key, data_sources, protocol_id), observations (key, protocol_found, text_layer, exposures array of term and
+    source), attributed (key, terms, sources map). Medicines that were read from the catalogue's text hold only while the
+    catalogue lists none. Side tables are joined once, not row by row.
+    """
+    out = found.join(analyses.select(key, "data_sources", "protocol_id", F.lit(True).alias("_a")), key, "left").join(observations, key, "left").join(attributed, key, "left")
+    listed = F.coalesce(F.size("found_exposures"), F.lit(0)) > 0 if "found_exposures" in out.columns else F.lit(False)
+    analysed = F.coalesce("_a", F.lit(False))
+    return out.withColumns({
+        "observed_exposures": F.filter("exposures_seen", lambda e: (e["source"] != "catalogue_text") | ~listed), "analysis_available": analysed, "protocol_data_sources_status": F.when(analysed, "extracted").otherwise("not_analyzed"),
+        "data_source_types_status": F.when(F.size("data_source_types") > 0, "available").otherwise("not_provided"), "match_basis": F.lit(basis), "matched_terms": F.coalesce("terms", F.array().cast("array<string>")),
+    }).drop("_a", "exposures_seen", "terms")
+
+
+def fused(lists: DataFrame, score: str, keys: Sequence[str] = ("list",), k: int = RRF) -> DataFrame:
     """id and the sum of 1 / (k + rank) over ranked lists."""
-    w = Window.partitionBy(*keys).orderBy(*by)
-    return lists.withColumn("rank", F.row_number().over(w)).groupBy("id").agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 4).alias("fused"))
+    return ranks(lists, keys, score).groupBy("id").agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 4).alias("fused"))
+
+
+def screened(index: Index, studies: DataFrame, blocks: Sequence["Block"], request: Request) -> DataFrame:
+    """Candidates present in every block: id, specific_blocks, role_blocks, fused, terms and the columns of studies.
+
+    Every term of every block is one list: documents whose words stand together, scored, filtered, then ranked. Lists of all
+    blocks are made by one pass over the postings; whether a specific term stands in the fields of the block's role comes from the
+    same matches. A term that a specific list found is specific, another one is a category.
+    """
+    spark = index.rows.sparkSession
+    rows = [(b, t, tier, block.role) for b, block in enumerate(blocks) for tier, terms in (("specific", block.queries), ("category", block.category_terms)) for t in terms]
+    if not rows or any(not t.strip() or len(t) > 500 for _, t, _, _ in rows) or any(not b.queries for b in blocks):
+        raise EngineError("INVALID_INPUT", "every block needs a query, and no term is blank or over 500 characters")
+    groups = [Group(t, tuple((T.python_canonical(t) or "").split())) for _, t, _, _ in rows]
+    told = spark.createDataFrame([(g, b, t, tier, list(ROLE_FIELDS[role]), role == "any") for g, (b, t, tier, role) in enumerate(rows)], "list int, block int, term string, tier string, fields array<string>, any boolean")
+    words = [(g, w) for g, x in enumerate(groups) for w in dict.fromkeys(x.words)]
+    own = index.of([w for _, w in words])
+    met = match(own, compiled(spark, groups)).withColumnRenamed("grp", "list").join(told.select("list", "fields", "any", "tier"), "list")
+    seen = met.groupBy("list", "id").agg(F.max(F.col("any") | F.array_contains("fields", F.col("field"))).alias("in_role"))
+    scored = bm25_lists(own, spark.createDataFrame(words, "list int, term string"), index.total).join(seen, ["list", "id"])
+    kept = filtered(scored, studies, request)
+    ranked = ranks(kept.select("list", "id", "score", "in_role"), ["list"], "score").join(told, "list")
+    part = 1 / (F.lit(RRF) + F.col("rank"))
+    specific = F.col("tier") == "specific"
+    common = ranked.groupBy("id").agg(
+        F.countDistinct("block").alias("_b"), F.countDistinct(F.when(specific, F.col("block"))).alias("specific_blocks"), F.countDistinct(F.when(specific & F.col("in_role"), F.col("block"))).alias("role_blocks"), F.round(F.sum(part), 4).alias("fused"),
+        F.array_sort(F.collect_set(F.struct("block", "list", "term"))).alias("_t"), F.collect_set(F.when(specific, F.col("term"))).alias("_s"),
+    ).where(F.col("_b") == len(blocks))
+    terms = F.array_distinct(F.transform("_t", lambda x: x["term"]))
+    out = common.withColumn("terms", terms).withColumn("category_terms", F.array_except("terms", "_s")).drop("_b", "_t", "_s")
+    return out.join(studies, "id")
+
+
+@dataclass(frozen=True)
+class Block:
+    """One concept of a question: its terms are alternatives, blocks are required together."""
+
+    queries: tuple[str, ...]
+    category_terms: tuple[str, ...] = ()
+    role: str = "any"
+
+
+def rechecked(rows: DataFrame, status: DataFrame, key: str = "id") -> DataFrame:
+    """rows with protocol_available by a table of outcomes (key, code): true where a document was found, false where none is or the
+    study is out of scope, null for any other error; a study without a document is not found."""
+    out = rows.join(status.select(key, "code", F.lit(True).alias("_s")), key, "left")
+    gone = F.col("code").isin("PROTOCOL_NOT_FOUND", "STUDY_OUT_OF_SCOPE")
+    found = F.when(F.col("_s") & F.col("code").isNull(), True).when(F.col("code") == "PROTOCOL_NOT_FOUND", False)
+    before = F.col("protocol_found") if "protocol_found" in rows.columns else F.lit(None).cast("boolean")
+    return out.withColumns({"protocol_available": F.when(F.col("_s") & F.col("code").isNull(), True).when(gone, False), "protocol_found": F.coalesce(found, before), "out_of_scope": F.coalesce(F.col("code") == "STUDY_OUT_OF_SCOPE", F.lit(False))}).drop("code", "_s")
+
+
+# fixed values: spellings of countries that differ from the catalogue's, by the name it has
+COUNTRIES = {"united kingdom": ("uk", "great britain", "英国"), "united states": ("us", "usa", "united states of america", "米国"), "germany": ("deutschland", "ドイツ"), "france": ("フランス",), "spain": ("españa", "スペイン"), "italy": ("italia", "イタリア"), "netherlands": ("holland", "オランダ"), "czechia": ("czech republic",)}
+
+
+def country(c: Column, names: dict[str, Sequence[str]] = COUNTRIES) -> Column:
+    """The canonical name of a country; unknown ones pass through in normal form."""
+    flat = T.canonical(c)
+    pairs = [F.lit(x) for name, aliases in names.items() for a in aliases for x in (T.python_canonical(a), name)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), flat), flat)
+
+
+def attributes(rows: DataFrame, sources: dict[str, Sequence[str]], designs: dict[str, Sequence[str]], typed: Sequence[str]) -> DataFrame:
+    """rows with countries, source categories and design categories in place of what the catalogue says."""
+    return rows.withColumns({"countries": F.array_sort(F.array_distinct(F.transform("countries", lambda c: country(c)))), "data_source_types": bucketed(categories(F.col("data_source_types"), sources), typed), "study_designs": categories(F.col("study_designs"), designs)})
+
+
+def top_values(rows: DataFrame, column: str, k: int = 50) -> DataFrame:
+    """value, n of the most frequent canonical values of an array column; ties by value."""
+    return rows.select(F.explode(F.transform(column, T.canonical)).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
 
 
 def in_every_block(rows: DataFrame, blocks: int) -> DataFrame:
@@ -136,18 +302,6 @@ def order_key(available: Column, found: Column, layer: Column, listed: Column, s
     return [unusable.asc(), specific.desc(), role.desc(), unlisted.asc(), fit.desc(), F.round(fused_, 4).desc(), key.cast("string").asc()]
 
 
-def rank_block(search_list: Callable[[str], DataFrame], queries: Sequence[str], categories: Sequence[str]) -> DataFrame:
-    """Fused ranking of one block; search_list gives a ranked list (id, rank) for a term."""
-    out = None
-    for tier, terms in (("specific", queries), ("category", categories)):
-        for term in terms:
-            one = search_list(term).select("id", (1 / (F.lit(RRF) + F.col("rank"))).alias("part"), F.lit(term).alias("term"), F.lit(tier).alias("tier"))
-            out = one if out is None else out.union(one)
-    if out is None:
-        raise EngineError("INVALID_ARGUMENT", "a block needs a query")
-    return out.groupBy("id").agg(F.round(F.sum("part"), 4).alias("fused"), F.max(F.col("tier") == "specific").alias("specific"), F.array_sort(F.collect_set("term")).alias("terms"))
-
-
 def facet_counts(rows: DataFrame, attributes: Sequence[str]) -> DataFrame:
     """facet, value, n: rows per value of array columns; a row counts once for each of its values."""
     stacked = F.explode(F.array(*(F.struct(F.lit(a).alias("facet"), F.array_distinct(a).alias("values")) for a in attributes)))

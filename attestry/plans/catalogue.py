@@ -23,12 +23,37 @@ def split_values(spark, sf_dir):
 
 
 def header_alias(spark, sf_dir):
-    headers = ["Study ID", "Official title and acronym", "Study type", "Country", "Countries", "Status", "status"]
+    headers = ["Study ID", "Official title and acronym", "Study type", "Study countries", "Countries", "Status", "status"]
     at, repeated = C.resolved_headers(headers)
     rows = [(f, headers[k], k) for f, k in at.items()] + [("(repeated)", h, -1) for h in repeated]
     return spark.createDataFrame(rows, "field string, header string, position int")
 
 
+def unmatched_log(spark, sf_dir):
+    """Titles of documents as queries; a language's number of letters stands for what matched."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("dictionaries"), (F.col("doc_id") % 2).alias("groups"), (F.col("doc_id") % 3).alias("concepts"), F.lit(0).alias("medicines"))
+    return C.to_log(docs).select("doc_id", "text")
+
+
+def bundle_refresh(spark, sf_dir):
+    """Nations as the own table, regions as a bundle whose import is newer."""
+    own, bundle = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), table(spark, sf_dir, "region").select(F.col("r_name").alias("name"))
+    log = table(spark, sf_dir, "events")
+    return C.replaced_if_newer(own, bundle, log.where("event_type = 'error'"), log, "ts")
+
+
+def export_days(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    name = F.when(F.col("event_id") % 3 == 0, F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("_claims.csv"))).otherwise(F.concat("event_type", F.lit("_2020.csv")))
+    return ev.select("event_id", C.export_day(name, F.col("ts") + F.expr("interval 1 day")).alias("day"), F.when(C_kind(name) == "claims", "claims").alias("kind"))
+
+
+def C_kind(name):
+    """kind_of() as an expression: the one kind that a name holds as a word."""
+    words = F.array_intersect(F.split(F.lower(name), r"[_\-. ]+"), F.array(*map(F.lit, C.KINDS)))
+    return F.when(F.size(words) == 1, words[0])
+
+
 def _customers(spark, sf_dir):
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     last = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"), F.count(F.lit(1)).alias("orders"))
@@ -96,7 +121,7 @@ def unmatched_summary(spark, sf_dir):
     return C.unmatched_summary(C.unmatched_terms(ev, "term", "event_type", "ts"), "term").select("term", "n", "last_seen")
 
 
-QUERIES = {f.__name__: f for f in (split_values, header_alias, upsert_merge, tag_accumulation, newest_per_kind, freshness_state, html_fields, link_cards, latest_version, observation_merge, backoff_states, unmatched_summary)}
+QUERIES = {f.__name__: f for f in (split_values, header_alias, upsert_merge, tag_accumulation, newest_per_kind, freshness_state, html_fields, link_cards, latest_version, observation_merge, backoff_states, unmatched_summary, unmatched_log, bundle_refresh, export_days)}
 
 _PLAIN = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"
 _TAG = lambda t: _PLAIN.format(rf"regexp_extract(html, '(?is)<{t}\b[^>]*>(.*?)</{t}>', 1)")
@@ -144,4 +169,15 @@ SELECT user_id, CASE WHEN b.version > l.version THEN coalesce(b.value, l.value)
   CASE WHEN b.version > l.version THEN coalesce(b.event_id, l.event_id) ELSE coalesce(l.event_id, b.event_id) END AS event_id, greatest(b.version, l.version) AS version
 FROM b FULL JOIN l USING (user_id)""",
     "unmatched_summary": "SELECT event_type || ' ' || json_extract_string(props, '$.k') AS term, count(*) AS n, max(ts) AS last_seen FROM events GROUP BY 1 ORDER BY n DESC, last_seen, term LIMIT 20",
+    "header_alias": "SELECT * FROM (VALUES ('study_id', 'Study ID', 0), ('title', 'Official title and acronym', 1), ('study_type', 'Study type', 2), ('countries', 'Study countries', 3), ('status', 'status', 6), ('(repeated)', 'status', -1)) t(field, header, position)",
+    "unmatched_log": r"""WITH t AS (SELECT doc_id, substr(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, 200) AS text FROM documents) SELECT * FROM t WHERE doc_id % 6 = 0 AND text <> '' AND text <> regexp_replace(text, '[^\x00-\x7F]', '', 'g')""",
+    "bundle_refresh": "SELECT r_name AS name FROM region WHERE (SELECT max(ts) FROM events) > (SELECT max(ts) FROM events WHERE event_type = 'error') UNION ALL SELECT n_name FROM nation WHERE (SELECT max(ts) FROM events) <= (SELECT max(ts) FROM events WHERE event_type = 'error')",
+    "export_days": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y%m%d') ELSE strftime(ts + INTERVAL 1 DAY, '%Y%m%d') END AS day, CASE WHEN event_id % 3 = 0 THEN 'claims' END AS kind FROM events",
+    "backoff_states": """
+WITH RECURSIVE e AS (SELECT user_id, event_type = 'error' AS l, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (
+  SELECT user_id, 0 AS k, 0 AS limits, 0 AS pauses, 0 AS in_row, 0 AS had, false AS stopped, 0 AS done FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT s.user_id, e.k, limits + CAST(l AS INT), pauses + CAST(l AND in_row >= 1 AND had < 3 AS INT), CASE WHEN l THEN in_row + 1 ELSE 0 END, CASE WHEN l THEN had + CAST(in_row >= 1 AND had < 3 AS INT) ELSE 0 END, l AND in_row >= 1 AND had >= 3, done + CAST(NOT l AS INT)
+  FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1 WHERE NOT stopped)
+SELECT user_id, CAST(limits AS INT) AS limits, CAST(pauses AS INT) AS pauses, stopped, CAST(done AS INT) AS done FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""",
 }

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import retrieval as R
+
+_STORED: dict[tuple[str, str], str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,6 +21,25 @@ def title(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*([^\n]+)", 1)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; in a local session without one a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or tempfile.mkdtemp(prefix="attestry-")).rstrip("/")
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> R.Index:
+    """The index of the documents' titles and texts, stored once in an application for each folder of tables."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _STORED:
+        path = f"{shared_dir(spark)}/index-{hashlib.sha256(repr(at).encode()).hexdigest()[:16]}"
+        docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        R.write_index(docs.withColumn("title", title(F.col("text"))), {"title": "title", "definitions": "text"}, path, key="doc_id")
+        _STORED[at] = path
+    return R.read_index(spark, _STORED[at])
+
+
 def fold(c: str) -> str:
     return f"replace(lower({c}), 'ß', 'ss')"
 

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
-from .common import INDEX, canon, quote, table, title
+from .common import INDEX, canon, quote, stored_index, table
 
 GROUPS = (R.Group("that with the", ("that", "with", "the")), R.Group("der und die", ("der", "und", "die")), R.Group("que les", ("que", "les")), R.Group("tion", ("tion",)))
 TERMS = ("with", "from", "von", "que")
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return R.postings(docs.withColumn("title", title(F.col("text"))), {"title": "title", "definitions": "text"}, key="doc_id")
-
-
 def _values(groups) -> str:
     return ", ".join(f"({g}, '{x.label}', '{w}', {len(set(x.words))}, {x.distance})" for g, x in enumerate(groups) for w in dict.fromkeys(x.words))
 
@@ -39,38 +33,71 @@ def canonical_text(spark, sf_dir):
     return docs.select("doc_id", F.sha2(T.canonical(F.col("text")), 256).alias("canonical_sha256"), F.sha2(T.normalize_quote(F.col("text")), 256).alias("quote_sha256"), T.quote_length(F.col("text")).cast("long").alias("quote_chars"))
 
 
+def _matched(spark, sf_dir, groups, fields=None):
+    own = stored_index(spark, sf_dir).of([w for g in groups for w in g.words])
+    return R.match(own, R.compiled(spark, groups, fields), fields)
+
+
 def near_match(spark, sf_dir):
-    found = R.match(_index(spark, sf_dir), R.compiled(spark, GROUPS))
-    return found.select("id", "field", "label")
+    return _matched(spark, sf_dir, GROUPS).select("id", "field", "label")
 
 
 def role_scoped_match(spark, sf_dir):
-    found = R.match(_index(spark, sf_dir), R.compiled(spark, GROUPS, ("title",)), ("title",))
-    return found.select("id", "label").distinct()
+    return _matched(spark, sf_dir, GROUPS, ("title",)).select("id", "label").distinct()
 
 
 def bm25_rank(spark, sf_dir):
-    return R.bm25(_index(spark, sf_dir), TERMS)
+    return R.bm25(stored_index(spark, sf_dir), TERMS)
 
 
 def matched_terms(spark, sf_dir):
-    return R.attribution(R.match(_index(spark, sf_dir), R.compiled(spark, GROUPS))).select("id", F.array_join("labels", "; ").alias("labels"))
+    return R.attribution(_matched(spark, sf_dir, GROUPS)).select("id", F.array_join("labels", "; ").alias("labels"))
 
 
 def search_filtered(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     studies = docs.select(F.col("doc_id").alias("id"), F.array("lang").alias("country"), F.col("source").alias("status"))
     request = R.Request(analysed=labels.select(F.col("doc_id").alias("id")), exclude=labels.where("toxic = 1").select(F.col("doc_id").alias("id")), facets={"country": ("en", "de")}, limit=20)
-    return R.search(R.bm25(_index(spark, sf_dir), TERMS), studies, request).select("id", "score")
+    return R.search(R.bm25(stored_index(spark, sf_dir), TERMS), studies, request).select("id", "score")
 
 
 def analogous_only(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    concept = R.match(index, R.compiled(spark, [R.Group("with", ("with",))])).select("id").distinct()
-    near = R.match(index, R.compiled(spark, [R.Group("from", ("from",)), R.Group("by the", ("by", "the"))]))
+    concept = _matched(spark, sf_dir, [R.Group("with", ("with",))]).select("id").distinct()
+    near = _matched(spark, sf_dir, [R.Group("from", ("from",)), R.Group("by the", ("by", "the"))])
     return R.attribution(near.join(concept, "id", "left_anti")).select("id", F.array_join("labels", "; ").alias("labels"))
 
 
+def screening(spark, sf_dir):
+    """Two blocks of which one has a category; documents of toxic labels are out, and ranks are of what is left."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    studies = docs.select(F.col("doc_id").alias("id"), (F.col("source") != "source-3").alias("in_scope"))
+    blocks = (R.Block(("with the", "from"), ("that",), "outcome"), R.Block(("by", "this"), ("of the",), "any"))
+    found = R.screened(stored_index(spark, sf_dir), studies, blocks, R.Request(exclude=labels.where("toxic = 1").select(F.col("doc_id").alias("id"))))
+    return found.select("id", "specific_blocks", "role_blocks", "fused", F.array_join("terms", "; ").alias("terms"), F.array_join("category_terms", "; ").alias("category_terms"))
+
+
+def search_enriched(spark, sf_dir):
+    """Results with what is known of each: labels as analyses, sources as observations, the conversation's terms as matches."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("data_source_types"), F.when(F.col("doc_id") % 2 == 0, F.array("source")).otherwise(F.array().cast("array<string>")).alias("found_exposures"))
+    analyses = labels.select(F.col("doc_id").alias("id"), F.array(F.col("quality").cast("string")).alias("data_sources"), F.concat(F.lit("p"), F.col("doc_id")).alias("protocol_id"))
+    seen = docs.where("doc_id % 5 < 3").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 5 == 0).alias("protocol_found"), F.lit("full").alias("text_layer"), F.array(F.struct(F.col("lang").alias("term"), F.lit("catalogue_text").alias("source")), F.struct(F.col("source").alias("term"), F.lit("protocol_pass_table").alias("source"))).alias("exposures_seen"))
+    attributed = R.attribution(_matched(spark, sf_dir, GROUPS)).select("id", F.col("labels").alias("terms"))
+    out = R.enriched(found, analyses, seen, attributed)
+    return out.select("id", "analysis_available", "protocol_found", "protocol_data_sources_status", "data_source_types_status", F.array_join(F.transform("observed_exposures", lambda e: e["term"]), ",").alias("exposures"), F.array_join("matched_terms", "; ").alias("terms"), "protocol_id")
+
+
+def availability_rerank(spark, sf_dir):
+    """Customers as candidates and the last status of their orders as the outcome of a check; unusable ones come last."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") > 20, False).alias("protocol_found"), (F.col("c_nationkey") % 3).alias("specific"), F.round("c_acctbal", 2).alias("fused"))
+    code = F.when(F.col("o_orderstatus") == "F", "PROTOCOL_NOT_FOUND").when(F.col("o_orderstatus") == "P", "STUDY_OUT_OF_SCOPE").when(F.col("o_orderpriority").startswith("1"), "OTHER")
+    status = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max_by(F.struct(code.alias("code")), F.struct("o_orderdate", "o_orderkey")).alias("x")).select("id", "x.code")
+    none = F.lit(None)
+    out = R.rechecked(rows, status)
+    key = R.order_key(F.col("protocol_available"), F.col("protocol_found"), none.cast("string"), none.cast("boolean"), F.col("specific"), F.col("specific") * 0, F.col("specific") * 0, F.col("fused"), F.col("id"))
+    return out.orderBy(*key).limit(200).select("id", "protocol_available", "protocol_found", "out_of_scope")
+
+
 def _source_type():
     return F.element_at(F.array(*map(F.lit, ("claims", "ehr", "registry", "survey"))), (F.regexp_extract("source", r"(\d+)", 1).cast("int") % 4) + 1)
 
@@ -99,20 +126,33 @@ def selection_summary(spark, sf_dir):
     return R.unknown_counts(raw, ("countries", "types", "sizes")).withColumn("status", R.selection_status(F.col("total"), 5))
 
 
+def country_facets(spark, sf_dir):
+    """Nations as countries under other names, and documents' sources and designs as categories."""
+    nation = table(spark, sf_dir, "nation")
+    rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    alias = F.when(F.col("n_name") == "UNITED STATES", F.element_at(F.array(*map(F.lit, ("USA", "U.S.A", "us"))), (F.col("c_custkey") % 3).cast("int") + 1)).when(F.col("n_name") == "GERMANY", "Deutschland").otherwise(F.col("n_name"))
+    raw = rows.select("c_custkey", F.array(alias, F.col("n_name")).alias("countries"), F.array(F.concat(F.lit("National "), F.lower("c_mktsegment"), F.lit(" register"))).alias("data_source_types"), F.array(F.concat("c_mktsegment", F.lit("-study"))).alias("study_designs"))
+    out = R.attributes(raw, {"claims": ("furniture", "machinery"), "registry": ("household register", "building")}, {"cohort": ("building study",), "other": ("household",)}, ("claims", "ehr", "registry"))
+    return out.select("c_custkey", F.array_join("countries", ",").alias("countries"), F.array_join("data_source_types", ",").alias("types"), F.array_join("study_designs", ",").alias("designs"))
+
+
+def top_conditions(spark, sf_dir):
+    return R.top_values(table(spark, sf_dir, "part").select(F.array("p_name", F.upper("p_type"), F.col("p_type")).alias("conditions")), "conditions")
+
+
 def _lists(spark, sf_dir):
-    index = _index(spark, sf_dir).where(F.col("term").isin("with", "from", "this", "that"))
+    index = stored_index(spark, sf_dir).of(("with", "from", "this", "that"))
     return index.groupBy("id", F.col("term").alias("list")).agg(F.count(F.lit(1)).alias("tf"), F.max(F.col("field") == "title").alias("in_role"))
 
 
 def rrf_fusion(spark, sf_dir):
-    return R.fused(_lists(spark, sf_dir), [F.desc("tf"), F.col("id").cast("string")])
+    return R.fused(_lists(spark, sf_dir), "tf")
 
 
 def _blocks(spark, sf_dir):
-    w = Window.partitionBy("list").orderBy(F.desc("tf"), F.col("id").cast("string"))
     block = F.when(F.col("list").isin("with", "from"), 1).otherwise(2)
     tier = F.when(F.col("list").isin("with", "this"), "specific").otherwise("category")
-    ranked = _lists(spark, sf_dir).withColumn("part", 1 / (F.lit(R.RRF) + F.row_number().over(w)))
+    ranked = R.ranks(_lists(spark, sf_dir), ["list"], "tf").withColumn("part", 1 / (F.lit(R.RRF) + F.col("rank")))
     return R.in_every_block(ranked.select("id", block.alias("block"), tier.alias("tier"), "in_role", "part"), 2)
 
 
@@ -125,11 +165,11 @@ def screened_order(spark, sf_dir):
     rows = _blocks(spark, sf_dir).join(docs.select(F.col("doc_id").alias("id"), "lang", _source_type().alias("t")), "id").join(labels.select(F.col("doc_id").alias("id"), "quality", "toxic"), "id", "left")
     fit = R.type_fit(F.col("t") != "survey", F.col("lang") == "fr")
     key = R.order_key(F.col("toxic") == 0, F.when(F.col("quality") == 1, True), F.when(F.col("lang") == "es", "none"), F.col("quality") == 1, F.col("specific_blocks"), F.col("role_blocks"), fit, F.col("fused"), F.col("id"))
-    # one list for the reader: a global order is what the operator returns
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*key))).select("id", "rank", "fused")
+    # one list for the reader, of what a page of candidates shows
+    return rows.orderBy(*key).limit(200).select("id", "fused")
 
 
-QUERIES = {f.__name__: f for f in (canonical_text, near_match, role_scoped_match, bm25_rank, matched_terms, search_filtered, analogous_only, facet_filter, facet_counts, selection_summary, rrf_fusion, block_intersection, screened_order)}
+QUERIES = {f.__name__: f for f in (canonical_text, near_match, role_scoped_match, bm25_rank, matched_terms, search_filtered, analogous_only, screening, search_enriched, availability_rerank, country_facets, top_conditions, facet_filter, facet_counts, selection_summary, rrf_fusion, block_intersection, screened_order)}
 
 _BM25 = f"""
 stats AS (SELECT id, count(*) AS dl FROM idx GROUP BY id),
@@ -166,5 +206,28 @@ SELECT count(*) AS total, CAST(count(*) FILTER (lang = 'fr' OR lang IS NULL) AS
     "screened_order": f"""
 WITH {INDEX}, {_LISTS}, {_BLOCKS},
 x AS (SELECT b.*, d.lang, {_SOURCE} AS t, quality, toxic FROM blocks b JOIN documents d ON d.doc_id = b.id LEFT JOIN labels l ON l.doc_id = b.id)
-SELECT id, CAST(row_number() OVER (ORDER BY coalesce(toxic <> 0, false) OR lang = 'es', specific_blocks DESC, role_blocks DESC, coalesce(quality <> 1, false), CAST(t <> 'survey' AS INT) - CAST(lang = 'fr' AS INT) DESC, fused DESC, CAST(id AS VARCHAR)) AS INT) AS rank, fused FROM x""",
+SELECT id, fused FROM x ORDER BY coalesce(toxic <> 0, false) OR lang = 'es', specific_blocks DESC, role_blocks DESC, coalesce(quality <> 1, false), CAST(t <> 'survey' AS INT) - CAST(lang = 'fr' AS INT) DESC, fused DESC, CAST(id AS VARCHAR) LIMIT 200""",
+    "screening": f"""
+WITH {INDEX}, {_near([R.Group(t, tuple(t.split())) for t in ("with the", "from", "that", "by", "this", "of the")])},
+stats AS (SELECT id, count(*) AS dl FROM idx GROUP BY id), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM stats),
+l(list, block, term, specific, role) AS (VALUES (0, 0, 'with the', true, true), (1, 0, 'from', true, true), (2, 0, 'that', false, true), (3, 1, 'by', true, false), (4, 1, 'this', true, false), (5, 1, 'of the', false, false)),
+tf AS (SELECT id, term, sum(CASE field WHEN 'title' THEN 3.0::DOUBLE ELSE 4.0::DOUBLE END) AS tf FROM idx WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT grp, id, round(sum(greatest(1e-6::DOUBLE, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN stats USING (id) JOIN q USING (term), tot GROUP BY grp, id),
+hh AS (SELECT DISTINCT s.grp AS list, s.id, score FROM s JOIN m ON m.grp = s.grp AND m.id = s.id JOIN documents d ON d.doc_id = s.id WHERE d.source <> 'source-3' AND s.id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+r AS (SELECT hh.*, row_number() OVER (PARTITION BY list ORDER BY score DESC, CAST(id AS VARCHAR)) AS rank FROM hh)
+SELECT id, count(DISTINCT block) FILTER (specific) AS specific_blocks, count(DISTINCT block) FILTER (specific) AS role_blocks, round(sum(1.0::DOUBLE / (20 + rank)), 4) AS fused, string_agg(term, '; ' ORDER BY block, list) AS terms, coalesce(string_agg(term, '; ' ORDER BY block, list) FILTER (NOT specific), '') AS category_terms
+FROM r JOIN l USING (list) GROUP BY id HAVING count(DISTINCT block) = 2""",
+    "search_enriched": f"""
+WITH {INDEX}, {_near(GROUPS)}, a AS (SELECT id, string_agg(label, '; ' ORDER BY grp) AS terms FROM (SELECT DISTINCT id, grp, label FROM m) GROUP BY id)
+SELECT d.doc_id AS id, l.doc_id IS NOT NULL AS analysis_available, CASE WHEN d.doc_id % 5 < 3 THEN d.doc_id % 5 = 0 END AS protocol_found, CASE WHEN l.doc_id IS NULL THEN 'not_analyzed' ELSE 'extracted' END AS protocol_data_sources_status,
+  CASE WHEN d.doc_id % 3 = 0 THEN 'available' ELSE 'not_provided' END AS data_source_types_status, CASE WHEN d.doc_id % 5 >= 3 THEN NULL WHEN d.doc_id % 2 = 0 THEN source ELSE lang || ',' || source END AS exposures, coalesce(a.terms, '') AS terms, CASE WHEN l.doc_id IS NOT NULL THEN 'p' || d.doc_id END AS protocol_id
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN a ON a.id = d.doc_id""",
+    "availability_rerank": """
+WITH s AS (SELECT o_custkey AS id, arg_max({'c': CASE WHEN o_orderstatus = 'F' THEN 'PROTOCOL_NOT_FOUND' WHEN o_orderstatus = 'P' THEN 'STUDY_OUT_OF_SCOPE' WHEN o_orderpriority LIKE '1%' THEN 'OTHER' END}, {'d': o_orderdate, 'k': o_orderkey}) AS x FROM orders GROUP BY 1),
+r AS (SELECT c_custkey AS id, c_nationkey % 3 AS specific, c_acctbal, CASE WHEN s.id IS NULL THEN NULL WHEN x.c IS NULL THEN true WHEN x.c IN ('PROTOCOL_NOT_FOUND', 'STUDY_OUT_OF_SCOPE') THEN false END AS a, coalesce(CASE WHEN s.id IS NOT NULL AND x.c IS NULL THEN true WHEN x.c = 'PROTOCOL_NOT_FOUND' THEN false END, CASE WHEN c_nationkey > 20 THEN false END) AS f, coalesce(x.c = 'STUDY_OUT_OF_SCOPE', false) AS o FROM customer LEFT JOIN s ON s.id = c_custkey)
+SELECT id, a AS protocol_available, f AS protocol_found, o AS out_of_scope FROM r ORDER BY coalesce(NOT a, false) OR coalesce(NOT f, false), specific DESC, round(c_acctbal, 4) DESC, CAST(id AS VARCHAR) LIMIT 200""",
+    "country_facets": """
+WITH r AS (SELECT c_custkey, lower(n_name) AS n, lower(c_mktsegment) AS s FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey, CASE WHEN n = 'united states' AND c_custkey % 3 = 1 THEN 'u s a,united states' ELSE n END AS countries, CASE s WHEN 'furniture' THEN 'claims' WHEN 'machinery' THEN 'claims' WHEN 'household' THEN 'registry' WHEN 'building' THEN 'registry' ELSE 'others' END AS types, CASE s WHEN 'building' THEN 'cohort' WHEN 'household' THEN 'other' ELSE '' END AS designs FROM r""",
+    "top_conditions": "SELECT lower(v) AS value, count(*) AS n FROM (SELECT unnest([p_name, upper(p_type), p_type]) AS v FROM part) GROUP BY 1 ORDER BY n DESC, value LIMIT 50",
 }

@@ -16,21 +16,21 @@ from pyspark.sql import types as S
 from ..errors import EngineError
 from ..functions import text as T
 
-#: Internal fields and the headers they may have; the first that is there wins. Users add their own by a column map.
+# fixed values: internal fields and the headers of exports that may hold them, the first that is there; further columns of a
+# role; columns that say whether a protocol is listed; and public columns whose text is searched
 ALIASES: dict[str, tuple[str, ...]] = {
-    "study_id": ("study id", "id", "record id"),
-    "title": ("official title and acronym", "official title", "title"),
-    "study_type": ("study type", "type"),
-    "status": ("study status", "status"),
-    "description": ("study description", "description"),
-    "countries": ("countries", "country"),
-    "data_source_types": ("data sources types", "data source types"),
-    "conditions": ("conditions", "condition"),
-    "exposures": ("exposures", "exposure"),
-    "network": ("network study", "network"),
-    "protocol": ("protocol", "protocol document", "latest protocol"),
+    "study_id": ("study id", "study identifier", "id"), "title": ("official title and acronym", "study title", "title"), "study_type": ("study type", "type of study"), "study_designs": ("non interventional study design", "study design", "study designs"), "description": ("study description", "description"),
+    "eupas_number": ("eu pas number", "eupas number"), "status": ("study status", "status"), "network": ("darwin eu study", "darwin eu"), "countries": ("study countries", "countries"), "data_source_types": ("data sources types", "data source type", "data source types"),
+    "catalogue_data_sources": ("data sources", "data source s", "data source name", "data source names"), "conditions": ("medicinal condition to be studied", "medical condition", "conditions"), "outcomes": ("outcomes", "outcome"),
+    "exposures": ("study drug international non proprietary name inn or common name", "medicinal product name", "inn"), "objective": ("main study objective", "objective"),
 }
-LISTS = ("countries", "data_source_types", "conditions", "exposures")
+MORE = {"conditions": ("additional medical condition s",), "exposures": ("medicinal product name", "medicinal product name other", "anatomical therapeutic chemical atc code"), "catalogue_data_sources": ("other linked data sources",), "study_designs": ("non interventional study design other",)}
+PROTOCOL = ("protocol file s", "protocol file s uri", "protocol url", "initial protocol file uri", "updated protocol file s uri")
+SEARCHED = (
+    "study topic", "scope of the study", "data collection methods", "study design", "main study objective", "non interventional study design other", "medicinal product name", "medicinal product name other", "study drug international non proprietary name inn or common name",
+    "anatomical therapeutic chemical atc code", "medicinal condition to be studied", "additional medical condition s", "short description of the study population", "setting", "comparators", "outcomes", "data analysis plan", "other linked data sources",
+)
+LISTS = ("countries", "data_source_types", "catalogue_data_sources", "study_designs", "conditions", "exposures")
 #: Values of the study type that are in scope, in normal form.
 IN_SCOPE = ("non interventional", "non interventional study")
 KINDS = ("claims", "ehr", "registry")
@@ -42,11 +42,17 @@ def normalized_header(text: str) -> str:
 
 
 def sniffed_delimiter(sample: str) -> str:
-    """The most frequent of comma, semicolon and tab outside quotes in the header line; comma if there is none."""
-    header = next(iter(sample.splitlines()), "")
-    bare = re.sub(r'"(?:[^"]|"")*"', "", header)
-    best = max((",", ";", "\t"), key=lambda d: (bare.count(d), d == ","))
-    return best if bare.count(best) else ","
+    """Of comma, semicolon and tab the one that divides the most lines of a sample alike, outside quotes; comma if none does."""
+    lines = [x for x in re.sub(r'"(?:[^"]|"")*"', "", sample).splitlines() if x.strip()]
+    if not lines:
+        return ","
+
+    def worth(d: str) -> tuple[int, int, bool]:
+        n = lines[0].count(d)
+        return (sum(x.count(d) == n for x in lines) if n else 0, n, d == ",")
+
+    best = max((",", ";", "\t"), key=worth)
+    return best if lines[0].count(best) else ","
 
 
 def resolved_headers(headers: Sequence[str], column_map: dict[str, str] | None = None) -> tuple[dict[str, int], list[str]]:
@@ -78,36 +84,76 @@ class Import:
     excluded: DataFrame
     kind: str | None
     warnings: list[str] = field(default_factory=list)
+    has_types: bool = False
+
+
+def guarded(spark: SparkSession, name: str, folders: Sequence[str]) -> tuple[str, str | None]:
+    """The path of an export by its bare name in the first of the folders (studies, source_type, root) that has it, and its kind.
+
+    A name is a .csv without a path, a file has 1 byte to 50 MiB, and one in source_type carries its kind in its name.
+    """
+    if not name or len(name) > 255 or PurePosixPath(name).name != name or not name.lower().endswith(".csv") or name.startswith("."):
+        raise EngineError("INVALID_INPUT", "the name of a CSV file in an import folder")
+    for folder in folders:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            continue
+        kind = kind_of(name)
+        if PurePosixPath(folder).name == "source_type" and kind is None:
+            raise EngineError("INVALID_INPUT", "the name of a filtered export holds its type")
+        if not 0 < fs.getFileStatus(p).getLen() <= MOST_BYTES:
+            raise EngineError("CSV_SCHEMA_ERROR", "a file of 1 byte to 50 MiB")
+        return f"{folder}/{name}", kind
+    raise EngineError("CSV_NOT_FOUND", name)
 
 
 def read_catalogue(spark: SparkSession, path: str, column_map: dict[str, str] | None = None, kind: str | None = None) -> Import:
     """Typed rows of one export; nothing is returned if any row is bad.
 
-    Only the header is read on the driver. Ids are up to 20 digits and unique, titles of rows in scope are not blank.
+    Only the first lines are read on the driver. Ids are up to 20 digits and unique, titles of rows in scope are not blank, and
+    all is UTF-8. Conditions, exposures, sources and designs are the distinct values of their columns in order; the text that is
+    searched is that of the public columns only, each once.
     """
     kind = kind or kind_of(path)
-    head = spark.read.text(path).limit(1).collect()
-    if not head or not head[0].value:
+    head = [r.value for r in spark.read.text(path).limit(200).collect()]
+    if not head or not head[0]:
         raise EngineError("CSV_SCHEMA_ERROR", "no header")
-    line = head[0].value.removeprefix("﻿")
-    sep = sniffed_delimiter(line[:SNIFFED])
+    line = head[0].removeprefix("\ufeff")
+    sep = sniffed_delimiter("\n".join([line, *head[1:]])[:SNIFFED])
     headers = next(csv.reader([line], delimiter=sep))
     at, repeated = resolved_headers(headers, column_map)
     if missing := {"study_id", "title", "study_type"} - set(at):
         raise EngineError("CSV_SCHEMA_ERROR", f"no column for {sorted(missing)}")
+    names = {normalized_header(h): k for k, h in enumerate(headers)}
     schema = S.StructType([S.StructField(f"c{k}", S.StringType()) for k in range(len(headers))])
     raw = spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=True, encoding="UTF-8", enforceSchema=True)
-    value = {f: F.trim(F.coalesce(F.col(f"c{k}"), F.lit(""))) for f, k in at.items()}
-    columns = [T.split_values(value[f]).alias(f) if f in LISTS and f in value else F.array().cast("array<string>").alias(f) if f in LISTS else value.get(f, F.lit(None).cast("string")).alias(f) for f in ALIASES if f not in ("network", "protocol")]
-    columns += [T.tri_state(value["network"]).alias("network") if "network" in value else F.lit(None).cast("boolean").alias("network")]
-    columns += [T.any_filled([value["protocol"]] if "protocol" in value else []).alias("protocol_listed")]
-    search = F.array_join(F.array_distinct(F.filter(F.array(*(v for f, v in value.items() if f not in ("study_id", "network"))), lambda x: x != "")), "\n")
-    rows = raw.select(*columns, search.alias("search_text")).withColumn("in_scope", T.norm(F.coalesce("study_type", F.lit(""))).isin(*IN_SCOPE))
-    bad = rows.agg(F.count_if(~F.col("study_id").rlike(r"^\d{1,20}$")).alias("ids"), F.count_if(F.col("in_scope") & (F.col("title") == "")).alias("titles"), (F.count("study_id") - F.countDistinct("study_id")).alias("twice")).first()
-    for code, n in (("CSV_INVALID_ID", bad.ids), ("CSV_EMPTY_TITLE", bad.titles), ("CSV_DUPLICATE_ID", bad.twice)):
+    cell = lambda k: F.trim(F.coalesce(F.col(f"c{k}"), F.lit("")))
+    value = {f: cell(k) for f, k in at.items()}
+    columns = []
+    for f in ALIASES:
+        own = [value[f]] if f in value else []
+        more = [cell(names[h]) for h in MORE.get(f, ()) if h in names and names[h] != at.get(f)]
+        if f == "network":
+            columns.append(T.tri_state(value[f]).alias(f) if own else F.lit(None).cast("boolean").alias(f))
+        elif f in LISTS:
+            columns.append((F.array_distinct(F.flatten(F.array(*map(T.split_values, own + more)))) if own + more else F.array().cast("array<string>")).alias(f))
+        elif f == "eupas_number":
+            columns.append((F.nullif(value[f], F.lit("")) if own else F.lit(None).cast("string")).alias(f))
+        else:
+            columns.append((value[f] if own else F.lit(None).cast("string") if f != "outcomes" else F.lit("")).alias(f))
+    columns.append(T.any_filled([cell(names[h]) for h in PROTOCOL if h in names]).alias("protocol_listed"))
+    searched = [cell(names[h]) for h in SEARCHED if h in names]
+    search = F.trim(F.array_join(F.array_distinct(F.array(*searched)), "\n")) if searched else F.lit("")
+    rows = raw.select(*columns, search.alias("search_text"), F.exists(F.array(*(F.col(f"c{k}") for k in range(len(headers)))), lambda x: F.coalesce(x.contains("\ufffd"), F.lit(False))).alias("_bad")).withColumn("in_scope", T.norm(F.coalesce("study_type", F.lit(""))).isin(*IN_SCOPE))
+    bad = rows.agg(F.count_if("_bad").alias("bytes"), F.count_if(~F.col("study_id").rlike(r"^\d{1,20}$")).alias("ids"), F.count_if(F.col("in_scope") & (F.col("title") == "")).alias("titles"), (F.count("study_id") - F.countDistinct("study_id")).alias("twice")).first()
+    for code, n in (("CSV_SCHEMA_ERROR", bad.bytes), ("CSV_INVALID_ID", bad.ids), ("CSV_EMPTY_TITLE", bad.titles), ("CSV_DUPLICATE_ID", bad.twice)):
         if n:
             raise EngineError(code, f"{n} rows")
-    return Import(rows.where("in_scope").drop("in_scope"), rows.where("not in_scope").select("study_id"), kind, [f"repeated header: {h}" for h in repeated])
+    warnings = [f"repeated header: {h}" for h in repeated]
+    if "data_source_types" not in at and not kind:
+        warnings.append("no column of data source types: import filtered exports to tag studies")
+    return Import(rows.where("in_scope").drop("in_scope", "_bad"), rows.where("not in_scope").select("study_id"), kind, warnings, "data_source_types" in at)
 
 
 def upserted(old: DataFrame, new: DataFrame, removed: DataFrame | None = None, key: str = "study_id") -> DataFrame:
@@ -151,6 +197,30 @@ def unmatched_terms(log: DataFrame, term: str, tool: str, ts: str) -> DataFrame:
     return log.groupBy(term).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.array_sort(F.collect_set(tool)).alias("tools"))
 
 
+def to_log(queries: DataFrame, text: str = "text") -> DataFrame:
+    """queries that are logged as unmatched, with their text on one line of up to 200 characters.
+
+    Only where a dictionary is configured (dictionaries), for texts that are not blank and not ASCII, and that neither vocabulary
+    groups (groups), concepts (concepts) nor medicines (medicines) match; these columns are numbers.
+    """
+    line = F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, 200)
+    nothing = (F.col("groups") == 0) & (F.col("concepts") == 0) & (F.col("medicines") == 0)
+    return queries.withColumn(text, line).where((F.col("dictionaries") > 0) & (F.col(text) != "") & ~T.is_ascii(F.col(text)) & nothing)
+
+
+def export_day(name: F.Column, imported: F.Column) -> F.Column:
+    """The day of an export: the eight digits that open its file name, else the day of its import."""
+    return F.coalesce(F.nullif(F.regexp_extract(name, r"^(\d{8})_", 1), F.lit("")), F.date_format(imported, "yyyyMMdd"))
+
+
+def replaced_if_newer(own: DataFrame, bundle: DataFrame, own_log: DataFrame, bundle_log: DataFrame, ts: str = "imported_at") -> DataFrame:
+    """The bundle's table in place of one's own where its last import is newer; a table is replaced whole or not at all."""
+    last = own_log.agg(F.max(ts).alias("_o")).join(bundle_log.agg(F.max(ts).alias("_b")))
+    newer = last.select((F.col("_b").isNotNull() & (F.col("_o").isNull() | (F.col("_b") > F.col("_o")))).alias("_n"))
+    mine = own.join(newer.where("not _n")).drop("_n")
+    return mine.unionByName(bundle.join(newer.where("_n")).drop("_n"), allowMissingColumns=True)
+
+
 def unmatched_summary(counters: DataFrame, term: str, k: int = 20) -> DataFrame:
     return counters.orderBy(F.desc("n"), F.asc("last_seen"), F.asc(term)).limit(k)
 
