@@ -32,7 +32,8 @@ def merged_entries(entries: DataFrame, by: Sequence[str], key: Column, order: st
     rows = entries.withColumn("_key", key).groupBy(*by, "_key").agg(
         F.min_by("value", order).alias("value"), F.min(order).alias("first"), F.max_by("usage", F.struct(rank, -F.col(order))).alias("usage"), F.max((F.col("basis") == "explicit").cast("int")).alias("_e"), F.bool_or("linkage").alias("linkage"), quotes.alias("_q"), definitions.alias("_d"), F.count(F.lit(1)).alias("merged"),
     )
-    text = F.array_join(F.array_distinct(F.transform("_d", lambda x: x["definition"])), "\n")
+    # a definition is added unless what is there contains it
+    text = F.aggregate(F.transform("_d", lambda x: x["definition"]), F.lit(""), lambda acc, d: F.when(acc == "", d).when(acc.contains(d), acc).otherwise(F.concat(acc, F.lit("\n"), d)))
     return rows.select(*by, "value", "first", "usage", F.when(F.col("_e") == 1, "explicit").otherwise("inferred").alias("basis"), "linkage", F.slice(F.array_distinct(F.transform("_q", lambda x: x["quote"])), 1, MOST_QUOTES).alias("quotes"), F.substring(text, 1, MOST_VALUE).alias("definition"), "merged")
 
 
@@ -139,7 +140,15 @@ def transposed(rows: DataFrame, studies: Sequence[str], attributes: Sequence[str
 
 
 def cited_pages(evidence: Column) -> Column:
-    """Pages of the quotes, those that only name a source after a mark."""
-    pages = lambda own: F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform(F.filter(evidence, own), lambda e: e["page"]))), lambda p: p.cast("string")), ", ")
-    text, naming = pages(lambda e: e["server"].isNull()), pages(lambda e: e["server"] == "source_name")
-    return F.concat(text, F.when(naming != "", F.concat(F.lit(" (name: "), naming, F.lit(")"))).otherwise(""))
+    """Pages of the quotes that state something, in their order, and apart from them those of quotes that only name a source; where
+    there are only these, they are the pages."""
+    pages = lambda own: F.array_join(F.transform(F.filter(evidence, own), lambda e: e["page"].cast("string")), ", ")
+    stated, naming = pages(lambda e: ~F.coalesce(e["server"] == "source_name", F.lit(False))), pages(lambda e: F.coalesce(e["server"] == "source_name", F.lit(False)))
+    return F.when(stated == "", F.concat(F.lit("p. "), naming)).when(naming == "", F.concat(F.lit("p. "), stated)).otherwise(F.concat(F.lit("p. "), stated, F.lit("; 名前の記載 p. "), naming))
+
+
+def match_text(basis: Column, terms: Column, category: Column) -> Column:
+    """Why a study is a candidate: terms, those of a category marked; another text where all are, or where it is an analogue."""
+    marked = F.array_join(F.transform(terms, lambda t: F.when(F.array_contains(category, t), F.concat(t, F.lit("（カテゴリー語）"))).otherwise(t)), ", ")
+    only = (F.size(category) > 0) & (F.size(F.array_except(terms, category)) == 0)
+    return F.when(basis == "analogous", F.concat(F.lit("analogue: "), F.array_join(terms, ", "))).when(only, F.concat(F.lit("category only: "), F.array_join(terms, ", "))).otherwise(F.concat(F.lit("concept: "), marked))

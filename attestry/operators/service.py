@@ -68,19 +68,6 @@ def checkpointed(batches: DataFrame, finished: DataFrame) -> DataFrame:
     return signed.join(finished.select("signature", F.lit(True).alias("_f")).distinct(), "signature", "left").withColumn("reused", F.coalesce("_f", F.lit(False))).drop("_f")
 
 
-def audit(found: DataFrame, catalogue: DataFrame, key: str = "study_id") -> DataFrame:
-    """key, note: sources the catalogue lists but the extraction lacks, and proper terms without a quote."""
-    pairs = catalogue.join(found, key, "left")
-    has = F.coalesce("extracted", F.array().cast("array<string>"))
-    missing = F.filter("listed", lambda x: ~F.exists(has, lambda y: T.contains(T.canonical(y), T.canonical(x))))
-    return pairs.select(key, F.explode(missing).alias("x")).select(key, F.concat(F.lit("listed source not extracted: "), F.col("x")).alias("note"))
-
-
-def redacted_near(text: Column, cue: str = "outcome") -> Column:
-    """Whether a blacked-out passage stands near a cue word."""
-    return text.rlike(rf"(?is)({cue}.{{0,200}}(█{{2,}}|\[redacted\]))|((█{{2,}}|\[redacted\]).{{0,200}}{cue})")
-
-
 def batch_turn(parts: DataFrame, by: str, limit: int) -> DataFrame:
     """Answers of several batches merged to one list: equal ones once, then in turn from each batch, with a count of the rest."""
     from .merging import round_robin
@@ -162,3 +149,66 @@ def cache_key(parts: Sequence[object]) -> str:
     import hashlib
 
     return hashlib.sha256(json.dumps(list(parts), ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+
+
+def cap_notes(rows: DataFrame, by: str, field_: str, batch: str, limits: dict[str, int]) -> DataFrame:
+    """by, note: for each list of a record (field_) that is over its limit, how many entries are left out and whence the kept ones come."""
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col(field_))
+    n = rows.where(F.col(field_).isin(*limits)).groupBy(by, field_).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(batch).alias("b")).withColumn("limit", limit).where("n > limit")
+    whence = F.when(F.col("b") > 1, F.format_string("in turn from %d batches", "b")).otherwise("from the beginning")
+    return n.select(by, F.concat(F.col(field_), F.format_string(": %d of %d kept, ", "limit", "n"), whence).alias("note"))
+
+
+def tallied(log: DataFrame, code: str = "code") -> DataFrame:
+    """code, n of an outcome log; null codes are successes, no document is an outcome of its own, the rest are errors."""
+    kind = F.when(F.col(code).isNull(), "fetched").when(F.col(code) == "PROTOCOL_NOT_FOUND", "no_protocol").otherwise(F.concat(F.lit("error:"), F.col(code)))
+    return log.groupBy(kind.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def retry_delay(value: Column, attempt: Column, now) -> Column:
+    """Seconds to wait before another try: what a header says, as seconds or as a date; else 2, 5 and then 15. Never negative."""
+    seconds = value.try_cast("double")
+    at = F.try_to_timestamp(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    until = (F.unix_micros(at) - F.unix_micros(F.lit(now))) / 1_000_000
+    floor = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
+    return F.coalesce(floor(seconds), floor(until), F.element_at(F.array(F.lit(2.0), F.lit(5.0), F.lit(15.0)), F.least(attempt, F.lit(2)) + 1))
+
+
+def observed_totals(observations: DataFrame, studies: DataFrame, key: str = "study_id") -> DataFrame:
+    """One row: how many observations are of studies that are there, and how many of these have medicines (exposures)."""
+    own = observations.join(studies.select(key), key, "left_semi")
+    return own.agg(F.count(F.lit(1)).alias("observed"), F.count_if(F.coalesce(F.size("exposures"), F.lit(0)) > 0).alias("with_exposures"))
+
+
+def needing_index(studies: DataFrame, analyses: DataFrame, observations: DataFrame, key: str = "study_id") -> DataFrame:
+    """Studies with an analysis or an observation: what a refreshed catalogue indexes anew."""
+    return studies.join(analyses.select(key).union(observations.select(key)).distinct(), key, "left_semi")
+
+
+def summed(graded: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """One row: the totals of per-document measures, and the number of documents."""
+    return graded.agg(F.count(F.lit(1)).alias("documents"), *(F.sum(c).alias(c) for c in measures))
+
+
+def prepared(candidates: DataFrame, sources: DataFrame, most: int, key: str = "study_id") -> DataFrame:
+    """Rows of a new comparison: every candidate, with its source or the error that took its place; more than `most` are refused."""
+    if not 1 <= candidates.limit(most + 1).count() <= most:
+        raise EngineError("NEEDS_NARROWING", f"1 to {most} candidates")
+    j = candidates.join(sources, key, "left")
+    state = F.when(F.col("error").isNotNull(), "error").when(F.col("fingerprint").isNull(), "pending").otherwise("needs_processing")
+    return j.withColumn("status", state)
+
+
+def pending_tools(rows: DataFrame, analyses: DataFrame, answers: DataFrame, key: str = "study_id") -> DataFrame:
+    """Rows of a comparison with what is done of each: an analysis of another fingerprint is an error, one of another reading does
+    not count, a row with analysis and answer is complete, and any other says what to run next.
+
+    rows (key, fingerprint, reading), analyses (key, fingerprint, reading), answers (key); one row for each key.
+    """
+    a = analyses.select(key, F.col("fingerprint").alias("_f"), F.col("reading").alias("_r"))
+    j = rows.join(a, key, "left").join(answers.select(key, F.lit(True).alias("_w")), key, "left")
+    read = F.coalesce(F.col("_r") == F.col("reading"), F.lit(False))
+    changed, has, told = read & (F.col("_f") != F.col("fingerprint")), read & (F.col("_f") == F.col("fingerprint")), F.coalesce("_w", F.lit(False))
+    status = F.when(F.col("fingerprint").isNull(), "pending").when(changed, "error").when(has & told, "complete").otherwise("needs_processing")
+    tool = F.when(F.col("status") == "needs_processing", F.when(~has, "analyze").otherwise("answer"))
+    return j.withColumn("status", status).withColumn("tool", tool).withColumn("error", F.when(F.col("status") == "error", "COMPARISON_SOURCE_CHANGED")).drop("_f", "_r", "_w")

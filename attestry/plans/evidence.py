@@ -119,13 +119,13 @@ def _entries(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     return ev.select(
         F.col("user_id"), F.col("event_id").alias("ord"), F.concat(F.col("event_type"), F.when(F.col("event_id") % 2 == 0, ".").otherwise("")).alias("value"), F.element_at(F.array(*map(F.lit, M.USAGE)), (F.col("event_id") % 4).cast("int") + 1).alias("usage"),
-        F.when(F.get_json_object("props", "$.k").cast("int") > 50, "explicit").otherwise("inferred").alias("basis"), (F.col("value") > 8).alias("linkage"), F.lit("").alias("definition"), F.get_json_object("props", "$.k").alias("quote"), F.lit(None).cast("array<string>").alias("types"), F.lit("source").alias("role"),
+        F.when(F.get_json_object("props", "$.k").cast("int") > 50, "explicit").otherwise("inferred").alias("basis"), (F.col("value") > 8).alias("linkage"), F.concat(F.col("event_type"), F.when(F.col("event_id") % 3 == 0, F.lit(" more")).otherwise("")).alias("definition"), F.get_json_object("props", "$.k").alias("quote"), F.lit(None).cast("array<string>").alias("types"), F.lit("source").alias("role"),
     )
 
 
 def merge_entries(spark, sf_dir):
     out = M.merged_entries(_entries(spark, sf_dir), ["user_id"], M.entry_key(F.col("value"), F.col("role"), F.col("types")), "ord")
-    return out.select("user_id", "value", "first", "usage", "basis", "linkage", F.array_join("quotes", ",").alias("quotes"), "merged")
+    return out.select("user_id", "value", "first", "usage", "basis", "linkage", F.array_join("quotes", ",").alias("quotes"), "definition", "merged")
 
 
 def round_robin_cap(spark, sf_dir):
@@ -235,7 +235,7 @@ WITH e AS (SELECT user_id, event_id, event_type, event_type || CASE WHEN event_i
   CAST(json_extract_string(props, '$.k') AS INT) AS k, value > 8 AS linkage FROM events),
 q AS (SELECT user_id, event_type, json_extract_string(props, '$.k') AS q, min(event_id) AS o FROM events GROUP BY ALL),
 l AS (SELECT user_id, event_type, string_agg(q, ',' ORDER BY o) AS quotes FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY o) AS rn FROM q) WHERE rn <= 8 GROUP BY ALL)
-SELECT user_id, arg_min(v, event_id) AS value, min(event_id) AS first, arg_max(usage, r) AS usage, CASE WHEN max(k) > 50 THEN 'explicit' ELSE 'inferred' END AS basis, bool_or(linkage) AS linkage, any_value(quotes) AS quotes, count(*) AS merged
+SELECT user_id, arg_min(v, event_id) AS value, min(event_id) AS first, arg_max(usage, r) AS usage, CASE WHEN max(k) > 50 THEN 'explicit' ELSE 'inferred' END AS basis, bool_or(linkage) AS linkage, any_value(quotes) AS quotes, CASE WHEN arg_min(event_id % 3 = 0, event_id) THEN event_type || ' more' WHEN bool_or(event_id % 3 = 0) THEN event_type || chr(10) || event_type || ' more' ELSE event_type END AS definition, count(*) AS merged
 FROM e JOIN l USING (user_id, event_type) GROUP BY user_id, event_type""",
     "round_robin_cap": """
 WITH r AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn, min(event_id) OVER (PARTITION BY user_id, event_type) AS f, count(*) OVER (PARTITION BY user_id) AS n FROM events),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, documents, evaluation, evidence, retrieval, service, terms
+from . import catalogue, documents, evaluation, evidence, records, retrieval, service, terms
 
-MODULES = (retrieval, catalogue, documents, evidence, evaluation, service, terms)
+MODULES = (retrieval, catalogue, documents, evidence, evaluation, service, terms, records)
 
 
 def queries() -> dict:

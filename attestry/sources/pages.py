@@ -96,11 +96,6 @@ def medicines(raw: DataFrame, value: str = "value") -> DataFrame:
     return kept.select(F.trim("m.name_of_medicine").alias("name"), T.split_values(F.col("m.international_non_proprietary_name_common_name")).alias("ingredients"), F.nullif(F.regexp_extract("m.atc_code_human", r"^([A-Z]\d{2}[A-Z]{2}\d{2})$", 1), F.lit("")).alias("code"))
 
 
-def archived(files: DataFrame) -> DataFrame:
-    """Content-addressed rows of a binaryFile read: sha256, length, path; equal contents once."""
-    return files.select(F.sha2("content", 256).alias("sha256"), "length", "path").groupBy("sha256", "length").agg(F.min("path").alias("path"))
-
-
 def allowed_url(url: Column, hosts: tuple[str, ...]) -> Column:
     """https to one of the hosts, no other port, no user."""
     ok = (F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.try_parse_url(url, F.lit("HOST")).isin(*hosts) & F.try_parse_url(url, F.lit("USERINFO")).isNull() & ~F.try_parse_url(url, F.lit("AUTHORITY")).rlike(r":(?!443$)\d+$")

@@ -60,7 +60,7 @@ def history_rows(current: DataFrame, new: DataFrame, key: str = "study_id") -> D
     """Current rows that a save replaces by something else, under the hash of their body."""
     same = ["fingerprint", "body"]
     moved = current.join(new.select(key, *(F.col(c).alias(f"_{c}") for c in same)), key).where("not (fingerprint <=> _fingerprint and body <=> _body)")
-    return moved.select(F.sha2("body", 256).alias("snapshot_id"), key, *same).dropDuplicates(["snapshot_id"])
+    return moved.groupBy(F.sha2("body", 256).alias("snapshot_id")).agg(F.min(F.struct(key, *same)).alias("x")).select("snapshot_id", f"x.{key}", "x.fingerprint", "x.body")
 
 
 def replace_rows(table: DataFrame, new: DataFrame, key: str = "study_id") -> DataFrame:
@@ -68,9 +68,25 @@ def replace_rows(table: DataFrame, new: DataFrame, key: str = "study_id") -> Dat
     return table.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def cleared(batches: DataFrame, key: str, fingerprint: str) -> DataFrame:
-    """Batches of a study that belong to its current fingerprint; other studies stay."""
-    return batches.where((F.col("study_id") != key) | (F.col("fingerprint") == fingerprint))
+def saved_batches(table: DataFrame, new: DataFrame, key: str = "study_id") -> DataFrame:
+    """Batches (key, fingerprint, reading, kind, offset, body) with new ones over them: of the studies in new those of another
+    fingerprint or reading go, since they can never be merged with these. A study has one fingerprint and reading in new."""
+    same = [key, "fingerprint", "reading"]
+    current = new.groupBy(key).agg(F.max(F.struct("fingerprint", "reading")).alias("_c"))
+    kept = table.join(current, key, "left").where("_c is null or (_c.fingerprint <=> fingerprint and _c.reading <=> reading)").drop("_c")
+    return kept.join(new.select(*same, "kind", "offset"), [*same, "kind", "offset"], "left_anti").unionByName(new)
+
+
+def saved_readings(table: DataFrame, new: DataFrame, analyses: DataFrame, keep_parser: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Readings (protocol_id, reading, parser) with new ones over them, and the analyses (study_id, protocol_id) that stay: those of
+    documents whose reading has changed are retired. A record that keep_parser wrote already stays."""
+    old = table.select("protocol_id", F.col("reading").alias("_r"), F.col("parser").alias("_p"))
+    told = new.join(old, "protocol_id", "left")
+    if keep_parser is not None:
+        told = told.where(~F.coalesce(F.col("_p") == keep_parser, F.lit(False)))
+    changed = told.where(F.coalesce("_r", F.lit("")) != F.col("reading")).select("protocol_id")
+    written = told.select("protocol_id", "reading", "parser")
+    return table.join(written.select("protocol_id"), "protocol_id", "left_anti").unionByName(written), analyses.join(changed, "protocol_id", "left_anti")
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
@@ -100,7 +116,7 @@ def verify_snapshot(spark: SparkSession, path: str, date: str) -> None:
 
 
 def facts_page(facts: Iterable) -> str:
-    """A self-contained page of facts, grouped by study and kind; rows come sorted by them."""
+    """A self-contained page of facts with their quotes, grouped by study and kind; rows come sorted by them. All text is escaped."""
     out, study, kind = ["<!doctype html><meta charset=utf-8><title>Facts</title>"], None, None
     for r in facts:
         if r.study_id != study:
@@ -110,4 +126,24 @@ def facts_page(facts: Iterable) -> str:
             out.append(f"<h3>{html.escape(r.item_kind)}</h3>")
             kind = r.item_kind
         out.append(f"<p>{html.escape(r.value or '')}</p>")
+        out += [f"<blockquote>p. {e.page}: {html.escape(e.quote or '')}</blockquote>" for e in (r.evidence or ()) if e.quote]
     return "\n".join(out)
+
+
+def write_comparison(rows: DataFrame, table: str, path: str) -> None:
+    """A comparison's rows as JSON files, a folder for each study, and the table as Markdown; a later write replaces both."""
+    rows.write.mode("overwrite").partitionBy("study").json(f"{path}/rows")
+    rows.sparkSession.createDataFrame([(table,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(f"{path}/table")
+
+
+def archived(files: DataFrame, study: str = "study_id") -> DataFrame:
+    """Documents by their content (study_id, sha256, protocol_id, length, archived_at, content); equal contents of a study once, the
+    first of them. files has study_id, content and archived_at."""
+    own = files.withColumns({"sha256": F.sha2("content", 256), "length": F.length("content")})
+    first = own.groupBy(study, "sha256").agg(F.min(F.struct("archived_at", "length", "content")).alias("x"))
+    return first.select(study, "sha256", F.concat(F.lit("pdf_"), F.col(study).cast("string"), F.lit("_"), "sha256").alias("protocol_id"), "x.length", "x.archived_at", "x.content")
+
+
+def loaded(archive: DataFrame, protocol_id: str) -> DataFrame:
+    """A document of an archive whose content still has the checksum of its id."""
+    return archive.where((F.col("protocol_id") == protocol_id) & (F.sha2("content", 256) == F.substring_index(F.lit(protocol_id), "_", -1)))
