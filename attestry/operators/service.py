@@ -114,7 +114,7 @@ def strategies(lists: DataFrame) -> DataFrame:
     """
     fused = lists.groupBy("question", "strategy", "block", "id").agg(F.sum(1 / (F.lit(20) + F.col("rank"))).alias("s"))
     blocks = lists.groupBy("question", "strategy").agg(F.countDistinct("block").alias("n"))
-    both = fused.groupBy("question", "strategy", "id").agg(F.count(F.lit(1)).alias("b"), F.sum("s").alias("s")).join(F.broadcast(blocks), ["question", "strategy"]).where("b = n")
+    both = fused.groupBy("question", "strategy", "id").agg(F.count(F.lit(1)).alias("b"), F.sum("s").alias("s")).join(blocks, ["question", "strategy"]).where("b = n")
     w = Window.partitionBy("question", "strategy").orderBy(F.desc("s"), F.col("id").cast("string"))
     return both.select("question", "strategy", "id", F.round("s", 6).alias("fused"), F.row_number().over(w).alias("rank"))
 

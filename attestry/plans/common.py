@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 
+#: Characters of a page beyond any document, so that a document is one page and no quote is cut.
+WHOLE = 50_000_000
 _STORED: dict[tuple[str, str], str] = {}
 
 

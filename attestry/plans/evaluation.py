@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import mining as G
+from ..operators import retrieval as R
 from ..operators.expansion import STOP_WORDS
-from .common import table, title, toks
+from .common import table, toks
 
 ODDS = 1.0
 
 
 def _grams(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.tokens(title(F.coalesce("text", F.lit("")))).alias("w"))
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
     return G.ngrams(words, "w", STOP_WORDS).select("id", "gram"), table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("id"))
 
 
@@ -25,7 +25,7 @@ def ngram_log_odds(spark, sf_dir):
 
 def subsumption_dedupe(spark, sf_dir):
     grams, anchors = _grams(spark, sf_dir)
-    counts = grams.join(F.broadcast(anchors), "id", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("a")).where("a >= 3")
+    counts = grams.join(anchors, "id", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("a")).where("a >= 3")
     return G.without_subsumed(counts)
 
 
@@ -36,13 +36,10 @@ def _judged(spark, sf_dir):
 
 
 def _lists(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("question"), F.col("doc_id").alias("id"), "n_chars", "source")
-    orders = {"short": [F.asc("n_chars"), F.asc("id")], "long": [F.desc("n_chars"), F.asc("id")], "source": [F.asc("source"), F.asc("id")]}
-    out = None
-    for name, by in orders.items():
-        one = docs.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(*by))).select("question", "id", F.lit(name).alias("strategy"), "rank")
-        out = one if out is None else out.union(one)
-    return out
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("question"), F.col("doc_id").alias("id"), "n_chars", F.regexp_extract("source", r"(\d+)", 1).cast("long").alias("s"))
+    scores = F.array(*(F.struct(F.lit(k).alias("strategy"), v.cast("double").alias("score")) for k, v in (("short", -F.col("n_chars")), ("long", F.col("n_chars")), ("source", -F.col("s")))))
+    each = docs.select("question", "id", F.explode(scores).alias("x")).select("question", "id", "x.strategy", "x.score")
+    return R.ranks(each, ["question", "strategy"], "score").select("question", "id", "strategy", "rank")
 
 
 def pool_recall(spark, sf_dir):
@@ -70,17 +67,16 @@ def call_timing(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (ngram_log_odds, subsumption_dedupe, pool_recall, pooled_candidates, ranking_metrics, run_diff, call_timing)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_TITLE = r"regexp_extract(coalesce(text, ''), '^\s*([^\n]+)', 1)"
 _GRAMS = f"""
-w AS (SELECT doc_id AS id, {toks(_TITLE)} AS w FROM documents),
+w AS (SELECT doc_id AS id, {toks("coalesce(text, '')")} AS w FROM documents),
 c AS (SELECT id, w[i:i + n - 1] AS g, n FROM (SELECT id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM w, (VALUES (1), (2), (3)) k(n) WHERE len(w) >= n)),
 grams AS (SELECT DISTINCT id, array_to_string(g, ' ') AS gram FROM c WHERE g[1] NOT IN ({_STOP}) AND g[n] NOT IN ({_STOP}) AND len(list_distinct(g)) = n
   AND len(list_filter(g, lambda x: regexp_full_match(x, '[0-9]+'))) < n AND len(list_filter(g, lambda x: NOT regexp_full_match(x, '[\\x00-\\x7F]+'))) = 0)"""
 _JUDGED = "judged AS (SELECT lang AS question, doc_id AS id, CASE WHEN quality = 1 AND toxic = 0 THEN 'relevant' WHEN quality = 1 THEN 'partial' ELSE 'not' END AS label FROM labels JOIN documents USING (doc_id))"
 _LISTS = """lists AS (
-  SELECT lang AS question, doc_id AS id, 'short' AS strategy, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS rank FROM documents
-  UNION ALL SELECT lang, doc_id, 'long', row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) FROM documents
-  UNION ALL SELECT lang, doc_id, 'source', row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) FROM documents)"""
+  SELECT lang AS question, doc_id AS id, 'short' AS strategy, row_number() OVER (PARTITION BY lang ORDER BY n_chars, CAST(doc_id AS VARCHAR)) AS rank FROM documents
+  UNION ALL SELECT lang, doc_id, 'long', row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, CAST(doc_id AS VARCHAR)) FROM documents
+  UNION ALL SELECT lang, doc_id, 'source', row_number() OVER (PARTITION BY lang ORDER BY CAST(regexp_extract(source, '(\\d+)', 1) AS INT), CAST(doc_id AS VARCHAR)) FROM documents)"""
 SQL = {
     "ngram_log_odds": f"""
 WITH {_GRAMS},

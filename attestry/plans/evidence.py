@@ -10,11 +10,11 @@ from ..operators import evidence as E
 from ..operators import merging as M
 from ..operators import state
 from ..sources import pages as P
-from .common import quote, table
+from .common import WHOLE, quote, table
 
 
 def _pages(spark, sf_dir):
-    return P.paged(table(spark, sf_dir, "documents").select("doc_id", "text"), chars=10_000)
+    return P.paged(table(spark, sf_dir, "documents").select("doc_id", "text"), chars=WHOLE)
 
 
 def _quotes(spark, sf_dir):
@@ -30,7 +30,7 @@ def _held(spark, sf_dir):
     pages = _pages(spark, sf_dir).withColumn("p", T.normalize_quote(F.col("text"))).drop("text")
     quotes = _quotes(spark, sf_dir).withColumn("q", T.normalize_quote(F.col("quote"))).drop("quote")
     found = E.containment(_quotes(spark, sf_dir), _pages(spark, sf_dir))
-    return pages.join(F.broadcast(found.join(quotes, "quote_id")), ["doc_id", "page"])
+    return pages.join(found.join(quotes, "quote_id"), ["doc_id", "page"])
 
 
 def quote_position(spark, sf_dir):
@@ -183,7 +183,7 @@ def comparison_pivot(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (quote_containment, quote_position, quote_restore, nearest_page, derived_section, naming_quote, evidence_codes, fact_rows, find_facts, prebuilt_roundtrip, merge_entries, round_robin_cap, notes_overflow, coverage_gaps, conflict_pairs, suitability_status, row_selection, comparison_pivot)}
 
-_PAGES = "pages_ AS (SELECT doc_id, CAST(k AS INT) AS page, substr(text, (k - 1) * 10000 + 1, 10000) AS text FROM (SELECT doc_id, text, unnest(generate_series(1, greatest(1, CAST(ceil(length(text) / 10000.0) AS INT)))) AS k FROM documents WHERE text IS NOT NULL))"
+_PAGES = "pages_ AS (SELECT doc_id, CAST(k AS INT) AS page, substr(text, (k - 1) * 50000000 + 1, 50000000) AS text FROM (SELECT doc_id, text, unnest(generate_series(1, greatest(1, CAST(ceil(length(text) / 50000000.0) AS INT)))) AS k FROM documents WHERE text IS NOT NULL))"
 _HELD = f"{_PAGES}, p AS (SELECT doc_id, page, {quote('text')} AS p FROM pages_), b AS (SELECT item_id AS quote_id, {quote('text')} AS q FROM benchmark), held AS (SELECT * FROM p JOIN b ON contains(p, q) WHERE q <> '')"
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS page FROM documents)"
 _CITED = "head AS (SELECT doc_id, text FROM lines WHERE page = 0), cited AS (SELECT doc_id * 2 AS quote_id, doc_id, text AS quote FROM head UNION ALL SELECT doc_id * 2 + 3, doc_id + 1, text FROM head WHERE doc_id + 1 IN (SELECT doc_id FROM head))"

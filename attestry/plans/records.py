@@ -14,7 +14,7 @@ from ..operators import mining as G
 from ..operators import service as V
 from ..sources import pages as P
 from ..sources import sinks as K
-from .common import quote, table
+from .common import WHOLE, quote, table
 
 NOW = datetime.datetime(2024, 1, 20, tzinfo=datetime.UTC)
 
@@ -110,7 +110,7 @@ def comparison_cells(spark, sf_dir):
 
 
 def _found(spark, sf_dir):
-    pages = P.paged(table(spark, sf_dir, "documents").select("doc_id", "text"), chars=10_000)
+    pages = P.paged(table(spark, sf_dir, "documents").select("doc_id", "text"), chars=WHOLE)
     quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     return pages, quotes, E.containment(quotes, pages)
 
@@ -207,7 +207,7 @@ QUERIES = {f.__name__: f for f in (
     gram_orders, mined_decisions, label_review, medicine_names, url_allowed, page_errors, catalogue_actions, proposed_codes, finished_batches,
 )}
 
-_PAGES = "pages_ AS (SELECT doc_id, CAST(k AS INT) AS page, substr(text, (k - 1) * 10000 + 1, 10000) AS text FROM (SELECT doc_id, text, unnest(generate_series(1, greatest(1, CAST(ceil(length(text) / 10000.0) AS INT)))) AS k FROM documents WHERE text IS NOT NULL))"
+_PAGES = "pages_ AS (SELECT doc_id, CAST(k AS INT) AS page, substr(text, (k - 1) * 50000000 + 1, 50000000) AS text FROM (SELECT doc_id, text, unnest(generate_series(1, greatest(1, CAST(ceil(length(text) / 50000000.0) AS INT)))) AS k FROM documents WHERE text IS NOT NULL))"
 SQL = {
     "batch_store": """
 WITH r AS (SELECT l_orderkey AS study_id, max(l_returnflag) AS fingerprint, max(l_linestatus) AS reading, CAST(l_linenumber % 2 AS VARCHAR) AS kind, l_linenumber AS "offset", max(l_quantity) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber),

@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..operators import mining as G
+from ..operators import retrieval as R
 from ..operators import service as V
 from .common import table
 from .common import CODE, part_code
@@ -54,14 +55,10 @@ def resumable_queue(spark, sf_dir):
 
 def strategy_lists(spark, sf_dir):
     ev = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
-    from pyspark.sql import Window
-
-    out = None
-    for name, kinds in (("narrow", ("purchase", "signup")), ("broad", ("view", "click", "error"))):
-        for block, kind in enumerate(kinds):
-            w = Window.orderBy(F.desc("n"), F.desc("last"))
-            one = ev.where(F.col("event_type") == kind).select(F.lit("q").alias("question"), F.lit(name).alias("strategy"), F.lit(block).alias("block"), F.lit(kind).alias("list"), F.col("user_id").alias("id"), F.row_number().over(w).alias("rank"))
-            out = one if out is None else out.union(one)
+    kinds = {"purchase": ("narrow", 0), "signup": ("narrow", 1), "view": ("broad", 0), "click": ("broad", 1), "error": ("broad", 2)}
+    told = spark.createDataFrame([(k, s, b) for k, (s, b) in kinds.items()], "event_type string, strategy string, block int")
+    scored = ev.select("event_type", F.col("user_id").alias("id"), (F.col("n") * 1_000_000_000 + F.col("last")).cast("double").alias("score"))
+    out = R.ranks(scored, ["event_type"], "score").join(told, "event_type").select(F.lit("q").alias("question"), "strategy", "block", F.col("event_type").alias("list"), "id", "rank")
     return V.strategies(out).select("strategy", "id", "fused")
 
 
