@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import discard, looked_up, stored
+from .common import discard, stored
 
 
 def _signed(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -24,7 +24,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
 
     Returns node and component for every node that can reach a smaller one; all others are their own component. Loops and
     edges with a null end are ignored, repeated edges count once, and no edges give no rows. Parents are pre-aggregated and
-    the children of a hub are dealt over all tasks, so one node with very many neighbours does not fill a single task.
+    skewed joins divide the children of a hub, so one node with very many neighbours does not fill a single task.
     Each step is written to the shared folder.
     """
     a, b = F.col(f"`{a}`").cast("long"), F.col(f"`{b}`").cast("long")
@@ -33,9 +33,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         if not last[0]:
             break
         up = _parents(cur)
-        large = stored(looked_up(cur, up.select(F.col("u").alias("v"), "p"), "v", "u").select("u", F.coalesce("p", "v").alias("v")).distinct())
+        # both sides are written tables, so a join divides the children of a hub, and sends what is small
+        large = stored(cur.join(up.select(F.col("u").alias("v"), "p"), "v", "left").select("u", F.coalesce("p", "v").alias("v")).distinct())
         least = _parents(large)
-        moved = large.join(least.hint("merge"), "u").where(F.col("v") != F.col("p")).select(F.col("v").alias("u"), F.col("p").alias("v"))
+        moved = large.join(least, "u").where(F.col("v") != F.col("p")).select(F.col("v").alias("u"), F.col("p").alias("v"))
         after, now = _signed(moved.union(least.select("u", F.col("p").alias("v"))).distinct())
         for x in (cur, up, large, least):
             discard(x)
