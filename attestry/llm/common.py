@@ -71,6 +71,13 @@ def column(df: DataFrame, name: str, kind: str) -> F.Column:
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows, so that few texts are held as objects at a time; nothing is copied."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def binaries(batch: pa.RecordBatch, at: int) -> list[bytes]:
     """A text column as bytes; null is empty."""
     return [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]

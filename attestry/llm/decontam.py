@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDS, binaries, column, ship, steps, stored, word_hashes
+from .common import WORDS, binaries, column, parts, ship, steps, stored, word_hashes
 
 WINDOW = 8
 #: Text of the items in one set, at most, by far the largest part of which are 24 bytes a word; a larger benchmark is cut into
@@ -128,13 +128,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     more = [T.StructField("_words", T.LongType()), T.StructField("_hit", T.LongType()), T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_clean", T.StringType())]
     schema = T.StructType([*out.schema.fields, *more])
     at = names.index(text) if text in names else None
-    rows, parts = _items(benchmark, item_id, item_text)
+    rows, n_sets = _items(benchmark, item_id, item_text)
     told = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
-    if parts == 1:
+    if n_sets == 1:
         sent = docs.sparkSession.sparkContext.broadcast(ItemSet([(r.item, bytes(r.text)) for r in rows.collect()], size))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches):
                 texts = binaries(batch, at) if at is not None else [b""] * batch.num_rows
                 cells: list[list] = [[], [], [], []]
                 for i, j in steps(texts):
@@ -149,11 +149,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     named = {"_x": F.xxhash64(body), "_y": F.xxhash64(F.lit("y"), body)}
     scanned = docs.select(*(v.alias(k) for k, v in named.items()), body.alias("t"))
     seen = None
-    for k in range(parts):
-        sent = docs.sparkSession.sparkContext.broadcast(ItemSet([(r.item, bytes(r.text)) for r in rows.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).collect()], size))
+    for k in range(n_sets):
+        sent = docs.sparkSession.sparkContext.broadcast(ItemSet([(r.item, bytes(r.text)) for r in rows.where(F.pmod(F.xxhash64("item"), F.lit(n_sets)) == k).collect()], size))
 
         def sparse(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches):
                 texts = binaries(batch, 2)
                 for i, j in steps(texts):
                     own = [(r, mask, found) for r, (_, mask, found) in enumerate(sent.value.scan(texts[i:j]), i) if mask is not None]
@@ -167,7 +167,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     joined = out.withColumns(named).join(merged, ["_x", "_y"], "left").select(*(f"`{c}`" for c in names), "_masks", "_found")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = binaries(batch, at) if at is not None else [b""] * batch.num_rows
             cells: list[list] = [[], [], [], []]
             for x, masks, found in zip(texts, batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):

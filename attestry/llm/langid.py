@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, bounded, column, ship, steps
+from .common import binaries, bounded, column, parts, ship, steps
 
 WIDTH, EMBED, FILTERS, WIDTHS = 256, 8, 24, (2, 3, 4)
 #: The fit takes at most so many labelled documents, chosen by a hash of doc_id, and at most so many windows of each.
@@ -158,7 +158,7 @@ def languages(docs: DataFrame, net: ByteNet | None = None, text: str = "text", d
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, langs, scores = binaries(batch, at), [], []
             for i, j in steps(texts, 1 << 19):
                 a, b = net.texts(texts[i:j])

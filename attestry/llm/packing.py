@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, column, ship, stored
+from .common import binaries, column, parts, ship, stored
 from .tokenizer import default_path, word_ids
 
 WINDOW, SMALLEST = 4096, 256
@@ -178,7 +178,7 @@ def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenize
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = _Task(TaskContext.get().partitionId() << 32, window, smallest)
         ids, end = word_ids(path), END.to_bytes(4, "little")
-        for batch in batches:
+        for batch in parts(batches):
             for key, x in zip(batch.column(0).to_pylist(), binaries(batch, 1), strict=True):
                 own = ids.text(x) + end
                 task.add(key, own, 0, len(own) // 4)

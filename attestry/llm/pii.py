@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, column, ship, strings
+from .common import bounded, column, parts, ship, strings
 
 # fixed values: the base patterns
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -439,7 +439,7 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", f
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             out: list[list] = [[] for _ in names[1:]]
             for x in strings(batch, 1):
                 base = base_spans(x)
@@ -462,7 +462,7 @@ def without_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "do
     at, size = names.index(text), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             columns = list(batch.columns)
             texts, sizes = batch.column(at).to_pylist(), columns[size].to_pylist() if size is not None else None
             for k, x in enumerate(texts):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import cells, verified
-from .common import binaries, column, discard, looked_up, mix, ship, steps, stored
+from .common import binaries, column, discard, looked_up, mix, parts, ship, steps, stored
 from .components import components
 
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = binaries(batch, 1)
             fp = np.concatenate([fingerprints(texts[i:j]) for i, j in steps(texts)] or [np.zeros(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, column, ship, steps, stored, strings
+from .common import bounded, column, parts, ship, steps, stored, strings
 
 #: The fit takes at most so many toxic and other labelled documents, chosen by a hash of doc_id.
 TRAIN_TOXIC, TRAIN_OTHER = 2500, 5000
@@ -300,7 +300,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Scorer:
     chosen = stored(sample(docs, labels))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sets = [" ".join(sorted(vocabulary(x.lower()))) for x in strings(batch, 0)]
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.string()), batch.column(1)], names=["words", "toxic"])
 
@@ -310,7 +310,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Scorer:
     free = Lexicon(terms, tolerant={t for t in terms if len(t.rstrip("*")) >= FUZZY_FROM})
 
     def misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             doc, _, term, errors, _, _ = free.hits(strings(batch, 0))
             pairs = np.unique(np.stack([doc, term])[:, errors > 0], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[1], pa.int64())], names=["term"])
@@ -320,7 +320,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Scorer:
     scorer = Scorer(Lexicon(terms, tolerant={free.terms[k] for k in free.soft} - bad))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             x = scorer.lexicon.features(strings(batch, 0))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
@@ -334,7 +334,7 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, score and predicted for every row; null and empty texts are scored as texts without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts, out = strings(batch, 1), []
             raw = [x.encode("utf-8", "replace") for x in texts] if max(map(len, texts), default=0) > 1 << 16 else None
             for i, j in steps(raw or texts, 1 << 19):
