@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from .errors import EngineError
 from .functions import text as T
@@ -160,6 +162,23 @@ class Engine:
         return evidence.evidence_errors(quotes, self._table("sections"))
 
     def register_functions(self) -> None:
-        """SQL functions over whole Unicode: canonical(text) and ingredient_set(text)."""
+        """SQL functions over whole Unicode: canonical(text), ingredient_set(text), names_it(quote, name), heading_role(line); and the
+        table function document_sections(text), whose pages form feeds divide."""
         self.spark.udf.register("canonical", T.full_canonical)
         self.spark.udf.register("ingredient_set", medicines.ingredient_set)
+        self.spark.udf.register("names_it", evidence.names_it)
+        self.spark.udf.register("heading_role", heading_roles)
+        self.spark.udtf.register("document_sections", F.udtf(DocumentSections, returnType="section_id string, page int, section string, role string, text string"))
+
+
+@F.pandas_udf(S.StringType())
+def heading_roles(lines: pd.Series) -> pd.Series:
+    return lines.map(sections.heading_role)
+
+
+class DocumentSections:
+    """Sections of one text as rows."""
+
+    def eval(self, text: str):
+        for c in sections.chunked([(k + 1, t) for k, t in enumerate((text or "").split("\f"))]):
+            yield c["section_id"], c["page"], c["section"], c["role"], c["text"]

@@ -38,6 +38,13 @@ def _matched(spark, sf_dir, groups, fields=None):
     return R.match(own, R.compiled(spark, groups, fields), fields)
 
 
+def index_totals(spark, sf_dir):
+    """Postings and terms of each field of the stored index, with its totals; the first query of an application stores it."""
+    index = stored_index(spark, sf_dir)
+    per = index.rows.groupBy("field").agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("term").alias("terms"))
+    return per.join(index.total).select("field", "postings", "terms", F.col("n").alias("documents"), F.round("avgdl", 6).alias("mean_length"))
+
+
 def near_match(spark, sf_dir):
     return _matched(spark, sf_dir, GROUPS).select("id", "field", "label")
 
@@ -169,7 +176,7 @@ def screened_order(spark, sf_dir):
     return rows.orderBy(*key).limit(200).select("id", "fused")
 
 
-QUERIES = {f.__name__: f for f in (canonical_text, near_match, role_scoped_match, bm25_rank, matched_terms, search_filtered, analogous_only, screening, search_enriched, availability_rerank, country_facets, top_conditions, facet_filter, facet_counts, selection_summary, rrf_fusion, block_intersection, screened_order)}
+QUERIES = {f.__name__: f for f in (canonical_text, index_totals, near_match, role_scoped_match, bm25_rank, matched_terms, search_filtered, analogous_only, screening, search_enriched, availability_rerank, country_facets, top_conditions, facet_filter, facet_counts, selection_summary, rrf_fusion, block_intersection, screened_order)}
 
 _BM25 = f"""
 stats AS (SELECT id, count(*) AS dl FROM idx GROUP BY id),
@@ -230,4 +237,5 @@ SELECT id, a AS protocol_available, f AS protocol_found, o AS out_of_scope FROM
 WITH r AS (SELECT c_custkey, lower(n_name) AS n, lower(c_mktsegment) AS s FROM customer JOIN nation ON n_nationkey = c_nationkey)
 SELECT c_custkey, CASE WHEN n = 'united states' AND c_custkey % 3 = 1 THEN 'u s a,united states' ELSE n END AS countries, CASE s WHEN 'furniture' THEN 'claims' WHEN 'machinery' THEN 'claims' WHEN 'household' THEN 'registry' WHEN 'building' THEN 'registry' ELSE 'others' END AS types, CASE s WHEN 'building' THEN 'cohort' WHEN 'household' THEN 'other' ELSE '' END AS designs FROM r""",
     "top_conditions": "SELECT lower(v) AS value, count(*) AS n FROM (SELECT unnest([p_name, upper(p_type), p_type]) AS v FROM part) GROUP BY 1 ORDER BY n DESC, value LIMIT 50",
+    "index_totals": f"WITH {INDEX}, l AS (SELECT id, count(*) AS dl FROM idx GROUP BY id) SELECT field, count(*) AS postings, count(DISTINCT term) AS terms, (SELECT count(*) FROM l) AS documents, (SELECT round(avg(dl), 6) FROM l) AS mean_length FROM idx GROUP BY field",
 }

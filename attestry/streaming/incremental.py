@@ -43,7 +43,7 @@ def upsert_stream(stream: DataFrame, table: str, key: str, version: str, checkpo
 
 def imported_once(stream: DataFrame, ts: str, keys: tuple[str, ...] = ("checksum", "kind"), late: str = "1 day") -> DataFrame:
     """One row per content and kind within the watermark."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def counters(stream: DataFrame, term: str, ts: str) -> DataFrame:
