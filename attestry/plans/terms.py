@@ -148,7 +148,7 @@ def medicine_scan(spark, sf_dir):
     """Words of the vocabulary as medicine names in whole documents."""
     names = spark.createDataFrame([(n, n.upper()) for n in ("with the", "the", "from that", "que la", "und die", "avec")], "name string, term string")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return M.found_medicines(docs, names)
+    return M.found_medicines(docs, names).select("doc_id", "term")
 
 
 def code_owners(spark, sf_dir):
@@ -257,4 +257,5 @@ SELECT p_name, label, CAST(variant AS INT) AS variant, CASE WHEN NOT f OR NOT g
 WITH c AS (SELECT user_id, event_id, event_id * 10 + 8 AS pl FROM events WHERE event_type = 'click'), p AS (SELECT *, lag(pl) OVER (PARTITION BY user_id ORDER BY pl) AS prev FROM c), n AS (SELECT user_id, event_id AS v, event_id * 10 AS s, event_id * 10 + 4 AS e FROM events WHERE event_type = 'view'),
 j AS (SELECT p.*, n.v, n.s, n.e FROM p ASOF LEFT JOIN n ON n.user_id = p.user_id AND n.e <= p.pl)
 SELECT user_id AS field_id, 'c' || event_id AS code, CAST(pl AS INT) AS place, CASE WHEN pl - e <= 1200 AND s > coalesce(prev, -1) THEN 'n' || v END AS term FROM j""",
+    "medicine_scan": f"""WITH {_DOC}, m AS (SELECT doc_id, unnest(regexp_extract_all(' ' || replace(c, ' ', '  ') || ' ', ' (with  the|from  that|und  die|que  la|avec|the) ', 1)) AS m FROM t) SELECT DISTINCT doc_id, upper(replace(m, '  ', ' ')) AS term FROM m""",
 }
