@@ -55,3 +55,13 @@ def test_long_runs_are_searched_in_linear_time(text):
     began = time.time()
     pii.candidates(text)
     assert time.time() - began < 10
+
+
+@pytest.mark.parametrize(("digits", "want"), [("4111111111111111", True), ("5500005555555559", True), ("2221000000000009", True), ("378282246310005", True), ("6011000990139424", True), ("9870157079875996", False), ("1219538112535716", False), ("0007687199101951", False), ("411111111111111", False)])
+def test_issued_cards(digits, want):
+    assert pii.issued(digits) is want
+
+
+def test_numbers_that_no_network_issues_stay(finder):
+    text = "no 1000000000000008 here, but 4111111111111111 there"
+    assert pii.luhn("1000000000000008") and pii.cleaned(text, finder) == "no 1000000000000008 here, but [CARD] there"

@@ -535,10 +535,11 @@ def test_simhash(spark, hard, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("per", [5, 1024])
-def test_linked_fingerprints(spark, per, monkeypatch):
-    """A large group of near copies, in cells that are cut and in whole ones."""
+@pytest.mark.parametrize(("per", "bands"), [(5, 6), (1024, 6), (1024, 5), (1024, 9)])
+def test_linked_fingerprints(spark, per, bands, monkeypatch):
+    """A large group of near copies, in cells that are cut and in whole ones, at any number of bands."""
     monkeypatch.setattr(blocks.cells, "__defaults__", ("key", "node", per))
+    monkeypatch.setattr(simhash, "bands_for", lambda n, bits: bands)
     r = random.Random(8)
     fps = {r.getrandbits(64) for _ in range(150)}
     seed = r.getrandbits(64)
