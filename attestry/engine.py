@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from pyspark.sql import types as S
 from .errors import EngineError
 from .functions import text as T
 from .operators import evidence, expansion, medicines, retrieval, sections
+from .settings import Settings
 from .sources import catalogue, pages, sinks
 
 #: Index fields and the columns that fill them, of the studies table and of saved analyses (with a dot); lists are joined.
@@ -26,6 +27,7 @@ FIELDS = {
 class Engine:
     spark: SparkSession
     root: str
+    settings: Settings = field(default_factory=Settings)
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
@@ -113,12 +115,12 @@ class Engine:
         studies = self._table("studies").withColumnRenamed("study_id", "id")
         return retrieval.search(retrieval.bm25(index, words).join(found, "id"), studies, retrieval.Request(exclude=own, limit=limit))
 
-    def search_studies(self, query: str, limit: int = 5, most: int = 5, listed: int = 50, **options) -> dict:
+    def search_studies(self, query: str, limit: int = 5, **options) -> dict:
         """A preview of a search with what to do next: results, total, state, facets and unknown counts; where nothing is found, what
         stands in for the concept (terms=) and why."""
         if not 1 <= limit <= 20:
             raise EngineError("INVALID_INPUT", "limit is 1 to 20")
-        terms = options.pop("terms", ())
+        terms, most, listed = options.pop("terms", ()), self.settings.max_screening, self.settings.max_listed
         every = self.search(query, limit=1000, **options)
         counts = retrieval.unknown_counts(every, ("countries", "data_source_types")).withColumn("status", retrieval.selection_status(F.col("total"), most)).first()
         out = {"query": query, **counts.asDict(), "results": every.limit(min(limit, most)), "facets": retrieval.facet_counts(every, ("countries", "data_source_types")), "conditions": retrieval.top_values(every, "conditions", listed), "candidates": every if counts.total <= listed else None}

@@ -212,3 +212,37 @@ def pending_tools(rows: DataFrame, analyses: DataFrame, answers: DataFrame, key:
     status = F.when(F.col("fingerprint").isNull(), "pending").when(changed, "error").when(has & told, "complete").otherwise("needs_processing")
     tool = F.when(F.col("status") == "needs_processing", F.when(~has, "analyze").otherwise("answer"))
     return j.withColumn("status", status).withColumn("tool", tool).withColumn("error", F.when(F.col("status") == "error", "COMPARISON_SOURCE_CHANGED")).drop("_f", "_r", "_w")
+
+
+#: What of an observation travels between databases.
+SHAREABLE = ("protocol_found", "text_layer", "exposures", "exposure_rules", "backfill_done")
+
+
+def shareable(observation: Column) -> Column:
+    """The part of an observation (a map) that travels: no local ids, no error codes."""
+    return F.map_filter(observation, lambda k, _: k.isin(*SHAREABLE))
+
+
+def analysis_view(analyses: DataFrame, key: str = "study_id") -> DataFrame:
+    """key and a number for each part of an analysis: the size of a list, and 1 or 0 for a single fact."""
+    parts = [f for f in analyses.schema.fields if f.name != key]
+    size = lambda f: F.coalesce(F.size(f.name), F.lit(0)) if f.dataType.typeName() == "array" else F.col(f.name).isNotNull().cast("int")
+    return analyses.select(key, *(F.greatest(size(f), F.lit(0)).alias(f.name) for f in parts))
+
+
+def expansion_view(terms: DataFrame, key: str = "query_id") -> DataFrame:
+    """key and the terms of an expansion (key, term, kind, ord, and detail, a relation or a code's system) by kind, formatted."""
+    shown = F.when(F.col("kind") == "analogous", F.concat("term", F.lit(" ("), "detail", F.lit(")"))).when(F.col("kind") == "code", F.concat("detail", F.lit(":"), "term")).otherwise(F.col("term"))
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "t")))), lambda x: x["t"]).alias(kind)
+    return terms.withColumn("t", shown).groupBy(key).agg(*(of(k) for k in ("english", "related", "analogous", "code")))
+
+
+def planned(questions: DataFrame, terms: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
+    """key, queries, target_role, status of a search plan: what an expansion adds (key, term, ord), or where it adds nothing the
+    question itself if it is ASCII. A question in another language that no concept covers, or that gives no query, needs a translation."""
+    own = terms.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]).alias("_t"))
+    rows = questions.join(own, key, "left")
+    ascii_ = T.is_ascii(F.col(text))
+    queries = F.array_distinct(F.coalesce("_t", F.when(ascii_ & (F.trim(text) != ""), F.array(text)), F.array().cast("array<string>")))
+    role = F.when(F.lower(text).contains("outcome") | F.col(text).contains("アウトカム"), "outcome").otherwise("unspecified")
+    return rows.select(key, queries.alias("queries"), role.alias("target_role"), F.when((F.size(queries) == 0) | (~ascii_ & F.col("_t").isNull()), "needs_client_translation").otherwise("planned").alias("status"))

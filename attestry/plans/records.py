@@ -202,8 +202,36 @@ def finished_batches(spark, sf_dir):
     return V.checkpointed(batches, done).select("conv_id", "batch", "reused")
 
 
+def shared_observations(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    key = F.element_at(F.array(*map(F.lit, (*V.SHAREABLE, "pdf_id", "error"))), F.pmod("event_id", F.lit(7)).cast("int") + 1)
+    rows = ev.groupBy("user_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(key.alias("k"), F.lit("x").alias("v"))))).alias("m"))
+    return rows.select("user_id", F.array_join(F.array_sort(F.map_keys(V.shareable(F.col("m")))), ",").alias("keys"))
+
+
+def analysis_views(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    of = lambda role: F.collect_list(F.when(F.col("role") == role, F.struct("text")))
+    rows = turns.groupBy(F.col("conv_id").alias("study_id")).agg(of("user").alias("outcomes"), of("system").alias("data_sources"), F.max(F.when(F.col("turn") == 5, F.struct("text"))).alias("population"))
+    return V.analysis_view(rows)
+
+
+def search_plans(spark, sf_dir):
+    """Titles of documents as questions; every third has terms of an expansion."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.coalesce(F.regexp_extract("text", r"^\s*([^\n]+)", 1), F.lit("")).alias("text"))
+    terms = docs.where("query_id % 3 = 0").select("query_id", F.explode(F.array(F.struct(F.lit(2).alias("ord"), F.lit("second").alias("term")), F.struct(F.lit(1).alias("ord"), F.lit("first").alias("term")))).alias("x")).select("query_id", "x.*")
+    return V.planned(docs, terms).select("query_id", F.array_join("queries", "|").alias("queries"), "target_role", "status")
+
+
+def expansion_views(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").where("event_type <> 'signup'")
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in (("view", "english"), ("click", "related"), ("error", "analogous"), ("purchase", "code")) for x in kv]), F.col("event_type"))
+    rows = ev.select(F.col("user_id").alias("query_id"), F.concat(F.lit("t"), F.get_json_object("props", "$.k")).alias("term"), kind.alias("kind"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "error", "broader").otherwise("ATC").alias("detail"))
+    return V.expansion_view(rows).select("query_id", *(F.array_join(k, ",").alias(k) for k in ("english", "related", "analogous", "code")))
+
+
 QUERIES = {f.__name__: f for f in (
-    batch_store, reading_store, analysis_history, archive_store, merged_answers, cap_notes, outcome_tallies, retry_delays, observed_totals, reindexed_studies, graded_totals, failed_thresholds, comparison_work, comparison_cells, restored_facts, facts_overview, exportable_facts, long_quotes, audit_notes,
+    shared_observations, analysis_views, search_plans, expansion_views, batch_store, reading_store, analysis_history, archive_store, merged_answers, cap_notes, outcome_tallies, retry_delays, observed_totals, reindexed_studies, graded_totals, failed_thresholds, comparison_work, comparison_cells, restored_facts, facts_overview, exportable_facts, long_quotes, audit_notes,
     gram_orders, mined_decisions, label_review, medicine_names, url_allowed, page_errors, catalogue_actions, proposed_codes, finished_batches,
 )}
 
@@ -271,4 +299,12 @@ WITH r AS (SELECT p_brand AS question, p_partkey AS ord, ['ATC', 'ICD-10', 'LOCA
 SELECT question, ord, system, code, 'llm' AS origin, false AS verified FROM r WHERE system = 'LOCAL' OR NOT contains(code, '.') QUALIFY row_number() OVER (PARTITION BY question ORDER BY ord) <= 40""",
     "finished_batches": """
 WITH b AS (SELECT conv_id, CAST(turn // 2 AS INT) AS batch, list_sort(list(text)) AS t FROM conversations GROUP BY ALL) SELECT conv_id, batch, t IN (SELECT t FROM b WHERE conv_id % 2 = 0) AS reused FROM b""",
+    "shared_observations": "SELECT user_id, coalesce(string_agg(DISTINCT k, ',' ORDER BY k) FILTER (k NOT IN ('pdf_id', 'error')), '') AS keys FROM (SELECT user_id, ['protocol_found', 'text_layer', 'exposures', 'exposure_rules', 'backfill_done', 'pdf_id', 'error'][event_id % 7 + 1] AS k FROM events) GROUP BY 1",
+    "analysis_views": "SELECT conv_id AS study_id, CAST(count(*) FILTER (role = 'user') AS INT) AS outcomes, CAST(count(*) FILTER (role = 'system') AS INT) AS data_sources, CAST(max(CAST(turn = 5 AS INT)) AS INT) AS population FROM conversations GROUP BY 1",
+    "search_plans": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract(text, '^\s*([^\n]+)', 1), '') AS t FROM documents), a AS (SELECT *, t = regexp_replace(t, '[^\x00-\x7F]', '', 'g') AS ascii FROM d)
+SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'first|second' WHEN ascii AND trim(t) <> '' THEN t ELSE '' END AS queries, CASE WHEN contains(lower(t), 'outcome') THEN 'outcome' ELSE 'unspecified' END AS target_role, CASE WHEN doc_id % 3 = 0 OR (ascii AND trim(t) <> '') THEN 'planned' ELSE 'needs_client_translation' END AS status FROM a""",
+    "expansion_views": """
+WITH e AS (SELECT user_id, event_id, event_type, 't' || json_extract_string(props, '$.k') AS t FROM events WHERE event_type <> 'signup')
+SELECT user_id AS query_id, coalesce(string_agg(t, ',' ORDER BY event_id) FILTER (event_type = 'view'), '') AS english, coalesce(string_agg(t, ',' ORDER BY event_id) FILTER (event_type = 'click'), '') AS related, coalesce(string_agg(t || ' (broader)', ',' ORDER BY event_id) FILTER (event_type = 'error'), '') AS analogous, coalesce(string_agg('ATC:' || t, ',' ORDER BY event_id) FILTER (event_type = 'purchase'), '') AS code FROM e GROUP BY 1""",
 }

@@ -147,3 +147,18 @@ def archived(files: DataFrame, study: str = "study_id") -> DataFrame:
 def loaded(archive: DataFrame, protocol_id: str) -> DataFrame:
     """A document of an archive whose content still has the checksum of its id."""
     return archive.where((F.col("protocol_id") == protocol_id) & (F.sha2("content", 256) == F.substring_index(F.lit(protocol_id), "_", -1)))
+
+
+def remove_stale(spark: SparkSession, parent: str, prefix: str, now_ms: int, hours: float = 6) -> list[str]:
+    """Delete work folders of a prefix whose newest file is older than some hours at a given time; returns their names."""
+    p, fs = _fs(spark, parent)
+    gone = []
+    for status in fs.listStatus(p) if fs.exists(p) else ():
+        path = status.getPath()
+        if not status.isDirectory() or not path.getName().startswith(prefix):
+            continue
+        newest = max([status.getModificationTime(), *(x.getModificationTime() for x in fs.listStatus(path))])
+        if newest < now_ms - hours * 3_600_000:
+            fs.delete(path, True)
+            gone.append(path.getName())
+    return sorted(gone)

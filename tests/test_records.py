@@ -162,3 +162,31 @@ def test_streams_of_states(spark, tmp_path):
     assert {tuple(r) for r in got} == {tuple(r) for r in state.backoff(ev, "user_id", "event_id").collect()}
     once = I.run_to_memory(I.imported_once(stream.withColumn("checksum", F.col("user_id")).withColumn("kind", F.col("event_type")), "ts", late="400 days"), "once", "append")
     assert once.count() == ev.select("user_id", "event_type").distinct().count()
+
+
+def test_settings():
+    from attestry.settings import Settings
+
+    assert Settings().max_screening == 5
+    for bad in ({"max_listed": 0}, {"max_comparison": 1001}, {"catalogue_ttl": -1}):
+        with pytest.raises(EngineError):
+            Settings(**bad)
+
+
+def test_stale_work_goes(spark, tmp_path):
+    for name in ("work-a", "work-b", "other"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f").write_text("x")
+    now = int((tmp_path / "work-a" / "f").stat().st_mtime * 1000)
+    assert K.remove_stale(spark, str(tmp_path), "work-", now + 3_600_000) == [] and K.remove_stale(spark, str(tmp_path), "work-", now + 7 * 3_600_000) == ["work-a", "work-b"]
+    assert (tmp_path / "other").exists()
+
+
+def test_dictionaries(spark, tmp_path):
+    import json
+
+    concept = {"concept_id": "c1", "input_terms": ["heart"], "english_terms": ["cardiac"], "related_terms": [], "code_candidates": [{"system": "ICD-10", "code": "I50", "vocabulary_version": None, "relation": None}], "analogous_terms": [{"term": "vessel", "relation": "broader"}]}
+    (tmp_path / "a.json").write_text(json.dumps([concept]))
+    assert {(r.term, r.kind, r.source_file) for r in P.concepts(spark, str(tmp_path / "a.json")).collect()} >= {("heart", "input_terms", "a.json"), ("cardiac", "english_terms", "a.json")}
+    raw = {"data": [{"category": "Human", "name_of_medicine": " Alpha ", "international_non_proprietary_name_common_name": "tin; zinc", "atc_code_human": "A01AA01", "medicine_url": "u"}, {"category": "Veterinary", "name_of_medicine": "B", "international_non_proprietary_name_common_name": "x", "atc_code_human": "", "medicine_url": "u"}]}
+    assert [tuple(r) for r in P.medicines(spark.createDataFrame([(json.dumps(raw),)], "value string")).collect()] == [("Alpha", ["tin", "zinc"], "A01AA01")]
