@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..sources import sinks
 
 #: Characters of a page beyond any document, so that a document is one page and no quote is cut.
 WHOLE = 50_000_000
@@ -34,6 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
 def stored_index(spark: SparkSession, sf_dir: str) -> R.Index:
     """The index of the documents' titles and texts, stored once in an application for each folder of tables."""
     at = spark.sparkContext.applicationId, sf_dir
+    if at in _STORED:
+        there, fs = sinks._fs(spark, f"{_STORED[at]}/totals/_SUCCESS")
+        if not fs.exists(there):  # the folder was cleared
+            del _STORED[at]
     if at not in _STORED:
         path = f"{shared_dir(spark)}/index-{hashlib.sha256(repr(at).encode()).hexdigest()[:16]}"
         docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -54,6 +54,13 @@ def ranking_metrics(spark, sf_dir):
     return G.ranking_metrics(_lists(spark, sf_dir).where("strategy = 'long'").select("question", "id", "rank"), _judged(spark, sf_dir))
 
 
+def graded_items(spark, sf_dir):
+    """Items that ask each document for two words as facts of its language; half of them are of another kind."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"), F.col("lang").alias("kind"))
+    items = docs.select(F.col("doc_id").alias("item_id"), "doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("kind")).otherwise("other").alias("kind"), F.when(F.col("doc_id") % 3 == 0, r"\bthe\b").otherwise("(?i)de[rs]?\\s").alias("pattern"))
+    return G.graded(items, docs)
+
+
 def run_diff(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     count = lambda kind: ev.where(F.col("event_type") == kind).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -64,7 +71,7 @@ def call_timing(spark, sf_dir):
     return G.timings(table(spark, sf_dir, "events"), "event_type", "value")
 
 
-QUERIES = {f.__name__: f for f in (ngram_log_odds, subsumption_dedupe, pool_recall, pooled_candidates, ranking_metrics, run_diff, call_timing)}
+QUERIES = {f.__name__: f for f in (ngram_log_odds, subsumption_dedupe, pool_recall, pooled_candidates, ranking_metrics, graded_items, run_diff, call_timing)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _GRAMS = f"""
@@ -100,6 +107,9 @@ m AS (SELECT l.question, coalesce(sum(gain / log2(rank + 1)) FILTER (rank <= 5),
   FROM lists l LEFT JOIN g USING (question, id) WHERE strategy = 'long' GROUP BY 1),
 i AS (SELECT question, sum(gain / log2(r + 1)) FILTER (r <= 5) AS i5, sum(gain / log2(r + 1)) FILTER (r <= 10) AS i10, count(*) FILTER (label = 'relevant') AS n FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY gain DESC, id) AS r FROM g WHERE gain > 0) GROUP BY 1)
 SELECT question, round(d5 / nullif(i5, 0), 3) AS ndcg5, round(d10 / nullif(i10, 0), 3) AS ndcg10, relevant5, round(h20::DOUBLE / nullif(n, 0), 3) AS recall20 FROM m LEFT JOIN i USING (question)""",
+    "graded_items": r"""
+WITH d AS (SELECT doc_id, regexp_matches(coalesce(text, ''), CASE WHEN doc_id % 3 = 0 THEN '\bthe\b' ELSE '(?i)de[rs]?\s' END) AS m, doc_id % 2 = 0 AS same FROM documents)
+SELECT doc_id AS item_id, m AND same AS correct, m AND NOT same AS misplaced FROM d""",
     "run_diff": """
 WITH b AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1), a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1)
 SELECT user_id, coalesce(b.n, 0) AS before, coalesce(a.n, 0) AS after, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS gained, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS lost FROM b FULL JOIN a USING (user_id)""",

@@ -258,3 +258,20 @@ def merged_observations(bundle: DataFrame, local: DataFrame, key: str, fields: S
     rows = b.join(own, key, "full")
     newer = F.coalesce(F.col("_bv") > F.col("_lv"), F.lit(False))
     return rows.select(key, *(F.when(newer, F.coalesce(f"_b_{f}", f"_l_{f}")).otherwise(F.coalesce(f"_l_{f}", f"_b_{f}")).alias(f) for f in fields), F.greatest("_bv", "_lv").alias(version))
+
+
+def snapshot_exports(names: Sequence[str]) -> dict[str, str]:
+    """The exports of a snapshot by kind: exactly one of the full catalogue (studies) and of each kind, all of one day."""
+    out: dict[str, str] = {}
+    days = set()
+    for name in sorted(names):
+        base = PurePosixPath(name).name
+        kind = kind_of(base) or "studies"
+        day = re.match(r"(\d{8})_", base)
+        if not day or kind in out:
+            raise EngineError("SNAPSHOT_INVALID", f"not one dated export of {kind}: {base}")
+        out[kind] = name
+        days.add(day[1])
+    if set(out) != {"studies", *KINDS} or len(days) != 1:
+        raise EngineError("SNAPSHOT_INVALID", "one export of studies and of each kind, of one day")
+    return out

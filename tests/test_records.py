@@ -190,3 +190,11 @@ def test_dictionaries(spark, tmp_path):
     assert {(r.term, r.kind, r.source_file) for r in P.concepts(spark, str(tmp_path / "a.json")).collect()} >= {("heart", "input_terms", "a.json"), ("cardiac", "english_terms", "a.json")}
     raw = {"data": [{"category": "Human", "name_of_medicine": " Alpha ", "international_non_proprietary_name_common_name": "tin; zinc", "atc_code_human": "A01AA01", "medicine_url": "u"}, {"category": "Veterinary", "name_of_medicine": "B", "international_non_proprietary_name_common_name": "x", "atc_code_human": "", "medicine_url": "u"}]}
     assert [tuple(r) for r in P.medicines(spark.createDataFrame([(json.dumps(raw),)], "value string")).collect()] == [("Alpha", ["tin", "zinc"], "A01AA01")]
+
+
+def test_exports_of_a_snapshot():
+    names = [f"20240101_{k}_export.csv" for k in ("claims", "ehr", "registry")] + ["20240101_all.csv"]
+    assert C.snapshot_exports(names)["studies"] == "20240101_all.csv" and set(C.snapshot_exports(names)) == {"studies", *C.KINDS}
+    for bad in (names[:3], [*names, "20240101_more.csv"], [*names[:3], "20240102_all.csv"], [*names[:3], "all.csv"]):
+        with pytest.raises(EngineError):
+            C.snapshot_exports(bad)
