@@ -420,9 +420,20 @@ def issued(digits: str) -> bool:
     )
 
 
+def holds_card(digits: str) -> bool:
+    """Whether a number, or some of the groups in which it is written, is one that a network may have issued."""
+    groups = re.split(r"[\x20-]", digits)
+    for i in range(len(groups)):
+        for j in range(i + 1, len(groups) + 1):
+            own = "".join(groups[i:j])
+            if 12 <= len(own) <= 19 and luhn(own) and issued(own):
+                return True
+    return False
+
+
 def private(text: str) -> list[Span]:
-    """The base spans that are personal data: of numbers that pass as cards, those that a network may have issued."""
-    return [s for s in base_spans(text) if s[2] != CARD_K or issued(NOT_DIGIT.sub("", text[s[0] : s[1]]))]
+    """The base spans that are personal data: of numbers that pass as cards, those that hold one a network may have issued."""
+    return [s for s in base_spans(text) if s[2] != CARD_K or holds_card(text[s[0] : s[1]])]
 
 
 def cleaned(text: str, finder: Finder) -> str:

@@ -65,3 +65,9 @@ def test_issued_cards(digits, want):
 def test_numbers_that_no_network_issues_stay(finder):
     text = "no 1000000000000008 here, but 4111111111111111 there"
     assert pii.luhn("1000000000000008") and pii.cleaned(text, finder) == "no 1000000000000008 here, but [CARD] there"
+
+
+def test_cards_beside_other_digits_go(finder):
+    other = next(d for d in "0123456789" if pii.luhn(d + "4111111111111111"))
+    assert pii.holds_card(f"{other} 4111111111111111") and pii.holds_card("4111 1111-1111 1111") and not pii.holds_card("1000000000000008")
+    assert "4111" not in pii.cleaned(f"see {other} 4111111111111111 x", finder)
