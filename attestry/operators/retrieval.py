@@ -56,10 +56,10 @@ def totals(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 def write_index(docs: DataFrame, fields: dict[str, str], path: str, key: str = "id") -> None:
-    """Store an index: postings in folders by a hash of the term, sorted by term, and the totals. Terms of any frequency are dealt
-    over several files of their folder."""
+    """Store an index: postings in folders by a hash of the term, sorted by term, and the totals. A folder is written by one task,
+    or where frequent terms make it large, by several."""
     rows = postings(docs, fields, key).withColumn("bucket", F.pmod(F.crc32("term"), F.lit(BUCKETS)).cast("int"))
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "term", "id", "field", "pos")
+    dealt = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id", "field", "pos")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     totals(docs, fields).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
