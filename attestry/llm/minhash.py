@@ -8,7 +8,7 @@ band with probability (1 - 0.8 ** 5) ** 32, or 3e-6, and is dropped by the signa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,15 +136,12 @@ def links(rows: DataFrame, least: float) -> DataFrame:
     return cells(rows, per=PER).select("key", "cell_a", "cell_b", "node", "v").groupBy("key", "cell_a", "cell_b").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, jaccard: float = JACCARD) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id reachable by pairs of at least that Jaccard similarity of their shingles).
+def by_sets(docs: DataFrame, text: str, doc_id: str, size: int, jaccard: float, sketch: Callable[[list[np.ndarray]], list[list]], kinds: dict[str, tuple[pa.DataType, str]], meet: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id and component_id by pairs of at least that similarity, among those that meet() finds.
 
-    jaccard is JACCARD or more, for which the bands are chosen. Texts without a word, null ones too, are alike. Rows with one
-    doc_id are one document with several texts. A row without doc_id gets the component of its shingles, or null if no row
-    with a doc_id has them. Other columns are not read. An empty table gives no rows.
+    sketch gives columns (of those kinds) for sets that are not empty; meet takes s, size and these columns and returns node
+    and component of sets that may be similar. What it returns is compared by the whole sets.
     """
-    if jaccard < JACCARD:
-        raise ValueError(f"the bands reach pairs of a similarity of {JACCARD} or more")
     ship(docs.sparkSession)
     own = docs.select(column(docs, doc_id, "long").alias("doc_id"), column(docs, text, "string").alias("text"))
 
@@ -154,17 +151,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             for i, j in steps(texts):
                 sets = shingle_sets(texts[i:j], size)
                 some = [k for k, x in enumerate(sets) if len(x)]
-                key, sig = [None] * len(sets), [None] * len(sets)
-                if some:
-                    m = minima([sets[k] for k in some])
-                    for k, x, y in zip(some, keys(m).view(np.int64), signature(m), strict=True):
-                        key[k], sig[k] = x, y.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(key, pa.list_(pa.int64()))], names=["doc_id", "s", "size", "sig", "keys"])
-
-    told = stored(own.mapInArrow(run, "doc_id long, s long, size long, sig binary, keys array<long>"))
+                cells: list[list] = [[None] * len(sets) for _ in kinds]
+                for c, v in zip(cells, sketch([sets[k] for k in some]) if some else [], strict=False):
+                    for k, x in zip(some, v, strict=True):
+                        c[k] = x
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(c, t) for c, (t, _) in zip(cells, kinds.values(), strict=True))], names=["doc_id", "s", "size", *kinds])
+
+    told = stored(own.mapInArrow(run, "doc_id long, s long, size long, " + ", ".join(f"{c} {t}" for c, (_, t) in kinds.items())))
     nodes = stored(told.groupBy("s").agg(F.min("doc_id").alias("node")).where("node is not null"))
-    firsts = told.join(nodes.hint("merge"), (told.s == nodes.s) & (told.doc_id == nodes.node)).where("size > 0").select(told.s, "size", "sig", "keys")
-    groups = candidates(stored(firsts.dropDuplicates(["s"])), jaccard)
+    firsts = told.join(nodes.hint("merge"), (told.s == nodes.s) & (told.doc_id == nodes.node)).where("size > 0").select(told.s, "size", *kinds)
+    groups = meet(stored(firsts.dropDuplicates(["s"])))
     roots = groups.select(F.col("component").alias("node"), "component").distinct()
     wanted = nodes.join(groups.union(roots).select(F.col("node").alias("s"), F.col("component").alias("key")), "s").select("s", "key", F.col("node").alias("doc_id"))
 
@@ -187,3 +183,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     for x in (sets, nodes, linked, labels, groups):
         discard(x)
     return looked_up(told.select("doc_id", "s"), given, "s", "doc_id").select("doc_id", "component_id")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, jaccard: float = JACCARD) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable by pairs of at least that Jaccard similarity of their shingles).
+
+    jaccard is JACCARD or more, for which the bands are chosen. Texts without a word, null ones too, are alike. Rows with one
+    doc_id are one document with several texts. A row without doc_id gets the component of its shingles, or null if no row
+    with a doc_id has them. Other columns are not read. An empty table gives no rows.
+    """
+    if jaccard < JACCARD:
+        raise ValueError(f"the bands reach pairs of a similarity of {JACCARD} or more")
+
+    def sketch(sets: list[np.ndarray]) -> list[list]:
+        m = minima(sets)
+        return [[x.tobytes() for x in signature(m)], list(keys(m).view(np.int64))]
+
+    kinds = {"sig": (pa.binary(), "binary"), "keys": (pa.list_(pa.int64()), "array<long>")}
+    return by_sets(docs, text, doc_id, size, jaccard, sketch, kinds, lambda signed: candidates(signed, jaccard))

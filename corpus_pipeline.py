@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import decontam, langid, minhash, packing, pii
+from attestry.llm import decontam, langid, packing, pii, simhash
 from attestry.llm.common import stored, table
 
 
@@ -19,7 +19,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     The ids that go grow with the corpus, so they are never broadcast: the plan is a merge join at every size.
     """
-    found = minhash.near_duplicates(docs)
+    found = simhash.similar_documents(docs)
     gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
