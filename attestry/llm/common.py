@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _OWN: dict[str, str] = {}
+_WHITE = re.compile(rb"[\x09-\x0D ]")
 
 #: Bytes of text that one vectorised step takes at a time; arrays of eight bytes a byte stay near 16 MB.
 STEP_BYTES = 1 << 21
@@ -99,6 +101,18 @@ def steps(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, in
         yield first, len(texts)
 
 
+def runs(text: bytes, limit: int = STEP_BYTES) -> Iterator[bytes]:
+    """A text in pieces of about limit bytes, cut at ASCII white space only."""
+    at = 0
+    while len(text) - at > limit:
+        cut = _WHITE.search(text, at + limit)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = (x ^ (x >> _S)) * _M1

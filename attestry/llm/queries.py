@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, embeddings, langid, packing, pii, simhash, substrings, tokens, toxicity, urls
+from . import decontam, divergence, embeddings, langid, packing, pii, simhash, substrings, tokens, toxicity, urls, whitening
 from .common import table
 
 
@@ -48,8 +49,20 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long, which some 10**8 vectors can have, raises; the operator's own are decimals."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = (op1_token_counts, op2_toxicity, op3_language, op4_packing, op5_pii, op6_decontamination, op7_url_filters, op8_substring_dedup, op9_simhash, op10_embedding_dedup)
+    own = (
+        op1_token_counts, op2_toxicity, op3_language, op4_packing, op5_pii, op6_decontamination, op7_url_filters, op8_substring_dedup, op9_simhash, op10_embedding_dedup,
+        op11_whitening, op12_source_divergence,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -136,7 +149,32 @@ SELECT vec_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links, coalesce(component
 FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN c ON c.x = vec_id
 """
 
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({FOLDED.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM (SELECT k, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+v AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+size AS (SELECT g.lang, count(v.term) AS kept, coalesce(sum(v.n), 0) AS spoken FROM (SELECT DISTINCT lang FROM g) g LEFT JOIN v USING (lang) GROUP BY g.lang),
+own AS (SELECT c.* FROM c JOIN v USING (lang, term)),
+tot AS (SELECT g.lang, g.source, kept, spoken, coalesce(sum(own.n), 0) AS total FROM g JOIN size USING (lang) LEFT JOIN own USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT t.lang, t.source, v.term, coalesce(own.n, 0) AS n,
+    1 + (1000000000 * (coalesce(own.n, 0) + 5)::HUGEINT) // (total + 5 * kept) AS p, 1 + (1000000000 * (v.n + 5)::HUGEINT) // (spoken + 5 * kept) AS q
+  FROM tot t JOIN v USING (lang) LEFT JOIN own ON own.lang = t.lang AND own.source = t.source AND own.term = v.term
+),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS s1, y.source AS s2, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) z
+    ON z.lang = a.lang AND z.s1 = a.source AND z.s2 = b.source
+),
+r AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, term AS item, p - q AS value, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS rank FROM p WHERE n > 0 AND p > q) WHERE rank <= 50
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """Token counts, classifiers, packing, boosted spans and 64-bit hashes of shingles have no SQL; tests compare them with brute force."""
-    return {"op6_decontamination": OP6, "op7_url_filters": OP7, "op8_substring_dedup": OP8, "op10_embedding_dedup": OP10}
+    """Token counts, classifiers, packing, boosted spans, 64-bit hashes of shingles, eigenvectors and lattices have no SQL; tests compare them with brute force."""
+    return {"op6_decontamination": OP6, "op7_url_filters": OP7, "op8_substring_dedup": OP8, "op10_embedding_dedup": OP10, "op12_source_divergence": OP12}
