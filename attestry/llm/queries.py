@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, embeddings, langid, packing, pii, simhash, substrings, tokens, toxicity, urls, whitening
+from . import decontam, divergence, embeddings, langid, lattice, packing, pii, simhash, substrings, tokens, toxicity, urls, whitening
 from .common import table
 
 
@@ -58,10 +58,15 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lattice.scored(table(spark, sf_dir, "documents"), ~lattice.held_out())
+    return out.select("doc_id", lattice.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
     own = (
         op1_token_counts, op2_toxicity, op3_language, op4_packing, op5_pii, op6_decontamination, op7_url_filters, op8_substring_dedup, op9_simhash, op10_embedding_dedup,
-        op11_whitening, op12_source_divergence,
+        op11_whitening, op12_source_divergence, op13_lattice_score,
     )
     return {f.__name__: f for f in own}
 
