@@ -295,9 +295,9 @@ def fitted(counts: DataFrame, kinds: int, tokenizer: str | None = None, rounds:
 
 
 def _kinds(train: DataFrame, most: int) -> list[str]:
-    """The most frequent kinds of the training texts, at most so many, the rarest first; ties by name."""
+    """The most frequent kinds of the training texts, at most so many, the rarest last; ties by name."""
     rows = train.groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(most).collect()
-    return [r.kind for r in rows][::-1] or [""]
+    return [r.kind for r in rows] or [""]
 
 
 def _frequent(counts: DataFrame, most: int) -> DataFrame:

@@ -149,8 +149,8 @@ def whitened(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     ship(spark)
     own = vectors.select(column(vectors, vec_id, "long").alias("vec_id"), column(vectors, embedding, "array<double>").alias("e"))
     odd = F.exists("e", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    rows = own.where(F.col("e").isNotNull() & ~odd).select("vec_id", F.transform("e", lambda c: F.floor(c * scale).cast("long")).alias("x"))
-    sizes = sorted(r.d for r in rows.select(F.size("x").alias("d")).where("d > 0").distinct().limit(LENGTHS + 1).collect())
+    rows = own.where((F.size("e") > 0) & ~odd).select("vec_id", F.transform("e", lambda c: F.floor(c * scale).cast("long")).alias("x"))
+    sizes = sorted(r.d for r in rows.select(F.size("x").alias("d")).distinct().limit(LENGTHS + 1).collect())
     if len(sizes) > LENGTHS:
         raise ValueError(f"vectors of more than {LENGTHS} lengths")
     shape = "vec_id long, component int, n long, deviation decimal(38,0), whitened double, explained double, identity_error double"
