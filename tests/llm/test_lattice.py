@@ -124,7 +124,8 @@ def brute(data, v, model, kinds):
             p = math.log10(of[k][b""] / counts[b""])
             for w in words:
                 whole = max(0.0, of[k][w] - d) / n
-                p += math.log10(whole if not w else whole + d * v_k / n * math.exp(by_hand(w, scores)))
+                spelt = math.log(d * v_k / n) + by_hand(w, scores) if w else -math.inf
+                p += float(np.logaddexp(math.log(whole) if whole else -math.inf, spelt)) / math.log(10)
             ways.append(p)
         top = max(ways)
         out.append((len(words), sum(counts[w] > 0 for w in words), total, base, top + math.log10(sum(10 ** (x - top) for x in ways))))
