@@ -157,7 +157,7 @@ class Request:
     network_only: bool = False
     analysed: DataFrame | None = None
     facets: dict[str, tuple[str, ...]] = field(default_factory=dict)
-    limit: int = 20
+    limit: int | None = 20
 
 
 def filtered(scores: DataFrame, studies: DataFrame, request: Request, key: str = "id") -> DataFrame:
@@ -183,10 +183,11 @@ def filtered(scores: DataFrame, studies: DataFrame, request: Request, key: str =
 
 
 def search(scores: DataFrame, studies: DataFrame, request: Request, key: str = "id") -> DataFrame:
-    """filtered(), best first; ties by id as text."""
-    if not 1 <= request.limit <= 1000:
+    """filtered(), best first; ties by id as text. Without a limit all of them."""
+    if request.limit is not None and not 1 <= request.limit <= 1000:
         raise EngineError("INVALID_ARGUMENT", "limit is 1 to 1000")
-    return filtered(scores, studies, request, key).orderBy(F.desc("score"), F.col(key).cast("string")).limit(request.limit)
+    out = filtered(scores, studies, request, key).orderBy(F.desc("score"), F.col(key).cast("string"))
+    return out if request.limit is None else out.limit(request.limit)
 
 
 def enriched(found: DataFrame, analyses: DataFrame, observations: DataFrame, attributed: DataFrame, basis: str = "concept", key: str = "id") -> DataFrame:
