@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, documents, evaluation, evidence, records, retrieval, service, terms
+from . import catalogue, documents, evaluation, evidence, records, retrieval, service, storage, terms
 
-MODULES = (retrieval, catalogue, documents, evidence, evaluation, service, terms, records)
+MODULES = (retrieval, catalogue, documents, evidence, evaluation, service, terms, records, storage)
 
 
 def queries() -> dict:
