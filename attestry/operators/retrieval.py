@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import text as T
+from ..sources.sinks import stored
 
 # fixed values: field weights and the columns a role may search
 WEIGHTS = {"title": 3.0, "metadata": 1.0, "design": 5.0, "definitions": 4.0, "data_sources": 3.0, "condition": 4.0, "outcomes": 4.0, "exposure": 4.0, "objective": 2.0}
@@ -127,20 +128,38 @@ def bm25(index: Index, terms: Sequence[str], weights: dict[str, float] = WEIGHTS
     return bm25_lists(index.of(terms), lists, index.total, weights).select("id", "score")
 
 
-def ranks(rows: DataFrame, by: Sequence[str], score: str, key: str = "id", cuts: int = 64) -> DataFrame:
-    """rows with rank within by, best score first, ties by key as text; a list of any length is ranked by many tasks.
+#: Rows of a list from which its cuts are taken, about, and pieces of a list.
+SAMPLED, CUTS = 4096, 64
 
-    Quantiles of the scores cut each list; what precedes a piece is counted, and ranks within pieces are added. Pieces are
-    functions of the score, so the ranks are exact.
+
+def placed(rows: DataFrame, by: Sequence[str], order: Column, name: str = "rank") -> DataFrame:
+    """rows with their place within by, from 1, by a struct in ascending order that no two rows of a list share; a list of any
+    length is placed by many tasks.
+
+    A list is cut at structs of a sample of its rows, which a hash of the struct chooses, so pieces of equal scores are cut by the
+    rest of the struct. What precedes a piece is counted, and places within pieces are added. The rows are stored first: they
+    are read three times, and cuts and rows have to be of the same ones.
     """
     by = list(by)
-    quantiles = rows.groupBy(*by).agg(F.percentile_approx(score, [k / cuts for k in range(1, cuts)], 2000).alias("_q"))
-    own = rows.join(quantiles, by).withColumn("_b", F.size(F.filter("_q", lambda x: x > F.col(score)))).drop("_q")
-    sizes = own.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = own.join(sizes.select(*by, "_b", before.alias("_before")), [*by, "_b"])
-    within = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(F.desc(score), F.col(key).cast("string")))
-    return placed.withColumn("rank", (F.col("_before") + within).cast("int")).drop("_b", "_before")
+    keys = [*by, "_one"]
+    own = stored(rows.withColumns({"_o": order, "_one": F.lit(1)}))
+    sizes = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    every = F.greatest(F.ceil(F.col("_all") / SAMPLED), F.lit(1))
+    some = own.select(*keys, "_o").join(sizes, keys).where(F.pmod(F.xxhash64("_o"), every) == 0)
+    sample = F.array_sort(F.collect_list("_o"))
+    step = F.greatest(F.ceil(F.size("_s") / CUTS), F.lit(1)).cast("int")
+    cuts = some.groupBy(*keys).agg(sample.alias("_s")).select(*keys, F.filter("_s", lambda x, i: i % step == step - 1).alias("_c"))
+    pieces = own.join(cuts, keys, "left").withColumn("_b", F.coalesce(F.size(F.filter("_c", lambda x: x < F.col("_o"))), F.lit(0))).drop("_c")
+    counts = pieces.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = pieces.join(counts.select(*keys, "_b", before.alias("_before")), [*keys, "_b"])
+    within = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_o"))
+    return told.withColumn(name, (F.col("_before") + within).cast("int")).drop("_b", "_before", "_o", "_one")
+
+
+def ranks(rows: DataFrame, by: Sequence[str], score: str, key: str = "id") -> DataFrame:
+    """rows with rank within by, best score first, ties by key as text."""
+    return placed(rows, by, F.struct((-F.col(score)).alias("s"), F.col(key).cast("string").alias("k")))
 
 
 def attribution(matches: DataFrame) -> DataFrame:
@@ -295,12 +314,18 @@ def type_fit(has_source: Column, survey: Column) -> Column:
     return F.coalesce(has_source, F.lit(False)).cast("int") - F.coalesce(survey, F.lit(False)).cast("int")
 
 
-def order_key(available: Column, found: Column, layer: Column, listed: Column, specific: Column, role: Column, fit: Column, fused_: Column, key: Column) -> list[Column]:
-    """Unusable last, then specific and in-role blocks, listed or found before neither, type fit, fused score, id as text."""
+def order_struct(available: Column, found: Column, layer: Column, listed: Column, specific: Column, role: Column, fit: Column, fused_: Column, key: Column) -> Column:
+    """Ascending: unusable last, then specific and in-role blocks, listed or found before neither, type fit, fused score, id as text."""
     no = F.lit(False)
     unusable = F.coalesce(~available, no) | F.coalesce(~found, no) | F.coalesce(layer == "none", no)
     unlisted = F.coalesce(~listed, no) & ~F.coalesce(found, no)
-    return [unusable.asc(), specific.desc(), role.desc(), unlisted.asc(), fit.desc(), F.round(fused_, 4).desc(), key.cast("string").asc()]
+    parts = (unusable, -specific, -role, unlisted, -fit, -F.round(fused_, 4), key.cast("string"))
+    return F.struct(*(p.alias(f"k{n}") for n, p in enumerate(parts)))
+
+
+def order_key(*columns: Column) -> list[Column]:
+    """order_struct() to order by."""
+    return [order_struct(*columns).asc()]
 
 
 def facet_counts(rows: DataFrame, attributes: Sequence[str]) -> DataFrame:

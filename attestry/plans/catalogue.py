@@ -22,11 +22,16 @@ def split_values(spark, sf_dir):
     return part.select("p_partkey", F.posexplode(F.array_distinct(T.split_values(cell))).alias("ord", "value"))
 
 
+#: Headers as exports write them: every alias, and some that name no field.
+HEADERS = (*(a for names in C.ALIASES.values() for a in names), "contact", "remarks")
+
+
 def header_alias(spark, sf_dir):
-    headers = ["Study ID", "Official title and acronym", "Study type", "Study countries", "Countries", "Status", "status"]
-    at, repeated = C.resolved_headers(headers)
-    rows = [(f, headers[k], k) for f, k in at.items()] + [("(repeated)", h, -1) for h in repeated]
-    return spark.createDataFrame(rows, "field string, header string, position int")
+    """Every order as an export whose lines are its headers, some of them in capitals, with signs, or twice."""
+    lines = table(spark, sf_dir, "lineitem")
+    name = F.element_at(F.array(*map(F.lit, HEADERS)), (F.col("l_partkey") % len(HEADERS)).cast("int") + 1)
+    header = F.when(F.col("l_returnflag") == "A", F.upper(name)).when(F.col("l_returnflag") == "R", F.regexp_replace(name, " ", " - ")).otherwise(name)
+    return C.resolved_table(lines.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("position"), header.alias("header")))
 
 
 def unmatched_log(spark, sf_dir):
@@ -169,7 +174,13 @@ SELECT user_id, CASE WHEN b.version > l.version THEN coalesce(b.value, l.value)
   CASE WHEN b.version > l.version THEN coalesce(b.event_id, l.event_id) ELSE coalesce(l.event_id, b.event_id) END AS event_id, greatest(b.version, l.version) AS version
 FROM b FULL JOIN l USING (user_id)""",
     "unmatched_summary": "SELECT event_type || ' ' || json_extract_string(props, '$.k') AS term, count(*) AS n, max(ts) AS last_seen FROM events GROUP BY 1 ORDER BY n DESC, last_seen, term LIMIT 20",
-    "header_alias": "SELECT * FROM (VALUES ('study_id', 'Study ID', 0), ('title', 'Official title and acronym', 1), ('study_type', 'Study type', 2), ('countries', 'Study countries', 3), ('status', 'status', 6), ('(repeated)', 'status', -1)) t(field, header, position)",
+    "header_alias": f"""
+WITH a(field, h, k) AS (VALUES {", ".join(f"('{f}', '{a}', {k})" for f, names in C.ALIASES.items() for k, a in enumerate(names))}),
+l AS (SELECT l_orderkey AS file, l_linenumber AS position, l_returnflag AS r, [{", ".join(f"'{h}'" for h in HEADERS)}][l_partkey % {len(HEADERS)} + 1] AS h FROM lineitem),
+x AS (SELECT file, h, max({{'p': position, 't': CASE r WHEN 'A' THEN upper(h) WHEN 'R' THEN replace(h, ' ', ' - ') ELSE h END}}) AS m, count(*) AS n FROM l GROUP BY file, h),
+g AS (SELECT file, h, m.p AS position, m.t AS header, n FROM x)
+SELECT file, field, arg_min(header, k) AS header, CAST(arg_min(position, k) AS INT) AS position FROM g JOIN a USING (h) GROUP BY file, field
+UNION ALL SELECT file, '(repeated)', h, -1 FROM g WHERE n > 1""",
     "unmatched_log": r"""WITH t AS (SELECT doc_id, substr(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 1, 200) AS text FROM documents) SELECT * FROM t WHERE doc_id % 6 = 0 AND text <> '' AND text <> regexp_replace(text, '[^\x00-\x7F]', '', 'g')""",
     "bundle_refresh": "SELECT r_name AS name FROM region WHERE (SELECT max(ts) FROM events) > (SELECT max(ts) FROM events WHERE event_type = 'error') UNION ALL SELECT n_name FROM nation WHERE (SELECT max(ts) FROM events) <= (SELECT max(ts) FROM events WHERE event_type = 'error')",
     "export_days": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y%m%d') ELSE strftime(ts + INTERVAL 1 DAY, '%Y%m%d') END AS day, CASE WHEN event_id % 3 = 0 THEN 'claims' END AS kind FROM events",

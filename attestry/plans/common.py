@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
 from ..sources import sinks
+from ..sources.sinks import shared_dir
 
 #: Characters of a page beyond any document, so that a document is one page and no quote is cut.
 WHOLE = 50_000_000
@@ -24,14 +24,6 @@ def title(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*([^\n]+)", 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in a local session without one a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (found or tempfile.mkdtemp(prefix="attestry-")).rstrip("/")
-
-
 def stored_index(spark: SparkSession, sf_dir: str) -> R.Index:
     """The index of the documents' titles and texts, stored once in an application for each folder of tables."""
     at = spark.sparkContext.applicationId, sf_dir

@@ -172,7 +172,7 @@ def row_selection(spark, sf_dir):
     return rows.select("study_id", "priority", "eligible", "shown", F.lit(state).alias("state"))
 
 
-NATIONS = tuple(str(k) for k in range(5))
+NATIONS = tuple(str(k) for k in range(25))
 
 
 def comparison_pivot(spark, sf_dir):

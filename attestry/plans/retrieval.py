@@ -101,8 +101,8 @@ def availability_rerank(spark, sf_dir):
     status = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max_by(F.struct(code.alias("code")), F.struct("o_orderdate", "o_orderkey")).alias("x")).select("id", "x.code")
     none = F.lit(None)
     out = R.rechecked(rows, status)
-    key = R.order_key(F.col("protocol_available"), F.col("protocol_found"), none.cast("string"), none.cast("boolean"), F.col("specific"), F.col("specific") * 0, F.col("specific") * 0, F.col("fused"), F.col("id"))
-    return out.orderBy(*key).limit(200).select("id", "protocol_available", "protocol_found", "out_of_scope")
+    order = R.order_struct(F.col("protocol_available"), F.col("protocol_found"), none.cast("string"), none.cast("boolean"), F.col("specific"), F.col("specific") * 0, F.col("specific") * 0, F.col("fused"), F.col("id"))
+    return R.placed(out, (), order, "place").select("id", "protocol_available", "protocol_found", "out_of_scope", "place")
 
 
 def _source_type():
@@ -171,9 +171,8 @@ def screened_order(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = _blocks(spark, sf_dir).join(docs.select(F.col("doc_id").alias("id"), "lang", _source_type().alias("t")), "id").join(labels.select(F.col("doc_id").alias("id"), "quality", "toxic"), "id", "left")
     fit = R.type_fit(F.col("t") != "survey", F.col("lang") == "fr")
-    key = R.order_key(F.col("toxic") == 0, F.when(F.col("quality") == 1, True), F.when(F.col("lang") == "es", "none"), F.col("quality") == 1, F.col("specific_blocks"), F.col("role_blocks"), fit, F.col("fused"), F.col("id"))
-    # one list for the reader, of what a page of candidates shows
-    return rows.orderBy(*key).limit(200).select("id", "fused")
+    order = R.order_struct(F.col("toxic") == 0, F.when(F.col("quality") == 1, True), F.when(F.col("lang") == "es", "none"), F.col("quality") == 1, F.col("specific_blocks"), F.col("role_blocks"), fit, F.col("fused"), F.col("id"))
+    return R.placed(rows, (), order, "place").select("id", "fused", "place")
 
 
 QUERIES = {f.__name__: f for f in (canonical_text, index_totals, near_match, role_scoped_match, bm25_rank, matched_terms, search_filtered, analogous_only, screening, search_enriched, availability_rerank, country_facets, top_conditions, facet_filter, facet_counts, selection_summary, rrf_fusion, block_intersection, screened_order)}
@@ -213,7 +212,7 @@ SELECT count(*) AS total, CAST(count(*) FILTER (lang = 'fr' OR lang IS NULL) AS
     "screened_order": f"""
 WITH {INDEX}, {_LISTS}, {_BLOCKS},
 x AS (SELECT b.*, d.lang, {_SOURCE} AS t, quality, toxic FROM blocks b JOIN documents d ON d.doc_id = b.id LEFT JOIN labels l ON l.doc_id = b.id)
-SELECT id, fused FROM x ORDER BY coalesce(toxic <> 0, false) OR lang = 'es', specific_blocks DESC, role_blocks DESC, coalesce(quality <> 1, false), CAST(t <> 'survey' AS INT) - CAST(lang = 'fr' AS INT) DESC, fused DESC, CAST(id AS VARCHAR) LIMIT 200""",
+SELECT id, fused, CAST(row_number() OVER (ORDER BY coalesce(toxic <> 0, false) OR lang = 'es', specific_blocks DESC, role_blocks DESC, coalesce(quality <> 1, false), CAST(t <> 'survey' AS INT) - CAST(lang = 'fr' AS INT) DESC, fused DESC, CAST(id AS VARCHAR)) AS INT) AS place FROM x""",
     "screening": f"""
 WITH {INDEX}, {_near([R.Group(t, tuple(t.split())) for t in ("with the", "from", "that", "by", "this", "of the")])},
 stats AS (SELECT id, count(*) AS dl FROM idx GROUP BY id), tot AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM stats),
@@ -232,7 +231,7 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN a ON a.id =
     "availability_rerank": """
 WITH s AS (SELECT o_custkey AS id, arg_max({'c': CASE WHEN o_orderstatus = 'F' THEN 'PROTOCOL_NOT_FOUND' WHEN o_orderstatus = 'P' THEN 'STUDY_OUT_OF_SCOPE' WHEN o_orderpriority LIKE '1%' THEN 'OTHER' END}, {'d': o_orderdate, 'k': o_orderkey}) AS x FROM orders GROUP BY 1),
 r AS (SELECT c_custkey AS id, c_nationkey % 3 AS specific, c_acctbal, CASE WHEN s.id IS NULL THEN NULL WHEN x.c IS NULL THEN true WHEN x.c IN ('PROTOCOL_NOT_FOUND', 'STUDY_OUT_OF_SCOPE') THEN false END AS a, coalesce(CASE WHEN s.id IS NOT NULL AND x.c IS NULL THEN true WHEN x.c = 'PROTOCOL_NOT_FOUND' THEN false END, CASE WHEN c_nationkey > 20 THEN false END) AS f, coalesce(x.c = 'STUDY_OUT_OF_SCOPE', false) AS o FROM customer LEFT JOIN s ON s.id = c_custkey)
-SELECT id, a AS protocol_available, f AS protocol_found, o AS out_of_scope FROM r ORDER BY coalesce(NOT a, false) OR coalesce(NOT f, false), specific DESC, round(c_acctbal, 4) DESC, CAST(id AS VARCHAR) LIMIT 200""",
+SELECT id, a AS protocol_available, f AS protocol_found, o AS out_of_scope, CAST(row_number() OVER (ORDER BY coalesce(NOT a, false) OR coalesce(NOT f, false), specific DESC, round(c_acctbal, 4) DESC, CAST(id AS VARCHAR)) AS INT) AS place FROM r""",
     "country_facets": """
 WITH r AS (SELECT c_custkey, lower(n_name) AS n, lower(c_mktsegment) AS s FROM customer JOIN nation ON n_nationkey = c_nationkey)
 SELECT c_custkey, CASE WHEN n = 'united states' AND c_custkey % 3 = 1 THEN 'u s a,united states' ELSE n END AS countries, CASE s WHEN 'furniture' THEN 'claims' WHEN 'machinery' THEN 'claims' WHEN 'household' THEN 'registry' WHEN 'building' THEN 'registry' ELSE 'others' END AS types, CASE s WHEN 'building' THEN 'cohort' WHEN 'household' THEN 'other' ELSE '' END AS designs FROM r""",

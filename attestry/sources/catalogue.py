@@ -72,6 +72,17 @@ def resolved_headers(headers: Sequence[str], column_map: dict[str, str] | None =
     return out, repeated
 
 
+def resolved_table(headers: DataFrame, file: str = "file") -> DataFrame:
+    """file, field, header, position: resolved_headers() for the headers (file, position, header) of many exports at once; a header
+    that a file has more than once is told under the field (repeated) with position -1."""
+    spark = headers.sparkSession
+    aliases = spark.createDataFrame([(f, a, k) for f, names in ALIASES.items() for k, a in enumerate(names)], "field string, _h string, _k int")
+    own = headers.withColumn("_h", T.canonical(F.col("header"))).groupBy(file, "_h").agg(F.max(F.struct("position", "header")).alias("x"), F.count(F.lit(1)).alias("n"))
+    best = own.join(F.broadcast(aliases), "_h").groupBy(file, "field").agg(F.min_by("x", "_k").alias("x"))
+    again = own.where("n > 1 and _h <> ''").select(file, F.lit("(repeated)").alias("field"), F.col("_h").alias("header"), F.lit(-1).alias("position"))
+    return best.select(file, "field", "x.header", F.col("x.position").cast("int").alias("position")).unionByName(again)
+
+
 def kind_of(name: str) -> str | None:
     """The one kind that a file name holds as a word; none if it holds several."""
     found = set(re.split(r"[_\-. ]+", PurePosixPath(name).name.lower())) & set(KINDS)

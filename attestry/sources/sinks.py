@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -17,6 +18,30 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; in a local session without one a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _OWN[app] = tempfile.mkdtemp(prefix="attestry-")
+    return _OWN[app]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: what reads it several times computes it once, and a lost executor costs no
+    more than the step at hand. The folder is cleared between jobs."""
+    path = f"{shared_dir(df.sparkSession)}/s-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replace_table(df: DataFrame, path: str, files: int | None = None) -> None:
     """Write beside the table, then put the new folder in its place; a failed write leaves the old one.
 
