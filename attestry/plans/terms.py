@@ -130,6 +130,16 @@ def drug_products(spark, sf_dir):
     return M.same_products(queries, records).groupBy("query_id").agg(F.count(F.lit(1)).alias("products"), F.min("record_id").alias("first_product"))
 
 
+def drug_mentions(spark, sf_dir):
+    """Products of the ingredient sets that phrases name: a list inside a longer phrase, a brand beside it, or a combination as a whole."""
+    part = table(spark, sf_dir, "part")
+    word = lambda k: F.element_at(F.split("p_name", " "), k)
+    records = part.select(F.col("p_partkey").alias("record_id"), F.col("p_brand").alias("product"), F.split("p_name", " ").alias("ingredients"))
+    phrases = (F.concat(F.lit("Use of "), F.initcap("p_name"), F.lit(", in adults")), F.concat(F.lit("patients on "), F.col("p_brand"), F.lit(" or "), F.col("p_name"), F.lit(" tablets")), F.concat(word(2), F.lit(" and "), word(1)))
+    queries = part.select(F.explode(F.array(*phrases)).alias("text")).distinct().select(F.col("text").alias("query_id"), "text")
+    return M.named_products(queries, records).groupBy("query_id").agg(F.count(F.lit(1)).alias("products"), F.min("record_id").alias("first_product"))
+
+
 def salt_words(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.explode(F.array(F.element_at(F.split("p_name", " "), 1), F.col("p_name"), F.concat_ws(" ", F.element_at(F.split("p_name", " "), 1), F.lit("sodium")))).alias("name"))
     return M.salt_candidates(names)
@@ -160,7 +170,7 @@ def code_owners(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    vocab_expand, vocab_residual, clinical_concepts, expansion_terms, inline_codes, code_variants, phrase_groups, search_units, analogous_terms, coded_labels, class_members, class_expansion, ingredient_sets, drug_products, salt_words, name_relation, medicine_scan, code_owners,
+    vocab_expand, vocab_residual, clinical_concepts, expansion_terms, inline_codes, code_variants, phrase_groups, search_units, analogous_terms, coded_labels, class_members, class_expansion, ingredient_sets, drug_products, drug_mentions, salt_words, name_relation, medicine_scan, code_owners,
 )}
 
 _DOC = f"t AS (SELECT doc_id, {canon(chr(99) + chr(111) + 'alesce(text, ' + chr(39) * 2 + ')')} AS c FROM documents)"
@@ -242,6 +252,15 @@ q AS (
   SELECT DISTINCT split_part(p_name, ' ', 2) || ' and ' || split_part(p_name, ' ', 1) AS q, list_sort(list_distinct(string_split(p_name, ' '))) AS i FROM part
   UNION SELECT DISTINCT split_part(p_name, ' ', 1) || ' Citrate', [split_part(p_name, ' ', 1) || ' sodium'] FROM part)
 SELECT q AS query_id, count(*) AS products, min(p_partkey) AS first_product FROM q JOIN r USING (i) GROUP BY q""",
+    "drug_mentions": """
+WITH r AS (SELECT p_partkey AS k, p_brand AS b, list_sort(list_distinct(string_split(p_name, ' '))) AS i, p_name AS n, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part),
+cap AS (SELECT *, upper(w1[1:1]) || w1[2:] || ' ' || upper(w2[1:1]) || w2[2:] AS title FROM r),
+q AS (
+  SELECT DISTINCT 'Use of ' || title || ', in adults' AS q, i FROM cap
+  UNION SELECT 'patients on ' || b || ' or ' || n || ' tablets', i FROM r
+  UNION SELECT 'patients on ' || x.b || ' or ' || x.n || ' tablets', y.i FROM r x JOIN r y ON x.b = y.b
+  UNION SELECT w2 || ' and ' || w1, i FROM r)
+SELECT q AS query_id, count(DISTINCT k) AS products, min(k) AS first_product FROM q JOIN r USING (i) GROUP BY q""",
     "salt_words": "SELECT DISTINCT split_part(p_name, ' ', 2) AS word FROM part WHERE split_part(p_name, ' ', 2) NOT IN (" + ", ".join(f"'{w}'" for w in (*M.SALTS, *M.NOT_SALTS)) + ")",
     "name_relation": """
 WITH n AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
