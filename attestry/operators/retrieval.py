@@ -181,7 +181,7 @@ class Request:
 
 def filtered(scores: DataFrame, studies: DataFrame, request: Request, key: str = "id") -> DataFrame:
     """Scores with their studies, less what the request excludes: ids, other scopes (in_scope), networks, statuses, studies without
-    an analysis, and facets. A study without designs has that of its analysis (analysis_design)."""
+    an analysis, and facets, countries under any of their names. A study without designs has that of its analysis (analysis_design)."""
     out = scores.join(studies, key)
     if request.exclude is not None:
         out = out.join(request.exclude.select(key), key, "left_anti")
@@ -196,7 +196,11 @@ def filtered(scores: DataFrame, studies: DataFrame, request: Request, key: str =
     if {"study_designs", "analysis_design"} <= set(out.columns):
         out = out.withColumn("study_designs", F.when((F.size("study_designs") == 0) & F.col("analysis_design").isNotNull(), F.array("analysis_design")).otherwise(F.col("study_designs")))
     for name, values in request.facets.items():
-        if values:
+        if not values:
+            continue
+        if name == "countries":
+            out = out.where(F.arrays_overlap(F.transform(name, lambda c: country(c)), F.array(*(F.lit(country_name(v)) for v in values))))
+        else:
             out = out.where(F.arrays_overlap(name, F.array(*map(F.lit, values))))
     return out
 
@@ -281,15 +285,25 @@ def rechecked(rows: DataFrame, status: DataFrame, key: str = "id") -> DataFrame:
     return out.withColumns({"protocol_available": F.when(F.col("_s") & F.col("code").isNull(), True).when(gone, False), "protocol_found": F.coalesce(found, before), "out_of_scope": F.coalesce(F.col("code") == "STUDY_OUT_OF_SCOPE", F.lit(False))}).drop("code", "_s")
 
 
-# fixed values: spellings of countries that differ from the catalogue's, by the name it has
-COUNTRIES = {"united kingdom": ("uk", "great britain", "英国"), "united states": ("us", "usa", "united states of america", "米国"), "germany": ("deutschland", "ドイツ"), "france": ("フランス",), "spain": ("españa", "スペイン"), "italy": ("italia", "イタリア"), "netherlands": ("holland", "オランダ"), "czechia": ("czech republic",)}
+# fixed values: other names of countries, by the name that the catalogue has
+COUNTRIES = {
+    "united kingdom": ("英国", "イギリス", "uk", "great britain"), "germany": ("ドイツ",), "spain": ("スペイン",), "france": ("フランス",), "united states": ("米国", "アメリカ", "us", "usa", "united states of america"), "italy": ("イタリア",), "netherlands": ("オランダ",), "denmark": ("デンマーク",),
+    "sweden": ("スウェーデン",), "belgium": ("ベルギー",), "austria": ("オーストリア",), "norway": ("ノルウェー",), "finland": ("フィンランド",), "greece": ("ギリシャ",), "portugal": ("ポルトガル",), "canada": ("カナダ",), "poland": ("ポーランド",), "switzerland": ("スイス",), "ireland": ("アイルランド",), "japan": ("日本",),
+    "hungary": ("ハンガリー",), "czechia": ("チェコ", "czech republic"), "australia": ("オーストラリア",), "croatia": ("クロアチア",), "korea republic of": ("韓国", "south korea", "korea"), "romania": ("ルーマニア",), "bulgaria": ("ブルガリア",), "china": ("中国",), "israel": ("イスラエル",), "taiwan": ("台湾",),
+}
+_NAMES = {T.python_canonical(a): name for name, aliases in COUNTRIES.items() for a in aliases}
 
 
-def country(c: Column, names: dict[str, Sequence[str]] = COUNTRIES) -> Column:
+def country_name(text: str) -> str:
+    """country() for one name on the driver."""
+    flat = T.python_canonical(text) or ""
+    return _NAMES.get(flat, flat)
+
+
+def country(c: Column) -> Column:
     """The canonical name of a country; unknown ones pass through in normal form."""
     flat = T.canonical(c)
-    pairs = [F.lit(x) for name, aliases in names.items() for a in aliases for x in (T.python_canonical(a), name)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), flat), flat)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair]), flat), flat)
 
 
 def attributes(rows: DataFrame, sources: dict[str, Sequence[str]], designs: dict[str, Sequence[str]], typed: Sequence[str]) -> DataFrame:

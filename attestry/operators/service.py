@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..functions import text as T
+from .medicines import GENERIC
 
 BUDGET = 100
 
@@ -31,12 +32,22 @@ def class_conflicts(members: DataFrame) -> DataFrame:
     return seen.select("code", "labels", (F.size("labels") > 1).alias("omitted"))
 
 
-def class_analogues(codes: DataFrame, typed: DataFrame) -> DataFrame:
-    """For a typed five-character class: its parent of four characters as broader, the parent's other members as siblings."""
-    siblings = codes.select(F.col("code").alias("sibling"), F.substring("code", 1, 4).alias("parent")).distinct()
-    own = typed.select("code", F.substring("code", 1, 4).alias("parent"))
-    near = own.join(siblings, "parent").where(F.col("sibling") != F.col("code")).select("code", F.col("sibling").alias("term"), F.lit("sibling").alias("relation"))
-    return near.union(own.select("code", F.col("parent").alias("term"), F.lit("broader").alias("relation")))
+def class_analogues(typed: DataFrame, labels: DataFrame, found: DataFrame | None = None, key: str = "query") -> DataFrame:
+    """key, term, relation for a medicine's code of seven signs that a query is and that found nothing: the catalogue's name of its
+    class of five signs, or of four where that has none, as broader; names of the class's other codes as siblings.
+
+    labels (code, label) are the catalogue's, found has the queries that did find something. Only names are told, of ASCII, up to
+    150 characters, that mean something without their class.
+    """
+    own = typed.select(key, F.upper(F.trim(F.col(key))).alias("code")).where(F.col("code").rlike(r"^[A-Z]\d{2}[A-Z]{2}\d{2}$"))
+    if found is not None:
+        own = own.join(found.select(key), key, "left_anti")
+    five, four = F.substring("code", 1, 5), F.substring("code", 1, 4)
+    named = own.join(labels.select(F.col("code").alias("_5"), F.col("label").alias("_l5")), five == F.col("_5"), "left").join(labels.select(F.col("code").alias("_4"), F.col("label").alias("_l4")), four == F.col("_4"), "left")
+    broader = named.select(key, F.coalesce(F.nullif("_l5", F.lit("")), "_l4").alias("term"), F.lit("broader").alias("relation"))
+    leaves = labels.where(F.length("code") == 7).select(F.col("code").alias("_leaf"), five.alias("_class"), F.col("label").alias("term"))
+    siblings = own.withColumn("_class", five).join(leaves, "_class").where("_leaf <> code").select(key, "term", F.lit("sibling").alias("relation"))
+    return broader.union(siblings).where((F.coalesce("term", F.lit("")) != "") & T.is_ascii(F.col("term")) & (F.length("term") <= 150) & ~F.col("term").rlike(GENERIC)).distinct()
 
 
 def fallback_state(hits: Column, filtered: Column, analogous_terms: Column, analogous_hits: Column) -> Column:

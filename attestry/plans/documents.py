@@ -101,10 +101,13 @@ def page_chapters(spark, sf_dir):
 
 
 def _contents(spark, sf_dir):
-    """Lines of a contents page that call each turn by its whole first line, and the turns three pages later; long turns five."""
+    """Lines of a contents page that call each turn by its first line, with a number of one level, of two, or without; and the
+    turns three pages later, long ones five."""
     turns = _turns(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), "turn", F.trim(F.regexp_replace(F.element_at(F.split("text", "\n"), 1), r"[.\s]+$", "")).alias("head"), (F.length("text") > 700).alias("long")).where("head <> ''")
-    entry = turns.select("doc_id", F.lit(1).alias("page"), F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), "head", F.lit(" ..... "), (F.col("turn") + 1).cast("string")).alias("text"))
-    body = turns.select("doc_id", (F.col("turn") + F.when(F.col("long"), 6).otherwise(4)).cast("int").alias("page"), F.concat((F.col("turn") + 1).cast("string"), F.lit(" "), "head").alias("text"))
+    own, kind = F.col("turn").cast("string"), F.col("turn") % 3
+    name = F.concat(F.when(kind == 0, F.concat((F.col("turn") + 1).cast("string"), F.lit(". "))).when(kind == 1, F.concat(own, F.lit(".1 "))).otherwise(""), "head")
+    entry = turns.select("doc_id", F.lit(1).alias("page"), (F.col("turn") + 1).cast("int").alias("line"), F.concat(name, F.lit(" ..... "), (F.col("turn") + 1).cast("string")).alias("text"))
+    body = turns.select("doc_id", (F.col("turn") + F.when(F.col("long"), 6).otherwise(4)).cast("int").alias("page"), F.lit(1).alias("line"), name.alias("text"))
     return entry.union(body)
 
 
@@ -113,13 +116,13 @@ def contents_offset(spark, sf_dir):
 
 
 def contents_outline(spark, sf_dir):
-    return D.contents_outline(_contents(spark, sf_dir)).select("doc_id", "level", "title", "page")
+    return D.contents_outline(_contents(spark, sf_dir)).select("doc_id", "ord", "level", "title", "page")
 
 
 def neighbour_lift(spark, sf_dir):
-    """Turns as sections 1.k.j; those of the user are named by their text, and score by a number."""
+    """Turns as sections 1.k.j, every third as the section 1.k above them; they are named by their text, and score by a number."""
     turns = _turns(spark, sf_dir)
-    chunks = turns.select(F.col("conv_id").alias("doc_id"), F.format_string("s%04d", "turn").alias("section_id"), F.col("turn").alias("page"), F.concat(F.lit("part "), F.col("text")).alias("section"), F.array(F.lit(1), (F.col("turn") / 3).cast("int"), F.col("turn").cast("int")).alias("number"), F.when(F.col("role") == "system", "background").otherwise("methods").alias("role"), "text")
+    chunks = turns.select(F.col("conv_id").alias("doc_id"), F.format_string("s%04d", "turn").alias("section_id"), F.col("turn").alias("page"), F.concat(F.lit("part "), F.col("text")).alias("section"), F.when(F.col("turn") % 3 == 0, F.array(F.lit(1), (F.col("turn") / 3).cast("int"))).otherwise(F.array(F.lit(1), (F.col("turn") / 3).cast("int"), F.col("turn").cast("int"))).alias("number"), F.when(F.col("role") == "system", "background").otherwise("methods").alias("role"), "text")
     scored = chunks.select("doc_id", "section_id", "page", (F.length("text") % 7).cast("double").alias("score"))
     return D.lifted(chunks, scored, spark.createDataFrame([(t,) for t in SEARCHED], "term string"))
 
@@ -152,14 +155,17 @@ walk AS (
     CASE WHEN NOT coalesce(o.level > w.nav, false) AND o.title <> 'List of tables' THEN list_append(list_filter(w.up, lambda a: a.l < o.level), {'l': o.level, 't': o.title}) ELSE w.up END
   FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.k = w.k + 1),
 paths AS (SELECT doc_id, ord, page, title, list_transform(up, lambda a: a.t) AS anc FROM walk WHERE kept)"""
+_FORM = r"^\s*((?:[1-9]\d?|[IVX]{1,4})(?:\.\d{1,2})*\.?)?\s*(\S.*?)\s*(?:\.{3,}|…+)\s*(\d{1,3})\s*$"
 _CONTENTS = rf"""
 h AS (SELECT conv_id AS doc_id, turn, trim(regexp_replace(split_part(text, chr(10), 1), '[.\s]+$', '')) AS head, length(text) > 700 AS big FROM conversations),
-g AS (SELECT * FROM h WHERE head <> ''),
-e AS (SELECT doc_id, turn + 1 AS number, head, {canon("(turn + 1) || '. ' || head")} AS name FROM g WHERE doc_id IN (SELECT doc_id FROM g GROUP BY 1 HAVING count(*) >= 3)),
-b AS (SELECT DISTINCT doc_id, turn + CASE WHEN big THEN 6 ELSE 4 END AS page, {canon("(turn + 1) || ' ' || head")} AS name FROM g),
-f AS (SELECT DISTINCT e.doc_id, e.name, e.number, b.page - e.number AS off FROM e JOIN b USING (doc_id, name)),
-n AS (SELECT doc_id, off, count(*) AS n FROM f GROUP BY ALL),
-best AS (SELECT doc_id, max({{'n': n, 'd': -abs(off), 'o': -off}}) AS x FROM n GROUP BY 1 HAVING max(n) >= 3 AND max(n) >= 0.4 * (SELECT count(*) FROM e WHERE e.doc_id = n.doc_id))"""
+g AS (SELECT *, CASE turn % 3 WHEN 0 THEN (turn + 1) || '. ' WHEN 1 THEN turn || '.1 ' ELSE '' END || head AS t FROM h WHERE head <> ''),
+l AS (SELECT *, t || ' ..... ' || (turn + 1) AS line FROM g),
+e AS (SELECT doc_id, turn, coalesce(regexp_extract(line, '{_FORM}', 1), '') AS number, regexp_extract(line, '{_FORM}', 2) AS title, CAST(regexp_extract(line, '{_FORM}', 3) AS INT) AS printed FROM l WHERE regexp_matches(line, '{_FORM}')),
+en AS (SELECT *, {canon("number || ' ' || title")} AS name FROM e WHERE doc_id IN (SELECT doc_id FROM e GROUP BY 1 HAVING count(*) >= 3)),
+b AS (SELECT DISTINCT doc_id, turn + CASE WHEN big THEN 6 ELSE 4 END AS page, {canon("t")} AS name FROM g),
+f AS (SELECT DISTINCT en.doc_id, turn, b.page - printed AS off FROM en JOIN b ON b.doc_id = en.doc_id AND b.name = en.name AND b.name <> ''),
+n AS (SELECT doc_id, off, count(*) AS n, min(turn) AS first FROM f GROUP BY ALL),
+best AS (SELECT doc_id, min({{'n': -n, 'f': first, 'o': off}}) AS x FROM n GROUP BY 1 HAVING max(n) >= 3 AND max(n) >= 0.4 * (SELECT count(*) FROM en WHERE en.doc_id = n.doc_id))"""
 SQL = {
     "chapter_asof": f"""
 WITH h AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN {canon('text')} END AS head FROM conversations)
@@ -203,14 +209,16 @@ SELECT doc_id, page, role FROM c WHERE relevant AND (role = 'methods' OR page %
     "outline_paths": f"WITH RECURSIVE {_OUTLINE} SELECT doc_id, ord, page, title, list_extract(anc, 1) AS top, array_to_string(anc, ' / ') AS path FROM paths",
     "page_chapters": f"""WITH RECURSIVE {_OUTLINE}, pages_ AS (SELECT conv_id AS doc_id, CAST(unnest([turn * 2, turn * 2 + 1]) AS INT) AS page FROM conversations)
 SELECT g.doc_id, g.page, p.title AS chapter, p.anc[1] AS chapter_top, array_to_string(p.anc, ' / ') AS chapter_path FROM pages_ g ASOF LEFT JOIN paths p ON p.doc_id = g.doc_id AND p.page <= g.page""",
-    "contents_offset": f"WITH {_CONTENTS} SELECT doc_id, CAST(-x.o AS INT) AS offset FROM best",
-    "contents_outline": f"""WITH {_CONTENTS}
-SELECT e.doc_id, CAST(1 AS INT) AS level, e.number || '. ' || e.head AS title, CAST(min(b.page) AS INT) AS page FROM e JOIN best USING (doc_id) JOIN b ON b.doc_id = e.doc_id AND b.name = e.name AND abs(b.page - e.number - (-x.o)) <= 1 GROUP BY ALL""",
+    "contents_offset": f"WITH {_CONTENTS} SELECT doc_id, CAST(x.o AS INT) AS offset FROM best",
+    "contents_outline": f"""WITH {_CONTENTS},
+near AS (SELECT en.doc_id, turn, min({{'d': abs(b.page - printed - x.o), 'p': b.page}}) AS m FROM en JOIN best USING (doc_id) JOIN b ON b.doc_id = en.doc_id AND b.name = en.name AND b.name <> '' AND abs(b.page - printed - x.o) <= 1 GROUP BY ALL),
+p AS (SELECT en.*, m.p AS page, CASE WHEN number <> '' THEN CASE WHEN CAST(coalesce(nullif(regexp_extract(number, '^(\d+)', 1), ''), '1') AS INT) > 30 THEN 0 ELSE len(string_split(rtrim(number, '.'), '.')) END END AS depth FROM en JOIN near USING (doc_id, turn) WHERE NOT regexp_matches(title, '(?i)^(?:table|figure|fig\.)\s*[A-Z]?\d'))
+SELECT doc_id, CAST(row_number() OVER w AS INT) AS ord, CAST(greatest(1, coalesce(depth, last_value(depth IGNORE NULLS) OVER w + 1, 1)) AS INT) AS level, trim(number || ' ' || title) AS title, CAST(page AS INT) AS page FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "neighbour_lift": f"""
 WITH c AS (SELECT conv_id AS doc_id, turn, CAST(turn / 3 - 0.499999 AS INT) AS up, 'part ' || text AS section, length(text) AS n, CAST(length(text) % 7 AS DOUBLE) AS score, role = 'system' AS quiet, {canon("'part ' || text")} AS s FROM conversations),
 r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, run) AS chars FROM (SELECT *, sum(CASE WHEN edge THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY turn) AS run FROM (SELECT *, section IS DISTINCT FROM lag(section) OVER (PARTITION BY doc_id ORDER BY turn) AS edge FROM c))),
-a AS (SELECT * FROM r WHERE NOT quiet AND chars <= 1000 AND ({' OR '.join('CAST(' + _mention('s', t) + ' AS BOOLEAN)' for t in SEARCHED)})),
-t AS (SELECT r.doc_id, r.turn, max(a.score) - 0.5 AS goal FROM r JOIN a ON a.doc_id = r.doc_id AND a.up = r.up AND a.section <> r.section AND a.turn <> r.turn WHERE NOT r.quiet GROUP BY ALL)
+a AS (SELECT * FROM r WHERE turn % 3 <> 0 AND NOT quiet AND chars <= 1000 AND ({' OR '.join('CAST(' + _mention('s', t) + ' AS BOOLEAN)' for t in SEARCHED)})),
+t AS (SELECT r.doc_id, r.turn, max(a.score) - 0.5 AS goal FROM r JOIN a ON a.doc_id = r.doc_id AND a.up = r.up AND a.section <> r.section AND a.turn <> r.turn WHERE NOT r.quiet AND r.turn % 3 <> 0 GROUP BY ALL)
 SELECT r.doc_id, 's' || lpad(CAST(r.turn AS VARCHAR), 4, '0') AS section_id, r.turn AS page, greatest(r.score, coalesce(t.goal, r.score)) AS score, t.goal > r.score AS raised FROM r LEFT JOIN t ON t.doc_id = r.doc_id AND t.turn = r.turn""",
     "heading_titles": """
 WITH c AS (SELECT conv_id, turn, unnest(['Top', role, 'Top', 'part ' || (turn % 2)]) AS title, unnest([0, 1, 2, 3]) AS i FROM conversations), f AS (SELECT conv_id, title, min({'t': turn, 'i': i}) AS f FROM c GROUP BY ALL)

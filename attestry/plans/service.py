@@ -27,8 +27,14 @@ def class_conflicts(spark, sf_dir):
 
 
 def class_analogues(spark, sf_dir):
-    codes = table(spark, sf_dir, "part").select(F.substring(part_code(), 1, 5).alias("code")).distinct()
-    return V.class_analogues(codes, codes)
+    """Every code typed as a query; those of ordered parts found something. Classes of five signs have names where their number is even."""
+    part = table(spark, sf_dir, "part")
+    code = part_code()
+    leaves = part.select(code.alias("code"), "p_name").groupBy("code").agg(F.min("p_name").alias("label"))
+    fives = part.where("p_size % 2 = 0").select(F.substring(code, 1, 5).alias("code"), F.concat("p_type", F.lit(" CLASS")).alias("label")).distinct().groupBy("code").agg(F.min("label").alias("label"))
+    fours = part.select(F.substring(code, 1, 4).alias("code"), F.concat(F.lit("group "), F.substring(code, 1, 4)).alias("label")).distinct()
+    found = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount > 0.05").select(F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey").select(F.lower(code).alias("query")).distinct()
+    return V.class_analogues(part.select(F.lower(code).alias("query")).distinct(), leaves.union(fives).union(fours), found)
 
 
 def fallback_states(spark, sf_dir):
@@ -82,8 +88,12 @@ p AS (SELECT question, name, row_number() OVER (PARTITION BY question ORDER BY c
 SELECT question, name, CAST(place AS INT) AS place FROM p WHERE place <= 20""",
     "class_conflicts": f"WITH c AS (SELECT DISTINCT substr({CODE}, 1, 5) AS code, split_part(p_name, ' ', 1) AS label FROM part) SELECT code, string_agg(label, ',' ORDER BY label) AS labels, count(*) > 1 AS omitted FROM c GROUP BY code",
     "class_analogues": f"""
-WITH c AS (SELECT DISTINCT substr({CODE}, 1, 5) AS code FROM part)
-SELECT a.code, b.code AS term, 'sibling' AS relation FROM c a JOIN c b ON substr(a.code, 1, 4) = substr(b.code, 1, 4) AND a.code <> b.code UNION ALL SELECT code, substr(code, 1, 4), 'broader' FROM c""",
+WITH p AS (SELECT p_partkey, {CODE} AS code, p_name, p_type, p_size FROM part),
+leaf AS (SELECT code, min(p_name) AS label FROM p GROUP BY code), five AS (SELECT code[1:5] AS code, min(p_type || ' CLASS') AS label FROM p WHERE p_size % 2 = 0 GROUP BY 1),
+found AS (SELECT DISTINCT code FROM lineitem JOIN p ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_discount > 0.05),
+q AS (SELECT DISTINCT code FROM p WHERE code NOT IN (SELECT code FROM found))
+SELECT lower(q.code) AS query, coalesce(five.label, 'group ' || q.code[1:4]) AS term, 'broader' AS relation FROM q LEFT JOIN five ON five.code = q.code[1:5]
+UNION SELECT lower(q.code), leaf.label, 'sibling' FROM q JOIN leaf ON leaf.code[1:5] = q.code[1:5] AND leaf.code <> q.code""",
     "fallback_states": """
 WITH e AS (SELECT user_id, greatest(count(*) FILTER (event_type = 'purchase') - 8, 0) AS h, greatest(count(*) FILTER (event_type = 'click') - 20, 0) AS f, greatest(count(*) FILTER (event_type = 'error') - 8, 0) AS t, greatest(count(*) FILTER (event_type = 'signup') - 10, 0) AS a FROM events GROUP BY 1)
 SELECT user_id, CASE WHEN h > 0 THEN NULL WHEN f > 0 THEN 'concept_filtered_out' WHEN t = 0 THEN 'no_analogous_terms' WHEN a > 0 THEN 'available' ELSE 'no_matches' END AS state FROM e""",
