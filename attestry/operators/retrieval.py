@@ -46,6 +46,13 @@ class Index:
         own = self.rows.where(F.col("term").isin(*wanted))
         return own.where(F.col("bucket").isin(*sorted({bucket(t) for t in wanted}))).drop("bucket") if "bucket" in self.rows.columns else own
 
+    def among(self, terms: DataFrame) -> DataFrame:
+        """The postings of a table of terms (term); of a stored index only the folders that may hold them are read."""
+        if "bucket" not in self.rows.columns:
+            return self.rows.join(terms, "term", "left_semi")
+        buckets = sorted(r.b for r in terms.select(F.pmod(F.crc32("term"), F.lit(BUCKETS)).alias("b")).distinct().collect())
+        return self.rows.where(F.col("bucket").isin(*buckets)).drop("bucket").join(terms, "term", "left_semi")
+
 
 def bucket(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, documents, evaluation, evidence, nested, records, retrieval, service, storage, terms
+from . import catalogue, documents, evaluation, evidence, nested, questions, records, retrieval, service, storage, terms
 
-MODULES = (retrieval, catalogue, documents, evidence, evaluation, service, terms, records, storage, nested)
+MODULES = (retrieval, catalogue, documents, evidence, evaluation, service, terms, records, storage, nested, questions)
 
 
 def queries() -> dict:
