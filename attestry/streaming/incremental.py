@@ -11,32 +11,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.catalogue import upserted
-from ..sources.sinks import replace_table
+from ..sources.versions import Change, Store
 
 
 def read_stream(spark: SparkSession, folder: str, schema: S.StructType, files_per_batch: int = 50) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def newest_rows(df: DataFrame, key: str, version: str) -> DataFrame:
+    """The row of the highest version of each key; of equal versions the one of the larger other columns."""
+    names = df.columns
+    return df.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(version, *[c for c in names if c not in (key, version)])).alias("x")).select("x.*")
 
 
-def upsert_stream(stream: DataFrame, table: str, key: str, version: str, checkpoint: str) -> StreamingQuery:
-    """Keep the row with the highest version of each key; order of arrival and replays change nothing."""
+def upsert_stream(stream: DataFrame, store: Store, table: str, key: str, version: str, checkpoint: str) -> StreamingQuery:
+    """Keep the row with the highest version of each key in a table of a store; order of arrival and replays change nothing.
+
+    A micro-batch reads and writes the buckets of its keys only, and its number is part of the same commit, so a batch that runs
+    again after a crash finds itself done.
+    """
+
+    done = f"epoch {table} {checkpoint}"
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        names = batch.columns
-        newest = lambda df: df.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(version, *[c for c in names if c not in (key, version)])).alias("x")).select("x.*")
-        new = newest(batch)
-        if _exists(spark, table):
-            old = spark.read.parquet(table)
-            new = newest(old.unionByName(batch))
-            new = upserted(old, new, key=key)
-        replace_table(new, table)
+        def make(change: Change) -> None:
+            if change.facts.get(done, -1) >= epoch:
+                return
+            new = newest_rows(batch, key, version)
+            if change.base.has(table):
+                there = change.base.table(table, change.buckets_of(new, key)).select(*new.columns)
+                new = newest_rows(there.join(new.select(key), key, "left_semi").unionByName(new), key, version)
+            change.upsert(table, new, key)
+            change.facts[done] = epoch
+
+        store.transact(make)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

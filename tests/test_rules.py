@@ -18,6 +18,7 @@ from attestry.operators import state
 from attestry.sources import catalogue as C
 from attestry.sources import pages as P
 from attestry.sources import sinks
+from attestry.sources.versions import Store
 from attestry.streaming import incremental as I
 
 
@@ -324,10 +325,11 @@ def test_streams_equal_batches(spark, tmp_path):
     got = {tuple(r) for r in I.run_to_memory(I.counters(stream, "event_type", "ts"), "counted").collect()}
     assert got == {tuple(r) for r in I.counters(ev, "event_type", "ts").collect()}
     latest = ev.select("user_id", "event_id", "event_type")
+    store = Store(spark, str(tmp_path / "out"))
     for _ in range(2):  # a replay changes nothing
-        I.upsert_stream(I.read_stream(spark, str(tmp_path / "in"), ev.schema, 1).select("user_id", "event_id", "event_type"), str(tmp_path / "out"), "user_id", "event_id", str(tmp_path / f"c{_}")).awaitTermination()
+        I.upsert_stream(I.read_stream(spark, str(tmp_path / "in"), ev.schema, 1).select("user_id", "event_id", "event_type"), store, "latest", "user_id", "event_id", str(tmp_path / f"c{_}")).awaitTermination()
     want = {r.user_id: r.e for r in latest.groupBy("user_id").agg(F.max("event_id").alias("e")).collect()}
-    assert {r.user_id: r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+    assert {r.user_id: r.event_id for r in store.last().table("latest").collect()} == want
 
 
 def test_backoff(spark):
