@@ -14,8 +14,11 @@ ODDS = 1.0
 
 
 def _grams(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    return G.ngrams(words, "w", STOP_WORDS).select("id", "gram"), table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("id"))
+    docs = table(spark, sf_dir, "documents")
+    anchors = docs.where("lang = 'fr'").select(F.col("doc_id").alias("id"))
+    # the anchors are a property of the document here, so no join tells it
+    words = docs.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "fr", 1).alias("_a"), F.lit(None).cast("int").alias("_k"), T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    return G.ngrams(words, "w", STOP_WORDS, keep=("_a", "_k")), anchors
 
 
 def ngram_log_odds(spark, sf_dir):
@@ -24,8 +27,8 @@ def ngram_log_odds(spark, sf_dir):
 
 
 def subsumption_dedupe(spark, sf_dir):
-    grams, anchors = _grams(spark, sf_dir)
-    counts = grams.join(anchors, "id", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("a")).where("a >= 3")
+    grams, _ = _grams(spark, sf_dir)
+    counts = grams.where("_a = 1").groupBy("gram").agg(F.count(F.lit(1)).alias("a")).where("a >= 3")
     return G.without_subsumed(counts)
 
 
