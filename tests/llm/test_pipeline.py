@@ -97,5 +97,5 @@ def test_sql(spark, name):
 
 
 def test_names():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 14))
     assert np.all([callable(f) for f in queries.queries().values()])
