@@ -210,7 +210,7 @@ SELECT doc_id, page, role FROM c WHERE relevant AND (role = 'methods' OR page %
     "page_chapters": f"""WITH RECURSIVE {_OUTLINE}, pages_ AS (SELECT conv_id AS doc_id, CAST(unnest([turn * 2, turn * 2 + 1]) AS INT) AS page FROM conversations)
 SELECT g.doc_id, g.page, p.title AS chapter, p.anc[1] AS chapter_top, array_to_string(p.anc, ' / ') AS chapter_path FROM pages_ g ASOF LEFT JOIN paths p ON p.doc_id = g.doc_id AND p.page <= g.page""",
     "contents_offset": f"WITH {_CONTENTS} SELECT doc_id, CAST(x.o AS INT) AS offset FROM best",
-    "contents_outline": f"""WITH {_CONTENTS},
+    "contents_outline": rf"""WITH {_CONTENTS},
 near AS (SELECT en.doc_id, turn, min({{'d': abs(b.page - printed - x.o), 'p': b.page}}) AS m FROM en JOIN best USING (doc_id) JOIN b ON b.doc_id = en.doc_id AND b.name = en.name AND b.name <> '' AND abs(b.page - printed - x.o) <= 1 GROUP BY ALL),
 p AS (SELECT en.*, m.p AS page, CASE WHEN number <> '' THEN CASE WHEN CAST(coalesce(nullif(regexp_extract(number, '^(\d+)', 1), ''), '1') AS INT) > 30 THEN 0 ELSE len(string_split(rtrim(number, '.'), '.')) END END AS depth FROM en JOIN near USING (doc_id, turn) WHERE NOT regexp_matches(title, '(?i)^(?:table|figure|fig\.)\s*[A-Z]?\d'))
 SELECT doc_id, CAST(row_number() OVER w AS INT) AS ord, CAST(greatest(1, coalesce(depth, last_value(depth IGNORE NULLS) OVER w + 1, 1)) AS INT) AS level, trim(number || ' ' || title) AS title, CAST(page AS INT) AS page FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
