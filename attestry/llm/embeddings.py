@@ -40,7 +40,7 @@ def agreement(distance: float, width: float = WIDTH) -> float:
 def sizes_for(n: int, cosine: float = COSINE) -> tuple[int, int]:
     """Tables and hashes at which n vectors cost least, in bucket rows and comparisons by chance, with MISSED at the threshold.
 
-    23 tables of 12 hashes up to about 10**5 vectors; then the tables grow as the 0.27th power of n: 47 for 10**6, 157 for 10**8.
+    23 tables of 12 hashes up to about 10**4 vectors; then the tables grow as the 0.27th power of n: 27 for 10**5, 52 for 10**6, 182 for 10**8.
     """
     near, far = agreement(math.sqrt(2 - 2 * cosine)), agreement(math.sqrt(2))
     tables = lambda k: math.ceil(math.log(MISSED) / math.log1p(-(near**k)))
