@@ -21,16 +21,6 @@ def plain(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
-def labelled_fields(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """url, label, values of each dt of each dl: the field items of its dd, or the dd's own text."""
-    pair = F.regexp_extract_all(html, F.lit(r"(?is)(<dt\b.*?(?=<dt\b|</dl>))"), 1)
-    rows = pages.select(url, F.posexplode(pair).alias("ord", "x"))
-    label = plain(F.regexp_extract("x", r"(?is)<dt[^>]*>(.*?)</dt>", 1))
-    items = F.transform(F.regexp_extract_all("x", F.lit(r'(?is)class="[^"]*field__item[^"]*"[^>]*>(.*?)</'), 1), plain)
-    whole = F.array(plain(F.regexp_extract("x", r"(?is)<dd[^>]*>(.*?)</dd>", 1)))
-    return rows.select(url, "ord", T.norm(label).alias("label"), F.filter(F.when(F.size(items) > 0, items).otherwise(whole), lambda v: v != "").alias("values"))
-
-
 def page_fields(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, label, value for the title, first heading, language and footer of a page; only those that are there."""
     tag = lambda name: plain(F.regexp_extract(html, rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1))
@@ -46,15 +36,6 @@ def link_cards(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return pages.select(key, F.explode(first).alias("x"), texts.alias("t")).select(key, "x.ord", "x.href", plain(F.element_at("t", F.col("x.ord") + 1)).alias("text"))
 
 
-def document_cards(pages: DataFrame, container: str, url: str = "url", html: str = "html") -> DataFrame:
-    """Documents a page offers in containers of a class: url, kind (updated if the address says so), version, date; each address once."""
-    block = F.explode(F.regexp_extract_all(html, F.lit(rf'(?is)class="[^"]*{container}[^"]*"(.*?)(?=class="[^"]*{container}|$)'), 1))
-    rows = pages.select(url, block.alias("b")).select(url, "b", F.regexp_extract("b", r'(?is)href="([^"]+\.pdf)"', 1).alias("document_url")).where("document_url <> ''")
-    text = plain(F.concat(F.lit("<"), F.col("b")))
-    version = F.nullif(F.regexp_extract(text, r"(?i)\bv(?:ersion)?[ ._]*(\d+(?:\.\d+)*)", 1), F.lit(""))
-    return rows.select(url, "document_url", F.when(F.col("document_url").contains("-upd"), "updated").otherwise("initial").alias("kind"), version.alias("version"), T.parse_date(text).alias("document_date")).dropDuplicates([url, "document_url"])
-
-
 def paged(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: int = PAGE_CHARS) -> DataFrame:
     """key, page (from 1), text: pages divided by form feeds, or where there is none windows of some characters."""
     windows = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(chars)), lambda s: F.substring(F.col(text), s + 1, F.lit(chars)))

@@ -136,12 +136,6 @@ def test_served_items(spark):
     assert [tuple(r) for r in V.served_check(items, pages, chunks, ("references",)).orderBy("item_id").collect()] == [(1, True, True, True, True), (2, False, False, False, False)]
 
 
-def test_document_cards(spark):
-    html = '<div class="x files-upd"><a href="/a_v2.1-upd.pdf">Plan version 2.1 of 20240501</a></div><div class="x files-upd"><a href="/b.html">no</a></div>'
-    rows = P.document_cards(spark.createDataFrame([("u", html)], "url string, html string"), "files").collect()
-    assert [(r.document_url, r.kind, r.version, r.document_date) for r in rows] == [("/a_v2.1-upd.pdf", "updated", "2.1", "2024-05-01")]
-
-
 def test_registered_functions(spark, engine):
     engine.register_functions()
     row = spark.sql("SELECT canonical('Ｆull™ Width') AS c, ingredient_set('b (x, y) + a') AS i, names_it('the Blue List', 'blue list') AS n, heading_role('3 Outcomes') AS r").first()

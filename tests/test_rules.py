@@ -303,12 +303,6 @@ def test_latest_version(spark):
     assert {r.study: r.url for r in C.latest_versions(spark.createDataFrame(rows, shape), "study", "v4.0").collect()} == {"s": "u3"}
 
 
-def test_markup(spark):
-    html = '<dl><dt>Study  type</dt><dd><div class="field__item">A &amp; B</div><div class="field__item">C</div></dd><dt>Other</dt><dd>plain</dd></dl>'
-    rows = P.labelled_fields(spark.createDataFrame([("u", html)], "url string, html string")).orderBy("ord").collect()
-    assert [(r.label, r["values"]) for r in rows] == [("study type", ["A & B", "C"]), ("other", ["plain"])]
-
-
 def test_snapshot(spark, tmp_path):
     a = spark.range(5).toDF("x")
     sinks.write_snapshot({"a": a}, str(tmp_path / "s"), "20240101")
