@@ -39,10 +39,13 @@ def quote_position(spark, sf_dir):
 
 
 def quote_restore(spark, sf_dir):
-    rows = _held(spark, sf_dir)
+    """The printed text of held quotes, at their place and where their page begins with another word; breaks at hyphens are joined."""
     start, _, sha, size = E.quote_position(F.col("p"), F.col("q"))
-    moved = F.concat(F.lit("moved "), F.col("p"))
-    return rows.select("quote_id", "doc_id", "page", F.sha2(E.restored(F.col("p"), start, sha, size), 256).alias("at_place"), F.sha2(E.restored(F.substring(moved, F.lit(1), start + size + 6), start, sha, size), 256).alias("after_move"))
+    printed = _pages(spark, sf_dir).select("doc_id", "page", "text")
+    rows = _held(spark, sf_dir).select("quote_id", "doc_id", "page", start.alias("s"), sha.alias("h"), size.alias("n")).join(printed, ["doc_id", "page"])
+    found = rows.select("quote_id", "doc_id", "page", E.restored(F.col("text"), F.col("s"), F.col("h"), F.col("n")).alias("a"), E.restored(F.concat(F.lit("Moved "), F.col("text")), F.col("s"), F.col("h"), F.col("n")).alias("b"))
+    joined = lambda c: F.sha2(F.regexp_replace(F.replace(F.col(c), F.lit(chr(173)), F.lit("")), r"-\s+", "-"), 256)
+    return found.select("quote_id", "doc_id", "page", joined("a").alias("at_place"), joined("b").alias("after_move"))
 
 
 def _lines(spark, sf_dir):
@@ -184,6 +187,8 @@ def comparison_pivot(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (quote_containment, quote_position, quote_restore, nearest_page, derived_section, naming_quote, evidence_codes, fact_rows, find_facts, prebuilt_roundtrip, merge_entries, round_robin_cap, notes_overflow, coverage_gaps, conflict_pairs, suitability_status, row_selection, comparison_pivot)}
 
 _PAGES = "pages_ AS (SELECT doc_id, CAST(k AS INT) AS page, substr(text, (k - 1) * 50000000 + 1, 50000000) AS text FROM (SELECT doc_id, text, unnest(generate_series(1, greatest(1, CAST(ceil(length(text) / 50000000.0) AS INT)))) AS k FROM documents WHERE text IS NOT NULL))"
+#: The normal form of a text with its letters as printed.
+_PRINTED = r"trim(regexp_replace(regexp_replace(replace({}, chr(173), ''), '-\s+', '-', 'g'), '\s+', ' ', 'g'))"
 _HELD = f"{_PAGES}, p AS (SELECT doc_id, page, {quote('text')} AS p FROM pages_), b AS (SELECT item_id AS quote_id, {quote('text')} AS q FROM benchmark), held AS (SELECT * FROM p JOIN b ON contains(p, q) WHERE q <> '')"
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS page FROM documents)"
 _CITED = "head AS (SELECT doc_id, text FROM lines WHERE page = 0), cited AS (SELECT doc_id * 2 AS quote_id, doc_id, text AS quote FROM head UNION ALL SELECT doc_id * 2 + 3, doc_id + 1, text FROM head WHERE doc_id + 1 IN (SELECT doc_id FROM head))"
@@ -205,7 +210,8 @@ s AS (SELECT s_suppkey AS study_id, CASE WHEN s_acctbal > 500 THEN 'complete' EL
 SQL = {
     "quote_containment": f"WITH {_HELD} SELECT quote_id, doc_id, page FROM held",
     "quote_position": f"WITH {_HELD} SELECT quote_id, doc_id, page, CAST(instr(p, q) - 1 AS INT) AS quote_start, CAST(instr(p, q) - 1 + length(q) AS INT) AS quote_end, sha256(q) AS quote_sha256, CAST(length(q) AS INT) AS quote_length FROM held",
-    "quote_restore": f"WITH {_HELD} SELECT quote_id, doc_id, page, sha256(q) AS at_place, sha256(q) AS after_move FROM held",
+    "quote_restore": rf"""WITH {_HELD}, c AS (SELECT quote_id, h.doc_id, page, {_PRINTED.format('h.text')} AS p, {_PRINTED.format('b.text')} AS q FROM (SELECT held.*, g.text FROM held JOIN pages_ g USING (doc_id, page)) h JOIN benchmark b ON b.item_id = h.quote_id),
+s AS (SELECT quote_id, doc_id, page, sha256(substr(p, instr(lower(p), lower(q)), length(q))) AS x FROM c) SELECT quote_id, doc_id, page, x AS at_place, x AS after_move FROM s""",
     "nearest_page": f"""
 WITH {_LINES}, {_CITED},
 h AS (SELECT quote_id, l.page AS p, abs(l.page - 2) AS d FROM cited c JOIN lines l ON l.doc_id = c.doc_id AND contains({quote('l.text')}, {quote('c.quote')}) WHERE {quote('c.quote')} <> ''),

@@ -121,7 +121,7 @@ def restored_facts(spark, sf_dir):
     q = T.normalize_quote(F.col("quote"))
     rows = found.join(quotes, "quote_id").join(pages, ["doc_id", "page"]).select(F.concat_ws("-", "quote_id", "doc_id").alias("fact_id"), F.sha2(F.when(F.col("doc_id") % 4 == 0, "gone").otherwise(F.col("doc_id").cast("string")), 256).alias("sha256"), "page", F.when(F.col("doc_id") % 5 == 0, 3).otherwise(F.instr(T.normalize_quote(F.col("text")), q) - 1).alias("start"), F.sha2(q, 256).alias("quote_sha256"), F.length(q).alias("quote_length"))
     archive = table(spark, sf_dir, "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("sha256"), "doc_id")
-    return E.restored_facts(rows, pages, archive).select("fact_id", "status", F.sha2(F.array_join("quotes", "|"), 256).alias("quotes_sha256"))
+    return E.restored_facts(rows, pages, archive).select("fact_id", "status", F.sha2(F.array_join(F.transform("quotes", T.normalize_quote), "|"), 256).alias("quotes_sha256"))
 
 
 def facts_overview(spark, sf_dir):

@@ -80,23 +80,40 @@ def test_mentions_and_states(spark):
     assert [g[1] for g in got[2:]] == [False, True, True]
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.text(alphabet="aB -\n\t\u00adß.", max_size=40))
-def test_quote_round_trip(text):
-    """What stands at a place of the normal form, cut from the printed text, has that normal form again."""
-    flat = E.normal(text)
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB -\n\t\u00ad\u00a0ßΣςİ.", max_size=40))
+def test_places_of_normal_forms(text):
+    """Signs of the normal form come from places in order, and what stands between two of them has that normal form again."""
+    flat, origin = E.origins(text)
+    assert len(flat) == len(origin) and list(origin) == sorted(origin)
     for start in range(len(flat)):
-        for end in (start + 1, len(flat)):
-            cut = E.normal(E.verbatim(text, start, end))
-            assert flat[start:end].strip() in cut and (cut in flat or "ß" in text)
+        if flat[start] != " " and flat[start - 1 : start] != "s":
+            cut = E.origins(text[origin[start] : origin[-1] + 1])[0]
+            assert cut == flat[start:] or "İ" in text
+
+
+def test_places_agree_with_columns(spark):
+    texts = ["", " - ", "A -\n b\u00ad c", "x\u00a0\u2003y-\u3000z", "ΟΔΟΣ ΣΑΣ µ ſ STRAẞE İx", "\u00ad \u00ad-a -\u00ad b", "ﬁne \x1c end", "pre- \u00ad fix", None, "a" * 300_000 + " B"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.normalize_quote(F.col("t")).alias("n")).collect()
+    assert {r.k: r.n for r in rows} == {k: None if t is None else E.origins(t)[0] for k, t in enumerate(texts)}
 
 
 def test_restoration_after_a_move(spark):
-    page, quote = "intro words then the quoted passage here", "the quoted passage"
+    page, quote = "Intro words; then \u201cThe  Quoted\n pas\u00adsage-\n Straße\u201d here", "the quoted passage-STRASSE"
     df = spark.createDataFrame([(page, quote)], "p string, q string")
-    start, _, sha, size = E.quote_position(F.col("p"), F.col("q"))
-    row = df.select(E.restored(F.col("p"), start, sha, size).alias("a"), E.restored(F.concat(F.lit("more "), F.col("p")), start, sha, size).alias("b"), E.restored(F.lit("nothing"), start, sha, size).alias("c")).first()
-    assert (row.a, row.b, row.c) == (quote, quote, None)
+    start, _, sha, size = E.quote_position(T.normalize_quote(F.col("p")), T.normalize_quote(F.col("q")))
+    of = lambda p, n=size: E.restored(p, start, sha, n)
+    row = df.select(of(F.col("p")).alias("a"), of(F.concat(F.lit("more "), F.col("p"))).alias("b"), of(F.lit("nothing")).alias("c"), of(F.lit(None).cast("string")).alias("d"), of(F.col("p"), F.lit(0)).alias("e")).first()
+    printed = "The Quoted pas\u00adsage- Straße"
+    assert tuple(row) == (printed, printed, None, None, None)
+
+
+def test_first_place_of_a_moved_quote():
+    """An earlier place inside words counts, as do quotes that begin and end inside words."""
+    text = "xbone yard bone yard y"
+    sha = E.digest("bone yard")
+    assert E.place(text, 3, sha, 9) == 1 and E.place(text, None, E.digest("one ya"), 6) == 2
+    assert E.place(text, 11, sha, 9) == 11 and E.place(text, 0, sha, 0) is None and E.place(text, 0, E.digest("zone"), 4) is None and E.place("ab", 0, sha, 9) is None
 
 
 @pytest.mark.parametrize(
