@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, documents, evaluation, evidence, markup, nested, questions, records, retrieval, service, storage, terms
+from . import catalogue, documents, evaluation, evidence, markup, nested, questions, records, retrieval, service, storage, structure, terms
 
-MODULES = (retrieval, catalogue, documents, evidence, evaluation, service, terms, records, storage, nested, questions, markup)
+MODULES = (retrieval, catalogue, documents, evidence, evaluation, service, terms, records, storage, nested, questions, markup, structure)
 
 
 def queries() -> dict:
