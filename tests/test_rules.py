@@ -1,5 +1,7 @@
 """Rules of single operators on hand-made input."""
 
+import unicodedata
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,6 +100,23 @@ def test_places_agree_with_columns(spark):
     assert {r.k: r.n for r in rows} == {k: None if t is None else E.origins(t)[0] for k, t in enumerate(texts)}
 
 
+def test_forms_of_every_sign(spark):
+    """canonical is full_canonical for every sign of two planes, but those that stand for several, newer ones and Cherokee."""
+    signs = [chr(k) for r in (range(1, 0xD800), range(0xE000, 0x10000), range(0x1D400, 0x1D800)) for k in r]
+    rows = spark.createDataFrame([(x,) for x in signs], "x string").select("x", T.canonical(F.concat(F.lit("a "), "x", F.lit(" b"))).alias("n")).collect()
+    known = [r for r in rows if unicodedata.category(r.x) != "Cn" and unicodedata.ucd_3_2_0.category(r.x) != "Cn"]
+    wrong = [r.x for r in known if r.n != T.python_canonical(f"a {r.x} b") and (len(unicodedata.normalize("NFKC", r.x).casefold()) == 1)]
+    assert len(known) > 45_000 and [x for x in wrong if not "Ꭰ" <= x <= "Ᏼ"] == []
+
+
+def test_forms_of_texts(spark):
+    texts = ["ＩＣＤ－１０", "ﬁnal ﬀ", "ΟΔΟΣ", "ｱ ｶ", "𝐀𝟏", "x² ª µg", "Brand™x℠", "STRAẞE ß", "Ǆ_é"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", T.canonical(F.col("x")).alias("n"), T.tokens(F.col("x")).alias("t")).collect()
+    assert {r.x: r.n for r in rows if r.x != "Ǆ_é"} == {x: T.python_canonical(x) for x in texts if x != "Ǆ_é"}
+    marks = spark.createDataFrame([("e\u0301te\u0301 Tiếng ữ",)], "x string").select(T.tokens(F.col("x")).alias("t")).first().t
+    assert marks == ["ete", "tieng", "u"]
+
+
 def test_restoration_after_a_move(spark):
     page, quote = "Intro words; then \u201cThe  Quoted\n pas\u00adsage-\n Straße\u201d here", "the quoted passage-STRASSE"
     df = spark.createDataFrame([(page, quote)], "p string, q string")
