@@ -186,43 +186,80 @@ def _absorbed(kept: Column, other: Column, t: S.StructType) -> Column:
     return with_fields(kept, t, **values)
 
 
-def _united(entries: Column, t: S.StructType) -> Column:
-    """A list of facts in which each statement is one entry, where it first stands."""
-    keyed = F.transform(entries, lambda x: F.struct(_key(x, t).alias("k"), x.alias("v")))
-    keys = F.array_distinct(F.transform(keyed, lambda x: x["k"]))
+def _first_place(*names: str) -> Column:
+    return F.array_sort(F.collect_list(F.struct(*names)))
 
-    def one(k: Column) -> Column:
-        own = F.transform(F.filter(keyed, lambda x: x["k"] == k), lambda x: x["v"])
-        same = lambda acc, x: F.when(acc.eqNullSafe(x), acc).otherwise(_absorbed(acc, x, t))
-        return F.aggregate(F.slice(own, F.lit(2), F.size(own)), F.get(own, F.lit(0)), same)
 
-    return F.transform(keys, one)
+def _lists(kind: S.DataType, at: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], S.DataType]]:
+    """Path and element type of the lists of structs in a record's blocks: those that are merged as rows."""
+    if is_fact(kind):
+        return []
+    if isinstance(kind, S.ArrayType):
+        return [(at, kind.elementType)] if isinstance(kind.elementType, S.StructType) else []
+    return [x for f in kind for x in _lists(f.dataType, (*at, f.name))] if isinstance(kind, S.StructType) else []
+
 
+def united_lists(rows: DataFrame, key: str, order: str, entries: Column, t: S.StructType, name: str) -> DataFrame:
+    """key and, as name, its rows' lists as one in which each statement (of facts) or each value is one entry, where it first stands.
+
+    Repetitions are grouped by what makes them one, so a list is as long as it likes: no entry is compared with all others.
+    """
+    each = rows.select(key, F.col(order).alias("_o"), F.posexplode(entries).alias("_p", "_x"))
+    same = lambda acc, x: F.when(acc.eqNullSafe(x), acc).otherwise(_absorbed(acc, x, t))
+    held = each.withColumn("_k", _key(F.col("_x"), t) if is_fact(t) else F.col("_x")).groupBy(key, "_k").agg(_first_place("_o", "_p", "_x").alias("_all"))
+    own = F.transform(F.slice("_all", F.lit(2), F.size("_all")), lambda x: x["_x"])
+    one = F.aggregate(own, F.col("_all")[0]["_x"], same) if is_fact(t) else F.col("_all")[0]["_x"]
+    first = held.select(key, F.col("_all")[0]["_o"].alias("_o"), F.col("_all")[0]["_p"].alias("_p"), one.alias("_x"))
+    return first.groupBy(key).agg(F.transform(_first_place("_o", "_p", "_x"), lambda x: x["_x"]).alias(name))
+
+
+def _less(node: Column, kind: S.DataType, gone: set[tuple[str, ...]], at: tuple[str, ...] = ()) -> Column:
+    """A record without some lists; a block keeps whether it is there."""
+    if is_fact(kind) or not isinstance(kind, S.StructType):
+        return node
+    kept = [(f, (*at, f.name)) for f in kind if (*at, f.name) not in gone]
+    fields = [_less(node[f.name], f.dataType, gone, p).alias(f.name) for f, p in kept]
+    return F.when(node.isNotNull(), F.struct(F.lit(True).alias("_there"), *fields))
 
-def merged(first: Column, second: Column, kind: S.DataType) -> Column:
-    """Two records of one type as one: lists are united, different single facts stand below each other with the quotes of both,
-    blocks are merged field by field, and of other fields the first that is there counts."""
+
+def _merged(every: Column, kind: S.DataType, lists: dict[tuple[str, ...], Column], at: tuple[str, ...] = ()) -> Column:
+    """Records in their order as one, with its lists of structs as they are given: different single facts stand below each other
+    with the quotes of all, blocks are merged field by field, and of other fields the first that is there counts."""
+    if at in lists:
+        return F.coalesce(lists[at], F.array().cast(kind))
     if is_fact(kind):
-        text = F.substring(F.concat(first["value"], F.lit("\n"), second["value"]), 1, MOST_VALUE)
-        quotes = F.slice(F.array_distinct(F.concat(first["evidence"], second["evidence"])), 1, MOST_QUOTES)
-        both = F.when(first["value"].eqNullSafe(second["value"]), first).otherwise(with_fields(first, kind, value=text, evidence=quotes))
-        return F.when(first.isNull(), second).when(second.isNull(), first).otherwise(both)
+
+        def step(acc: Column, x: Column) -> Column:
+            text = F.substring(F.concat(acc["value"], F.lit("\n"), x["value"]), 1, MOST_VALUE)
+            quotes = F.slice(F.array_distinct(F.concat(acc["evidence"], x["evidence"])), 1, MOST_QUOTES)
+            both = F.when(acc["value"].eqNullSafe(x["value"]), acc).otherwise(with_fields(acc, kind, value=text, evidence=quotes))
+            return F.when(acc.isNull(), x).when(x.isNull(), acc).otherwise(both)
+
+        return F.aggregate(every, F.lit(None).cast(kind), step)
     if isinstance(kind, S.ArrayType):
-        none = F.array().cast(kind)
-        joined = F.concat(F.coalesce(first, none), F.coalesce(second, none))
-        return _united(joined, kind.elementType) if is_fact(kind.elementType) else F.array_distinct(joined)
+        return F.array_distinct(F.flatten(F.filter(every, lambda x: x.isNotNull())))
     if isinstance(kind, S.StructType):
-        whole = F.struct(*(merged(first[f.name], second[f.name], f.dataType).alias(f.name) for f in kind))
-        return F.when(first.isNotNull() | second.isNotNull(), whole)
-    return F.coalesce(first, second)
+        whole = F.struct(*(_merged(F.transform(every, lambda x: x[f.name]), f.dataType, lists, (*at, f.name)).alias(f.name) for f in kind))
+        return F.when(F.exists(every, lambda x: x.isNotNull()), whole)
+    return F.get(F.filter(every, lambda x: x.isNotNull()), F.lit(0))
 
 
 def merged_batches(rows: DataFrame, key: str, order: str, record: str) -> DataFrame:
-    """key and the records of its batches merged in their order. A key has as many batches as its document has parts."""
+    """key and the records of its batches merged in their order, which no two batches of a key share.
+
+    Lists of facts and of other structs are merged as rows, grouped by what makes two entries one; what is left of a record, single
+    facts and short lists of plain values, is merged in one pass over a key's batches.
+    """
     kind = rows.schema[record].dataType
     if not isinstance(kind, S.StructType):
         raise EngineError("INVALID_ARGUMENT", f"{record} is no record")
-    own = F.transform(F.array_sort(F.collect_list(F.struct(order, record))), lambda x: x[record])
-    told = rows.groupBy(key).agg(own.alias("_all"))
-    empty = F.lit(None).cast(kind)
-    return told.select(key, F.aggregate("_all", empty, lambda acc, x: merged(acc, x, kind)).alias(record))
+    paths = _lists(kind)
+    less = _less(F.col(record), kind, {p for p, _ in paths})
+    told = rows.select(key, F.col(order).alias("_o"), less.alias("_r")).groupBy(key).agg(F.transform(_first_place("_o", "_r"), lambda x: x["_r"]).alias("_all"))
+    for n, (path, t) in enumerate(paths):
+        entries = F.col(record)
+        for name in path:
+            entries = entries[name]
+        own = united_lists(rows, key, order, entries, t, f"_l{n}").withColumnRenamed(key, "_key")
+        told = told.join(own, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    return told.select(key, _merged(F.col("_all"), kind, {p: F.col(f"_l{n}") for n, (p, _) in enumerate(paths)}).alias(record))

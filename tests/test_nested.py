@@ -171,6 +171,22 @@ def test_batches_merge_in_order(spark, records):
         assert listless(got[d]) == listless(out)
 
 
+def test_long_keys_merge(spark):
+    """A key of 2,000 batches: no list is compared with itself, which took its cube."""
+    kind = "outcomes array<struct<value:string,evidence:array<struct<page:bigint,quote:string>>>>, pages array<bigint>, seen array<struct<a:int,b:string>>, note struct<value:string,evidence:array<struct<page:bigint,quote:string>>>"
+    one = lambda v, n: {"value": v, "evidence": [{"page": n, "quote": "q"}]}
+    rows = [(1, n, {"outcomes": [one(f"v{n}", n), one(f"V{n % 7}", n), None], "pages": [n, n % 3, None], "seen": [{"a": n, "b": None}, None], "note": one("same", n)}) for n in range(2000)]
+    rows += [(2, 0, None), (2, 1, {"outcomes": None, "pages": None, "seen": None, "note": None}), (None, 0, {"outcomes": [one("x", 1)], "pages": [1], "seen": [], "note": None})]
+    got = {r.k: r.a for r in N.merged_batches(spark.createDataFrame(rows, f"k int, n int, a struct<{kind}>"), "k", "n", "a").collect()}
+    a = got[1]
+    assert [x and x.value for x in a.outcomes] == ["v0", None, *(f"v{n}" for n in range(1, 2000))]
+    assert [e.page for e in a.outcomes[2].evidence] == [1, 8, 15, 22, 29, 36, 43, 50] and [e.page for e in a.outcomes[-1].evidence] == [1999]
+    assert a.pages == [0, None, *range(1, 2000)] and [x and x.a for x in a.seen] == [0, None, *range(1, 2000)]
+    assert a.note.value == "same" and [e.page for e in a.note.evidence] == [0]
+    assert got[2].outcomes == got[2].pages == got[2].seen == [] and got[2].note is None
+    assert [x.value for x in got[None].outcomes] == ["x"] and got[None].pages == [1]
+
+
 def test_quotes_go_out_and_come_back(spark, frame, records):
     rows = N.evidence_rows(frame, "id", "a")
     moved = rows.where("server is null").withColumns({"page": F.col("page") + 100, "server": F.lit("page"), "section": F.lit(None).cast("string")})
