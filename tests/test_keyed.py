@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,27 @@ def test_an_index_follows_its_documents(spark, tmp_path):
     assert {t: n for t, n in index.frequency().collect() if t in df} == {t: n for t, n in df.items() if n}
 
 
+def test_postings_move_packed(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a b{k % 3}", "b c b") for k in range(20)] + [(20, "", "")], "id long, title string, text string")
+    store = Store(spark, str(tmp_path / "s"))
+    change = store.begin()
+    N.index_change(change, docs.coalesce(1), FIELDS)
+    rows = change.commit().table(N.POSTINGS)
+    assert rows.count() == rows.select("field", "term").distinct().count() == 6  # not one for each of 100 tokens
+    order = ["id", "dl", "field", "pos", "term"]
+    want = sorted(map(tuple, R.postings(docs, FIELDS).select(*order).collect()))
+    assert sorted(map(tuple, R.each_place(R.packed(R.postings(docs, FIELDS))).select(*order).collect())) == want
+    # documents and rows are taken some at a time
+    monkeypatch.setattr(R, "AT_ONCE", 12)
+    batch = pa.record_batch({"id": pa.array(range(4)), "dl": pa.array([5, 0, 20, 3], pa.int32()), "title": pa.array([["a", "b"], [], ["a"] * 20, []]), "definitions": pa.array([["b"] * 3, None, [], ["c", "b", "c"]])})
+    flat = lambda bs: sorted((i, d, r["field"], p, r["term"]) for b in bs for r in b.to_pylist() for i, d, p in zip(r["ids"], r["dls"], r["places"]))
+    texts = list(R._texts_packed([batch], ["title", "definitions"]))
+    told = flat(texts)
+    assert len(texts) > 2 and told == sorted((i, d, f, p, t) for i, d, *fs in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)) for f, ts in zip(("title", "definitions"), fs) for p, t in enumerate(ts or ()))
+    single = pa.table(dict(zip(order, map(list, zip(*told))))).to_batches(max_chunksize=5)
+    assert flat(R._rows_packed(single)) == told
+
+
 def test_an_index_reads_the_buckets_of_its_terms(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     change = store.begin()
