@@ -13,16 +13,18 @@ from .common import table, toks
 ODDS = 1.0
 
 
-def _grams(spark, sf_dir):
+def _grams(spark, sf_dir, shared=False):
+    """Grams of all documents and the anchors; shared: only those of words that enough anchors have."""
     docs = table(spark, sf_dir, "documents")
     anchors = docs.where("lang = 'fr'").select(F.col("doc_id").alias("id"))
     # the anchors are a property of the document here, so no join tells it
     words = docs.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "fr", 1).alias("_a"), F.lit(None).cast("int").alias("_k"), T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    return G.ngrams(words, "w", STOP_WORDS, keep=("_a", "_k")), anchors
+    only = G.shared_words(words.where("_a = 1"), "w", anchors.count()) if shared else None
+    return G.ngrams(words, "w", STOP_WORDS, keep=("_a", "_k"), only=only), anchors
 
 
 def ngram_log_odds(spark, sf_dir):
-    grams, anchors = _grams(spark, sf_dir)
+    grams, anchors = _grams(spark, sf_dir, shared=True)
     return G.mined(grams, anchors, total=table(spark, sf_dir, "documents").count(), least_odds=ODDS)
 
 

@@ -70,6 +70,23 @@ def test_a_query_for_some_terms_stores_no_index(spark, monkeypatch, name):
     assert sorted(map(str, retrieval.QUERIES[name](spark, dir_).collect())) == want
 
 
+def test_grams_of_shared_words_only(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    monkeypatch.setattr(G, "LEAST_SHARE", 0.2)
+    common, rare = [f"w{k}" for k in range(12)], [f"x{k}" for k in range(400)]
+    docs = [(k, 1 if k % 3 == 0 else None, None, [r.choice(common[:8] if k % 3 else common[4:]) if r.random() < 0.6 else r.choice(rare) for _ in range(25)]) for k in range(90)]
+    df = spark.createDataFrame(docs, "id long, _a int, _k int, w array<string>")
+    anchors = df.where("_a = 1")
+    only = G.shared_words(anchors, "w", anchors.count())
+    assert set(only) == {w for w in common + rare if sum(w in d[3] for d in docs if d[1]) >= 6} and 0 < len(only) < 20
+    every, some = (G.ngrams(df, "w", (), keep=("_a", "_k"), only=o) for o in (None, only))
+    found = [[tuple(x) for x in G.mined(g, anchors, total=90, least_odds=0.1).collect()] for g in (every, some)]
+    assert found[0] == found[1] and any(" " in x[0] for x in found[0]) and some.count() < every.count() / 2
+    assert G.shared_words(anchors.limit(0), "w", 0) == [] and G.ngrams(df, "w", (), keep=("_a", "_k"), only=[]).count() == 0
+
+
 def test_unknown_field(spark):
     with pytest.raises(EngineError):
         R.compiled(spark, [R.Group("a", ("a",))], ("nope",))
