@@ -8,30 +8,28 @@ from ..functions import text as T
 from ..operators import mining as G
 from ..operators import retrieval as R
 from ..operators.expansion import STOP_WORDS
+from ..sources.sinks import stored
 from .common import table, toks
 
 ODDS = 1.0
 
 
-def _grams(spark, sf_dir, shared=False):
-    """Grams of all documents and the anchors; shared: only those of words that enough anchors have."""
+def ngram_log_odds(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     anchors = docs.where("lang = 'fr'").select(F.col("doc_id").alias("id"))
     # the anchors are a property of the document here, so no join tells it
     words = docs.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "fr", 1).alias("_a"), F.lit(None).cast("int").alias("_k"), T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    only = G.shared_words(words.where("_a = 1"), "w", anchors.count()) if shared else None
-    return G.ngrams(words, "w", STOP_WORDS, keep=("_a", "_k"), only=only), anchors
-
-
-def ngram_log_odds(spark, sf_dir):
-    grams, anchors = _grams(spark, sf_dir, shared=True)
-    return G.mined(grams, anchors, total=table(spark, sf_dir, "documents").count(), least_odds=ODDS)
+    only = G.shared_words(words.where("_a = 1"), "w", anchors.count())
+    grams = G.ngrams(words, "w", STOP_WORDS, keep=("_a", "_k"), only=only, parts=G.parts_for(docs, "text"))
+    return G.mined(grams, anchors, total=docs.count(), least_odds=ODDS)
 
 
 def subsumption_dedupe(spark, sf_dir):
-    grams, _ = _grams(spark, sf_dir)
-    counts = grams.where("_a = 1").groupBy("gram").agg(F.count(F.lit(1)).alias("a")).where("a >= 3")
-    return G.without_subsumed(counts)
+    anchors = table(spark, sf_dir, "documents").where("lang = 'fr'")
+    parts = G.parts_for(anchors, "text")
+    grams = G.ngrams(anchors.select(F.col("doc_id").alias("id"), T.tokens(F.coalesce("text", F.lit(""))).alias("w")), "w", STOP_WORDS, parts=parts)
+    # the plan reads the counts twice
+    return G.without_subsumed(stored(G.gram_counts(grams, parts).where(F.col("a") >= G.LEAST_ANCHORS)), parts)
 
 
 def _judged(spark, sf_dir):

@@ -429,3 +429,20 @@ def test_no_cartesian_product(spark):
     for name in ("quote_containment", "vocab_expand", "class_members", "conflict_pairs", "near_match"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan
+
+
+def test_grams_are_dealt_by_the_size_of_their_texts(spark, monkeypatch):
+    from attestry.plans import evaluation
+
+    told = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, evaluation.subsumption_dedupe(spark, told).collect()))
+    docs = spark.createDataFrame([(k, f"alpha beta {k}") for k in range(9)] + [(9, None)], "id long, text string")
+    assert G.parts_for(docs.limit(0), "text") == 1 and G.parts_for(docs, "text") == 1
+    monkeypatch.setattr(G, "CHARS", 12)
+    assert (parts := G.parts_for(docs, "text")) == 10
+    grams = G.ngrams(docs.select("id", F.split(F.coalesce("text", F.lit("")), " ").alias("w")), "w", (), parts=parts)
+    counts = G.gram_counts(grams, parts)
+    assert counts.rdd.getNumPartitions() == 10
+    assert {r.gram: r.a for r in counts.collect() if r.a > 1} == {"alpha": 9, "beta": 9, "alpha beta": 9}
+    monkeypatch.setattr(G, "CHARS", 20_000)
+    assert sorted(map(tuple, evaluation.subsumption_dedupe(spark, told).collect())) == want
