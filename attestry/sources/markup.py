@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 ELEMENT = "struct<tag:string,classes:array<string>,href:string,inner:int,first:int,last:int>"
-_ELEMENT = pa.struct([("tag", pa.string()), ("classes", pa.list_(pa.string())), ("href", pa.string()), ("inner", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
+_PARTS = {"tag": pa.string(), "classes": pa.list_(pa.string()), "href": pa.string(), "inner": pa.int32(), "first": pa.int32(), "last": pa.int32()}
 #: Tags that never have an end, and those whose text is not read.
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 UNREAD = frozenset(("script", "style", "template"))
@@ -35,7 +36,8 @@ class Tree(HTMLParser):
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.elements: list[dict] = []
+        # a list for each part of an element
+        self.tag, self.classes, self.href, self.inner, self.first, self.last = ([] for _ in _PARTS)
         self.strings: list[str] = []
         self.stack: list[int] = []
         self.opened: dict[str, int] = {}
@@ -54,16 +56,21 @@ class Tree(HTMLParser):
 
     def shut(self, n: int) -> None:
         for _ in range(n):
-            e = self.elements[self.stack.pop()]
-            self.opened[e["tag"]] -= 1
-            self.silent -= e["tag"] in UNREAD
-            e["inner"], e["last"] = len(self.elements), len(self.strings)
+            i = self.stack.pop()
+            self.opened[self.tag[i]] -= 1
+            self.silent -= self.tag[i] in UNREAD
+            self.inner[i], self.last[i] = len(self.tag), len(self.strings)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.cut()
-        told = {k: v or "" for k, v in reversed(attrs)}
-        self.stack.append(len(self.elements))
-        self.elements.append({"tag": tag, "classes": told.get("class", "").split(), "href": told.get("href"), "first": len(self.strings)})
+        told = {k: v or "" for k, v in reversed(attrs)} if attrs else {}
+        self.stack.append(len(self.tag))
+        self.tag.append(tag)
+        self.classes.append(told.get("class", "").split())
+        self.href.append(told.get("href"))
+        self.first.append(len(self.strings))
+        self.inner.append(0)
+        self.last.append(0)
         self.opened[tag] = self.opened.get(tag, 0) + 1
         self.silent += tag in UNREAD
         if tag in VOID:
@@ -77,7 +84,7 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.cut()
         if self.opened.get(tag):
-            depth = next(k for k, i in enumerate(reversed(self.stack)) if self.elements[i]["tag"] == tag)
+            depth = next(k for k, i in enumerate(reversed(self.stack)) if self.tag[i] == tag)
             self.shut(depth + 1)
 
     def handle_data(self, data: str) -> None:
@@ -89,6 +96,11 @@ class Tree(HTMLParser):
     handle_decl = handle_pi = unknown_decl = handle_comment
 
 
+def _many(lists: list[list], values: pa.Array) -> pa.ListArray:
+    """Lists of the lengths of lists, of the values one after the other."""
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, lists))], pa.int32()), values)
+
+
 def trees(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, elements, strings of pages; a page without markup text has empty ones.
 
@@ -102,7 +114,9 @@ def trees(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 read = [Tree(x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t.elements for t in read], pa.list_(_ELEMENT)), pa.array([t.strings for t in read], pa.list_(pa.string()))], names=[key, "elements", "strings"])
+                flat = [pa.array(list(chain.from_iterable(getattr(t, n) for t in read)), kind) for n, kind in _PARTS.items()]
+                elements = _many([t.tag for t in read], pa.StructArray.from_arrays(flat, names=list(_PARTS)))
+                yield pa.RecordBatch.from_arrays([part.column(0), elements, pa.array([t.strings for t in read], pa.list_(pa.string()))], names=[key, "elements", "strings"])
 
     return own.mapInArrow(run, shape)
 
@@ -135,20 +149,31 @@ def fields(tree: DataFrame, key: str = "page_id") -> DataFrame:
     """key, ord, label, values of every dl that has a dt and a dd, also inside another.
 
     The first dt names it; values are the texts of the field items in the first dd, or else the dd's own text, empty ones
-    included. Of equal labels the last counts, as `labelled` says; here all are rows.
+    included. Of equal labels the last counts in a study's record; here all are rows.
     """
-    numbered = F.transform("elements", lambda e, i: F.struct(i.alias("i"), e["tag"].alias("tag"), e["inner"].alias("inner")))
-    lists = tree.select(key, "elements", "strings", F.posexplode(having(numbered, "dl")).alias("ord", "dl"))
-    within = F.filter(F.transform("elements", lambda e, i: F.struct(i.alias("i"), e["tag"].alias("tag"), e["inner"].alias("inner"), e["first"].alias("first"), e["last"].alias("last"))), lambda e: (e["i"] > F.col("dl.i")) & (e["i"] < F.col("dl.inner")))
-    pair = lists.withColumn("_in", within).select(key, "ord", "elements", "strings", *(F.get(having(F.col("_in"), t), F.lit(0)).alias(t) for t in ("dt", "dd"))).where("dt is not null and dd is not null")
-    items = F.filter(inside(F.col("dd")), lambda e: F.array_contains(e["classes"], "field__item"))
-    values = F.when(F.size(items) > 0, F.transform(items, text_of)).otherwise(F.array(text_of(F.col("dd"))))
-    return pair.select(key, "ord", T.norm(text_of(F.col("dt"))).alias("label"), values.alias("values"))
+    return with_fields(tree).select(key, F.explode("_fields").alias("x")).select(key, "x.*")
+
+
+def with_fields(tree: DataFrame) -> DataFrame:
+    """tree with _fields, the rows of fields() as an array of a page's own row, so that no tree is copied for each of its lists."""
+
+    def numbered(e: Column, i: Column) -> Column:
+        return F.struct(i.alias("i"), *(e[n].alias(n) for n in ("tag", "classes", "inner", "first", "last")))
+
+    def within(x: Column) -> Column:
+        return F.slice("_e", x["i"] + 2, F.greatest(x["inner"] - x["i"] - 1, F.lit(0)))
 
+    def pair(dl: Column, n: Column) -> Column:
+        return F.struct(n.alias("ord"), *(F.get(having(within(dl), t), F.lit(0)).alias(t) for t in ("dt", "dd")))
 
-def labelled(rows: DataFrame, key: str, order: tuple[str, ...] = ("ord",)) -> DataFrame:
-    """key, label, values: of equal labels of a key the last in the order."""
-    return rows.groupBy(key, "label").agg(F.max_by("values", F.struct(*order)).alias("values"))
+    def told(x: Column) -> Column:
+        items = F.filter(within(x["dd"]), lambda e: F.array_contains(e["classes"], "field__item"))
+        values = F.when(F.size(items) > 0, F.transform(items, text_of)).otherwise(F.array(text_of(x["dd"])))
+        return F.struct(x["ord"].alias("ord"), T.norm(text_of(x["dt"])).alias("label"), values.alias("values"))
+
+    every = tree.withColumn("_e", F.transform("elements", numbered))
+    pairs = every.withColumn("_pairs", F.filter(F.transform(having(F.col("_e"), "dl"), pair), lambda x: x["dt"].isNotNull() & x["dd"].isNotNull()))
+    return pairs.withColumn("_fields", F.transform("_pairs", told)).drop("_e", "_pairs")
 
 
 def resolved(base: str, href: Column) -> Column:
@@ -164,17 +189,30 @@ def study_records(pages: DataFrame, base: str, key: str = "study_id", part: str
     title is missing, and the rest is null then. Tabs are the links of the details that end in a tab's name, the last of each.
     """
     whole = F.struct(F.col(key).alias("k"), F.col(part).alias("p"))
-    tree = trees(pages.select(whole.alias("_k"), html), "_k", html).withColumns({"k": F.col("_k.k"), "p": F.col("_k.p")})
-    told = fields(tree, "_k").select(F.col("_k.k").alias("k"), F.col("_k.p").alias("p"), "ord", "label", "values")
-    found = labelled(told, "k", ("p", "ord")).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("label", "values"))).alias("f"))
-    bare = F.rtrim(F.col("x.href"), F.lit("/"))
-    links = tree.where("p = 0").select("k", F.posexplode(F.filter("elements", lambda e: (e["tag"] == "a") & e["href"].isNotNull())).alias("o", "x"))
-    tab = F.element_at(F.split(bare, "/"), -1)
+    # pages are dealt before they are parsed, since a small table of them may lie in one piece, and each is parsed once
+    tree = trees(pages.select(whole.alias("_k"), html).repartition("_k"), "_k", html).withColumns({"k": F.col("_k.k"), "p": F.col("_k.p")})
+
+    def row(kind: int, name: Column, ord: Column, values: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), ord.alias("ord"), values.alias("values"))
+
+    def bare(x: Column) -> Column:
+        return F.rtrim(x["href"], F.lit("/"))
+
+    def last_piece(x: Column) -> Column:
+        return F.element_at(F.split(bare(x), "/"), -1)
+
+    links = F.transform(F.filter("elements", lambda e: (e["tag"] == "a") & e["href"].isNotNull()), lambda e, i: F.struct(i.alias("i"), e["href"].alias("href")))
     # a last piece without anything before it is no tab
-    tabs = links.where(tab.isin(*TABS) & bare.contains("/")).groupBy("k", tab.alias("tab")).agg(F.max_by(resolved(base, F.col("x.href")), "o").alias("url"))
-    tabs = tabs.groupBy("k").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tab", "url")))).alias("tabs"))
-    asked = pages.select(F.col(key).alias("k")).distinct()
-    rows = asked.join(found, "k", "left").join(tabs, "k", "left").withColumn("f", F.coalesce("f", F.create_map().cast("map<string,array<string>>")))
+    tabs = F.filter(links, lambda x: last_piece(x).isin(*TABS) & bare(x).contains("/"))
+    own = F.transform(tabs, lambda x: row(1, last_piece(x), x["i"], F.array(resolved(base, x["href"]))))
+    told = F.transform("_fields", lambda x: row(0, x["label"], x["ord"], x["values"]))
+    # a row without a name stands for the study itself
+    asked = F.array(row(2, F.lit(None).cast("string"), F.lit(0), F.array().cast("array<string>")))
+    each = with_fields(tree).select("k", "p", F.explode(F.concat(told, F.when(F.col("p") == 0, own).otherwise(F.slice(own, 1, 0)), asked)).alias("x")).select("k", "p", "x.*")
+    # both groupings below are by the study first, so rows move once
+    last = each.repartition("k").groupBy("k", "kind", "name").agg(F.max_by("values", F.struct("p", "ord")).alias("values"))
+    of = lambda kind, value: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", value.alias("v"))))))
+    rows = last.groupBy("k").agg(of(0, F.col("values")).alias("f"), of(1, F.get("values", F.lit(0))).alias("tabs"))
     many = lambda *names: F.coalesce(*(F.col("f")[n] for n in names), F.array().cast("array<string>"))
     one = lambda name: F.array_join(many(name), " ")
     ok = (one("study id") == F.col("k").cast("string")) & (one("official title and acronym") != "")
@@ -183,7 +221,7 @@ def study_records(pages: DataFrame, base: str, key: str = "study_id", part: str
         "study_designs": many("non interventional study design"), "status": one("study status"),
         "darwin_eu": F.when(one("darwin eu study") == "Yes", True).when(one("darwin eu study") == "No", False), "countries": many("study countries"),
         "data_source_types": many("data sources types", "data source type"), "catalogue_data_sources": many("data sources", "data source s"),
-        "source_url": F.concat(F.lit(base.rstrip("/") + "/study/"), F.col("k").cast("string")), "tabs": F.coalesce("tabs", F.create_map().cast("map<string,string>")),
+        "source_url": F.concat(F.lit(base.rstrip("/") + "/study/"), F.col("k").cast("string")), "tabs": F.col("tabs"),
     }
     return rows.select(F.col("k").alias(key), *(F.when(ok, c).alias(n) for n, c in record.items()), F.when(~ok, F.lit("STUDY_NOT_FOUND")).alias("error"))
 
@@ -219,11 +257,10 @@ def file_cards(tree: DataFrame, container: str, base: str, key: str = "page_id")
     told = F.transform("found", lambda x: F.struct(x["box"].alias("box"), x["updated"].alias("updated"), x["i"].alias("i"), x["href"].alias("href"), text_of(first(x["card"], "titles")).alias("title"), text_of(first(x["card"], "metadata")).alias("metadata")))
     links = carded.select(key, F.explode(told).alias("x")).select(key, "x.*").withColumn("document_url", resolved(base, F.col("href")))
     links = links.withColumn("_url", F.coalesce(F.try_url_decode(F.replace("document_url", F.lit("+"), F.lit("%2B"))), "document_url")).where(F.lower(F.element_at(F.split("_url", r"\?"), 1)).endswith(".pdf"))
+    # records are made of a page's last link to an address only, and both groupings are by the page first, so links move once
+    links = links.repartition(key).groupBy(key, "document_url").agg(F.min(F.struct("box", "i")).alias("_at"), F.max_by(F.struct("updated", "title", "metadata", "_url"), F.struct("box", "i")).alias("x")).select(key, "document_url", "_at", "x.*")
     told = links.withColumn("title", F.coalesce("title", F.element_at(F.split("_url", "/"), -1))).select(
-        key, "document_url", F.col("box").alias("_box"), F.col("i").alias("_i"), "title", F.when(F.col("updated"), "updated").otherwise("initial").alias("kind"),
+        key, "document_url", "_at", "title", F.when(F.col("updated"), "updated").otherwise("initial").alias("kind"),
         F.nullif(F.regexp_extract("title", r"(?i)(?:\bversion\s*|\bv|_v)(\d+(?:\.\d+)*)", 1), F.lit("")).alias("version"), T.parse_date(F.col("title")).alias("document_date"), T.parse_date(F.col("metadata")).alias("published_date"),
     )
-    names = ("title", "kind", "version", "document_date", "published_date")
-    last = told.groupBy(key, "document_url").agg(F.min(F.struct("_box", "_i")).alias("_at"), F.max_by(F.struct(*names), F.struct("_box", "_i")).alias("x"))
-    return last.select(key, F.row_number().over(Window.partitionBy(key).orderBy("_at")).alias("ord"), "document_url", *(f"x.{n}" for n in names))
-
+    return told.select(key, F.row_number().over(Window.partitionBy(key).orderBy("_at")).alias("ord"), "document_url", "title", "kind", "version", "document_date", "published_date")

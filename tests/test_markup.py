@@ -54,3 +54,13 @@ def test_cards_of_files(spark):
     once = html.replace("field-protocol-file-upd", "field-other")
     first = M.file_cards(M.trees(_pages(spark, (1, once))), "field-protocol-file", "https://site.org").orderBy("ord").first()
     assert (first.title, first.version, str(first.document_date), str(first.published_date)) == ("Protocol v1.2 2021-03-04", "1.2", "2021-03-04", "2022-06-05")
+
+
+def test_studies_are_read_in_one_pass(spark):
+    """Each page is parsed once, whatever the record asks of it, and pages of one small piece are dealt before."""
+    rows = [(k, p, f"<dl><dt>Study ID</dt><dd>{k}</dd></dl><dl><dt>Official title and acronym</dt><dd>T{p}</dd></dl><a href='/x/data-management'>d</a>") for k in range(50) for p in range(3)]
+    df = M.study_records(spark.createDataFrame(rows, "study_id string, part int, html string").coalesce(1), "https://s.org")
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    got = {r.study_id: (r.title, r.tabs) for r in df.collect()}
+    assert got == {str(k): ("T2", {"data-management": "https://s.org/x/data-management"}) for k in range(50)}
