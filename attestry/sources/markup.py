@@ -6,7 +6,7 @@ and texts by comparing numbers, and a tree is as long as its page, however deep.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from itertools import accumulate, chain
 
@@ -131,6 +131,11 @@ def inside(element: Column) -> Column:
     return F.slice("elements", element["i"] + 2, F.greatest(element["inner"] - element["i"] - 1, F.lit(0)))
 
 
+def once(value: Column, rule: Callable[[Column], Column]) -> Column:
+    """rule(value), where the rule reads the value several times and it is computed once."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
 def having(elements: Column, tag: str) -> Column:
     return F.filter(elements, lambda e: e["tag"] == tag)
 
@@ -242,20 +247,27 @@ def file_cards(tree: DataFrame, container: str, base: str, key: str = "page_id")
     def within(outer: Column, x: Column) -> Column:
         return (x["i"] > outer["i"]) & (x["i"] < outer["inner"])
 
-    def around(link: Column, cards: str) -> Column:
+    def around(link: Column, cards: Column) -> Column:
         return F.try_element_at(F.filter(cards, lambda c: within(c, link)), F.lit(-1))
 
-    def first(card: Column, marked: str) -> Column:
-        return F.get(F.filter(marked, lambda x: within(card, x)), F.lit(0))
+    def text_in(card: Column, marked: Column) -> Column:
+        return once(F.get(F.filter(marked, lambda x: within(card, x)), F.lit(0)), text_of)
 
     # small arrays of one row are compared with each other, so that no tree is copied for each of its links
     boxed = F.filter("e", lambda x: F.array_join(x["classes"], " ").contains(container))
     every = tree.select(key, "strings", F.transform("elements", numbered).alias("e"))
-    parts = every.select(key, "strings", boxed.alias("boxes"), F.filter("e", lambda x: (x["tag"] == "a") & x["href"].isNotNull()).alias("links"), of("bcl-file").alias("files"), of("field__item").alias("items"), of("file-title").alias("titles"), of("file-metadata").alias("metadata"))
-    found = F.flatten(F.transform("boxes", lambda b, n: F.transform(F.filter("links", lambda a: within(b, a)), lambda a: F.struct(n.alias("box"), F.array_join(b["classes"], " ").contains("-upd").alias("updated"), a["i"].alias("i"), a["href"].alias("href"), F.coalesce(around(a, "files"), around(a, "items")).alias("card")))))
-    carded = parts.withColumn("found", F.filter(found, lambda x: x["card"].isNotNull()))
-    told = F.transform("found", lambda x: F.struct(x["box"].alias("box"), x["updated"].alias("updated"), x["i"].alias("i"), x["href"].alias("href"), text_of(first(x["card"], "titles")).alias("title"), text_of(first(x["card"], "metadata")).alias("metadata")))
-    links = carded.select(key, F.explode(told).alias("x")).select(key, "x.*").withColumn("document_url", resolved(base, F.col("href")))
+    parts = {"boxes": F.transform(boxed, lambda b: F.struct(b["i"].alias("i"), b["inner"].alias("inner"), F.array_join(b["classes"], " ").contains("-upd").alias("updated"))), "links": F.filter("e", lambda x: (x["tag"] == "a") & x["href"].isNotNull()), "files": of("bcl-file"), "items": of("field__item"), "titles": of("file-title"), "metadata": of("file-metadata")}
+
+    def files(of: Column) -> Column:
+        def link(b: Column, n: Column, a: Column) -> Column:
+            return F.struct(n.alias("box"), b["updated"].alias("updated"), a["i"].alias("i"), a["href"].alias("href"), F.coalesce(around(a, of["files"]), around(a, of["items"])).alias("card"))
+
+        found = F.flatten(F.transform(of["boxes"], lambda b, n: F.transform(F.filter(of["links"], lambda a: within(b, a)), lambda a: link(b, n, a))))
+        return F.transform(F.filter(found, lambda x: x["card"].isNotNull()), lambda x: F.struct(*(x[n].alias(n) for n in ("box", "updated", "i", "href")), *(text_in(x["card"], of[n]).alias(m) for n, m in (("titles", "title"), ("metadata", "metadata")))))
+
+    # what the lambdas read is bound once for a page: a column that they named would be put into them and computed for every link
+    told = once(F.struct(*(c.alias(n) for n, c in parts.items())), files)
+    links = every.select(key, F.explode(told).alias("x")).select(key, "x.*").withColumn("document_url", resolved(base, F.col("href")))
     links = links.withColumn("_url", F.coalesce(F.try_url_decode(F.replace("document_url", F.lit("+"), F.lit("%2B"))), "document_url")).where(F.lower(F.element_at(F.split("_url", r"\?"), 1)).endswith(".pdf"))
     # records are made of a page's last link to an address only, and both groupings are by the page first, so links move once
     links = links.repartition(key).groupBy(key, "document_url").agg(F.min(F.struct("box", "i")).alias("_at"), F.max_by(F.struct("updated", "title", "metadata", "_url"), F.struct("box", "i")).alias("x")).select(key, "document_url", "_at", "x.*")

@@ -64,3 +64,12 @@ def test_studies_are_read_in_one_pass(spark):
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
     got = {r.study_id: (r.title, r.tabs) for r in df.collect()}
     assert got == {str(k): ("T2", {"data-management": "https://s.org/x/data-management"}) for k in range(50)}
+
+
+def test_arrays_of_a_page_are_bound_once(spark):
+    """A rule that is read for every link is not put into the lambda of the links."""
+    html = '<div class="field-protocol-file"><div class="bcl-file"><a href="/a.pdf">x</a><span class="file-title">T</span></div></div>'
+    df = M.file_cards(M.trees(_pages(spark, (1, html))), "field-protocol-file", "https://s.org")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bcl-file") == 1 and plan.count("file-metadata") == 1
+    assert [(r.document_url, r.title) for r in df.collect()] == [("https://s.org/a.pdf", "T")]
