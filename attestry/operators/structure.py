@@ -55,8 +55,22 @@ def _agreement(lines: DataFrame, outline: DataFrame, detected: DataFrame, key: s
     own = lines.select(key, "page", T.canonical(F.col("text")).alias("name"), *flags(True, False, False, False))
     told = outline.select(key, "page", T.canonical(spelt).alias("name"), *flags(False, True, F.col("level") == 1, False))
     read = detected.select(key, "page", "name", *flags(False, False, False, True))
-    every = own.unionByName(told).unionByName(read).where("name <> ''").groupBy(key, "page", "name").agg(*(F.bool_or(n).alias(n) for n in ("line", "gold", "top", "seen")))
-    return every.select(key, "page", "name", (F.col("gold") & F.col("line")).alias("gold"), (F.col("top") & F.col("line")).alias("top"), "seen").where("gold or seen")
+    return _agreed(own.unionByName(told).unionByName(read), key)
+
+
+MARKS = ("line", "gold", "top", "seen")
+
+
+def _agreed(marks: DataFrame, *keys: str) -> DataFrame:
+    """_agreement() of marks (keys, page, name, MARKS): what a line, an entry of the outline and a reading say of a name of a page."""
+    every = marks.where("name <> ''").groupBy(*keys, "page", "name").agg(*(F.bool_or(n).alias(n) for n in MARKS))
+    return every.select(*keys, "page", "name", (F.col("gold") & F.col("line")).alias("gold"), (F.col("top") & F.col("line")).alias("top"), "seen").where("gold or seen")
+
+
+def marked_agreement(marks: DataFrame, *keys: str) -> DataFrame:
+    """heading_agreement() of marks (keys, page, name in normal form, MARKS), for those who have lines, outline and reading in one
+    table, of one reading or of several that a key tells apart: names are brought to their normal form once for all."""
+    return _counted(_agreed(marks, *keys), *keys)
 
 
 def heading_agreement(lines: DataFrame, outline: DataFrame, detected: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -65,10 +79,13 @@ def heading_agreement(lines: DataFrame, outline: DataFrame, detected: DataFrame,
 
     lines (key, page, text). Documents with neither outline nor heading have no row; nulls are no names; repeated ones count once.
     """
-    rows = _agreement(lines, outline, detected, key)
+    return _counted(_agreement(lines, outline, detected, key), key)
+
+
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
     gold, top, seen = F.col("gold"), F.col("top"), F.col("seen")
     found = {"gold": gold, "gold_detected": gold & seen, "gold_top": top, "gold_top_detected": top & seen, "detected": seen, "detected_unsupported": seen & ~gold}
-    return rows.groupBy(key).agg(*(F.count_if(c).alias(n) for n, c in found.items()))
+    return rows.groupBy(*keys).agg(*(F.count_if(c).alias(n) for n, c in found.items()))
 
 
 def missed_headings(lines: DataFrame, outline: DataFrame, detected: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -121,6 +138,18 @@ def changes(before: DataFrame, after: DataFrame, family: DataFrame, measures: Se
     documents, so that they do not cancel out.
     """
     long = lambda df: df.select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("n")) for m in measures))).alias("x")).select(key, "x.*")
-    each = run_diff(long(before), long(after), [key, "measure"], "n")
+    return _by_family(run_diff(long(before), long(after), [key, "measure"], "n"), family, key)
+
+
+def changed(readings: DataFrame, family: DataFrame, measures: Sequence[str], key: str = "doc_id") -> DataFrame:
+    """changes() of readings in one table (key, later: whether it is the second reading, measures): one grouping, no join of the two."""
+    each = readings.select(key, "later", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("n")) for m in measures))).alias("x")).select(key, "later", "x.*")
+    of = lambda later: F.coalesce(F.sum(F.when(F.col("later") == later, F.col("n"))), F.lit(0))
+    b, a = F.col("before"), F.col("after")
+    both = each.groupBy(key, "measure").agg(of(False).alias("before"), of(True).alias("after"))
+    return _by_family(both.withColumns({"gained": F.greatest(a - b, F.lit(0)), "lost": F.greatest(b - a, F.lit(0))}), family, key)
+
+
+def _by_family(each: DataFrame, family: DataFrame, key: str) -> DataFrame:
     sums = (F.sum(n).alias(n) for n in ("before", "after", "gained", "lost"))
     return each.join(family, key).groupBy("family", "measure").agg(F.count(F.lit(1)).alias("documents"), *sums)

@@ -53,3 +53,20 @@ def test_changes_do_not_cancel_out(spark):
     after = spark.createDataFrame([(1, 1), (3, 2)], "doc_id long, n long")
     family = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "doc_id long, family string")
     assert [tuple(r) for r in Q.changes(before, after, family, ("n",)).collect()] == [("a", "n", 3, 4, 3, 2, 3)]
+
+
+def test_two_readings_are_measured_in_one_pass(spark):
+    from attestry.operators import structure as S
+    from attestry.plans import structure as plans
+
+    # (reading, document, page, name, line, gold, top, seen): one document that only the second reading has
+    rows = [(False, 1, 0, "a", True, True, True, False), (False, 1, 0, "b", True, False, False, True), (True, 1, 0, "a", True, True, True, True), (True, 2, 0, "c", True, False, False, True), (True, 2, 1, "c", False, True, False, False), (True, 2, 1, "", True, True, True, True)]
+    marks = spark.createDataFrame(rows, "later boolean, doc_id long, page int, name string, line boolean, gold boolean, top boolean, seen boolean")
+    own = S.marked_agreement(marks, "doc_id", "later")
+    family = spark.createDataFrame([(1, "x"), (2, "x")], "doc_id long, family string")
+    got = {tuple(r) for r in S.changed(own, family, S.COUNTS).collect()}
+    apart = [own.where(c).drop("later") for c in ("not later", "later")]
+    assert got == {tuple(r) for r in S.changes(*apart, family, S.COUNTS).collect()}
+    assert ("x", "detected", 2, 1, 2, 1, 0) in got and ("x", "gold_top_detected", 2, 0, 1, 1, 0) in got
+    plan = plans.structure_changes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 2 and "FullOuter" not in plan
