@@ -181,3 +181,37 @@ def test_an_index_reads_the_buckets_of_its_terms(spark, tmp_path):
     read = N.LiveIndex(second).of(["new"]).inputFiles()
     assert read and all(f"bucket={R.bucket('new')}/" in f for f in read)
     assert {r.id for r in N.LiveIndex(second).of(["a4"]).collect()} == set() and {r.id for r in N.LiveIndex(second).of(["a3"]).collect()} == {3}
+
+
+def test_state_is_called_only_for_what_changes():
+    from attestry.streaming.keyed import Holding
+
+    class Cell:
+        value, puts = None, 0
+
+        def get(self):
+            return self.value or []
+
+        def exists(self):
+            return self.value is not None
+
+        def put(self, value):
+            self.value, self.puts = value, self.puts + 1
+
+        update = put
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+            self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    own = Holding()
+    own.handle, own.entries, own.rev = Handle(), Cell(), Cell()
+    a, b = (2, 0, 1, "a", 10), (1, 0, 2, "b", 20)
+    assert len(list(own._told(7, [], [a, b]))) == 1 and own.handle.timers == {10, 20} and own.entries.puts == 1
+    assert not list(own._told(7, [a, b], [a, b])) and own.entries.puts == 1
+    assert len(list(own._told(7, [a, b], [b]))) == 1 and own.handle.timers == {20}
+    assert not list(own._told(7, [b], []))[0]["holds"][0] and own.handle.timers == set() and own.entries.value is None
