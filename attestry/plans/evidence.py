@@ -38,13 +38,18 @@ def quote_position(spark, sf_dir):
     return _held(spark, sf_dir).select("quote_id", "doc_id", "page", start.alias("quote_start"), end.alias("quote_end"), sha.alias("quote_sha256"), size.alias("quote_length"))
 
 
+#: What a page is moved by: a word of a sign for private use, in which no quote, however short, is found.
+MOVED = "\ue000 "
+
+
 def quote_restore(spark, sf_dir):
     """The printed text of held quotes, at their place and where their page begins with another word; breaks at hyphens are joined."""
     start, _, sha, size = E.quote_position(F.col("p"), F.col("q"))
     printed = _pages(spark, sf_dir).select("doc_id", "page", "text")
     rows = _held(spark, sf_dir).select("quote_id", "doc_id", "page", start.alias("s"), sha.alias("h"), size.alias("n")).join(printed, ["doc_id", "page"])
-    found = rows.select("quote_id", "doc_id", "page", E.restored(F.col("text"), F.col("s"), F.col("h"), F.col("n")).alias("a"), E.restored(F.concat(F.lit("Moved "), F.col("text")), F.col("s"), F.col("h"), F.col("n")).alias("b"))
-    joined = lambda c: F.sha2(F.regexp_replace(F.replace(F.col(c), F.lit(chr(173)), F.lit("")), r"-\s+", "-"), 256)
+    found = rows.select("quote_id", "doc_id", "page", E.restored(F.col("text"), F.col("s"), F.col("h"), F.col("n")).alias("a"), E.restored(F.concat(F.lit(MOVED), F.col("text")), F.col("s"), F.col("h"), F.col("n")).alias("b"))
+    # a soft hyphen that goes may leave two blanks
+    joined = lambda c: F.sha2(F.regexp_replace(F.regexp_replace(F.replace(F.col(c), F.lit(chr(173)), F.lit("")), r"-\s+", "-"), r"\s+", " "), 256)
     return found.select("quote_id", "doc_id", "page", joined("a").alias("at_place"), joined("b").alias("after_move"))
 
 
